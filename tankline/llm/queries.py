@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
+from .simhash import near_dedup
 from .url_filter import filter_urls
 
 #: The rules that op1 judges by: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LINE_MIN_DOCS = 10
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +28,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """docs with the token ids of their texts, their digest and the bytes decoded from them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(RANK_FILE)
+    return bpe.decode(bpe.with_id_digest(bpe.encode(docs, path, public_tokenizers.PATTERN)), path)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = coded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op4_simhash_near_dedup, op5_byte_bpe, op8_exact_dedup)}
 
 _WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
