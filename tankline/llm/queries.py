@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, secrets
 from .common import table
+from .decontaminate import CONTAINMENT, WORDS, contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .simhash import near_dedup
@@ -28,6 +29,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,11 +50,27 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op4_simhash_near_dedup, op5_byte_bpe, op8_exact_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return judged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_decontamination, op4_simhash_near_dedup, op5_byte_bpe, op6_secret_scan, op8_exact_dedup, op9_language_id)}
 
 _WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,6 +94,14 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
         FROM lines LEFT JOIN often ON lines.k = often.k GROUP BY doc_id""",
+    "op3_decontamination": rf"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM benchmark),
+        d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(words) - {WORDS} + 2), lambda i: words[i:i + {WORDS} - 1])) AS s FROM w),
+        q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(words) - {WORDS} + 2), lambda i: words[i:i + {WORDS} - 1])) AS s FROM b),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM q GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
+        FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {CONTAINMENT} * any_value(n_shingles) - 1e-9""",
     "op8_exact_dedup": f"""
         WITH bare AS (SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), {_WS}, '') AS t FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
