@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets
+from . import bpe, html_extract, langid, licenses, secrets
 from .common import table
 from .decontaminate import CONTAINMENT, WORDS, contaminated
 from .exact_dedup import exact_dedup
@@ -60,6 +60,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.inline_outer("licenses")).filter("license is not null")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -70,7 +75,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_decontamination, op4_simhash_near_dedup, op5_byte_bpe, op6_secret_scan, op8_exact_dedup, op9_language_id)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_decontamination, op4_simhash_near_dedup, op5_byte_bpe, op6_secret_scan, op7_license_scan, op8_exact_dedup, op9_language_id, op10_html_extraction)}
 
 _WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
