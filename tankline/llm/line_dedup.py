@@ -158,14 +158,15 @@ def _probe_shards(docs: DataFrame, text: str, index: DataFrame, shards: int, min
     of_text = [F.xxhash64(text).alias("t1"), F.xxhash64(text, text).alias("t2")]
     lines = docs.filter(F.col(text).isNotNull()).select(*of_text, F.explode(F.array_distinct(keys)).alias("k")).filter("k <> ''").select("t1", "t2", F.xxhash64("k").alias("h1"), F.xxhash64("k", "k").alias("h2"))
     lines = lines.withColumns({"shard": F.pmod("h1", F.lit(shards)).cast("int"), "salt": F.pmod("t1", F.lit(SALTS)).cast("int"), "index": F.lit(None).cast("binary")})
-    blobs = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumns({c: F.lit(None).cast("long") for c in ("t1", "t2", "h1", "h2")})
+    blobs = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumns({c: F.lit(0).cast("long") for c in ("t1", "t2", "h1", "h2")})
     dealt = lines.unionByName(blobs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("index").isNull())
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = None
         for pdf in batches:
-            heads = pdf["index"].notna().to_numpy()
-            for part in np.split(pdf, np.flatnonzero(heads)) if heads.any() else [pdf]:
+            cuts = [0, *np.flatnonzero(pdf["index"].notna().to_numpy()).tolist(), len(pdf)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = pdf.iloc[a:b]
                 if len(part) and part["index"].iloc[0] is not None:
                     now, part = pickle.loads(part["index"].iloc[0]), part.iloc[1:]
                 if len(part) and now is not None:
