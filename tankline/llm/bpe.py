@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: A block of the corpus whose words are merged together, in characters, and pieces that are remembered between blocks.
-BLOCK_CHARS = 12_000_000
-MEMORY_PIECES = 600_000
+BLOCK_CHARS = 4_000_000
+MEMORY_PIECES = 250_000
 NONE = np.int32(1 << 30)
 
 
@@ -26,7 +26,6 @@ class Vocabulary:
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines() if rank_file else [])}
-        self.tokens = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         get = self.ranks.get
@@ -141,6 +140,12 @@ def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(rank_file, pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(rank_file: bytes) -> dict[int, bytes]:
+    """The bytes of each token, read once in a Python worker."""
+    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, rank_file.splitlines())}
+
+
 class Encoder:
     """Encodes texts block by block; pieces of text that came up before are remembered.
 
@@ -253,10 +258,9 @@ def decode(docs: DataFrame, rank_path: str, ids: str = "token_ids", out: str = "
         held = spark.sparkContext.broadcast(file.read())
 
     @F.arrow_udf("binary")
-    def of_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = vocabulary(held.value, "").tokens
-        for batch in batches:
-            yield pa.array([b"".join(map(tokens.__getitem__, row or [])) for row in batch.to_pylist()], pa.binary())
+    def of_ids(batch: pa.Array) -> pa.Array:
+        tokens = token_bytes(held.value)
+        return pa.array([b"".join(map(tokens.__getitem__, row or [])) for row in batch.to_pylist()], pa.binary())
 
     return docs.withColumn(out, of_ids(F.col(ids)))
 
