@@ -66,7 +66,7 @@ def register(spark: SparkSession, path: str, as_of: int) -> DataFrame:
     clean = lambda c: F.when(~stripped(c).isin("", "N/A"), stripped(c))
     rows = raw.select(*[clean(pick(h)).alias(n) for h, n in REGISTER_COLUMNS.items()])
     rows = rows.withColumns({n: F.col(n).try_cast("double") for n in REGISTER_COLUMNS.values() if n not in REGISTER_TEXT})
-    rows = rows.withColumn("date_of_change", F.try_to_date("date_of_change", F.lit("d MMMM yyyy")))
+    rows = rows.withColumn("date_of_change", F.try_to_date("date_of_change", "d MMMM yyyy"))
     year = F.coalesce(year_in_name(F.concat_ws(" ", "description", "model"), as_of), F.year("date_of_change"))
     return rows.withColumns({"fuel_type": fuel_type(F.col("fuel_type")), "year": year})
 
