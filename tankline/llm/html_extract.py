@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("ul ol dl table article aside nav div section main header footer form body td th blockquote figure".split())
 
 #: Pages of the labelled sample at most, passes over it, and the size of the hashed feature space.
-SAMPLE_PAGES, PASSES, SPACE = 160, 120, 1 << 13
+SAMPLE_PAGES, PASSES, SPACE = 200, 150, 1 << 13
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -125,7 +126,7 @@ def features(page: list[Block]) -> list[list[int]]:
         if (known := _slots.get(b.path)) is None:
             tags = [x for x in b.path if x[0] != "." and x not in INLINE]
             own = tags[-1] if tags else "none"
-            known = [_slot("bias"), _slot(f"own={own}"), *{_slot(f"above={x}") for x in tags[:-1]}, *{_slot(f"name={x}") for x in b.path if x[0] == "."}]
+            known = [_slot("bias"), _slot(f"own={own}"), *{_slot(f"above={x}") for x in tags[:-1]}, *{_slot(f"name={x}") for x in b.path if x[0] == "."}, *{_slot(f"stem={x[:5]}") for x in b.path if x[0] == "."}]
             if len(_slots) > 50_000:
                 _slots.clear()
             _slots[b.path] = known
@@ -219,46 +220,81 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], passes: int = PASSES, ra
     return chain
 
 
-# Labelled layouts: how sites arrange a page. {m} menu, {x} short remark, {t} title, {p} paragraphs of the article, {k}
-# reader comments, {n} sentences that don't belong to the article. What lies in x-keep is the article.
-LAYOUTS = (
-    '<nav><ul>{m}</ul></nav><div class="ad">{x}</div><article><x-keep><h1>{t}</h1>{p}</x-keep></article><footer>&copy; {x}</footer>',
-    '<header><div class="logo">{x}</div><nav>{m}</nav></header><main><article><x-keep><h1>{t}</h1>{p}</x-keep></article><aside><h3>{x}</h3><ul>{m}</ul><p>{n}</p></aside></main><footer><p>{x}</p></footer>',
-    '<div id="header"><h2>{x}</h2><ul class="menu">{m}</ul></div><div id="content"><x-keep><h1>{t}</h1>{p}</x-keep></div><div id="sidebar"><ul>{m}</ul><p>{n}</p></div><div id="footer"><p>&copy; {x}</p></div>',
-    '<div class="cookie-notice"><p>{n}</p><button>{x}</button></div><div class="navbar">{m}</div><div class="post"><x-keep><h1>{t}</h1><div class="entry">{p}</div></x-keep><div class="share">{m}</div></div><div class="comments"><h3>{x}</h3>{k}</div><div class="footer">{x}</div>',
-    '<header><h1>{x}</h1></header><nav>{m}</nav><section class="story"><x-keep><h2>{t}</h2>{p}</x-keep></section><section id="comments">{k}<form><label>{x}</label><input><button>{x}</button></form></section><footer>{m}</footer>',
-    '<div class="banner advert"><p>{n}</p></div><main><x-keep><h1>{t}</h1>{p}</x-keep><div class="related"><h3>{x}</h3><ul>{m}</ul></div></main><aside class="widget"><p>{n}</p></aside><footer><small>{x}</small></footer>',
-    '<table><tr><td class="menu"><ul>{m}</ul></td><td class="text"><x-keep><h1>{t}</h1>{p}</x-keep></td></tr></table><div class="copyright">{x}</div>',
-    '<form class="search"><label>{x}</label><input></form><ul>{m}</ul><article><header><x-keep><h1>{t}</h1></x-keep></header><x-keep>{p}</x-keep><div class="ad"><p>{n}</p></div><x-keep>{p}</x-keep><footer class="meta">{x}</footer></article><div class="newsletter popup"><p>{n}</p><form><button>{x}</button></form></div><div class="comment-list">{k}</div>',
-    '<div role="navigation">{m}</div><div role="main"><x-keep><h1>{t}</h1><blockquote>{s}</blockquote>{p}<ul>{l}</ul>{p}</x-keep></div><div role="contentinfo"><p>{x}</p></div>',
-    '<article><x-keep><h1>{t}</h1>{p}</x-keep><section class="comments">{k}</section></article><div class="sponsored promo"><h4>{x}</h4><p>{n}</p></div><div id="cookie-banner" role="dialog"><p>{n}</p></div>',
-)
-
-
-def labelled(texts: list[list[str]]) -> list[tuple[list[Block], list[int]]]:
-    """Labelled pages: each text (a title and paragraphs) in two of the layouts. The parts around it come from the
-    sentences of other texts, so that it is the place, not the words, that tells them."""
+# What sites call the parts of a page, the elements they use for them, and how they wrap an article.
+PARTS = {
+    "header": ("header div", "header masthead site-header topbar branding logo page-header banner"),
+    "menu": ("nav ul div", "nav menu navbar navigation main-navigation breadcrumb topnav links site-nav"),
+    "footer": ("footer div", "footer site-footer bottom copyright colophon site-info contentinfo legal"),
+    "side": ("aside div section", "sidebar aside widget widget-area secondary rail related recommended recent-posts popular more"),
+    "advert": ("div aside section", "ad ads advert advertisement adsbygoogle ad-slot sponsor sponsored promo promotion banner"),
+    "notice": ("div section", "cookie cookie-notice cookie-consent gdpr privacy-notice alert notice popup modal newsletter subscribe signup paywall"),
+    "comments": ("section div ol", "comments comment-list commentlist reader-comments replies respond discussion disqus responses feedback"),
+    "form": ("form form div", "search search-form login contact-form form newsletter-form poll"),
+    "share": ("div ul p", "share social sharing tags post-meta byline author breadcrumbs toolbar"),
+}
+WRAPS = ("article", "main", "section", "div", "article post", "div content", "div post", "div entry", "section story", "div text", "div main", "div article", "main primary", "div main-content", "div entry-content", "div post-body", "td text", "div page", "section", "div")
+
+
+def labelled(texts: list[list[str]], each: int = 3) -> list[tuple[list[Block], list[int]]]:
+    """Labelled pages: each text (a title and paragraphs) in some layouts, put together from the parts above by a seeded
+    draw. The other parts' sentences come from other texts, so that it is the place, not the words, that tells them."""
     pages = []
-    for i, own in enumerate(texts):
-        other = texts[(i * 7 + 3) % len(texts)]
+    for i in range(each * len(texts)):
+        draw = random.Random(i)
+        own, other = texts[i // each], draw.choice(texts)
         rest = [w for p in other for w in re.split(r"(?<=[.!?])\s", p)] or ["More"]
-        short = lambda k, rest=rest: html.escape(" ".join(rest[k % len(rest)].split()[: 1 + k % 6]) or "More")
-        sentence = lambda k, rest=rest: html.escape(rest[k % len(rest)])
-        body = [html.escape(p) for p in own[1:] or own]
-        wraps = ("<p>{}</p>", "<div>{}</div>", "<p>{}<br>{}</p>")
-        for j in (0, 1):
-            wrap = wraps[(i + j) % 9 // 4]
-            parts = {
-                "m": "".join(f'<li><a href="/{k}">{short(k + i)}</a></li>' if (i + j) % 3 else f'<a href="/{k}">{short(k + i)}</a><div></div>' for k in range(3 + i % 6)),
-                "x": short(i + j), "t": html.escape(own[0]), "n": sentence(i + j), "s": body[0][:200], "l": "".join(f"<li>{b[:120]}</li>" for b in body[:3]),
-                "p": "".join(wrap.format(b, b) if k % 4 != 3 else f"<h2>{b[:60]}</h2><p>{b}</p>" for k, b in enumerate(body[:12])),
-                "k": "".join(f'<div class="comment"><p>{sentence(k + i)} {sentence(k + 1)}</p></div>' if i % 2 else f"<p>{sentence(k + i)}</p>" for k in range(1 + i % 4)),
-            }
-            found = blocks("<html><body>" + LAYOUTS[(2 * i + j + i // 5) % len(LAYOUTS)].format(**parts) + "</body></html>")
-            labels = [int("x-keep" in b.path) for b in found]
-            for b in found:
-                b.path = tuple(x for x in b.path if x != "x-keep")
-            pages.append((found, labels))
+        short = lambda: html.escape(" ".join(draw.choice(rest).split()[: draw.randrange(1, 6)]) or "More")
+        sentence = lambda: html.escape(draw.choice(rest))
+        links = lambda n: "".join(f'<li><a href="/{k}">{short()}</a></li>' if draw.random() < 0.7 else f'<a href="/{k}">{short()}</a> ' for k in range(n))
+
+        def inner(kind: str) -> str:
+            if kind in ("menu", "share"):
+                return links(draw.randrange(2, 8))
+            if kind == "header":
+                return draw.choice((f"<h1>{short()}</h1>", f"<p>{short()}</p>", short())) + draw.choice(("", f"<nav>{links(4)}</nav>"))
+            if kind == "footer":
+                return draw.choice((f"&copy; {short()} &middot; {sentence()}", f"<p>{short()}</p>", f"<p>{sentence()}</p>", links(4)))
+            if kind == "side":
+                return f"<h3>{short()}</h3>" + draw.choice((f"<ul>{links(5)}</ul>", f"<p>{sentence()}</p>", f"<ul>{links(3)}</ul><p>{sentence()}</p>"))
+            if kind == "comments":
+                made = "".join(draw.choice(("<div class=\"comment\"><p>{0} {1}</p></div>", "<p>{0} {1}</p>", "<li><b>{2}</b> <p>{0}</p><p>{1}</p></li>", "<div>{0}</div>")).format(sentence(), sentence(), short()) for _ in range(draw.randrange(1, 6)))
+                return draw.choice(("", f"<h3>{short()}</h3>")) + made + draw.choice(("", f"<form><label>{short()}</label><input><button>{short()}</button></form>"))
+            if kind == "form":
+                return f"<label>{short()}</label><input>" + draw.choice((f"<button>{short()}</button>", f"<p>{sentence()}</p>"))
+            return draw.choice((f"<p>{sentence()}</p>", sentence(), f"<p>{sentence()} {sentence()}</p><button>{short()}</button>", f"<h4>{short()}</h4><p>{sentence()}</p>"))
+
+        def part(kind: str, chance: float = 1.0) -> str:
+            if draw.random() >= chance:
+                return ""
+            tags, names = (x.split() for x in PARTS[kind])
+            tag = draw.choice(tags)
+            plain = tag in ("nav", "header", "footer", "aside", "form") and draw.random() < 0.5
+            name = "" if plain else f' {draw.choice(("class", "class", "id", "role"))}="{draw.choice(names)}"'
+            return f"<{tag}{name}>{inner(kind)}</{tag}>"
+
+        kept = lambda content: f"<x-keep>{content}</x-keep>"
+        body = [html.escape(p) for p in own[1:] or own][:14]
+        wrap = draw.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}<br><p>", "<div>{}</div>", "<p><b>{}</b></p>"))
+        made = [wrap.format(b) for b in body]
+        for k in range(2, len(made), 3):
+            made[k] = draw.choice((f"<h2>{body[k][:60]}</h2>{made[k]}", f"<ul><li>{body[k][:90]}</li><li>{body[k - 1][:70]}</li></ul>", f"<blockquote><p>{body[k]}</p></blockquote>", made[k]))
+        cut = draw.randrange(len(made) + 1)
+        title = draw.choice(("<h1>{}</h1>", "<h1 class=\"title\">{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>", "<header class=\"entry-header\"><h1>{}</h1></header>")).format(html.escape(own[0]))
+        tag, *names = draw.choice(WRAPS).split()
+        inside = draw.random() < 0.35
+        content = kept(title) + part("share", 0.25) + kept("".join(made[:cut])) + part("advert", 0.15) + kept("".join(made[cut:])) + part("share", 0.2) + (part("side", 0.4) + part("comments", 0.6) if inside else "")
+        name = f' class="{names[0]}"' if names else ""
+        article = f"<{tag}{name}>{content}</{tag}>"
+        if tag == "td":
+            article = f'<table><tr><td class="menu"><ul>{links(4)}</ul></td>{article}</tr></table>'
+        for outer in draw.choice(((), (), ("main",), ("div",), ("div", "main"), ("div",))):
+            article = f"<{outer}>{article}{part('side', 0.3)}</{outer}>"
+        page = part("notice", 0.3) + part("header", 0.6) + part("menu", 0.8) + part("form", 0.2) + part("advert", 0.35) + article + part("comments", 0.35) + part("side", 0.5) + part("form", 0.2) + part("advert", 0.2) + part("footer", 0.9) + part("notice", 0.25)
+        found = blocks(f"<html><body>{page}</body></html>")
+        labels = [int("x-keep" in b.path) for b in found]
+        for b in found:
+            b.path = tuple(x for x in b.path if x != "x-keep")
+        pages.append((found, labels))
     return pages
 
 
