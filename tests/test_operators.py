@@ -267,3 +267,35 @@ def test_filters_reach_the_scan(spark):
 
 def A_filter(spark):
     return readers.stored(spark, f"{SF}/orders.parquet", o_orderkey=5).select("o_orderkey", "o_totalprice")
+
+
+def test_small_name_operators(spark):
+    from tankline.operators import names
+
+    cars = spark.createDataFrame([(1, "VW", "Golf ", 2001, "x"), (2, "VW", "golf", 2001, "y"), (3, "VW", "Golf", None, "x"), (4, "VW", "Golf", None, "X")], "car_id int, brand string, name string, year int, description string")
+    assert sorted(r["car_id"] for r in names.unique_cars(cars).collect()) == [1, 3, 4]
+    listed = spark.createDataFrame([("GOLF",), ("polo",)], "word string")
+    assert names.in_word_list(cars, "description", listed).count() == 0 and names.in_word_list(cars, "name", listed).count() == 4
+    assert sorted(r["car_id"] for r in names.top_per_group(cars, "brand", [F.desc("car_id")], 2).collect()) == [3, 4]
+
+
+def test_point_prices(spark):
+    from tankline.operators import names
+
+    p = spark.createDataFrame([("N0", datetime.date(2001, 1, 1), 2000.0, 1000.0, 3000.0, 1.0, 1000)], "country string, date date, euro_ttc double, euro_ht double, diesel_ttc double, diesel_ht double, quantity int")
+    points = spark.createDataFrame([(1, 0, 0.5, 0.5), (1, 1, 1.5, 0.5), (1, 2, 9.0, 0.5)], "route int, seq int, x double, y double")
+    general = prices.mean_over_countries(p.withColumn("euro_ttc", F.lit(5000.0)))
+    rows = names.point_prices(points, squares(spark, (0.0, 0.0, 2.0)), p, general, 0.1, "gasoline").orderBy("seq").collect()
+    assert [(r["country"], r["price"]) for r in rows] == [("N0", 2.0), ("N0", 2.0), (None, 5.0)]
+    assert rows[0]["cost"] == 0 and rows[1]["cost"] == pytest.approx(rows[1]["meters"] / 1000 * 0.2)
+
+
+def test_request_errors(spark):
+    body = {"request": "route", "geometry": {"geojson": {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}, "filters": {"data_source": "cfd", "fuel_type": "diesel", "tank_sizes": {"a": 30}}}}
+    bad = [(body, None), ("{", 4000), ("", 4000), ({"request": "list"}, 4000), ({"request": "route"}, 4002), ({"request": "route", "geometry": {}}, 4001)]
+    point = json.loads(json.dumps(body))
+    point["geometry"]["geojson"] = {"type": "LineString", "coordinates": [[1, 2]]}
+    bad.append((point, 4007))
+    rows = spark.createDataFrame([(i, b if isinstance(b, str) else json.dumps(b)) for i, (b, _) in enumerate(bad)], "request_id int, body string")
+    got = routes.parsed(rows).orderBy("request_id").collect()
+    assert [r["error_code"] for r in got] == [c for _, c in bad] and got[0]["tank_sizes"] == {"a": 30}
