@@ -28,6 +28,7 @@ NOTICES = {
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
@@ -39,8 +40,8 @@ NOTICES = {
 _WORD = re.compile(r"[^\W_]+")
 
 
-def shingle_hashes(text: str, seen: dict[str, int], width: int = WORDS) -> np.ndarray:
-    """The hash of each run of width words; words are runs of letters and digits in lower case. seen remembers words."""
+def word_hashes(text: str, seen: dict[str, int]) -> np.ndarray:
+    """The hashes of a text's words, runs of letters and digits in lower case. seen remembers words."""
     hashes = []
     for w in _WORD.findall(text.lower()):
         h = seen.get(w)
@@ -49,18 +50,20 @@ def shingle_hashes(text: str, seen: dict[str, int], width: int = WORDS) -> np.nd
                 seen.clear()
             h = seen[w] = xxhash.xxh64_intdigest(w)
         hashes.append(h)
-    if len(hashes) < width:
-        return np.zeros(0, np.uint64)
-    h = np.array(hashes, np.uint64)
-    out = np.zeros(len(h) - width + 1, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def shingle_hashes(words: np.ndarray, width: int = WORDS) -> np.ndarray:
+    """The hash of each run of width words."""
+    out = np.full(max(0, len(words) - width + 1), width, np.uint64)
     for i in range(width):
-        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
+        out = (out ^ words[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
         out ^= out >> np.uint64(29)
     return out
 
 
 class Templates:
-    """Templates by size. Those of up to m shingles and over m / 2 share windows of m + m/2 shingles, every m/2 of the
+    """Templates by size; those of fewer than five words have one shingle, all their words. Those of up to m shingles and over m / 2 share windows of m + m/2 shingles, every m/2 of the
     text, so a template's place lies whole in a window, except for the last ones, which end with the text. With
     containment c a window of w shingles then has a Jaccard similarity j of at least c n / (w + (1 - c) n). Bands are
     of one row, which suits so low a j, and there are enough of them that 1 - (1 - j)^bands reaches the collision
@@ -71,14 +74,16 @@ class Templates:
         self.containment = containment
         self.names, self.sets, classes = [], [], {}
         for name, text in sorted(texts.items()):
-            found = np.unique(shingle_hashes(text or "", {}, width))
+            words = word_hashes(text or "", {})
+            own_width = min(width, len(words))
+            found = np.unique(shingle_hashes(words, own_width)) if own_width else words
             if len(found):
-                classes.setdefault(max(2, 1 << (len(found) - 1).bit_length()), []).append(len(self.names))
+                classes.setdefault((own_width, max(2, 1 << (len(found) - 1).bit_length())), []).append(len(self.names))
                 self.names.append(name)
                 self.sets.append(found)
-        self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.all = {w: np.unique(np.concatenate([self.sets[i] for key, members in classes.items() if key[0] == w for i in members])) for w, _ in classes}
         self.classes = []
-        for m, members in sorted(classes.items()):
+        for (own_width, m), members in sorted(classes.items()):
             window = m + m // 2
             least = min(containment * len(self.sets[i]) / (window + (1 - containment) * len(self.sets[i])) for i in members)
             bands = math.ceil(math.log(1 - collision) / math.log(1 - min(least, 0.999)))
@@ -87,45 +92,50 @@ class Templates:
             for i in members:
                 for band, least_hash in enumerate(self.mixed(self.sets[i], seeds).min(axis=1).tolist()):
                     table[band].setdefault(least_hash, []).append(i)
-            self.classes.append((m, window, seeds, table))
+            self.classes.append((own_width, m, window, seeds, table))
 
     @staticmethod
     def mixed(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         x = (hashes[None, :] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
-    def find(self, hashes: np.ndarray) -> list[tuple[str, int, int, float]]:
+    def find(self, words: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(name, start, end, containment), in words: for each template its best window, of equal ones the first, cut to
         the shingles that are the template's."""
-        ours = np.isin(hashes, self.all)
-        if not ours.any():  # a window without a template's shingle has no band in common with it
-            return []
         best: dict[int, tuple[float, int, int]] = {}
-        for m, window, seeds, table in self.classes:
-            step = max(1, m // 2)
-            for start in range(0, len(hashes), PIECE):
-                piece = hashes[start : start + PIECE + window]
-                starts = np.arange(0, min(PIECE, len(piece)), step)
-                counts = np.r_[0, np.cumsum(ours[start : start + len(piece)])]
-                starts = starts[counts[np.minimum(starts + window, len(piece))] > counts[starts]]
-                for s in starts.tolist():
-                    part = piece[s : s + window]
-                    met = {i for band, h in enumerate(self.mixed(part, seeds).min(axis=1).tolist()) for i in table[band].get(h, ())}
-                    for i in met:
-                        there = np.isin(part, self.sets[i])
-                        share = len(np.unique(part[there])) / len(self.sets[i])
-                        if share >= self.containment - 1e-9 and share > best.get(i, (0,))[0]:
-                            at = np.flatnonzero(there)
-                            best[i] = (share, start + s + int(at[0]), start + s + int(at[-1]) + WORDS)
+        for width, known in self.all.items():
+            hashes = shingle_hashes(words, width)
+            ours = np.isin(hashes, known)
+            if ours.any():  # a window without a template's shingle has no band in common with it
+                for own_width, *rest in self.classes:
+                    if own_width == width:
+                        self._meet(hashes, ours, width, best, *rest)
         return sorted((self.names[i], a, b, share) for i, (share, a, b) in best.items())
 
+    def _meet(self, hashes: np.ndarray, ours: np.ndarray, width: int, best: dict, m: int, window: int, seeds: np.ndarray, table: list[dict]) -> None:
+        step = max(1, m // 2)
+        for start in range(0, len(hashes), PIECE):
+            piece = hashes[start : start + PIECE + window]
+            starts = np.arange(0, min(PIECE, len(piece)), step)
+            counts = np.r_[0, np.cumsum(ours[start : start + len(piece)])]
+            starts = starts[counts[np.minimum(starts + window, len(piece))] > counts[starts]]
+            for s in starts.tolist():
+                part = piece[s : s + window]
+                met = {i for band, h in enumerate(self.mixed(part, seeds).min(axis=1).tolist()) for i in table[band].get(h, ())}
+                for i in met:
+                    there = np.isin(part, self.sets[i])
+                    share = len(np.unique(part[there])) / len(self.sets[i])
+                    if share >= self.containment - 1e-9 and share > best.get(i, (0,))[0]:
+                        at = np.flatnonzero(there)
+                        best[i] = (share, start + s + int(at[0]), start + s + int(at[-1]) + width)
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", containment: float = CONTAINMENT, column: str = "licenses") -> DataFrame:
     """docs with an array of (license, start_word, end_word, containment), by license; a column of that name is replaced.
 
     A template is found where a window of the text holds at least that share of its distinct five-word shingles; its
     best place is returned. Templates are a fixed list of the caller's, by name (NOTICES if none is given), and go to
-    the tasks as they are; those of fewer than five words are never found. Null, empty and short texts have no license.
+    the tasks as they are; one without a word is never found. Null and empty texts have no license.
     Whole texts are scanned where they lie, piece by piece, and repeated rows get the same.
     """
     spark = docs.sparkSession
@@ -136,6 +146,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, int] = {}
         for batch in batches:
-            yield pd.Series([[{"license": n, "start_word": a, "end_word": b, "containment": c} for n, a, b, c in held.value.find(shingle_hashes(t or "", seen))] for t in batch])
+            yield pd.Series([[{"license": n, "start_word": a, "end_word": b, "containment": c} for n, a, b, c in held.value.find(word_hashes(t or "", seen))] for t in batch])
 
     return docs.withColumn(column, found(F.col(text)))

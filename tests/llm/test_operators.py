@@ -328,12 +328,14 @@ def test_licenses_found_whole_changed_and_not_in_clean_text(spark, documents, od
 
 
 def test_licenses_equal_exact_containment(documents):
-    from pyspark.sql import SparkSession  # noqa: F401
-
-    sets = {k: set(licenses.shingle_hashes(v, {}).tolist()) for k, v in licenses.NOTICES.items()}
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    named = {k: split(v) for k, v in licenses.NOTICES.items()}
     for r in licenses.scan(documents).collect():
-        there = set(licenses.shingle_hashes(r.text, {}).tolist())
-        assert {x.license for x in r.licenses} == {k for k, s in sets.items() if len(s & there) >= 0.8 * len(s)}
+        words = split(r.text)
+        there = {n: runs(words, n) for n in (3, 5)}
+        own = {k: runs(w, min(5, len(w))) for k, w in named.items()}
+        assert {x.license for x in r.licenses} == {k for k, s in own.items() if len(s & there[min(5, len(named[k]))]) >= 0.8 * len(s)}
 
 
 # language ID
