@@ -141,7 +141,8 @@ _REGMATCH = f"""{_REGNAMES}, {_PAGES}, {_CURATED},
         UNION SELECT car_id, 0, w.hash_id FROM names n JOIN curated c ON n.brand = c.brand AND (lower(n.name) = lower(c.entry) OR lower(n.name) || n.year = lower(c.entry)) JOIN wiki w ON w.wiki_name = c.wiki_name),
     best AS (SELECT DISTINCT car_id, stage, hash_id FROM allhits QUALIFY stage = min(stage) OVER (PARTITION BY car_id))"""
 
-_ODD = _REGMATCH.replace("forms AS (SELECT car_id", "one AS (SELECT DISTINCT * FROM names), odd AS (SELECT * FROM one WHERE year % 2 = 1),\n    forms AS (SELECT car_id", 1).replace("FROM names UNION", "FROM odd UNION").replace("FROM names, range", "FROM odd, range").replace("FROM names n JOIN", "FROM odd n JOIN")
+_STRICT = _REGMATCH + """,
+    one AS (SELECT DISTINCT * FROM names), strict AS (SELECT * FROM best WHERE stage <= 1)"""
 
 ORACLE_SQL = {
     "avg_vehicle_type": with_sql("sensors stats", f"SELECT sensor_type AS vehicle_type, fuel_type, phenomenon, {_means()}, any_value(k) AS numb_sensors FROM stats JOIN sensors USING (sensor_id) JOIN (SELECT fuel_type, count(*) AS k FROM sensors GROUP BY 1) USING (fuel_type) GROUP BY 1, 2, 3"),
@@ -212,13 +213,13 @@ ORACLE_SQL = {
     "brand_names": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN upper(p_brand) WHEN 1 THEN ' b' || substr(p_brand, 7) WHEN 2 THEN '' ELSE p_brand END AS raw, CASE WHEN p_partkey % 4 = 2 THEN '' ELSE p_brand END AS brand FROM part""",
     "year_in_name": with_sql("cars", "SELECT hash_id, CASE WHEN year <= 1999 THEN year WHEN year - 30 >= 1980 THEN year - 30 END AS year FROM cars"),
     "number_parse": """SELECT o_orderkey, raw, CASE WHEN o_orderkey % 4 < 3 THEN round(c / 100, 2) END AS value FROM (SELECT o_orderkey, c, CASE o_orderkey % 4 WHEN 0 THEN (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') WHEN 1 THEN (c // 100) || ',' || lpad((c % 100)::VARCHAR, 2, '0')
-        WHEN 2 THEN (c // 100000) || '.' || lpad((c // 100 % 1000)::VARCHAR, 3, '0') || ',' || lpad((c % 100)::VARCHAR, 2, '0') ELSE 'x' END AS raw FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders WHERE o_totalprice >= 1000))""",
+        WHEN 2 THEN CASE WHEN c >= 100000 THEN (c // 100000) || '.' || lpad((c // 100 % 1000)::VARCHAR, 3, '0') ELSE (c // 100)::VARCHAR END || ',' || lpad((c % 100)::VARCHAR, 2, '0') ELSE 'x' END AS raw FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders))""",
     "powerset": """SELECT car_name, string_agg(DISTINCT t, '|' ORDER BY t) AS choices FROM (
             SELECT car_name, unnest(CASE WHEN len(w) = 2 THEN [w[1], w[2], w[1] || ' ' || w[2]] ELSE [w[1]] END) AS t FROM (SELECT car_name, unnest([w, list_transform(w, lambda x: upper(x)), list_transform(w, lambda x: upper(x[1]) || lower(x[2:]))], recursive := false) AS w FROM (SELECT DISTINCT p_name AS car_name, string_split(p_name, ' ') AS w FROM part)))
         GROUP BY car_name""",
     "match_register": with_sql("wiki cars", "SELECT car_id, stage, count(*) AS pages, md5(string_agg(DISTINCT hash_id, ',' ORDER BY hash_id)) AS pages_md5 FROM best GROUP BY ALL", _REGMATCH),
-    "review_queue": with_sql("wiki cars", "SELECT n.brand, n.name, count(DISTINCT n.car_id) AS cars, count(hash_id) > 0 AS matched, count(DISTINCT hash_id) AS pages FROM one n LEFT JOIN best b ON n.car_id = b.car_id GROUP BY ALL", _ODD),
-    "matched_ratio": with_sql("wiki cars", "SELECT round(avg(m), 4) AS matched_ratio FROM (SELECT max((hash_id IS NOT NULL)::INT) AS m FROM one n LEFT JOIN best b ON n.car_id = b.car_id GROUP BY n.brand, n.name)", _ODD),
+    "review_queue": with_sql("wiki cars", "SELECT n.brand, n.name, count(DISTINCT n.car_id) AS cars, count(hash_id) > 0 AS matched, count(DISTINCT hash_id) AS pages FROM one n LEFT JOIN strict b ON n.car_id = b.car_id GROUP BY ALL", _STRICT),
+    "matched_ratio": with_sql("wiki cars", "SELECT round(avg(m), 4) AS matched_ratio FROM (SELECT max((hash_id IS NOT NULL)::INT) AS m FROM one n LEFT JOIN strict b ON n.car_id = b.car_id GROUP BY n.brand, n.name)", _STRICT),
     "match_sensor": with_sql("wiki", "SELECT car_id, stage, count(*) AS pages FROM best GROUP BY ALL", f"""names AS (SELECT p_partkey AS car_id, p_brand AS brand, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' ' || p_name ELSE upper(p_name) END AS name FROM part), {_PAGES}, {_CURATED},
         forms AS (SELECT car_id, brand, 1 AS stage, lower(name) AS form FROM names UNION SELECT car_id, brand, 2, lower(name) FROM names UNION SELECT car_id, brand, 3, lower(brand || ' ' || name) FROM names),
         allhits AS (SELECT car_id, stage, hash_id FROM forms f JOIN pages_by_name p USING (brand, form) UNION SELECT car_id, 0, w.hash_id FROM names n JOIN curated c ON n.brand = c.brand AND lower(n.name) = lower(c.entry) JOIN wiki w ON w.wiki_name = c.wiki_name),

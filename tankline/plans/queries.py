@@ -195,7 +195,7 @@ def route_cost_sensor(spark: SparkSession, sf: str) -> DataFrame:
 
 def route_cost_cars(spark: SparkSession, sf: str) -> DataFrame:
     """Costs of the cars that a request names: those of orders with its number."""
-    lines = A.table(spark, sf, "lineitem").filter("l_linenumber <= 2")
+    lines = A.table(spark, sf, "lineitem")
     ids = lines.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.array_sort(F.collect_set(A.car_hash())).alias("cfd_ids"))
     return routes.car_costs(_requests(spark, sf).join(ids, "request_id"), _parts(spark, sf), A.register_cars(spark, sf), _sensor_models(spark, sf), A.wiki_cars(spark, sf))
 
@@ -314,8 +314,10 @@ def number_parse(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     whole, rest = (F.floor(cents / 100)).cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
     k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, F.concat_ws(".", whole, rest)).when(k == 1, F.concat_ws(",", whole, rest)).when(k == 2, F.concat(F.expr("substring(cast(floor(round(o_totalprice * 100) / 100) as string), 1, length(cast(floor(round(o_totalprice * 100) / 100) as string)) - 3)"), F.lit("."), F.substring(whole, F.length(whole) - 2, F.lit(3)), F.lit(","), rest)).otherwise("x")
-    return rounded(A.table(spark, sf, "orders").filter("o_totalprice >= 1000").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", text.locale_number(F.col("raw")).alias("value")), 2)
+    grouped = F.when(cents >= 100_000, F.concat_ws(".", F.floor(cents / 100_000).cast("string"), F.lpad((F.floor(cents / 100) % 1000).cast("string"), 3, "0"))).otherwise(whole)
+    raw = F.when(k == 0, F.concat_ws(".", whole, rest)).when(k == 1, F.concat_ws(",", whole, rest)).when(k == 2, F.concat_ws(",", grouped, rest)).otherwise("x")
+    rows = A.table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
+    return rounded(rows.select("o_orderkey", "raw", text.locale_number(F.col("raw")).alias("value")), 2)
 
 
 def powerset(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,9 +357,9 @@ def match_sensor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _review(spark: SparkSession, sf: str) -> DataFrame:
-    """The queue when only cars with an odd year have been matched."""
+    """The queue when only curated matches and whole names count."""
     names = _register_names(spark, sf).distinct()
-    found = matching.match_register(names.filter("year % 2 = 1"), A.wiki_cars(spark, sf), _curated(spark, sf))
+    found = matching.match_register(names, A.wiki_cars(spark, sf), _curated(spark, sf)).filter("stage <= 1")
     return matching.review_queue(names, found)
 
 
@@ -369,11 +371,15 @@ def matched_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(matching.accuracy(_review(spark, sf)))
 
 
+def _distinct_names(spark: SparkSession, sf: str) -> DataFrame:
+    return _register_names(spark, sf).select(F.md5(F.concat_ws("|", "brand", "name")).alias("car_id"), "brand", "name", F.lit(None).cast("int").alias("year")).distinct()
+
+
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct register names and page names of a brand that are alike."""
-    names = _register_names(spark, sf).select("brand", "name").distinct()
-    pages = A.wiki_cars(spark, sf).select(F.col("brand_name").alias("brand"), F.concat_ws(" ", "car_name", F.lit("Promo")).alias("page")).distinct()
-    return names.join(pages, "brand").withColumn("alike", matching.similar(F.col("name"), F.col("page"))).select("brand", "name", "page", "alike")
+    """Distinct register names and page names that share a word, and whether they are alike."""
+    names = _distinct_names(spark, sf)
+    pairs = matching.name_matches(names, A.wiki_cars(spark, sf)).select("car_id", "tag").distinct().join(names, "car_id")
+    return pairs.select("brand", "name", F.col("tag").alias("page"), matching.similar(F.concat_ws(" ", "brand", "name"), F.col("tag")).alias("alike"))
 
 
 def classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,7 +393,7 @@ def classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def accepted_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by common words, accepted by the rules."""
-    named = _register_names(spark, sf).select(F.md5(F.concat_ws("|", "brand", "name")).alias("car_id"), "brand", "name", F.lit(None).cast("int").alias("year")).distinct()
+    named = _distinct_names(spark, sf)
     scored = matching.name_matches(named, A.wiki_cars(spark, sf)).select("car_id", "tag", "score").distinct().join(named, "car_id")
     return matching.accepted(scored, A.wiki_cars(spark, sf), _part_aliases(spark, sf), required=0.8).groupBy("car_id", "rule").agg(F.count("*").alias("pages"))
 
