@@ -300,10 +300,11 @@ def labelled(texts: list[list[str]], each: int = 3) -> list[tuple[list[Block], l
 
 def train(pages: DataFrame, column: str = "html", rows: int = SAMPLE_PAGES) -> Chain:
     """A field from at most rows pages, the least by hash: the blocks of a page that say they are its article label that
-    page, and their text fills the labelled layouts. The driver gets that many pages and no more, however many there
-    are. Without such pages, a few fixed sentences fill the layouts."""
-    whole = pages.filter(F.col(column).isNotNull() & F.col(column).contains("<article"))
-    sample = whole.select(F.xxhash64(column).alias("h"), F.substring(F.col(column), 1, 60_000).alias("page")).orderBy("h", "page").limit(rows).collect()
+    page, and their text fills the labelled layouts. Hashes are picked first and only their pages fetched, so the driver
+    gets that many pages and no more, however many there are, and however often one is repeated. Without such pages, a few fixed sentences fill the layouts."""
+    whole = pages.filter(F.col(column).isNotNull() & F.col(column).contains("<article")).select(F.xxhash64(column).alias("h"), F.substring(F.col(column), 1, 60_000).alias("page"))
+    least = whole.select("h").distinct().orderBy("h").limit(rows)
+    sample = whole.join(F.broadcast(least), "h").groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()
     told, texts = [], []
     for r in sample:
         found = blocks(r["page"])
