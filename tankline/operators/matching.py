@@ -151,9 +151,10 @@ def accepted(scored: DataFrame, wiki: DataFrame, aliases: DataFrame, required: f
     that holds is told. 1: the score is reached. Then, with complex rules, 2: the score is in the band below and all words
     of the page's name are in brand and name; outside the band 3: the names are alike in one of three forms, 4: the
     brand's own floor is reached; and in any case 5: they are alike with an alias in front."""
-    j = scored.join(wiki.select(F.col("wiki_name").alias("tag"), "hash_id"), "tag")
+    pages = wiki.select(F.col("wiki_name").alias("tag"), "hash_id")
+    j = scored.distinct()  # rules look at names, so pages with one name are judged once and joined at the end
     if not complex_rules:
-        return j.filter(F.col("score") >= required).select("car_id", "hash_id", F.lit(1).alias("rule")).distinct()
+        return j.filter(F.col("score") >= required).join(pages, "tag").select("car_id", "hash_id", F.lit(1).alias("rule")).distinct()
     full = F.concat_ws(" ", "brand", "name")
     bare = F.replace(F.col("tag"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
     in_band = F.col("score") >= required - BAND
@@ -167,22 +168,23 @@ def accepted(scored: DataFrame, wiki: DataFrame, aliases: DataFrame, required: f
     aliased = F.concat_ws(" ", "alias", "brand", "name")
     without = lambda c: F.replace(c, F.col("alias"), F.lit(""))
     fifth = open_rows.filter(similar(aliased, F.col("tag"), F.col("year")) | similar(F.concat_ws(" ", F.col("alias"), without(F.col("name"))), without(F.col("tag")), F.col("year")))
-    both = judged.filter("rule is not null").select("car_id", "hash_id", "rule").unionByName(fifth.select("car_id", "hash_id", F.lit(5).alias("rule")))
-    return both.groupBy("car_id", "hash_id").agg(F.min("rule").alias("rule"))
+    both = judged.filter("rule is not null").select("car_id", "tag", "rule").unionByName(fifth.select("car_id", "tag", F.lit(5).alias("rule")))
+    least = both.groupBy("car_id", "tag").agg(F.min("rule").alias("rule"))
+    return least.join(pages, "tag").groupBy("car_id", "hash_id").agg(F.min("rule").alias("rule"))
 
 
 def name_matches(cars: DataFrame, wiki: DataFrame) -> DataFrame:
-    """(car_id, hash_id, tag, score): cars and pages of a brand that share a word beside it, with the share of common words
-    (Dice). Pairs come from an equi-join on brand and word, the rarest word of each car that a page has."""
+    """(car_id, tag, score): cars and page names of a brand that share a word beside it, with the share of common words
+    (Dice). Pairs come from an equi-join on brand and word, the rarest word of each car that a page has; pages with one
+    name are one."""
     own = cars.select("car_id", "brand", "name", F.array_distinct(words(F.col("name"))).alias("w"))
-    page = wiki.select("hash_id", F.col("brand_name").alias("brand"), F.col("wiki_name").alias("tag"), F.array_distinct(words(F.col("car_name"))).alias("pw"))
+    page = wiki.select(F.col("brand_name").alias("brand"), F.col("wiki_name").alias("tag"), F.array_distinct(words(F.col("car_name"))).alias("pw")).distinct()
     spread = page.withColumn("word", F.explode("pw"))
     often = spread.groupBy("brand", "word").agg(F.count("*").alias("n"))
     met = own.withColumn("word", F.explode("w")).join(often, ["brand", "word"])
     rare = met.groupBy("car_id", "brand").agg(F.min(F.struct("n", "word")).getField("word").alias("word"), F.first("w").alias("w"))
     pairs = rare.join(spread, ["brand", "word"])
-    score = 2 * F.size(F.array_intersect("w", "pw")) / (F.size("w") + F.size("pw"))
-    return pairs.select("car_id", "hash_id", "tag", score.alias("score"))
+    return pairs.select("car_id", "tag", (2 * F.size(F.array_intersect("w", "pw")) / (F.size("w") + F.size("pw"))).alias("score")).distinct()
 
 
 def register_forms(cars: DataFrame) -> DataFrame:
@@ -198,29 +200,30 @@ def register_forms(cars: DataFrame) -> DataFrame:
     return cars.select("car_id", "brand", "year", F.inline(F.when(F.size(parts) > 1, F.concat(first, dropped)).otherwise(first)))
 
 
-def first_stage(hits: DataFrame) -> DataFrame:
-    """Of hits (car_id, stage, hash_id) those of each car's first stage that has any."""
-    least = hits.groupBy("car_id").agg(F.min("stage").alias("stage"))
-    return hits.join(least, ["car_id", "stage"]).distinct()
+def _by_first_form(forms: DataFrame, cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
+    """(car_id, stage, hash_id): curated matches as stage 0, and for the other cars the pages of the first stage whose form
+    (car_id, brand, stage, form) is a page's name or its car's name. The stage is found on distinct names, before any page
+    is joined, so pages that share a name don't multiply what is compared."""
+    pages = wiki.select(F.col("brand_name").alias("brand"), F.explode(F.array_distinct(F.array(F.lower("wiki_name"), F.lower("car_name")))).alias("form"), "hash_id")
+    known = forms.withColumn("form", F.lower("form")).join(pages.select("brand", "form").distinct(), ["brand", "form"], "left_semi")
+    listed = curated_matches(cars, curated, wiki)
+    each = known.groupBy("car_id").agg(F.min("stage").alias("first"), F.collect_set(F.struct("stage", "brand", "form")).alias("forms"))
+    best = each.select("car_id", F.inline(F.filter("forms", lambda f: f["stage"] == F.col("first")))).join(listed.select("car_id").distinct(), "car_id", "left_anti")
+    found = best.join(pages, ["brand", "form"]).select("car_id", "stage", "hash_id").distinct()
+    return listed.select("car_id", F.lit(0).alias("stage"), "hash_id").unionByName(found)
 
 
 def match_register(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
-    """(car_id, stage, hash_id): register cars by curated list (stage 0), else by the first form that is a page's name or its
-    car's name, ignoring case."""
-    pages = wiki.select(F.col("brand_name").alias("brand"), F.explode(F.array_distinct(F.array(F.lower("wiki_name"), F.lower("car_name")))).alias("form"), "hash_id")
-    by_form = register_forms(cars).withColumn("form", F.lower("form")).join(pages, ["brand", "form"]).select("car_id", "stage", "hash_id")
-    listed = curated_matches(cars, curated, wiki).select("car_id", F.lit(0).alias("stage"), "hash_id")
-    return first_stage(listed.unionByName(by_form))
+    """(car_id, stage, hash_id): register cars by curated list (stage 0), else by the first of their forms that is a page's
+    name or its car's name, ignoring case."""
+    return _by_first_form(register_forms(cars).select("car_id", "brand", "stage", "form"), cars, wiki, curated)
 
 
 def match_sensors(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
     """(car_id, stage, hash_id): sensors by curated list (0), name (1), name and year (2), or brand and name (3)."""
     y = F.col("year").cast("string")
-    forms = F.array(*[F.struct(F.lit(i).alias("stage"), F.lower(c).alias("form")) for i, c in ((1, F.col("name")), (2, F.concat_ws(" ", "name", y)), (3, F.concat_ws(" ", "brand", "name")))])
-    pages = wiki.select(F.col("brand_name").alias("brand"), F.explode(F.array_distinct(F.array(F.lower("wiki_name"), F.lower("car_name")))).alias("form"), "hash_id")
-    by_form = cars.select("car_id", "brand", F.inline(forms)).join(pages, ["brand", "form"]).select("car_id", "stage", "hash_id")
-    listed = curated_matches(cars, curated, wiki).select("car_id", F.lit(0).alias("stage"), "hash_id")
-    return first_stage(listed.unionByName(by_form))
+    forms = F.array(*[F.struct(F.lit(i).alias("stage"), c.alias("form")) for i, c in ((1, F.col("name")), (2, F.concat_ws(" ", "name", y)), (3, F.concat_ws(" ", "brand", "name")))])
+    return _by_first_form(cars.select("car_id", "brand", F.inline(forms)), cars, wiki, curated)
 
 
 def bridge(matches: DataFrame) -> DataFrame:

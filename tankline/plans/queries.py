@@ -378,7 +378,7 @@ def _distinct_names(spark: SparkSession, sf: str) -> DataFrame:
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct register names and page names that share a word, and whether they are alike."""
     names = _distinct_names(spark, sf)
-    pairs = matching.name_matches(names, A.wiki_cars(spark, sf)).select("car_id", "tag").distinct().join(names, "car_id")
+    pairs = matching.name_matches(names, A.wiki_cars(spark, sf)).select("car_id", "tag").join(names, "car_id")
     return pairs.select("brand", "name", F.col("tag").alias("page"), matching.similar(F.concat_ws(" ", "brand", "name"), F.col("tag")).alias("alike"))
 
 
@@ -394,7 +394,7 @@ def classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
 def accepted_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by common words, accepted by the rules."""
     named = _distinct_names(spark, sf)
-    scored = matching.name_matches(named, A.wiki_cars(spark, sf)).select("car_id", "tag", "score").distinct().join(named, "car_id")
+    scored = matching.name_matches(named, A.wiki_cars(spark, sf)).join(named, "car_id")
     return matching.accepted(scored, A.wiki_cars(spark, sf), _part_aliases(spark, sf), required=0.8).groupBy("car_id", "rule").agg(F.count("*").alias("pages"))
 
 
