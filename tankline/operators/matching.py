@@ -19,6 +19,8 @@ from ..functions.text import folded, powerset, relevant_words, without_brackets,
 MIN_PROBABILITY, BAND, DEFAULT_SCORE, REGISTER_SCORE, SENSOR_SCORE = 0.25, 0.06, 0.99, 0.96, 0.99998
 BRAND_FLOORS = {"Daihatsu": 0.4, "Audi": 0.85, "BMW": 0.97}
 RATIO, STRICT_RATIO = 90, 93
+#: Parts that the cars with one word are dealt over.
+SALTS = 8
 
 
 def ratio(a: str, b: str) -> float:
@@ -174,17 +176,16 @@ def accepted(scored: DataFrame, wiki: DataFrame, aliases: DataFrame, required: f
 
 
 def name_matches(cars: DataFrame, wiki: DataFrame) -> DataFrame:
-    """(car_id, tag, score): cars and page names of a brand that share a word beside it, with the share of common words
-    (Dice). Pairs come from an equi-join on brand and word, the rarest word of each car that a page has; pages with one
-    name are one."""
-    own = cars.select("car_id", "brand", "name", F.array_distinct(words(F.col("name"))).alias("w"))
+    """(car_id, tag, score): all cars and page names of a brand that share a word beside it, with the share of common words
+    (Dice). Pairs come from an equi-join on brand and each word; a pair that shares several is kept at the first of them.
+    Cars are dealt over SALTS parts of each word, as a common word has many. Pages with one name are one."""
+    own = cars.select("car_id", "brand", "name").distinct().select("car_id", "brand", F.array_distinct(words(F.col("name"))).alias("w"))
     page = wiki.select(F.col("brand_name").alias("brand"), F.col("wiki_name").alias("tag"), F.array_distinct(words(F.col("car_name"))).alias("pw")).distinct()
-    spread = page.withColumn("word", F.explode("pw"))
-    often = spread.groupBy("brand", "word").agg(F.count("*").alias("n"))
-    met = own.withColumn("word", F.explode("w")).join(often, ["brand", "word"])
-    rare = met.groupBy("car_id", "brand").agg(F.min(F.struct("n", "word")).getField("word").alias("word"), F.first("w").alias("w"))
-    pairs = rare.join(spread, ["brand", "word"])
-    return pairs.select("car_id", "tag", (2 * F.size(F.array_intersect("w", "pw")) / (F.size("w") + F.size("pw"))).alias("score")).distinct()
+    asked = own.withColumn("word", F.explode("w")).withColumn("salt", F.pmod(F.xxhash64("car_id", "w"), F.lit(SALTS)))
+    spread = page.withColumn("word", F.explode("pw")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    both = F.array_intersect("w", "pw")
+    pairs = asked.join(spread, ["brand", "word", "salt"]).filter(F.col("word") == F.get(both, F.lit(0)))
+    return pairs.select("car_id", "tag", (2 * F.size(both) / (F.size("w") + F.size("pw"))).alias("score")).distinct()
 
 
 def register_forms(cars: DataFrame) -> DataFrame:

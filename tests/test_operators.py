@@ -211,6 +211,21 @@ def test_matching_rules(spark):
     assert matching.merged_patterns(new, new).count() == 3
 
 
+def test_name_matches_are_all_pairs_that_share_a_word(spark):
+    draw, vocabulary = random.Random(5), "red rod large small box".split()
+    name = lambda: " ".join(draw.choices(vocabulary, k=draw.randrange(1, 4)))
+    cars = [(i, draw.choice("AB"), name()) for i in range(40)] + [(40, "A", "red rod large"), (41, "B", None), (42, None, "red")]
+    pages = [(b, f"{b} {n}", n) for b, n in ((draw.choice("AB"), name()) for _ in range(30))] + [("A", "A large box", "large box"), ("A", "A red rod", "red rod"), ("B", "B none", None)]
+    want = set()
+    for i, brand, n in cars:
+        for b, tag, c in pages:
+            x, y = set((n or "").split()), set((c or "").split())
+            if brand == b and x & y:
+                want.add((i, tag, 2 * len(x & y) / (len(x) + len(y))))
+    got = matching.name_matches(spark.createDataFrame(cars, "car_id int, brand string, name string"), spark.createDataFrame(pages, "brand_name string, wiki_name string, car_name string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and {(40, "A large box", 0.4), (40, "A red rod", 0.8)} <= want
+
+
 def test_classifier_learns_and_scores(spark):
     wiki = spark.createDataFrame([("VW", "VW Golf", "Golf"), ("VW", "VW Polo", "Polo"), ("Audi", "Audi A4", "A4")], "brand_name string, wiki_name string, car_name string")
     labelled = spark.createDataFrame([("VW", "VW Golf", "positive", "rabbit"), ("VW", "VW Golf", "negative", "GOLF")], "brand string, tag string, polarity string, pattern string")
