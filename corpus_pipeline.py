@@ -27,18 +27,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with a key that is never null: id and text. Rows without an id come last in its order."""
+    return docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.sha2("text", 256).alias("digest")))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least doc_id; so does one of rows that repeat an id. Rows without
-    an id, which no group can name, stay as they are."""
-    kept = near_dedup(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group stays, that of the least doc_id, or of the least digest where an id repeats. Rows that repeat
+    an id with other texts, and rows without an id, are judged by their own texts."""
+    rows = with_row(docs)
+    kept = near_dedup(rows, key="row").filter(F.col("row") == F.col("component_id")).select("row").distinct()
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go, with or without an id; other rows of the same id stay."""
+    rows = with_row(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), key="row").select("row").distinct()
+    return rows.join(found, "row", "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,5 +37,17 @@ def test_odd_rows_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_rows_are_judged_by_their_own_texts(spark):
+    word = "alder birch cedar daisy elm fern gorse hazel iris juniper kale larch maple nettle oak pine quince rose sage thyme".split()
+    one, two, three = (" ".join(word[i % 20] + str(i * k) for i in range(60)) for k in (3, 7, 11))
+    docs = spark.createDataFrame([(3, one), (5, one), (5, two), (None, three), (None, three), (None, one), (7, None), (None, "")], "doc_id long, text string")
+    out = sorted((tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()), key=str)
+    assert out == sorted([(3, one), (5, two), (None, three), (7, None)], key=str)
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(1, leak), (1, two), (None, leak), (None, one), (None, None)], "doc_id long, text string")
+    out = sorted((tuple(r) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()), key=str)
+    assert out == sorted([(1, two), (None, one), (None, None)], key=str)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
