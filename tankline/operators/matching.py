@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -21,6 +18,8 @@ BRAND_FLOORS = {"Daihatsu": 0.4, "Audi": 0.85, "BMW": 0.97}
 RATIO, STRICT_RATIO = 90, 93
 #: Parts that the cars with one word are dealt over.
 SALTS = 8
+#: What is added to the counts of patterns with and without a word.
+SMOOTHING = 0.1
 
 
 def ratio(a: str, b: str) -> float:
@@ -118,29 +117,59 @@ def merged_patterns(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def word_features(patterns: DataFrame, column: str = "pattern") -> DataFrame:
-    """patterns with their words, those of the tag's brand in front; the bag of words is binary in train()."""
-    return patterns.withColumn("words", words(F.concat_ws(" ", "brand", column)))
-
-
-def train(patterns: DataFrame, max_words: int = 20_000):
-    """A classifier from a pattern's words to its tag (one model for all brands, on the binary bag of words); it needs two
-    tags at least. Brands separate by their own words, so many small models aren't built."""
-    stages = [
-        CountVectorizer(inputCol="words", outputCol="bag", binary=True, vocabSize=max_words),
-        StringIndexer(inputCol="tag", outputCol="label", stringOrderType="alphabetAsc"),
-        LogisticRegression(featuresCol="bag", maxIter=30, regParam=1e-4),
-    ]
-    return Pipeline(stages=stages).fit(word_features(patterns).select("words", "tag"))
-
-
-def scores(model, texts: DataFrame, keep: int = 10) -> DataFrame:
-    """(car_id, brand, text, tag, score): the tags above the least probability for each text, at most keep, best first."""
-    labels = model.stages[1].labels
-    bag = model.stages[2].transform(model.stages[0].transform(word_features(texts, "text")))
-    each = bag.select("car_id", "brand", "text", F.posexplode(vector_to_array("probability")).alias("label", "score")).filter(F.col("score") > MIN_PROBABILITY)
-    rank = F.row_number().over(Window.partitionBy("car_id", "text").orderBy(F.desc("score"), "label"))
-    tags = F.array(*[F.lit(x) for x in labels])
-    return each.withColumn("rank", rank).filter(F.col("rank") <= keep).select("car_id", "brand", "text", tags[F.col("label")].alias("tag"), "score")
+    """patterns with their words, each once, without those of the brand: a brand's model has nothing to learn from them."""
+    plain = lambda c: F.coalesce(words(F.col(c)), F.array().cast("array<string>"))
+    return patterns.withColumn("words", F.array_except(plain(column), plain("brand")))
+
+
+class Classifier(NamedTuple):
+    """tags (brand, tag, base, step): a tag's logarithm for a text without words, and what a known word that it lacks adds.
+    gains (brand, word, tag, gain): what a word that it has adds beyond that."""
+
+    tags: DataFrame
+    gains: DataFrame
+
+
+def train(patterns: DataFrame) -> Classifier:
+    """A classifier for each brand from the words of patterns (brand, tag, pattern) to the tag: Bernoulli naive Bayes, with
+    counts smoothed by SMOOTHING. All words and tags count, and all stays in tables. Rows without a brand have no model."""
+    rows = word_features(patterns).filter("brand is not null and tag is not null")
+    sizes = rows.groupBy("brand", "tag").agg(F.count("*").alias("n"))
+    seen = rows.select("brand", "tag", F.explode("words").alias("word")).groupBy("brand", "tag", "word").agg(F.count("*").alias("c"))
+    brand_sizes = sizes.groupBy("brand").agg(F.sum("n").alias("all_n")).join(seen.groupBy("brand").agg(F.countDistinct("word").alias("v")), "brand", "left")
+    p, none = (F.col("c") + SMOOTHING) / (F.col("n") + 2 * SMOOTHING), F.lit(SMOOTHING) / (F.col("n") + 2 * SMOOTHING)
+    step = F.log(none / (1 - none))
+    each = seen.join(sizes, ["brand", "tag"]).select("brand", "word", "tag", (F.log(p / (1 - p)) - step).alias("gain"), F.log(1 - p).alias("absent"))
+    absent = each.groupBy("brand", "tag").agg(F.sum("absent").alias("absent"), F.count("*").alias("own"))
+    lacking = F.coalesce("absent", F.lit(0.0)) + (F.coalesce("v", F.lit(0)) - F.coalesce("own", F.lit(0))) * F.log(1 - none)
+    tags = sizes.join(absent, ["brand", "tag"], "left").join(brand_sizes, "brand").select("brand", "tag", (F.log(F.col("n") / F.col("all_n")) + lacking).alias("base"), step.alias("step"))
+    return Classifier(tags, each.drop("absent"))
+
+
+def scores(model: Classifier, texts: DataFrame, keep: int = 10) -> DataFrame:
+    """(car_id, brand, text, tag, score): the tags of its brand above the least probability for each text, at most keep, best
+    first. Texts meet tags by brand and word; the tags that share no word are summed once for each brand and number of
+    known words, and as at most three tags can pass 0.25, the three likeliest of them are all that is looked at."""
+    own = word_features(texts.select("brand", "text").distinct(), "text")
+    known = model.gains.select("brand", "word").distinct()
+    asked = own.select("brand", "text", F.explode("words").alias("word")).join(known, ["brand", "word"])
+    counted = own.select("brand", "text").join(asked.groupBy("brand", "text").agg(F.count("*").alias("k")), ["brand", "text"], "left").fillna(0, ["k"])
+    apart = counted.select("brand", "k").distinct().join(model.tags, "brand").select("brand", "k", "tag", (F.col("base") + F.col("k") * F.col("step")).alias("least"))
+    top = apart.groupBy("brand", "k").agg(F.max("least").alias("most"))
+    total = apart.join(top, ["brand", "k"]).groupBy("brand", "k", "most").agg(F.sum(F.exp(F.col("least") - F.col("most"))).alias("total"))
+    likely = apart.withColumn("rank", F.row_number().over(Window.partitionBy("brand", "k").orderBy(F.desc("least"), "tag"))).filter("rank <= 3").select("brand", "k", "tag")
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+    gains = model.gains.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    shared = salted.join(gains, ["brand", "word", "salt"]).select("brand", "text", "tag", "gain")
+    also = counted.join(likely, ["brand", "k"]).select("brand", "text", "tag", F.lit(0.0).alias("gain"))
+    met = shared.unionByName(also).groupBy("brand", "text", "tag").agg(F.sum("gain").alias("gain"))
+    j = met.join(counted, ["brand", "text"]).join(apart, ["brand", "k", "tag"]).join(total, ["brand", "k"]).withColumn("logit", F.col("least") + F.col("gain"))
+    text = Window.partitionBy("brand", "text")
+    j = j.withColumn("high", F.greatest("most", F.max("logit").over(text)))
+    mass = F.sum(F.exp(F.col("logit") - F.col("high")) - F.exp(F.col("least") - F.col("high"))).over(text) + F.col("total") * F.exp(F.col("most") - F.col("high"))
+    each = j.withColumn("score", F.exp(F.col("logit") - F.col("high")) / mass).filter(F.col("score") > MIN_PROBABILITY)
+    best = each.withColumn("rank", F.row_number().over(text.orderBy(F.desc("score"), "tag"))).filter(F.col("rank") <= keep)
+    return texts.select("car_id", "brand", "text").join(best.select("brand", "text", "tag", "score"), ["brand", "text"]).select("car_id", "brand", "text", "tag", "score")
 
 
 def needs_training(patterns: DataFrame, known_tags: int) -> bool:

@@ -383,12 +383,11 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classifier_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A classifier from the words of car names to page cars' names, asked about distinct register names."""
-    pages = A.wiki_cars(spark, sf).select(F.lit("").alias("brand_name"), F.col("car_name").alias("wiki_name"), "car_name").distinct()
+    """A classifier for each brand from the words of its pages' names to the pages, asked about distinct register names."""
     none = spark.createDataFrame([], "brand string, tag string, polarity string, pattern string")
-    model = matching.train(matching.training_patterns(pages, none))
-    texts = _register_names(spark, sf).select(F.md5("name").alias("car_id"), F.lit("").alias("brand"), F.col("name").alias("text")).distinct()
-    return rounded(matching.scores(model, texts).select("text", "tag", "score"))
+    model = matching.train(matching.training_patterns(A.wiki_cars(spark, sf), none))
+    texts = _distinct_names(spark, sf).select("car_id", "brand", F.col("name").alias("text"))
+    return rounded(matching.scores(model, texts).select("brand", "text", "tag", "score"))
 
 
 def accepted_matches(spark: SparkSession, sf: str) -> DataFrame:

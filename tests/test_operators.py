@@ -242,6 +242,27 @@ def test_classifier_learns_and_scores(spark):
     assert not matching.needs_training(patterns, 3) and matching.needs_training(patterns, 2)
 
 
+def test_scores_are_those_of_each_brand(spark):
+    patterns = [("A", "A red rod", "red rod"), ("A", "A red rod", "Red"), ("A", "A big rod", "big rod"), ("A", "A van", "van"), ("B", "B red rod", "red rod"), ("B", "B box", "box")]
+    asked = [("A", "red rod"), ("A", "big red x"), ("A", "A rod"), ("A", "x"), ("B", "red rod"), ("B", "x"), ("C", "red"), ("A", None)]
+    want = {}
+    for i, (brand, text) in enumerate(asked):
+        own = [(t, set(p.lower().split())) for b, t, p in patterns if b == brand]
+        known = set().union(*[w for _, w in own])
+        found, raw = set((text or "").lower().split()) & known, {}
+        for tag in {t for t, _ in own}:
+            bags = [w for t, w in own if t == tag]
+            raw[tag] = len(bags) / len(own)
+            for w in known:
+                p = (sum(w in bag for bag in bags) + matching.SMOOTHING) / (len(bags) + 2 * matching.SMOOTHING)
+                raw[tag] *= p if w in found else 1 - p
+        want |= {(i, tag): x / sum(raw.values()) for tag, x in raw.items() if x / sum(raw.values()) > 0.25}
+    model = matching.train(spark.createDataFrame(patterns, "brand string, tag string, pattern string"))
+    texts = spark.createDataFrame([(i, *x) for i, x in enumerate(asked) if x[1]], "car_id int, brand string, text string")
+    got = {(r["car_id"], r["tag"]): r["score"] for r in matching.scores(model, texts).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if k[0] != 7})
+
+
 def test_listings(spark):
     rows = [("h1", "VW", "Golf, 2012", "TDI", "diesel", 2012, ["p"]), ("h2", "VW", "golf", "TDI", "diesel", 2012, ["p"]), ("h3", "VW", "Golf", "x", "hay", 2012, ["p"]), ("h4", "VW", "Golf", "x", "diesel", 2013, [])]
     cars = spark.createDataFrame(rows, "hash_id string, manufacturer string, model string, description string, fuel_type string, year int, wiki_hashes array<string>")
