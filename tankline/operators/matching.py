@@ -230,30 +230,33 @@ def register_forms(cars: DataFrame) -> DataFrame:
     return cars.select("car_id", "brand", "year", F.inline(F.when(F.size(parts) > 1, F.concat(first, dropped)).otherwise(first)))
 
 
-def _by_first_form(forms: DataFrame, cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
-    """(car_id, stage, hash_id): curated matches as stage 0, and for the other cars the pages of the first stage whose form
-    (car_id, brand, stage, form) is a page's name or its car's name. The stage is found on distinct names, before any page
-    is joined, so pages that share a name don't multiply what is compared."""
+def _by_form(forms: DataFrame, cars: DataFrame, wiki: DataFrame, curated: DataFrame, first: bool) -> DataFrame:
+    """(car_id, stage, hash_id): curated matches as stage 0, and for the other cars the pages whose name or car's name is a
+    form (car_id, brand, stage, form): those of the first such stage, or of all stages, each page with its first. Stages
+    are found on distinct names, before any page is joined, so pages that share a name don't multiply what is compared."""
     pages = wiki.select(F.col("brand_name").alias("brand"), F.explode(F.array_distinct(F.array(F.lower("wiki_name"), F.lower("car_name")))).alias("form"), "hash_id")
     known = forms.withColumn("form", F.lower("form")).join(pages.select("brand", "form").distinct(), ["brand", "form"], "left_semi")
     listed = curated_matches(cars, curated, wiki)
     each = known.groupBy("car_id").agg(F.min("stage").alias("first"), F.collect_set(F.struct("stage", "brand", "form")).alias("forms"))
-    best = each.select("car_id", F.inline(F.filter("forms", lambda f: f["stage"] == F.col("first")))).join(listed.select("car_id").distinct(), "car_id", "left_anti")
-    found = best.join(pages, ["brand", "form"]).select("car_id", "stage", "hash_id").distinct()
+    best = each.select("car_id", F.inline(F.filter("forms", lambda f: f["stage"] == F.col("first")) if first else "forms")).join(listed.select("car_id").distinct(), "car_id", "left_anti")
+    found = best.join(pages, ["brand", "form"]).groupBy("car_id", "hash_id").agg(F.min("stage").alias("stage")).select("car_id", "stage", "hash_id")
     return listed.select("car_id", F.lit(0).alias("stage"), "hash_id").unionByName(found)
 
 
 def match_register(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
     """(car_id, stage, hash_id): register cars by curated list (stage 0), else by the first of their forms that is a page's
-    name or its car's name, ignoring case."""
-    return _by_first_form(register_forms(cars).select("car_id", "brand", "stage", "form"), cars, wiki, curated)
+    name or its car's name, ignoring case. No classifier is asked: a car whose forms are all no page's name is not matched."""
+    return _by_form(register_forms(cars).select("car_id", "brand", "stage", "form"), cars, wiki, curated, first=True)
 
 
 def match_sensors(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
-    """(car_id, stage, hash_id): sensors by curated list (0), name (1), name and year (2), or brand and name (3)."""
+    """(car_id, stage, hash_id): sensors by curated list (0), else all pages by name (1), name and year (2), brand and name
+    (3), or brand, name and year (4), each page with its first stage. No classifier is asked: only names that are equal but
+    for case match."""
     y = F.col("year").cast("string")
-    forms = F.array(*[F.struct(F.lit(i).alias("stage"), c.alias("form")) for i, c in ((1, F.col("name")), (2, F.concat_ws(" ", "name", y)), (3, F.concat_ws(" ", "brand", "name")))])
-    return _by_first_form(cars.select("car_id", "brand", F.inline(forms)), cars, wiki, curated)
+    named = [F.col("name"), F.concat_ws(" ", "name", y), F.concat_ws(" ", "brand", "name"), F.concat_ws(" ", "brand", "name", y)]
+    forms = F.array(*[F.struct(F.lit(i).alias("stage"), c.alias("form")) for i, c in enumerate(named, 1)])
+    return _by_form(cars.select("car_id", "brand", F.inline(forms)), cars, wiki, curated, first=False)
 
 
 def bridge(matches: DataFrame) -> DataFrame:

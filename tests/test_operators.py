@@ -211,6 +211,14 @@ def test_matching_rules(spark):
     assert matching.merged_patterns(new, new).count() == 3
 
 
+def test_sensor_stages_are_united(spark):
+    pages = [("h1", "VW Golf", "VW", "Golf"), ("h2", "VW Golf (IV)", "VW", "Golf 2001"), ("h3", "VW Polo 2002", "VW", "x"), ("h4", "VW Golf", "VW", "y")]
+    wiki = spark.createDataFrame(pages, "hash_id string, wiki_name string, brand_name string, car_name string")
+    cars = spark.createDataFrame([(1, "VW", "golf", 2001), (2, "VW", "Polo", 2002), (3, "VW", "Golf", None)], "car_id int, brand string, name string, year int")
+    found = matching.match_sensors(cars, wiki, spark.createDataFrame([], "brand string, entry string, wiki_name string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "h1"), (1, 2, "h2"), (1, 3, "h4"), (2, 4, "h3"), (3, 1, "h1"), (3, 3, "h4")]
+
+
 def test_name_matches_are_all_pairs_that_share_a_word(spark):
     draw, vocabulary = random.Random(5), "red rod large small box".split()
     name = lambda: " ".join(draw.choices(vocabulary, k=draw.randrange(1, 4)))
