@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: A block of the corpus whose words are merged together, in characters, and pieces that are remembered between blocks.
-BLOCK_CHARS = 4_000_000
-MEMORY_PIECES = 250_000
+#: A block of the corpus whose words are merged together, in characters, and the bytes of words in one replay.
+BLOCK_CHARS = 8_000_000
+REPLAY_BYTES = 8_000_000
+#: Pieces of text that are remembered between blocks, none of more than so many characters.
+MEMORY_PIECES, MEMORY_CHARS = 400_000, 48
 NONE = np.int32(1 << 30)
+#: Fixed value: the pattern that the shortcuts of Encoder rest on; with any other, whole texts go through the pattern.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Vocabulary:
@@ -141,74 +149,110 @@ def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(rank_file: bytes) -> dict[int, bytes]:
-    """The bytes of each token, read once in a Python worker."""
-    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, rank_file.splitlines())}
+def token_bytes(rank_file: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens end to end, and where each token's begin; read once in a Python worker."""
+    known = {int(b): base64.b64decode(a) for a, b in map(bytes.split, rank_file.splitlines())}
+    tokens = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+    return np.frombuffer(b"".join(tokens), np.uint8), np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int64)
 
 
 class Encoder:
-    """Encodes texts block by block; pieces of text that came up before are remembered.
+    """Encodes texts block by block; short pieces of text that came up before are remembered.
 
-    A text is cut at its blanks, and a piece stands for a blank and the word after it (in heads: a text's first word,
-    without a blank). The pattern never matches across such a cut, as a match ends before a blank that stands between
-    two characters that aren't white space. A text with other white space beside a blank is one piece.
+    With WORD_PATTERN a text is cut at each blank that stands between two characters that aren't white space: a match ends
+    before such a blank, so none crosses the cut. A piece is the blank and what follows it up to the next cut (in heads: a
+    text's first piece, without a blank). Long pieces are forgotten with their block. When more than MEMORY_PIECES are
+    known, those that the last block did not use go, and then as many as are too many, so that memory is bounded.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
+        self.shortcuts = vocabulary.pattern.pattern == WORD_PATTERN
         self.pieces: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _words(self, piece: str) -> list[str]:
-        word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha():
-            return [piece]
-        if word[:-1].isalpha() and word[-1] in ".,":
-            return [piece[:-1], word[-1]]
+        if self.shortcuts:
+            word = piece[1:] if piece[:1] == " " else piece
+            if word.isalpha():
+                return [piece]
+            if word[:-1].isalpha() and word[-1] in ".,":
+                return [piece[:-1], word[-1]]
         return self.vocabulary.pattern.findall(piece)
 
     def _learn(self, fresh: list[str]) -> None:
-        words: dict[str, int] = {}
-        counts, of_piece = [], []
-        for piece in fresh:
-            found = self._words(piece)
-            counts.append(len(found))
-            of_piece += [words.setdefault(w, len(words)) for w in found]
-        flat, offsets = self.vocabulary.replay([w.encode() for w in words])
-        tokens, lengths = ragged(flat, offsets, np.array(of_piece, np.int64))
-        ends = np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]
-        self.offsets = np.r_[self.offsets, len(self.flat) + ends]
-        self.flat = np.r_[self.flat, tokens]
+        """Append the tokens of these pieces to flat, by replays of a bounded number of bytes."""
+        flats, ends, last = [self.flat], [self.offsets], self.offsets[-1]
+        at = 0
+        while at < len(fresh):
+            words: dict[str, int] = {}
+            counts, of_piece, size = [], [], 0
+            while at < len(fresh) and size < REPLAY_BYTES:
+                found = self._words(fresh[at])
+                before = len(words)
+                of_piece += [words.setdefault(w, len(words)) for w in found]
+                size += len(fresh[at]) if len(words) > before else 0
+                counts.append(len(found))
+                at += 1
+            flat, offsets = self.vocabulary.replay([w.encode() for w in words])
+            tokens, lengths = ragged(flat, offsets, np.array(of_piece, np.int64))
+            flats.append(tokens)
+            ends.append(last + np.r_[0, np.cumsum(lengths)][np.cumsum(counts)])
+            last = ends[-1][-1]
+        self.flat, self.offsets = np.concatenate(flats), np.concatenate(ends)
+
+    def _forget(self, rows: list[np.ndarray]) -> None:
+        """Keep the pieces that may be remembered, and renumber them."""
+        if len(self.pieces) + len(self.heads) > MEMORY_PIECES:
+            used = np.zeros(len(self.offsets), bool)
+            for row in rows:
+                used[row] = True
+            for known in (self.pieces, self.heads):
+                kept = [(k, i) for k, i in known.items() if used[i]]
+                known.clear()
+                known.update(kept[:MEMORY_PIECES // 2])
+        elif len(self.offsets) - 1 == len(self.pieces) + len(self.heads):
+            return
+        kept = np.array([*self.pieces.values(), *self.heads.values()], np.int64)
+        self.flat, lengths = ragged(self.flat, self.offsets, kept)
+        self.offsets = np.r_[0, np.cumsum(lengths)]
+        self.pieces = dict(zip(self.pieces, range(len(self.pieces))))
+        self.heads = dict(zip(self.heads, range(len(self.pieces), len(kept))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.offsets) > MEMORY_PIECES:
-            self.forget()
         known, heads, fresh, rows, base = self.pieces, self.heads, [], [], len(self.offsets) - 1
+        long: list[tuple[dict[str, int], str]] = []
         for text in texts:
             if not text:
                 rows.append(np.zeros(0, np.int64))
                 continue
-            first, *rest = text.split(" ")
+            first, *rest = text.split(" ") if self.shortcuts else (text,)
             new = set(rest).difference(known)
-            if not first or first[-1].isspace() or "" in new or any(x[0].isspace() or x[-1].isspace() for x in new):
-                first, rest, new = text, [], ()  # so such pieces never become known
+            if rest and (not first or first[-1].isspace() or "" in new or any(x[0].isspace() or x[-1].isspace() for x in new)):
+                first, *rest = _CUT.split(text)
+                new = set(rest).difference(known)
             for piece in new:
                 known[piece] = base + len(fresh)
                 fresh.append(" " + piece)
+                if len(piece) > MEMORY_CHARS:
+                    long.append((known, piece))
             if first not in heads:
                 heads[first] = base + len(fresh)
                 fresh.append(first)
+                if len(first) > MEMORY_CHARS:
+                    long.append((heads, first))
             row = np.empty(len(rest) + 1, np.int64)
             row[0] = heads[first]
             row[1:] = np.fromiter(map(known.__getitem__, rest), np.int64, len(rest))
             rows.append(row)
         if fresh:
             self._learn(fresh)
-        return [ragged(self.flat, self.offsets, row)[0] for row in rows]
+        out = [ragged(self.flat, self.offsets, row)[0] for row in rows]
+        for pieces, piece in long:
+            del pieces[piece]
+        self._forget(rows)
+        return out
 
 
 def _blocks(batches: Iterator[pa.Array]) -> Iterator[list[str]]:
@@ -229,8 +273,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
 
     rank_path: a file of base64 tokens and their ranks; it is read once on the driver and sent to the tasks, as are the
     ids that the tiktoken library gives for ordinary text, each match of pattern by itself, without special tokens. Null
-    and empty texts have no ids. Rows are encoded where they lie; nothing is shuffled, and a task holds one block of
-    texts and a bounded number of remembered pieces.
+    and empty texts have no ids; repeated rows get the same. Rows are encoded where they lie; nothing is shuffled, and a
+    task holds one block of texts (a longer text is a block by itself) and a bounded number of remembered short pieces.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -250,27 +294,39 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
     return docs.withColumn(ids, of_text(F.col(text)))
 
 
+def _lists(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch end to end, and how many each row has; a null row has none."""
+    lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.list_flatten(batch).to_numpy(zero_copy_only=False), lengths
+
+
 def decode(docs: DataFrame, rank_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """docs with the bytes that the token ids stand for, as binary (ids may cut a character in two). Null ids give no
-    bytes; an id that isn't in the vocabulary is an error."""
+    bytes; an id that isn't in the vocabulary is an error. A column of that name is replaced."""
     spark = docs.sparkSession
     with open(rank_path, "rb") as file:
         held = spark.sparkContext.broadcast(file.read())
 
     @F.arrow_udf("binary")
     def of_ids(batch: pa.Array) -> pa.Array:
-        tokens = token_bytes(held.value)
-        return pa.array([b"".join(map(tokens.__getitem__, row or [])) for row in batch.to_pylist()], pa.binary())
+        tokens, starts = token_bytes(held.value)
+        flat, counts = _lists(batch)
+        if len(flat) and not (0 <= flat.min() and flat.max() < len(starts) - 1 and (starts[flat + 1] > starts[flat]).all()):
+            raise ValueError("an id is not in the vocabulary")
+        data, lengths = ragged(tokens, starts, flat.astype(np.int64))
+        ends = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
     return docs.withColumn(out, of_ids(F.col(ids)))
 
 
 def with_id_digest(docs: DataFrame, ids: str = "token_ids", out: str = "ids_sha256") -> DataFrame:
-    """docs with the SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-    import hashlib
+    """docs with the SHA-256 of the ids as little-endian unsigned 32-bit integers; null ids are none."""
 
     @F.arrow_udf("string")
     def of_ids(batch: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(np.asarray(row.values if row.is_valid else [], "<u4").tobytes()).hexdigest() for row in batch])
+        flat, counts = _lists(batch)
+        data, ends = flat.astype("<u4").tobytes(), 4 * np.r_[0, np.cumsum(counts)]
+        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
 
     return docs.withColumn(out, of_ids(F.col(ids)))

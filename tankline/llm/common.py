@@ -14,6 +14,9 @@ from ..ship import ship
 #: The characters [\x20\x09-\x0D], all that counts as white space here.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key that has at least this share of all rows is joined by broadcast; by arithmetic there are at most 1 / HOT_SHARE.
+HOT_SHARE = 1 / 2000
+COMPONENT_ROUNDS = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset and Spark runs on this
+    machine alone, as in tests, a new local folder serves; on a cluster that is an error, as executors would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.environ.setdefault("TANKLINE_SHARED", tempfile.mkdtemp(prefix="spark-shared-"))
     return folder.rstrip("/")
 
@@ -33,40 +40,81 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize wrote and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Send the code to the executors, and bound what one Arrow batch holds: texts can be long, and a Python worker holds a
-    few batches."""
+    """Send the code to the executors, and bound what one Arrow batch holds where the session leaves that open: texts can
+    be long, and a Python worker holds a few batches. Spark reads these settings when a query starts, after the operator
+    has returned, so they stay set; a session's own values are respected."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 8 << 20)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def own_columns(df: DataFrame, *replaced: str):
+    """The columns of df but for those that are replaced, as one struct: whatever their names, they can't clash with those
+    that an operator works with. F.col("own.*") gives them back."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in replaced]
+    return F.struct(*kept or [F.lit(None).cast("string").alias("nothing")]).alias("own")
+
+
+def give_back(df: DataFrame, *columns) -> DataFrame:
+    """The columns of the struct own, and then columns."""
+    names = [f.name for f in df.schema["own"].dataType.fields]
+    return df.select(*[F.col(f"own.`{n}`") for n in names if names != ["nothing"]], *columns)
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with groups, which has each key once, and in weight how many of the total rows have it.
+    Keys with a large share of all rows are few and meet their rows by broadcast, so that no task gets all of them; the rest
+    are joined by shuffle. rows is read twice: a table, not a computation."""
+    least = max(1.0, total * HOT_SHARE)
+    hot, rest = groups.filter(F.col(weight) >= least), groups.filter(F.col(weight) < least)
+    other = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(other)
+
+
+def components(edges: DataFrame, max_rounds: int = COMPONENT_ROUNDS) -> DataFrame:
     """Connected components of (u, v) links, as (node, root): root is the least node reachable.
 
     Alternates large-star and small-star steps, each a groupBy(min) and an equi-join, until no link changes. A
-    node's links are never gathered in one row, and the state of each round is written to the shared folder. Null
-    ends and self-links are ignored; without links the result is empty.
+    node's links are never gathered in one row; nodes with a large share of all links meet theirs by broadcast; the state
+    of each round is written to the shared folder, and the one before it deleted. Null ends and self-links are ignored;
+    without links the result is empty. The rounds grow with the logarithm of the longest path; if max_rounds don't do, it
+    is an error, never a partial result.
     """
-    spark = edges.sparkSession
     links = edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links, before = materialize(links, "links"), None
+    links = materialize(links, "links")
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state(links)
     for _ in range(max_rounds):
+        if not before[0]:
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = materialize(small.filter("u <> v").distinct(), "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both, least, "u", "n", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = materialize(large.distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, "u", "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        last, links = links, materialize(small.filter("u <> v").distinct(), "links")
+        discard(last)
+        discard(large)
+        now = state(links)
         if now == before:
             break
         before = now

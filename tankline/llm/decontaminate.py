@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from .common import materialize
 
 WORDS = 5
 CONTAINMENT = 0.8
-#: Rows of the benchmark's sketches, or of candidate documents, that are broadcast (some 50 MB); more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Shingles of a benchmark, or candidate documents, that are broadcast at once (some 50 MB).
+BROADCAST_ROWS = 400_000
 
 
 def words(text):
@@ -40,35 +42,43 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     nowhere and such documents hold nothing. Rows that repeat a key are judged by themselves; the best one's figures
     are returned. Other columns are not read. Empty tables give no rows.
 
-    Documents are never shuffled: the sketches are broadcast if they are at most broadcast_rows rows (the benchmark
-    doesn't grow with the corpus), and only hits and candidates move. Beyond, shingle hashes are joined by shuffle.
+    Very long texts are searched whole. An item of under width words is left out on purpose: so short a passage turns up
+    by chance in documents that have nothing to do with it.
+
+    Documents are never shuffled: the shingles of the items are broadcast, and only hits and candidates move. A benchmark
+    of over broadcast_rows shingles is cut in slices of items, each of which is broadcast to its own pass over docs.
     """
     named = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("words"))
     listed = shingles(named, width).select("item", F.xxhash64(*_shingle(width)).alias("h"), F.array(*_shingle(width)).alias("shingle"))
     listed = materialize(listed.distinct(), "item-shingles")
+    slices = max(1, -(-listed.count() // max(1, broadcast_rows)))
+    of_slice = lambda i: listed.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == i) if slices > 1 else listed
+    pairs = [_pairs(docs, of_slice(i), text, key, width, containment, broadcast_rows) for i in range(slices)]
+    best = reduce(DataFrame.unionByName, pairs).groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
+    return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def _pairs(docs: DataFrame, listed: DataFrame, text: str, key: str, width: int, containment: float, broadcast_rows: int) -> DataFrame:
+    """(id, item, n_shared, n_shingles) of the rows of docs that contain an item of listed (item, h, shingle)."""
     sizes = listed.groupBy("item").agg(F.sort_array(F.collect_set("h")).alias("hashes"), F.countDistinct("shingle").alias("n"))
     spare = F.floor((1 - F.lit(containment)) * F.pow(2.0, F.ceil(F.log2(F.col("n").cast("double")))) + 1e-9)
     lacking = F.floor((1 - F.lit(containment)) * F.col("n") + 1e-9)
     sizes = sizes.withColumn("s", F.least(2 * spare + 1, F.size("hashes").cast("long")).cast("int")).withColumn("need", F.greatest(F.col("s") - lacking - (F.col("n") - F.size("hashes")), F.lit(1)))
     sketches = materialize(sizes.select("item", "n", "need", F.slice("hashes", F.lit(1), F.col("s")).alias("sketch")), "sketches")
     sketch_rows = sketches.select("item", F.explode("sketch").alias("h"))
-    small = listed.count() <= broadcast_rows
-    hint = F.broadcast if small else lambda df: df
 
     whole = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("body"))
     probes = shingles(whole.select("id", "row", words(F.col("body")).alias("words")), width).select("id", "row", F.xxhash64(*_shingle(width)).alias("h"))
-    hits = probes.join(hint(sketch_rows), "h").groupBy("id", "row", "item", "h").agg(F.lit(1).alias("one"))
+    hits = probes.join(F.broadcast(sketch_rows), "h").groupBy("id", "row", "item", "h").agg(F.lit(1).alias("one"))
     hits = hits.groupBy("id", "row", "item").agg(F.count("*").alias("hits"))
-    candidates = materialize(hits.join(hint(sketches.select("item", "n", "need")), "item").filter("hits >= need").select("id", "row", "item", "n"), "candidates")
+    candidates = materialize(hits.join(F.broadcast(sketches.select("item", "n", "need")), "item").filter("hits >= need").select("id", "row", "item", "n"), "candidates")
 
     suspects = candidates.select("row").distinct()
     few = suspects.count() <= broadcast_rows
     again = whole.join(F.broadcast(suspects), "row", "left_semi") if few else whole
     texts = shingles(again.select("id", "row", words(F.col("body")).alias("words")), width).select("id", "row", F.xxhash64(*_shingle(width)).alias("h"), F.array(*_shingle(width)).alias("found"))
-    shared = texts.join(hint(listed), "h").filter("found = shingle").groupBy("id", "row", "item", "shingle").agg(F.lit(1).alias("one"))
+    shared = texts.join(F.broadcast(listed), "h").filter("found = shingle").groupBy("id", "row", "item", "shingle").agg(F.lit(1).alias("one"))
     shared = shared.groupBy("id", "row", "item").agg(F.count("*").alias("n_shared"))
     same = [shared[c].eqNullSafe(candidates[c]) for c in ("id", "row", "item")]
-    pairs = shared.join(candidates, same[0] & same[1] & same[2]).select(shared["id"], shared["item"], "n_shared", F.col("n").alias("n_shingles"))
-    pairs = pairs.filter(F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_shingles") - 1e-9))
-    best = pairs.groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    pairs = shared.join(candidates, same[0] & same[1] & same[2]).select(shared["id"].alias("id"), shared["item"].alias("item"), "n_shared", F.col("n").alias("n_shingles"))
+    return pairs.filter(F.col("n_shared") >= F.ceil(F.lit(containment) * F.col("n_shingles") - 1e-9))

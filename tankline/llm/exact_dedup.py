@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, hot_join, materialize
 
+#: Hashes of repeated texts that are broadcast to find these texts (some 60 MB); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
-def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+
+def _bare(text: str):
+    return F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: (key, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when they are the same bytes after every white space character is deleted; null counts as empty,
     and so do texts of white space alone, which form one group. Of equal texts the one with the most code points
     stays, then the least key; a null key comes last. Rows that repeat both text and key count one each and share
-    their verdict. Other columns of docs are not read. No rows give no rows.
+    their verdict. Very long texts are hashed and compared whole. Other columns of docs are not read. No rows give no rows.
 
-    Copies are merged before they are shuffled: each task sends one row for each text, however large the group is.
-    The text is part of the grouping key beside its hash, so two texts with one hash stay two groups.
+    Rows are grouped by MD5, merged in each task before the shuffle, however large a group is. Only texts whose hash comes
+    up again are then read once more, and grouped by their bytes: two texts with one hash are two groups, which their
+    SHA-256 tells apart. Copies meet their group by hot_join, so that no task gets all copies of one text.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(body, SPACES, "")
-    rows = docs.select(F.col(key).alias("id"), F.length(body).alias("n"), bare.alias("bare")).withColumn("hash", F.unhex(F.md5("bare")))
-    groups = (
-        rows.groupBy("hash", "bare")
-        .agg(F.count("*").alias("group_size"), F.min(F.struct(-F.col("n"), F.col("id").isNull(), F.col("id"))).getField("id").alias("keep_id"))
-        .select("hash", F.sha2("bare", 256).alias("sha"), "keep_id", "group_size")
-    )
-    members = rows.select("id", "hash", F.sha2("bare", 256).alias("sha"))
-    return members.join(groups, ["hash", "sha"]).select(
-        F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    rows = docs.select(F.col(key).alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), _bare(text).alias("bare")).withColumn("hash", F.unhex(F.md5("bare")))
+    members = materialize(rows.select("id", "hash", F.unhex(F.sha2("bare", 256)).alias("sha")), "content-hashes")
+    again = materialize(members.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("hash"), "repeated-hashes")
+    suspects = rows.join(F.broadcast(again) if again.count() <= broadcast_rows else again, "hash", "left_semi")
+    best = F.min(F.struct(-F.col("n"), F.col("id").isNull(), F.col("id"))).getField("id")
+    groups = suspects.groupBy("hash", "bare").agg(F.count("*").alias("size"), best.alias("keep")).filter("size > 1")
+    groups = materialize(groups.select(F.concat("hash", F.unhex(F.sha2("bare", 256))).alias("pair"), F.lit(True).alias("copied"), "size", "keep"), "copies")
+    copies = groups.agg(F.sum("size")).first()[0] or 0
+    judged = hot_join(members.select("id", "sha", F.concat("hash", "sha").alias("pair")), groups, "pair", "size", copies, how="left")
+    keep = F.when(F.col("copied"), F.col("keep")).otherwise(F.col("id"))
+    return judged.select(
+        F.col("id").alias(key), keep.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    )

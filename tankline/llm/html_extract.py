@@ -19,17 +19,26 @@ from .common import small_batches
 # How HTML's elements behave.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas textarea title select math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+UNSEEN = frozenset("noscript template svg object canvas select math".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article aside nav div section main header footer form body td th blockquote figure".split())
 
 #: Pages of the labelled sample at most, passes over it, and the size of the hashed feature space.
 SAMPLE_PAGES, PASSES, SPACE = 200, 150, 1 << 13
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: How many of the elements above a block give it features, the nearest ones.
+NEAREST = 32
+#: Blocks, counted with padding, that forward-backward takes at once.
+CELLS = 200_000
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
+_TAG_TO_NEXT = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+_TAG_START = re.compile(r"</?[A-Za-z]|<[!?]")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_P = frozenset("p")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _NAME = re.compile(r"[A-Za-z]+")
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9A-Fa-f]{7,}));?")
 
 
 @dataclass
@@ -41,39 +50,92 @@ class Block:
     linked: int
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; a number that no character has becomes U+FFFD, however long it is."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'' if m[1] else 'x'}{digits};"
+
+    return html.unescape(_LONG_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
+class _Open:
+    """The elements that are open at a place of a page, with the places of each tag, so that none need be searched for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, names))
+
+    def last(self, tags: frozenset[str] | set[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def pop(self, tags: frozenset[str] | set[str], scope: frozenset[str]) -> None:
+        """Close the innermost element of tags with all in it, unless one of scope is further in."""
+        at = self.last(tags)
+        if at >= 0 and at >= self.last(scope):
+            for tag, _ in self.stack[at:]:
+                self.places[tag].pop()
+            del self.stack[at:]
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: runs of text between the borders of block elements, references decoded and
-    white space made one blank. Scripts, styles, titles, comments and other content that isn't shown are left out.
-    Elements left open end where HTML ends them: p at the next block, li at the next li, the rest with their parent."""
+    white space made one blank. Scripts, styles, titles, comments and other content that isn't shown are left out; of
+    these, scripts and other raw text go on to the end of the page where they aren't closed, and the rest is then read as
+    if they weren't there. Elements left open end where HTML ends them: p at the next block, li at the next li, the rest
+    with their parent."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     parts: list[str] = []
+    never: set[str] = set()
     linked = at = 0
 
     def end_block() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
+            text = _SPACE.sub(" ", unescaped("".join(parts))).strip(" ")
             if text:
-                out.append(Block(text, tuple(x for tag, names in stack for x in (tag, *names)), linked))
+                out.append(Block(text, tuple(x for tag, names in open_.stack[-NEAREST:] for x in (tag, *names)), linked))
             parts.clear()
             linked = 0
 
-    def pop(tags: set[str] | frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in scope:
-                return
+    def close(name: str) -> int:
+        """Where the content of an element ends that isn't read, or -1."""
+        found = None if name in never else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if not found:
+            never.add(name)
+        return found.end() if found else -1
+
+    tag, last_close = _TAG, page.rfind(">")
+
+    def next_tag() -> re.Match | None:
+        """The next tag. Once a tag's quotes leave it open to the end of the page, it and all later ones end at the next >."""
+        nonlocal tag
+        start = page.find("<", at)
+        while start >= 0:
+            m = tag.match(page, start)
+            if not m and tag is _TAG and _TAG_START.match(page, start):
+                tag = _TAG_TO_NEXT
+                m = tag.match(page, start)
+            if m:
+                return m
+            if start > last_close:
+                return None
+            start = page.find("<", start + 1)
+        return None
 
     while True:
-        m = _TAG.search(page, at)
+        m = next_tag()
         chunk = page[at : m.start()] if m else page[at:]
         if chunk:
             parts.append(chunk)
-            if any(tag == "a" for tag, _ in stack):
+            if open_.places.get("a"):
                 linked += len(chunk)
         if not m:
             break
@@ -82,28 +144,27 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            if name not in INLINE:
+            if name not in INLINE and name not in UNSEEN:
                 end_block()
-            pop({name}, frozenset() if name in SCOPES else SCOPES)
+            open_.pop({name}, frozenset() if name in SCOPES else SCOPES)
             continue
-        if name in RAW:
-            if name not in ("noscript", "svg", "math", "object"):
-                end_block() if name not in INLINE else None
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+        if name in RAW or name in UNSEEN:
+            if name not in ("noscript", "svg", "math", "object", "iframe") and (name in RAW or name not in never):
+                end_block()
+            if not m[3].endswith("/") or name in RAW:
+                end = close(name)
+                at = end if end >= 0 else len(page) if name in RAW else at
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name not in INLINE:
             end_block()
-            pop(frozenset("p"), SCOPES)
+            open_.pop(_P, SCOPES)
             if name in CLOSES:
-                pop(CLOSES[name], SCOPES - {"td", "th"} if name == "tr" else SCOPES)
+                open_.pop(CLOSES[name], SCOPES - {"td", "th"} if name == "tr" else SCOPES)
         if name not in VOID:
-            names = tuple("." + w.lower() for a in _ATTR.findall(m[3]) for w in _NAME.findall(" ".join(a))[:6]) if m[3] else ()
-            stack.append((name, names))
+            open_.push(name, tuple("." + w.lower() for a in _ATTR.findall(m[3]) for w in _NAME.findall(" ".join(a))) if m[3] else ())
     end_block()
     return out
 
@@ -168,49 +229,64 @@ class Chain:
         return labels[::-1]
 
 
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+class _Padded:
+    """Labelled pages of about one length, padded to the longest, and the slopes of their likelihood."""
+
+    def __init__(self, pages: list[tuple[list[list[int]], list[int]]], used: np.ndarray):
+        sizes = np.array([len(p[1]) for p in pages])
+        self.n, self.longest, self.blocks, self.features = len(pages), int(sizes.max()), int(sizes.sum()), len(used)
+        self.inside = np.arange(self.longest) < sizes[:, None]
+        self.local = np.searchsorted(used, [s for rows, _ in pages for r in rows for s in r])
+        self.block = np.repeat(np.arange(self.blocks), [len(r) for rows, _ in pages for r in rows])
+        gold = np.zeros((self.n, self.longest), int)
+        gold[self.inside] = [y for _, ys in pages for y in ys]
+        self.told = np.eye(2)[gold]
+        self.both = self.inside[:, 1:]
+        self.gold_moves = np.einsum("nta,ntb,nt->ab", self.told[:, :-1], self.told[:, 1:], self.both.astype(float))
+
+    def slopes(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = np.zeros((self.n, self.longest, 2))
+        score[self.inside] = np.stack([np.bincount(self.block, weights[self.local, y], minlength=self.blocks) for y in (0, 1)], axis=1)
+        ahead, behind = np.zeros_like(score), np.zeros_like(score)
+        ahead[:, 0] = score[:, 0]
+        for t in range(1, self.longest):
+            go = _logsum(ahead[:, t - 1, :, None] + moves, 1) + score[:, t]
+            ahead[:, t] = np.where(self.inside[:, t, None], go, ahead[:, t - 1])
+        for t in range(self.longest - 2, -1, -1):
+            go = _logsum(moves + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+            behind[:, t] = np.where(self.inside[:, t + 1, None], go, 0.0)
+        total = _logsum(ahead[:, -1], 1)
+        belief = np.exp(ahead + behind - total[:, None, None]) * self.inside[..., None]
+        pair = np.exp(ahead[:, :-1, :, None] + moves + (score + behind)[:, 1:, None, :] - total[:, None, None, None]) * self.both[..., None, None]
+        error = (belief - self.told * self.inside[..., None])[self.inside]
+        own = np.stack([np.bincount(self.local, error[self.block, y], minlength=self.features) for y in (0, 1)], axis=1)
+        return own, pair.sum(axis=(0, 1)) - self.gold_moves
+
+
 def fit(pages: list[tuple[list[list[int]], list[int]]], passes: int = PASSES, rate: float = 0.1, decay: float = 1e-3) -> Chain:
     """The field of greatest likelihood on labelled pages (feature slots and labels of each block), by Adam on the exact
-    gradient from forward-backward; all pages go through together, padded to the longest."""
+    gradient from forward-backward; pages of about one length go through together."""
     pages = [p for p in pages if p[1]]
     chain = Chain(np.zeros((SPACE, 2)), np.zeros((2, 2)))
     if not pages:
         return chain
-    n, longest = len(pages), max(len(p[1]) for p in pages)
-    sizes = np.array([len(p[1]) for p in pages])
-    inside = np.arange(longest) < sizes[:, None]
-    slots = np.array([s for rows, _ in pages for r in rows for s in r])
-    block = np.repeat(np.arange(sizes.sum()), [len(r) for rows, _ in pages for r in rows])
-    gold = np.zeros((n, longest), int)
-    gold[inside] = [y for _, ys in pages for y in ys]
-    told = np.eye(2)[gold]
-    both = inside[:, 1:]
-    gold_moves = np.einsum("nta,ntb,nt->ab", told[:, :-1], told[:, 1:], both.astype(float))
-    used, local = np.unique(slots, return_inverse=True)
+    pages = sorted(pages, key=lambda p: len(p[1]))
+    groups, first = [], 0
+    for i in range(len(pages)):
+        if i + 1 == len(pages) or (i + 2 - first) * len(pages[i + 1][1]) > CELLS:
+            groups.append(pages[first : i + 1])
+            first = i + 1
+    used = np.unique([s for rows, _ in pages for r in rows for s in r])
+    groups = [_Padded(g, used) for g in groups]
     params = [np.zeros((len(used), 2)), np.zeros((2, 2))]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-
-    def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
     for step in range(1, passes + 1):
-        weights, moves = params
-        flat = np.stack([np.bincount(block, weights[local, y], minlength=sizes.sum()) for y in (0, 1)], axis=1)
-        score = np.zeros((n, longest, 2))
-        score[inside] = flat
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            go = logsum(ahead[:, t - 1, :, None] + moves, 1) + score[:, t]
-            ahead[:, t] = np.where(inside[:, t, None], go, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            go = logsum(moves + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-            behind[:, t] = np.where(inside[:, t + 1, None], go, 0.0)
-        total = logsum(ahead[:, -1], 1)
-        belief = np.exp(ahead + behind - total[:, None, None]) * inside[..., None]
-        pair = np.exp(ahead[:, :-1, :, None] + moves + (score + behind)[:, 1:, None, :] - total[:, None, None, None]) * both[..., None, None]
-        error = (belief - told * inside[..., None])[inside]
-        slopes = [np.stack([np.bincount(local, error[block, y], minlength=len(used)) for y in (0, 1)], axis=1) / n, (pair.sum(axis=(0, 1)) - gold_moves) / n]
+        slopes = [sum(x) / len(pages) for x in zip(*(g.slopes(*params) for g in groups))]
         for i, g in enumerate(slopes):
             g = g + decay * params[i]
             mean[i] = 0.9 * mean[i] + 0.1 * g
@@ -273,7 +349,7 @@ def labelled(texts: list[list[str]], each: int = 3) -> list[tuple[list[Block], l
             return f"<{tag}{name}>{inner(kind)}</{tag}>"
 
         kept = lambda content: f"<x-keep>{content}</x-keep>"
-        body = [html.escape(p) for p in own[1:] or own][:14]
+        body = [html.escape(p) for p in own[1:] or own]
         wrap = draw.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}<br><p>", "<div>{}</div>", "<p><b>{}</b></p>"))
         made = [wrap.format(b) for b in body]
         for k in range(2, len(made), 3):
@@ -302,7 +378,7 @@ def train(pages: DataFrame, column: str = "html", rows: int = SAMPLE_PAGES) -> C
     """A field from at most rows pages, the least by hash: the blocks of a page that say they are its article label that
     page, and their text fills the labelled layouts. Hashes are picked first and only their pages fetched, so the driver
     gets that many pages and no more, however many there are, and however often one is repeated. Without such pages, a few fixed sentences fill the layouts."""
-    whole = pages.filter(F.col(column).isNotNull() & F.col(column).contains("<article")).select(F.xxhash64(column).alias("h"), F.substring(F.col(column), 1, 60_000).alias("page"))
+    whole = pages.filter(F.col(column).isNotNull() & F.col(column).contains("<article")).select(F.xxhash64(column).alias("h"), F.col(column).alias("page"))
     least = whole.select("h").distinct().orderBy("h").limit(rows)
     sample = whole.join(F.broadcast(least), "h").groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()
     told, texts = [], []
@@ -325,9 +401,10 @@ def extract_text(page: str | None, chain: Chain) -> str:
 
 
 def extract(pages: DataFrame, chain: Chain, column: str = "html", out: str = "text") -> DataFrame:
-    """pages with the main text of the whole html in out; a column of that name is replaced.
+    """pages with the main text of the whole html in out; a column of that name is replaced, others come back as they are.
 
-    Null, empty and textless pages give an empty text. Each row is judged by itself, so repeated rows get the same.
+    Null, empty and textless pages give an empty text; very long pages are read whole, in time that follows their length.
+    Each row is judged by itself, so repeated rows get the same; of equally likely labels a block is not the article.
     """
     spark = pages.sparkSession
     small_batches(spark)

@@ -13,10 +13,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, own_columns, small_batches
 
-#: The bounds of the labelled sample: rows for each language, and characters of each that go into the dictionary.
-ROWS_PER_LANGUAGE, CHARS_PER_ROW = 96, 2_000
+#: The bound of the labelled sample: rows for each language. Texts of up to so many characters are taken before longer ones.
+ROWS_PER_LANGUAGE, SHORT = 96, 4_000
 #: Matches of three bytes count, as many syllables are that short.
 LEVEL, MIN_MATCH = 3, 3
 #: A text is compressed in blocks, all of them, so that in a long text a block is still told by the dictionary.
@@ -39,17 +39,18 @@ def held_out(key):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, chars: int = CHARS_PER_ROW) -> dict[str, bytes]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, short: int = SHORT) -> dict[str, bytes]:
     """A dictionary of raw text for each language, from the rows that aren't held out and have a language and a letter.
 
-    The sample is bounded by rows for each language, those of least hash of id, and chars of each; ids are picked first
-    and only their texts are fetched, so what the driver gets is bounded by languages x rows x chars.
+    The sample is at most rows texts of each language, whole and different ones: those of least hash among the texts of up to
+    short characters, and longer ones only where these are too few. Hashes are picked first, from tasks that send no more
+    than that, and only their texts are fetched, however often a text or an id is repeated.
     """
     useful = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).filter(F.col(text).rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    first = useful.select(F.col(lang).alias("lang"), F.col(key).alias("id"), F.substring(F.col(text), 1, chars).alias("text"))
-    picked = first.select("lang", "id").withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "id").distinct()
-    texts = first.join(F.broadcast(picked), ["lang", "id"]).orderBy("lang", F.xxhash64("id"), "id", "text").collect()
+    useful = useful.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), (F.length(text) > short).alias("long"), F.col(text).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "hash"))
+    picked = useful.groupBy("lang", "hash").agg(F.min("long").alias("long")).withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "hash", "rank")
+    texts = useful.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).orderBy("lang", "rank").collect()
     out: dict[str, bytes] = {}
     for r in texts:
         out[r["lang"]] = out.get(r["lang"], b"") + bare(r["text"])
@@ -86,7 +87,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", min_m
     """docs with lang_pred, score (0 to 1), margin and rejected; columns of these names are replaced.
 
     lang_pred is a language of the model, or und for a null text, one without a letter, and an empty model; ties go to
-    the first name. rejected: und, or a margin under min_margin. Only text is looked at; repeated rows get the same.
+    the first name. rejected: und, or a margin under min_margin. Only text is looked at, very long ones whole; repeated rows
+    get the same. No rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -98,6 +100,6 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", min_m
         for batch in batches:
             yield pd.DataFrame([judge(t, compressors) for t in batch], columns=["lang_pred", "score", "margin"])
 
-    names = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")]
-    out = docs.withColumn("_lang", of_text(F.col(text))).select(*names, "_lang.lang_pred", "_lang.score", "_lang.margin")
-    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin))
+    judged = docs.select(own_columns(docs, "lang_pred", "score", "margin", "rejected"), of_text(F.col(text)).alias("judged"))
+    rejected = (F.col("judged.lang_pred") == UNKNOWN) | (F.col("judged.margin") < min_margin)
+    return give_back(judged, "judged.lang_pred", "judged.score", "judged.margin", rejected.alias("rejected"))

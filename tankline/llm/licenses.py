@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -35,6 +35,27 @@ NOTICES = {
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-4.0-international-line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "lgpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-0": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "0bsd": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "bsl-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
 _WORD = re.compile(r"[^\W_]+")
@@ -62,6 +83,10 @@ def shingle_hashes(words: np.ndarray, width: int = WORDS) -> np.ndarray:
     return out
 
 
+def _runs(words: list[str], width: int) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
 class Templates:
     """Templates by size; those of fewer than five words have one shingle, all their words. Those of up to m shingles and over m / 2 share windows of m + m/2 shingles, every m/2 of the
     text, so a template's place lies whole in a window, except for the last ones, which end with the text. With
@@ -72,7 +97,7 @@ class Templates:
 
     def __init__(self, texts: dict[str, str], containment: float = CONTAINMENT, collision: float = COLLISION, width: int = WORDS):
         self.containment = containment
-        self.names, self.sets, classes = [], [], {}
+        self.names, self.sets, self.runs, self.widths, classes = [], [], [], [], {}
         for name, text in sorted(texts.items()):
             words = word_hashes(text or "", {})
             own_width = min(width, len(words))
@@ -81,6 +106,8 @@ class Templates:
                 classes.setdefault((own_width, max(2, 1 << (len(found) - 1).bit_length())), []).append(len(self.names))
                 self.names.append(name)
                 self.sets.append(found)
+                self.runs.append(_runs(_WORD.findall(text.lower()), own_width))
+                self.widths.append(own_width)
         self.all = {w: np.unique(np.concatenate([self.sets[i] for key, members in classes.items() if key[0] == w for i in members])) for w, _ in classes}
         self.classes = []
         for (own_width, m), members in sorted(classes.items()):
@@ -99,21 +126,39 @@ class Templates:
         x = (hashes[None, :] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
-    def find(self, words: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(name, start, end, containment), in words: for each template its best window, of equal ones the first, cut to
-        the shingles that are the template's."""
-        best: dict[int, tuple[float, int, int]] = {}
+    def find(self, text: str, seen: dict[str, int]) -> list[tuple[str, int, int, float]]:
+        """(name, start, end, containment), in words, by start: the places of a text where a template is. Retrieved windows are
+        judged by the words themselves and cut to the shingles that are the template's. Where places overlap by over half
+        of one, the better fitting template stays: that with most shingles there, less those it lacks."""
+        hashes, met = word_hashes(text, seen), set()
         for width, known in self.all.items():
-            hashes = shingle_hashes(words, width)
-            ours = np.isin(hashes, known)
+            own = shingle_hashes(hashes, width)
+            ours = np.isin(own, known)
             if ours.any():  # a window without a template's shingle has no band in common with it
                 for own_width, *rest in self.classes:
                     if own_width == width:
-                        self._meet(hashes, ours, width, best, *rest)
-        return sorted((self.names[i], a, b, share) for i, (share, a, b) in best.items())
-
-    def _meet(self, hashes: np.ndarray, ours: np.ndarray, width: int, best: dict, m: int, window: int, seeds: np.ndarray, table: list[dict]) -> None:
-        step = max(1, m // 2)
+                        met |= self._meet(own, ours, *rest)
+        words = _WORD.findall(text.lower()) if met else []
+        found = []
+        for i, a, b in sorted(met):
+            width, runs = self.widths[i], self.runs[i]
+            there = [k for k in range(a, min(b, len(words) - width + 1)) if tuple(words[k : k + width]) in runs]
+            shared = len({tuple(words[k : k + width]) for k in there})
+            if shared >= self.containment * len(runs) - 1e-9:
+                found.append((2 * shared - len(runs), self.names[i], there[0], there[-1] + width, shared / len(runs)))
+        kept: list[tuple[str, int, int, float]] = []
+        near: dict[int, list[tuple[int, int]]] = {}  # places that are kept, by each 64 words that they touch
+        for _, name, a, b, share in sorted(found, key=lambda f: (-f[0], f[3] - f[2], f[1], f[2])):
+            cells = range(a >> 6, (b - 1 >> 6) + 1)
+            if all(2 * (min(b, d) - max(a, c)) <= min(b - a, d - c) for cell in cells for c, d in near.get(cell, ())):
+                kept.append((name, a, b, share))
+                for cell in cells:
+                    near.setdefault(cell, []).append((a, b))
+        return sorted(kept, key=lambda f: (f[1], f[0]))
+
+    def _meet(self, hashes: np.ndarray, ours: np.ndarray, m: int, window: int, seeds: np.ndarray, table: list[dict]) -> set[tuple[int, int, int]]:
+        """(template, start, end) of the windows that share a band with a template."""
+        step, met = max(1, m // 2), set()
         for start in range(0, len(hashes), PIECE):
             piece = hashes[start : start + PIECE + window]
             starts = np.arange(0, min(PIECE, len(piece)), step)
@@ -121,22 +166,25 @@ class Templates:
             starts = starts[counts[np.minimum(starts + window, len(piece))] > counts[starts]]
             for s in starts.tolist():
                 part = piece[s : s + window]
-                met = {i for band, h in enumerate(self.mixed(part, seeds).min(axis=1).tolist()) for i in table[band].get(h, ())}
-                for i in met:
-                    there = np.isin(part, self.sets[i])
-                    share = len(np.unique(part[there])) / len(self.sets[i])
-                    if share >= self.containment - 1e-9 and share > best.get(i, (0,))[0]:
-                        at = np.flatnonzero(there)
-                        best[i] = (share, start + s + int(at[0]), start + s + int(at[-1]) + width)
+                here = {i for band, h in enumerate(self.mixed(part, seeds).min(axis=1).tolist()) for i in table[band].get(h, ())}
+                met |= {(i, start + s, start + s + len(part)) for i in here}
+        return met
+
+
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from a folder of license texts, one file each, by the file's name without its ending."""
+    rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value").collect()
+    return {re.sub(r"\.(txt|md|rst)$", "", r["file"]): r["value"] for r in rows}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", containment: float = CONTAINMENT, column: str = "licenses") -> DataFrame:
-    """docs with an array of (license, start_word, end_word, containment), by license; a column of that name is replaced.
+    """docs with an array of (license, start_word, end_word, containment), by place; a column of that name is replaced.
 
-    A template is found where a window of the text holds at least that share of its distinct five-word shingles; its
-    best place is returned. Templates are a fixed list of the caller's, by name (NOTICES if none is given), and go to
-    the tasks as they are; one without a word is never found. Null and empty texts have no license.
-    Whole texts are scanned where they lie, piece by piece, and repeated rows get the same.
+    A template is found where a window of the text holds at least that share of its distinct five-word shingles, at every
+    place where it is; of templates that overlap there the best fitting one is told (see Templates.find). Templates are a
+    fixed list of the caller's, by name (NOTICES if none is given; read_templates reads whole licenses from a folder), and go
+    to the tasks as they are; one without a word is never found. Null and empty texts have no license. Whole texts are
+    scanned where they lie, piece by piece, and repeated rows get the same. Other columns come back as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -146,6 +194,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, int] = {}
         for batch in batches:
-            yield pd.Series([[{"license": n, "start_word": a, "end_word": b, "containment": c} for n, a, b, c in held.value.find(word_hashes(t or "", seen))] for t in batch])
+            yield pd.Series([[{"license": n, "start_word": a, "end_word": b, "containment": c} for n, a, b, c in held.value.find(t or "", seen)] for t in batch])
 
     return docs.withColumn(column, found(F.col(text)))

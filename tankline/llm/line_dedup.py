@@ -11,21 +11,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialize, small_batches
+from .common import SPACES, ascii_lower, materialize, own_columns, small_batches
 
 #: Line hashes in one shard, about; the whole index is broadcast up to so many bytes, and beyond is met shard by shard.
 SHARD_KEYS = 500_000
 BROADCAST_BYTES = 96 << 20
-SALTS = 64
+#: Beyond, lines that one task should meet in a shard, about; a shard that has more is met by more tasks.
+TASK_LINES = 1_000_000
+#: Beyond, rows with the same text are dealt over so many tasks when they meet their dropped lines.
+SALTS = 32
 MAX_LEVELS = 24
+MOST = (1 << 32) - 1
 
 
 class PerfectHash:
-    """A minimal perfect hash over distinct (h1, h2) line hashes, with a fingerprint (h2) and a count for each slot.
+    """A minimal perfect hash over distinct (h1, h2) line hashes, with 32 bits each of a fingerprint (of h2) and a count
+    (clipped to what they hold) for each slot.
 
     h1 picks the slot: level after level, keys that are alone in their bit keep it, others go on; the slot is the
-    rank of the bit. A key that was never added meets another's fingerprint. Keys that share h1, or are left after
-    the last level, are listed aside, so that no key is lost.
+    rank of the bit. Keys that share h1, or are left after the last level, are also listed aside with both hashes, so a key that
+    was added always has its own count. One that never was meets another's fingerprint, and passes it once in 2^32.
     """
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray):
@@ -43,12 +48,12 @@ class PerfectHash:
             ranks = np.r_[0, np.cumsum(np.bitwise_count(bits).astype(np.int64))] + sum(map(len, slots))
             kept = alone[at]
             slots.append(left[kept][np.argsort(at[kept])])
-            self.levels.append((bits, ranks))
+            self.levels.append((bits, ranks.astype(np.uint32)))
             left = left[~kept]
         order = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-        self.prints, self.counts = h2[order], counts[order].astype(np.uint32)
-        rest = np.r_[np.flatnonzero(again), left].astype(np.int64)
-        self.rest = {(int(a), int(b)): int(c) for a, b, c in zip(h1[rest], h2[rest], counts[rest])}
+        self.prints, self.counts = (h2[order] & np.uint64(MOST)).astype(np.uint32), np.minimum(counts[order], MOST).astype(np.uint32)
+        rest = np.r_[np.flatnonzero(again | np.r_[again[1:], False][: len(again)]), left].astype(np.int64)
+        self.rest = {(int(a), int(b)): min(int(c), MOST) for a, b, c in zip(h1[rest], h2[rest], counts[rest])}
 
     @staticmethod
     def _place(h1: np.ndarray, level: int, words: int) -> np.ndarray:
@@ -66,11 +71,12 @@ class PerfectHash:
             word, bit = bits[at >> 6], (at & 63).astype(np.uint64)
             hit = (word >> bit) & np.uint64(1) == 1
             below = np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))).astype(np.int64)
-            slot = ranks[at[hit] >> 6] + below
-            found[left[hit]] = np.where(self.prints[slot] == h2[left[hit]], self.counts[slot], 0)
+            slot = ranks[at[hit] >> 6].astype(np.int64) + below
+            found[left[hit]] = np.where(self.prints[slot] == (h2[left[hit]] & np.uint64(MOST)).astype(np.uint32), self.counts[slot], 0)
             left = left[~hit]
         if self.rest:
-            for i in np.flatnonzero(found == 0):
+            aside = np.isin(h1, np.array([a for a, _ in self.rest], np.uint64))
+            for i in np.flatnonzero(aside):
                 found[i] = self.rest.get((int(h1[i]), int(h2[i])), 0)
         return found
 
@@ -80,25 +86,25 @@ def line_key(line):
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def line_counts(docs: DataFrame, text: str, min_docs: int) -> DataFrame:
-    """(h1, h2, n): the 128-bit hashes of the line keys that are in at least min_docs rows. Each row counts a key once."""
+def line_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(h1, h2, n): the 128-bit hashes of all distinct line keys, and the rows that have them. Each row counts a key once."""
     keys = F.array_distinct(F.transform(F.split(F.col(text), "\n", -1), line_key))
     lines = docs.select(F.explode(keys).alias("k")).filter("k <> ''")
-    return lines.groupBy(F.xxhash64("k").alias("h1"), F.xxhash64("k", "k").alias("h2")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    return lines.groupBy(F.xxhash64("k").alias("h1"), F.xxhash64("k", "k").alias("h2")).agg(F.count("*").alias("n"))
 
 
 def build_index(counts: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """The shards of the index as a table (shard, index), and their number. A shard is built in one task from a bounded
-    share of the hashes, as these are distinct and spread evenly."""
+    """The shards of the index as a table (shard, lines, index), and their number. A shard is built in one task from a
+    bounded share of the hashes, as these are distinct and spread evenly; lines is how many will be looked up in it."""
     counts = materialize(counts, "line-hashes")
     shards = max(1, -(-counts.count() // shard_keys))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = (pdf[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "index": [pickle.dumps(PerfectHash(h1, h2, pdf["n"].to_numpy()))]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "lines": [int(pdf["n"].sum())], "index": [pickle.dumps(PerfectHash(h1, h2, pdf["n"].to_numpy()))]})
 
     parts = counts.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard")
-    return materialize(parts.applyInPandas(build, "shard int, index binary"), "line-index"), shards
+    return materialize(parts.applyInPandas(build, "shard int, lines long, index binary"), "line-index"), shards
 
 
 def _hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,21 +151,24 @@ def _probe_all(docs: DataFrame, text: str, index: DataFrame, shards: int, min_do
         for batch in batches:
             yield _keep(batch.tolist(), dropped)
 
-    return docs.withColumn("_lines", probe(F.col(text)))
+    return docs.withColumn("lines", probe(F.col(text)))
 
 
 def _probe_shards(docs: DataFrame, text: str, index: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """For an index too large to broadcast: line hashes, not texts, go to their shard and meet it there.
+    """For an index too large to broadcast: line hashes of distinct texts, not texts, go to their shard and meet it there.
 
-    A shard is repeated for each salt, so a line that is in a third of all documents is met by many tasks, which hold
-    one shard and a batch at a time. What comes back is the set of dropped hashes of each text.
+    A shard goes to as many tasks as its lines need, known from its counts, so a line that is in a third of all documents
+    is met by many tasks, which hold one shard and a batch at a time. What comes back is the set of dropped hashes of each
+    text that has any; rows with one text are dealt over SALTS tasks when they meet it.
     """
     keys = F.transform(F.split(F.col(text), "\n", -1), line_key)
     of_text = [F.xxhash64(text).alias("t1"), F.xxhash64(text, text).alias("t2")]
     lines = docs.filter(F.col(text).isNotNull()).select(*of_text, F.explode(F.array_distinct(keys)).alias("k")).filter("k <> ''").select("t1", "t2", F.xxhash64("k").alias("h1"), F.xxhash64("k", "k").alias("h2"))
-    lines = lines.withColumns({"shard": F.pmod("h1", F.lit(shards)).cast("int"), "salt": F.pmod("t1", F.lit(SALTS)).cast("int"), "index": F.lit(None).cast("binary")})
-    blobs = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumns({c: F.lit(0).cast("long") for c in ("t1", "t2", "h1", "h2")})
-    dealt = lines.unionByName(blobs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("index").isNull())
+    lines = lines.distinct().withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    parts = index.withColumn("parts", F.ceil(F.col("lines") / TASK_LINES).cast("int"))
+    lines = lines.join(parts.select("shard", "parts"), "shard").withColumn("part", F.pmod(F.xxhash64("t1", "t2"), "parts").cast("int")).drop("parts")
+    blobs = parts.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "index").withColumns({c: F.lit(0).cast("long") for c in ("t1", "t2", "h1", "h2")})
+    dealt = lines.withColumn("index", F.lit(None).cast("binary")).unionByName(blobs).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("index").isNull())
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = None
@@ -173,8 +182,8 @@ def _probe_shards(docs: DataFrame, text: str, index: DataFrame, shards: int, min
                     h1, h2 = (part[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
                     yield part.loc[now.count(h1, h2) >= min_docs, ["t1", "t2", "h1", "h2"]].astype("int64")
 
-    gone = dealt.select("t1", "t2", "h1", "h2", "index").mapInPandas(meet, "t1 long, t2 long, h1 long, h2 long").distinct()
-    gone = gone.groupBy("t1", "t2").agg(F.collect_list(F.array("h1", "h2")).alias("_gone"))
+    gone = dealt.select("t1", "t2", "h1", "h2", "index").mapInPandas(meet, "t1 long, t2 long, h1 long, h2 long")
+    gone = gone.groupBy("t1", "t2").agg(F.collect_list(F.array("h1", "h2")).alias("gone"))
 
     @F.pandas_udf(_RESULT)
     def cut(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -185,8 +194,9 @@ def _probe_shards(docs: DataFrame, text: str, index: DataFrame, shards: int, min
 
         return pd.concat([one(t, g) for t, g in zip(texts, gone)], ignore_index=True) if len(texts) else _keep([], lambda _: np.zeros(0, bool))
 
-    joined = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(text, text)}).join(gone, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
-    return joined.withColumn("_lines", cut(F.col(text), F.col("_gone"))).select(*docs.columns, "_lines")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    joined = docs.withColumns({"t1": of_text[0], "t2": of_text[1], "salt": salt}).join(gone.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["t1", "t2", "salt"], "left")
+    return joined.withColumn("lines", cut(F.col(text), F.col("gone"))).select(*docs.columns, "lines")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -194,18 +204,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, broadca
 
     A line whose key (see line_key) is in at least min_docs rows of docs loses all its places in every row. Lines with
     an empty key stay. Null and empty texts are one empty line and become an empty text; a text all of whose lines go
-    becomes empty and its row stays. Repeated rows count as rows of their own. Columns called n_lines or n_dropped are
-    replaced. No rows give no rows.
+    becomes empty and its row stays; a very long text is taken whole. Repeated rows count as rows of their own. Columns
+    called n_lines or n_dropped are replaced; others, whatever their names, come back as they are. No rows give no rows.
 
-    Lines that could not be dropped (in fewer rows than min_docs) are left out of the index after counting; 64 bits of
-    fingerprint besides the 64 that pick the slot tell them apart. Documents probe the arrays in place: texts are not
-    shuffled while the index fits broadcast_bytes, and only hashes of lines are beyond that.
+    All distinct lines are in the index with their counts, and documents probe its arrays in place while the index fits
+    broadcast_bytes: no text or line is shuffled then, but hashes for counting. Beyond, line hashes go to their shard, and
+    the texts that have lines to drop are met by the hash of the text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    index, shards = build_index(line_counts(docs, text, min_docs), shard_keys)
+    work = docs.select(own_columns(docs, text, "n_lines", "n_dropped"), F.col(text).alias("text"))
+    index, shards = build_index(line_counts(work, "text"), shard_keys)
     size = index.agg(F.coalesce(F.sum(F.length("index")), F.lit(0))).first()[0]
     probe = _probe_all if size <= broadcast_bytes else _probe_shards
-    out = probe(docs, text, index, shards, min_docs)
-    names = [F.col("_lines.text").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*names, "_lines.n_lines", "_lines.n_dropped")
+    out = probe(work, "text", index, shards, min_docs)
+    names = [F.col("lines.text").alias(c) if c == text else F.col(f"own.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*names, "lines.n_lines", "lines.n_dropped")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ KINDS = ("assign", "access", "hex", "random")
 SAMPLE_ROWS = 10_000
 #: What counts as a candidate for the models, and the mean log-likelihood ratio for each character it must reach.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-MIN_RATIO = 0.6
+MIN_RATIO = 1.5
 
 _assign, _access, _hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
 _keyword = re.compile("password|passwd|secret|token|api_?key", re.I | re.A)
@@ -62,9 +63,44 @@ def transitions(strings: list[str]) -> np.ndarray:
     return out
 
 
-def labelled(text: str, noise: str) -> tuple[list[str], list[str]]:
-    """(ordinary, random) strings of one row: words outside base spans, alone and joined as identifiers are, and the
-    values of base spans together with noise, digests of the row's id."""
+def ordinary(names: list[str], draw: random.Random) -> list[str]:
+    """Strings as people write them: words joined in the styles of identifiers, with numbers, versions and acronyms, paths,
+    dates and times, long numbers, and rules of one character."""
+    out = []
+    for i in range(0, len(names) - 3, 6):
+        some = names[i : i + draw.randrange(2, 6)]
+        low, high = [x.lower() for x in some], [x.capitalize() for x in some]
+        number = str(draw.randrange(10 ** draw.randrange(1, 5)))
+        style = draw.randrange(8)
+        if style < 2:
+            out.append(draw.choice("_-").join(low + [number] * (draw.random() < 0.4)))
+        elif style == 2:
+            out.append("".join(high) + number * (draw.random() < 0.3))
+        elif style == 3:
+            out.append("".join(x[:1] for x in some).upper() + "".join(high))
+        elif style == 4:
+            out.append("_".join(x.upper() for x in some))
+        elif style == 5:
+            out.append(low[0] + "".join(high[1:]) + number * (draw.random() < 0.3))
+        else:
+            out.append("/" * (draw.random() < 0.5) + "/".join(x + number * (draw.random() < 0.2) for x in low))
+    for mark, between, inner in (("", "_", ""), ("-", draw.choice("T_-"), draw.choice(("-", "", "_")))):
+        year, *rest = draw.randrange(1970, 2040), *(draw.randrange(1, n) for n in (13, 29, 24, 60, 60))
+        day, time = mark.join((str(year), *(f"{x:02}" for x in rest[:2]))), inner.join(f"{x:02}" for x in rest[2:])
+        out.append(f"{day}{between}{time}{draw.choice(('', '_' + day, '-backup', '-v2', 'Z', f'-{draw.randrange(1000):03}'))}")
+    return [*out, str(draw.randrange(10 ** draw.randrange(4, 25))), draw.choice("_-=+/") * draw.randrange(4, 40), f"{draw.randrange(30)}-{draw.randrange(100)}-{draw.randrange(1000)}"]
+
+
+def unforeseeable(draw: random.Random) -> list[str]:
+    """Random strings over the alphabets that keys are written in."""
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = (digits + low + up, digits + low + up, digits + low + up + "+/", digits + low + up + "-_", digits + low, digits + up)
+    return ["".join(draw.choices(a, k=draw.randrange(16, 64))) for a in alphabets]
+
+
+def labelled(text: str, seed: str) -> tuple[list[str], list[str]]:
+    """(ordinary, random) strings of one row: the words and other strings outside base spans, and what ordinary() makes of
+    them; the values of base spans and what unforeseeable() draws. Draws are by seed, the row's id."""
     spans = base_spans(text)
     values = [text[a:b].split("=")[-1].strip("\"' :") for a, b, _ in spans]
     cut, at = [], 0
@@ -72,8 +108,8 @@ def labelled(text: str, noise: str) -> tuple[list[str], list[str]]:
         cut.append(text[at:a])
         at = max(at, b)
     names = _word.findall(" ".join([*cut, text[at:]]))
-    joined = ["_".join(p).lower() for p in zip(names[::4], names[1::4])] + ["".join(x.capitalize() for x in p) for p in zip(names[2::4], names[3::4])]
-    return names + joined + ["/".join(names[i : i + 3]).lower() for i in range(0, len(names) - 2, 9)], values + noise.split()
+    draw = random.Random(seed)
+    return names + ordinary(names, draw), values + unforeseeable(draw)
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Markov:
@@ -83,13 +119,12 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
     share = min(1.0, rows / max(1, docs.count()))
     place = (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30))
     sample = docs.filter(place < share) if share < 1 else docs
-    noise = F.concat_ws(" ", F.base64(F.unhex(F.sha2(F.col(key).cast("string"), 256))), F.md5(F.col(key).cast("string")), F.upper(F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("k"))), 1, 15), 16, 36)))
-    sample = sample.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(noise, F.lit("")).alias("noise"))
+    sample = sample.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("seed"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 128, 128), np.int64)
         for pdf in batches:
-            for t, n in zip(pdf["text"], pdf["noise"]):
+            for t, n in zip(pdf["text"], pdf["seed"]):
                 for label, strings in enumerate(labelled(t, n)):
                     total[label] += transitions(strings)
         where = np.argwhere(total)
@@ -104,16 +139,22 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
 def scan_text(text: str | None, model: Markov, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, str]]:
     """All spans of a text: the base ones, and strings outside them that are likelier random than ordinary."""
     spans = base_spans(text or "")
-    taken = [(a, b) for a, b, _ in spans]
-    more = [(*m.span(), "random") for m in _candidate.finditer(text or "") if not any(a < m.end() and m.start() < b for a, b in taken) and model.ratio(m[0]) >= min_ratio]
+    more, at, reach = [], 0, -1
+    for m in _candidate.finditer(text or ""):
+        while at < len(spans) and spans[at][0] < m.end():  # both lists go by start, so one pass meets them
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach <= m.start() and model.ratio(m[0]) >= min_ratio:
+            more.append((*m.span(), "random"))
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else spans
 
 
 def scan(docs: DataFrame, model: Markov, text: str = "text", min_ratio: float = MIN_RATIO, column: str = "secrets") -> DataFrame:
     """docs with an array of (kind, start, end), in code points, end exclusive, by start and then kind as KINDS has them.
 
-    Whole texts are scanned where they lie. Null and empty texts have no span. Base spans of different kinds may
-    overlap; spans that the models add never overlap a base one. A column of that name is replaced.
+    Whole texts are scanned where they lie, in time that follows their length. Null and empty texts have no span. Base
+    spans of different kinds may overlap; spans that the models add never overlap a base one. Repeated rows get the same. A
+    column of that name is replaced, others come back as they are. No rows give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
