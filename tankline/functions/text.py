@@ -17,7 +17,7 @@ FUEL_LABELS = {
 RELEVANT_WORDS = ("model", "type", "typ", "generation")
 FIRST_YEAR = 1980
 #: A powerset of more words than this isn't made: it doubles with each word.
-MOST_WORDS = 8
+MOST_WORDS = 12
 
 
 def stripped(c: Column) -> Column:
@@ -36,9 +36,9 @@ def fuel_type(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(labels, folded(raw)), raw)
 
 
-def year_in_name(name: Column, as_of: int) -> Column:
+def year_in_name(name: Column, as_of: int | Column) -> Column:
     """The latest year from 1980 to as_of whose digits are in name, else null."""
-    years = F.array(*[F.lit(y) for y in range(FIRST_YEAR, as_of + 1)])
+    years = F.sequence(F.lit(FIRST_YEAR), F.lit(as_of) if isinstance(as_of, int) else as_of)
     return F.array_max(F.filter(years, lambda y: name.contains(y.cast("string"))))
 
 
@@ -47,13 +47,18 @@ def without_repeats(c: Column) -> Column:
     return F.array_join(F.array_distinct(F.array_remove(F.split(F.lower(c), r"\s+"), "")), " ")
 
 
+# The marks that names are freed of, and the brackets whose content goes.
+MARKS = r"""[-()\\"#/@;:<>{}`+=~|.!?,]"""
+IN_BRACKETS = r"[(\[].*?[)\]]"
+
+
 def punctuation_to_blank(c: Column) -> Column:
-    return F.regexp_replace(c, r"""[-()\\"#/@;:<>{}`+=~|.!?,]""", " ")
+    return F.regexp_replace(c, MARKS, " ")
 
 
 def without_brackets(c: Column) -> Column:
     """Without what stands in round or square brackets, and with blanks for dashes."""
-    return stripped(F.replace(F.regexp_replace(c, r"[(\[].*?[)\]]", ""), F.lit("-"), F.lit(" ")))
+    return stripped(F.replace(F.regexp_replace(c, IN_BRACKETS, ""), F.lit("-"), F.lit(" ")))
 
 
 def capitalized(c: Column) -> Column:
@@ -61,7 +66,7 @@ def capitalized(c: Column) -> Column:
 
 
 def subsets(words: Column) -> Column:
-    """All non-empty choices of up to eight words, in order, joined by blanks; null for more words."""
+    """All non-empty choices of up to MOST_WORDS words, in order, joined by blanks; null for more words."""
     n = F.size(words)
     masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), n).cast("int") - 1)
     pick = lambda m: F.array_join(F.filter(words, lambda w, i: F.floor(m / F.pow(F.lit(2), i)).cast("long") % 2 == 1), " ")

@@ -27,16 +27,43 @@ def cars_of_brands(cars: DataFrame, wiki: DataFrame) -> DataFrame:
     return pages.unionByName(register).groupBy("brand", "car").agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 
-def car_ids(cars: DataFrame) -> DataFrame:
-    """(brand, model, year, description, ids): matched cars of an allowed fuel by cleaned model, at three levels: the model,
-    its year, its description; a null year or description means all of them. Grouping sets give the levels in one pass;
-    model names that differ in case are one."""
+def _listed_cars(cars: DataFrame) -> DataFrame:
+    """(brand, folded, name, year, description, hash_id): matched cars of an allowed fuel by cleaned model; model names that
+    differ in case are one."""
     useful = cars.filter(F.col("fuel_type").isin(*ALLOWED_FUELS) & (F.size("wiki_hashes") > 0))
     rows = useful.select(F.col("manufacturer").alias("brand"), clean_model(stripped(F.col("model")), F.col("year")).alias("name"), "year", stripped(F.col("description")).alias("description"), "hash_id")
-    rows = rows.withColumn("folded", F.lower("name"))
+    return rows.withColumn("folded", F.lower("name"))
+
+
+def car_ids(cars: DataFrame) -> DataFrame:
+    """(brand, model, year, description, ids): matched cars of an allowed fuel by cleaned model, at three levels: the model,
+    its year, its description; a null year or description means all of them. Ids are collected once, at the finest level,
+    and merged upward, so the cars are shuffled once. The listing holds all ids of a model in one row, as its reader asks; car_id_counts
+    and car_id_rows have no such row."""
+    rows = _listed_cars(cars).groupBy("brand", "folded", "year", "description").agg(F.min("name").alias("model"), F.array_sort(F.collect_list("hash_id")).alias("ids"))
+    up = lambda df, *keys: df.groupBy("brand", "folded", *keys).agg(F.min("model").alias("model"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    years = up(rows, "year")
+    none = lambda t: F.lit(None).cast(t)
+    levels = [
+        rows.select("brand", "model", "year", "description", F.lit("description").alias("level"), "ids"),
+        years.select("brand", "model", "year", none("string").alias("description"), F.lit("year").alias("level"), "ids"),
+        up(years).select("brand", "model", none("int").alias("year"), none("string").alias("description"), F.lit("all").alias("level"), "ids"),
+    ]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def car_id_counts(cars: DataFrame) -> DataFrame:
+    """(brand, model, year, description, level, n, first_id, last_id): the levels of car_ids with the number of ids and the
+    least and greatest, all of which add up on the map side, so that no row holds a hot model's ids."""
+    finest = _listed_cars(cars).groupBy("brand", "folded", "year", "description").agg(F.min("name").alias("model"), F.count("*").alias("n"), F.min("hash_id").alias("first_id"), F.max("hash_id").alias("last_id"))
     b, m, y, d = (F.col(c) for c in ("brand", "folded", "year", "description"))
-    out = rows.groupingSets([(b, m), (b, m, y), (b, m, y, d)], b, m, y, d).agg(F.min("name").alias("model"), F.array_sort(F.collect_list("hash_id")).alias("ids"), F.grouping_id().alias("level"))
-    return out.select("brand", "model", "year", "description", F.when(F.col("level") == 0, "description").when(F.col("level") == 1, "year").otherwise("all").alias("level"), "ids")
+    out = finest.groupingSets([(b, m), (b, m, y), (b, m, y, d)], b, m, y, d).agg(F.min("model").alias("model"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.grouping_id().alias("g"))
+    return out.select("brand", "model", "year", "description", F.when(F.col("g") == 0, "description").when(F.col("g") == 1, "year").otherwise("all").alias("level"), "n", "first_id", "last_id")
+
+
+def car_id_rows(cars: DataFrame) -> DataFrame:
+    """(brand, model, year, description, hash_id): the listing as plain rows, one for each car."""
+    return _listed_cars(cars).select("brand", F.col("folded").alias("model"), "year", "description", "hash_id")
 
 
 def nested_car_ids(ids: DataFrame) -> DataFrame:
@@ -57,11 +84,17 @@ def match_counts(things: DataFrame) -> DataFrame:
     return things.agg(F.count_if(some).alias("matched"), F.count_if(~some).alias("unmatched"), F.countDistinct(F.when(some, F.array_sort("wiki_hashes"))).alias("unique_matches"))
 
 
-def per_class(things: DataFrame, wiki: DataFrame, key: str, brand: str) -> DataFrame:
-    """By class: cars, brands, page cars, and cars of each fuel. A car counts once in a class."""
+def per_class(things: DataFrame, wiki: DataFrame, key: str, brand: str, stats: DataFrame | None = None) -> DataFrame:
+    """By class: cars, brands, page cars, and cars of each fuel. A car counts once in a class. With stats (key, phenomenon,
+    numb_measurements) also the measurements: of each car the count of its most measured phenomenon, once in a class."""
     rows = things.select(key, brand, "fuel_type", F.explode("wiki_hashes").alias("hash_id")).join(wiki.select("hash_id", "category"), "hash_id")
     fuels = [F.countDistinct(F.when(F.col("fuel_type") == f, F.col(key))).alias(f"{f}_cars") for f in ALLOWED_FUELS]
-    return rows.groupBy("category").agg(F.countDistinct(key).alias("cars"), F.countDistinct(folded(F.col(brand))).alias("brands"), F.countDistinct("hash_id").alias("page_cars"), *fuels)
+    out = rows.groupBy("category").agg(F.countDistinct(key).alias("cars"), F.countDistinct(folded(F.col(brand))).alias("brands"), F.countDistinct("hash_id").alias("page_cars"), *fuels)
+    if stats is None:
+        return out
+    most = stats.groupBy(key).agg(F.max("numb_measurements").alias("most"))
+    sums = rows.select(key, "category").distinct().join(most, key).groupBy("category").agg(F.sum("most").alias("measurements"))
+    return out.join(sums, "category", "left").withColumn("measurements", F.coalesce("measurements", F.lit(0)))
 
 
 def per_brand(things: DataFrame, wiki: DataFrame, key: str, brand: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ..functions.text import folded, powerset, relevant_words, without_brackets, words
+from ..functions.text import MOST_WORDS, before_single_comma, folded, key_of, powerset, relevant_words, without_brackets, words, year_in_name
 
 # Required scores, the band below them, and lower floors of some brands.
 MIN_PROBABILITY, BAND, DEFAULT_SCORE, REGISTER_SCORE, SENSOR_SCORE = 0.25, 0.06, 0.99, 0.96, 0.99998
@@ -58,7 +58,7 @@ def _alike(a: str, b: str, clean_a: str, clean_b: str) -> bool:
     if any(len(re.findall(r"\w+", s)) <= 1 for s in (a, b, clean_a, clean_b)):
         return False
     pairs = ((a, b), (clean_a, clean_b))
-    return ratio(a, b) > RATIO or ratio(clean_a, clean_b) > STRICT_RATIO or any(f(*p) > STRICT_RATIO for f in (token_sort_ratio, token_set_ratio) for p in pairs)
+    return round(ratio(a, b)) > RATIO or round(ratio(clean_a, clean_b)) > STRICT_RATIO or any(round(f(*p)) > STRICT_RATIO for f in (token_sort_ratio, token_set_ratio) for p in pairs)
 
 
 @F.pandas_udf(BooleanType())
@@ -68,12 +68,13 @@ def _similar(a: pd.Series, b: pd.Series, clean_a: pd.Series, clean_b: pd.Series)
 
 def similar(left: Column, right: Column, year: Column | None = None) -> Column:
     """Whether two names are alike: equal but for a tenth of their characters, in any order of words, or one's words among
-    the other's. The year is taken out of the left name; both must have two words, with and without what is in brackets."""
-    left = F.coalesce(left, F.lit(""))
+    the other's, by ratios rounded to whole numbers. The latest year that is in the left name is taken out of it, and so is
+    year; both must have two words, with and without what is in brackets."""
+    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
     if year is not None:
         left = F.coalesce(F.replace(left, year.cast("string"), F.lit(" ")), left)
+    left = F.coalesce(F.replace(left, year_in_name(left, F.year(F.current_date())).cast("string"), F.lit(" ")), left)
     plain = lambda c: folded(F.replace(c, F.lit("-"), F.lit(" ")))
-    right = F.coalesce(right, F.lit(""))
     return _similar(plain(left), plain(right), without_brackets(left), without_brackets(right))
 
 
@@ -86,10 +87,10 @@ def curated_matches(cars: DataFrame, curated: DataFrame, wiki: DataFrame) -> Dat
 
 
 def candidate_texts(cars: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(car_id, brand, text): the brand or an alias before each choice of the name's words (its first eight), in each case;
+    """(car_id, brand, text): the brand or an alias before each choice of the name's words (its first MOST_WORDS), in each case;
     years are taken out."""
     named = F.regexp_replace(F.col("name"), r"\b(19[89]\d|20\d\d)\b", " ")
-    pieces = F.slice(F.array_remove(F.split(named, r"\s+"), ""), 1, 8)
+    pieces = F.slice(F.array_remove(F.split(named, r"\s+"), ""), 1, MOST_WORDS)
     rows = cars.select("car_id", "brand", F.explode(powerset(pieces)).alias("part"))
     names = aliases.select("brand", "alias").unionByName(cars.select("brand", F.col("brand").alias("alias"))).distinct()
     return rows.join(names, "brand").select("car_id", "brand", F.concat_ws(" ", "alias", "part").alias("text")).distinct()
@@ -181,27 +182,38 @@ def accepted(scored: DataFrame, wiki: DataFrame, aliases: DataFrame, required: f
     """(car_id, hash_id, rule): scored candidates (car_id, brand, name, year, tag, score) that a rule accepts; the first rule
     that holds is told. 1: the score is reached. Then, with complex rules, 2: the score is in the band below and all words
     of the page's name are in brand and name; outside the band 3: the names are alike in one of three forms, 4: the
-    brand's own floor is reached; and in any case 5: they are alike with an alias in front."""
+    brand's own floor is reached; and in any case 5: they are alike with an alias in front.
+
+    Rules are judged on distinct names, not cars, and similarity, the one that runs Python, only for names that the
+    built-in rules leave open; cars and pages are joined at the end.
+    """
     pages = wiki.select(F.col("wiki_name").alias("tag"), "hash_id")
-    j = scored.distinct()  # rules look at names, so pages with one name are judged once and joined at the end
-    if not complex_rules:
-        return j.filter(F.col("score") >= required).join(pages, "tag").select("car_id", "hash_id", F.lit(1).alias("rule")).distinct()
-    full = F.concat_ws(" ", "brand", "name")
-    bare = F.replace(F.col("tag"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
-    in_band = F.col("score") >= required - BAND
-    all_words = F.size(F.array_except(words(F.col("tag")), words(full))) == 0
-    own_name = F.replace(F.col("name"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
-    alike = similar(full, F.col("tag"), F.col("year")) | similar(own_name, bare, F.col("year")) | similar(F.concat_ws(" ", "brand", F.lit(""), own_name), F.col("tag"), F.col("year"))
-    floor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in BRAND_FLOORS.items() for x in p]), F.col("brand")), F.lit(2.0))
-    rule = F.when(F.col("score") >= required, 1).when(in_band & all_words, 2).when(~in_band & alike, 3).when(~in_band & (F.col("score") >= floor), 4)
-    judged = j.withColumn("rule", rule)
-    open_rows = judged.filter("rule is null").drop("rule").join(aliases.select("brand", "alias"), "brand")
-    aliased = F.concat_ws(" ", "alias", "brand", "name")
-    without = lambda c: F.replace(c, F.col("alias"), F.lit(""))
-    fifth = open_rows.filter(similar(aliased, F.col("tag"), F.col("year")) | similar(F.concat_ws(" ", F.col("alias"), without(F.col("name"))), without(F.col("tag")), F.col("year")))
-    both = judged.filter("rule is not null").select("car_id", "tag", "rule").unionByName(fifth.select("car_id", "tag", F.lit(5).alias("rule")))
-    least = both.groupBy("car_id", "tag").agg(F.min("rule").alias("rule"))
-    return least.join(pages, "tag").groupBy("car_id", "hash_id").agg(F.min("rule").alias("rule"))
+    key = F.xxhash64("brand", "name", "tag", "score").alias("key")
+    names = scored.select("brand", "name", "tag", "score").distinct()
+    first = F.when(F.col("score") >= required, 1)
+    if complex_rules:
+        in_band = F.col("score") >= required - BAND
+        full = F.concat_ws(" ", "brand", "name")
+        all_words = F.size(F.array_except(words(F.col("tag")), words(full))) == 0
+        first = first.when(in_band & all_words, 2)
+    judged = names.withColumn("rule", first)
+    found = judged.filter("rule is not null").select(key, "brand", "name", "tag", "score", "rule")
+    if complex_rules:
+        left = judged.filter("rule is null").drop("rule")
+        bare = F.replace(F.col("tag"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
+        own_name = F.replace(F.col("name"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
+        alike = similar(full, F.col("tag")) | similar(own_name, bare) | similar(F.concat_ws(" ", "brand", own_name), F.col("tag"))
+        floor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in BRAND_FLOORS.items() for x in p]), F.col("brand")), F.lit(2.0))
+        below = left.filter(~in_band).withColumn("rule", F.when(alike, 3).when(F.col("score") >= floor, 4)).filter("rule is not null")
+        found = found.unionByName(below.select(key, "brand", "name", "tag", "score", "rule"))
+        aliased = left.join(aliases.select("brand", "alias"), "brand")
+        without = lambda c: F.replace(c, F.col("alias"), F.lit(""))
+        named = similar(F.concat_ws(" ", "alias", "brand", "name"), F.col("tag")) | similar(F.concat_ws(" ", F.col("alias"), without(F.col("name"))), without(F.col("tag")))
+        found = found.unionByName(aliased.filter(named).select(key, "brand", "name", "tag", "score", F.lit(5).alias("rule")))
+    least = found.groupBy("key", "brand", "name", "tag", "score").agg(F.min("rule").alias("rule"))
+    asked = scored.select("car_id", "brand", "name", "tag", "score").withColumn("key", key)
+    hits = asked.join(least, ["key", "brand", "name", "tag", "score"]).groupBy("car_id", "tag").agg(F.min("rule").alias("rule"))
+    return hits.join(pages, "tag").groupBy("car_id", "hash_id").agg(F.min("rule").alias("rule"))
 
 
 def name_matches(cars: DataFrame, wiki: DataFrame) -> DataFrame:
@@ -220,8 +232,6 @@ def name_matches(cars: DataFrame, wiki: DataFrame) -> DataFrame:
 def register_forms(cars: DataFrame) -> DataFrame:
     """(car_id, brand, stage, form): what a register car is looked up by, in order: 1 name (before a single comma), 2 with
     year, 3 with description, 4 with both, and from 5 on the name with its last words dropped one by one."""
-    from ..functions.text import before_single_comma
-
     name = before_single_comma(F.col("name"))
     parts = F.array_remove(F.split(name, r"\s+"), "")
     dropped = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda k: F.struct((4 + F.size(parts) - k).alias("stage"), F.array_join(F.slice(parts, F.lit(1), k), " ").alias("form")))
@@ -237,16 +247,27 @@ def _by_form(forms: DataFrame, cars: DataFrame, wiki: DataFrame, curated: DataFr
     pages = wiki.select(F.col("brand_name").alias("brand"), F.explode(F.array_distinct(F.array(F.lower("wiki_name"), F.lower("car_name")))).alias("form"), "hash_id")
     known = forms.withColumn("form", F.lower("form")).join(pages.select("brand", "form").distinct(), ["brand", "form"], "left_semi")
     listed = curated_matches(cars, curated, wiki)
-    each = known.groupBy("car_id").agg(F.min("stage").alias("first"), F.collect_set(F.struct("stage", "brand", "form")).alias("forms"))
-    best = each.select("car_id", F.inline(F.filter("forms", lambda f: f["stage"] == F.col("first")) if first else "forms")).join(listed.select("car_id").distinct(), "car_id", "left_anti")
+    if first:
+        best = known.groupBy("car_id").agg(F.min(F.struct("stage", "brand", "form")).alias("b")).select("car_id", "b.*")
+    else:
+        best = known.select("car_id", "stage", "brand", "form")
+    best = best.join(listed.select("car_id").distinct(), "car_id", "left_anti")
     found = best.join(pages, ["brand", "form"]).groupBy("car_id", "hash_id").agg(F.min("stage").alias("stage")).select("car_id", "stage", "hash_id")
     return listed.select("car_id", F.lit(0).alias("stage"), "hash_id").unionByName(found)
 
 
 def match_register(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
     """(car_id, stage, hash_id): register cars by curated list (stage 0), else by the first of their forms that is a page's
-    name or its car's name, ignoring case. No classifier is asked: a car whose forms are all no page's name is not matched."""
-    return _by_form(register_forms(cars).select("car_id", "brand", "stage", "form"), cars, wiki, curated, first=True)
+    name or its car's name, ignoring case. No classifier is asked (see match_register_scored): a car whose forms are all no
+    page's name is not matched. Forms are made and met once for each distinct car (brand, name, year, description)."""
+    name = F.struct("brand", "name", "year", "description")
+    keyed = cars.withColumn("name_key", F.xxhash64(name))
+    distinct = keyed.select("name_key", "brand", "name", "year", "description").distinct()
+    asked = distinct.withColumn("car_id", F.struct("name_key", "brand", "name", "year", "description"))
+    found = _by_form(register_forms(asked).select("car_id", "brand", "stage", "form"), asked, wiki, curated, first=True)
+    back = [keyed[c].eqNullSafe(F.col(f"car.{c}")) for c in ("brand", "name", "year", "description")]
+    met = keyed.join(found.withColumnRenamed("car_id", "car"), [keyed["name_key"] == F.col("car.name_key"), *back])
+    return met.select("car_id", "stage", "hash_id").distinct()
 
 
 def match_sensors(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataFrame:
@@ -259,10 +280,60 @@ def match_sensors(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataF
     return _by_form(cars.select("car_id", "brand", F.inline(forms)), cars, wiki, curated, first=False)
 
 
+def _asked(forms: DataFrame, model: Classifier, wiki: DataFrame, aliases: DataFrame, required: dict[int, tuple[float, bool]]) -> DataFrame:
+    """(brand, group, form, hash_id): the pages that the classifier finds for each distinct form, and that the rules accept by
+    what the form's group requires, (score, complex rules). Forms are scored once for all groups."""
+    texts = forms.select("brand", F.col("form").alias("text")).distinct().withColumn("car_id", key_of(F.col("brand"), F.col("text")))
+    scored = scores(model, texts).withColumnRenamed("text", "name")
+    groups = forms.select("brand", "form", "group").distinct()
+    out = None
+    for group, (score, complex_rules) in required.items():
+        own = groups.filter(F.col("group") == group).select(key_of(F.col("brand"), F.col("form")).alias("car_id"))
+        hits = accepted(scored.join(own, "car_id", "left_semi"), wiki, aliases, score, complex_rules).select("car_id", "hash_id", F.lit(group).alias("group"))
+        out = hits if out is None else out.unionByName(hits)
+    return texts.join(out, "car_id").select("brand", "group", F.col("text").alias("form"), "hash_id").distinct()
+
+
+def _by_classifier(forms: DataFrame, cars: DataFrame, wiki: DataFrame, curated: DataFrame, hits: DataFrame, first: bool) -> DataFrame:
+    """(car_id, stage, hash_id): curated matches as stage 0; other cars by hits (brand, group, form, hash_id) of their forms
+    (car_id, brand, group, stage, form), those of the first stage that has any, or of all, each page with its first."""
+    listed = curated_matches(cars, curated, wiki)
+    left = forms.join(listed.select("car_id").distinct(), "car_id", "left_anti")
+    found = left.join(hits, ["brand", "group", "form"]).groupBy("car_id", "hash_id").agg(F.min("stage").alias("stage"))
+    if first:
+        least = found.groupBy("car_id").agg(F.min("stage").alias("stage"))
+        found = found.join(least, ["car_id", "stage"], "left_semi")
+    return listed.select("car_id", F.lit(0).alias("stage"), "hash_id").unionByName(found.select("car_id", "stage", "hash_id"))
+
+
+def match_register_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, model: Classifier, aliases: DataFrame, required: float = REGISTER_SCORE, complex_rules: bool = True) -> DataFrame:
+    """(car_id, stage, hash_id): register cars (car_id, brand, name, year, description) by curated list (stage 0), else by the
+    first of their forms (see register_forms) for which the classifier has a page that the rules accept: name, with year, with
+    description and with both must reach required; names with their last words dropped DEFAULT_SCORE, without complex rules.
+
+    The classifier and the rules see each distinct form once, whatever the number of cars that have it. As a model knows
+    words, whatever their case or order, and not the brand's, the combinations of brand and name in other cases that one
+    might also ask about have the same scores.
+    """
+    forms = register_forms(cars).select("car_id", "brand", "stage", "form").withColumn("group", (F.col("stage") > 4).cast("int"))
+    hits = _asked(forms, model, wiki, aliases, {0: (required, complex_rules), 1: (DEFAULT_SCORE, False)})
+    return _by_classifier(forms, cars, wiki, curated, hits, first=True)
+
+
+def match_sensors_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, model: Classifier, aliases: DataFrame, required: float = SENSOR_SCORE, complex_rules: bool = True, less: float = 0.03) -> DataFrame:
+    """(car_id, stage, hash_id): sensors (car_id, brand, name, year) by curated list (0), else all pages that the classifier
+    has and the rules accept for the name (1), for name and year (2) or, with the brand in front, for name (3) or name and year
+    (4), the latter three at less below required."""
+    y = F.col("year").cast("string")
+    named = [F.col("name"), F.concat_ws(" ", "name", y), F.concat_ws(" ", "brand", "name"), F.concat_ws(" ", "brand", "name", y)]
+    forms = F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(int(i > 1)).alias("group"), c.alias("form")) for i, c in enumerate(named, 1)])
+    forms = cars.select("car_id", "brand", F.inline(forms))
+    hits = _asked(forms, model, wiki, aliases, {0: (required, complex_rules), 1: (required - less, complex_rules)})
+    return _by_classifier(forms, cars, wiki, curated, hits, first=False)
+
+
 def bridge(matches: DataFrame) -> DataFrame:
     """(object_hash, car_id, hash_id): the rows that link cars to pages, with their key."""
-    from ..functions.text import key_of
-
     return matches.select("car_id", "hash_id").distinct().withColumn("object_hash", key_of(F.col("car_id"), F.col("hash_id")))
 
 
@@ -274,7 +345,7 @@ def review_queue(cars: DataFrame, matches: DataFrame) -> DataFrame:
 
 def verdict_patterns(verdicts: DataFrame) -> DataFrame:
     """Reviewed (brand, name, tag, right) as labelled patterns: each choice of the name's words, without the brand's."""
-    own = F.slice(F.array_except(F.array_remove(F.split(F.col("name"), r"\s+"), ""), F.split(F.col("brand"), r"\s+")), 1, 8)
+    own = F.slice(F.array_except(F.array_remove(F.split(F.col("name"), r"\s+"), ""), F.split(F.col("brand"), r"\s+")), 1, MOST_WORDS)
     return verdicts.select("brand", "tag", F.when(F.col("right"), "positive").otherwise("negative").alias("polarity"), F.explode(powerset(own)).alias("pattern"))
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.maths import clamped
 from ..functions.text import folded, fuel_type
 
-#: Measures of a register car that statistics are made of.
+# The measures of a register car that statistics are made of, and those that costs need.
+ALL_MEASURES = (
+    "e_consumption_miles_per_kWh", "e_consumption_wh_per_km", "maximum_range_km", "maximum_range_miles", "metric_urban_cold", "metric_extra_urban", "metric_combined", "co2_g_per_km",
+    "noise_level_dB_a_", "emissions_co_mg_per_km", "thc_emissions_mg_per_km", "emissions_nox_mg_per_km", "thc_plus_nox_emissions_mg_per_km", "particulates_no_mg_per_km", "rde_nox_urban", "rde_nox_combined",
+)
 REGISTER_MEASURES = ("metric_combined", "co2_g_per_km", "emissions_co_mg_per_km", "emissions_nox_mg_per_km", "thc_emissions_mg_per_km")
 MIN_SUPPORT = 1500
 MIN_PHENOMENA = 3
@@ -68,11 +72,23 @@ def category_averages(sensors: DataFrame, stats: DataFrame, wiki: DataFrame) ->
     )
 
 
-def register_averages(cars: DataFrame, wiki: DataFrame, measures: tuple[str, ...] = REGISTER_MEASURES) -> DataFrame:
-    """The mean and number of positive values by (category, year, fuel_type, phenomenon); a car counts once for each match.
+def measures_of(cars: DataFrame) -> tuple[str, ...]:
+    """The measures that cars has columns for."""
+    return tuple(m for m in ALL_MEASURES if m in cars.columns)
+
+
+def with_units(stats: DataFrame, phenomena: DataFrame) -> DataFrame:
+    """stats with the unit of each phenomenon (name, unit); those of unknown phenomena go."""
+    return stats.join(phenomena.select(F.col("name").alias("phenomenon"), "unit").distinct(), "phenomenon")
+
+
+def register_averages(cars: DataFrame, wiki: DataFrame, measures: tuple[str, ...] | None = None) -> DataFrame:
+    """The mean and number of positive values by (category, year, fuel_type, phenomenon), for measures, or all that cars
+    has; a car counts once for each match.
 
     Columns become rows after a partial sum, by position, so that no car is repeated for each measure in the shuffle.
     """
+    measures = measures_of(cars) if measures is None else measures
     members = matched_categories(cars, wiki, "year", "fuel_type", *measures, each_match=True)
     sums = [F.sum(F.when(F.col(m) > 0, F.col(m))).alias(f"{m}__sum") for m in measures] + [F.count_if(F.col(m) > 0).alias(f"{m}__n") for m in measures]
     wide = members.groupBy("category", "year", "fuel_type").agg(*sums)
@@ -80,9 +96,9 @@ def register_averages(cars: DataFrame, wiki: DataFrame, measures: tuple[str, ...
     return long.filter("numb_cars > 0").select("category", "year", "fuel_type", "phenomenon", (F.col("s") / F.col("numb_cars")).alias("value"), "numb_cars")
 
 
-def unpivot_measures(cars: DataFrame, *keys: str, measures: tuple[str, ...] = REGISTER_MEASURES) -> DataFrame:
+def unpivot_measures(cars: DataFrame, *keys: str, measures: tuple[str, ...] | None = None) -> DataFrame:
     """A row (keys, phenomenon, value) for each positive measure of each car."""
-    return cars.unpivot(list(keys), list(measures), "phenomenon", "value").filter("value > 0")
+    return cars.unpivot(list(keys), list(measures_of(cars) if measures is None else measures), "phenomenon", "value").filter("value > 0")
 
 
 def sensor_fuel_models(category_stats: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import geodesy
 from ..operators.routes import CATEGORIES
-from ..operators.statistics import REGISTER_MEASURES
+from ..operators.statistics import ALL_MEASURES, REGISTER_MEASURES
 from ..sources.adapters import with_sql
 from .queries import SWEEP
 
@@ -22,6 +22,8 @@ _LONG = ", ".join(REGISTER_MEASURES)
 _REG = f"""hits AS (SELECT category, year, fuel_type, {_LONG} FROM (SELECT *, unnest(wiki_hashes) AS page FROM cars) JOIN wiki ON page = wiki.hash_id),
     long AS (UNPIVOT hits ON {_LONG} INTO NAME phenomenon VALUE v),
     reg AS (SELECT category, year, fuel_type, phenomenon, avg(v) AS value, count(*) AS numb_cars FROM long WHERE v > 0 GROUP BY ALL)"""
+_ALL_LONG = ", ".join(ALL_MEASURES)
+_REG_ALL = _REG.replace(_LONG, _ALL_LONG)
 _PICK = ", ".join(f"max({c}) FILTER (WHERE phenomenon = '{p}') AS {s}_{n}" for p, s in (("Speed", "sp"), ("Consumption", "cons"), ("CO2", "co2")) for c, n in (("mn", "min"), ("av", "avg"), ("mx", "max")))
 _MODEL = f"""model AS (SELECT category, fuel_type, {_PICK}, max(w) FILTER (WHERE phenomenon = 'Speed')::BIGINT AS measurements, max(n) FILTER (WHERE phenomenon = 'Speed') AS sensors_n
     FROM cat WHERE phenomenon IN ('Speed', 'Consumption', 'CO2') GROUP BY ALL HAVING count(DISTINCT phenomenon) >= 3)"""
@@ -141,6 +143,26 @@ _REGMATCH = f"""{_REGNAMES}, {_PAGES}, {_CURATED},
         UNION SELECT car_id, 0, w.hash_id FROM names n JOIN curated c ON n.brand = c.brand AND (lower(n.name) = lower(c.entry) OR lower(n.name) || n.year = lower(c.entry)) JOIN wiki w ON w.wiki_name = c.wiki_name),
     best AS (SELECT DISTINCT car_id, stage, hash_id FROM allhits QUALIFY stage = min(stage) OVER (PARTITION BY car_id))"""
 
+_NAMES = "names AS (SELECT DISTINCT md5(manufacturer || '|' || model || ' ' || lower(description)) AS car_id, manufacturer AS brand, model || ' ' || lower(description) AS name FROM cars)"
+
+
+def _own_words(text: str, brand: str) -> str:
+    """The distinct words of a text without those of its brand."""
+    split = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+    return f"list_filter(list_distinct({split(text)}), lambda w: NOT list_contains({split(brand)}, w))"
+
+
+# naive Bayes: how often a word is in the patterns of a tag, for all words of the brand
+_BAYES = f"""forms_of AS (SELECT DISTINCT brand_name AS brand, wiki_name AS tag, unnest([wiki_name, car_name, lower(car_name), upper(car_name), array_to_string(list_transform(string_split(lower(car_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ')]) AS pattern FROM wiki),
+    learned AS (SELECT brand, tag, pattern, {_own_words('pattern', 'brand')} AS ws FROM forms_of),
+    sizes AS (SELECT brand, tag, count(*) AS n FROM learned GROUP BY ALL), totals AS (SELECT brand, sum(n) AS all_n FROM sizes GROUP BY brand),
+    seen AS (SELECT brand, tag, word, count(*) AS c FROM (SELECT brand, tag, unnest(ws) AS word FROM learned) GROUP BY ALL), vocabulary AS (SELECT DISTINCT brand, word FROM seen),
+    odds AS (SELECT s.brand, s.tag, v.word, (coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.2::DOUBLE) AS p FROM sizes s JOIN vocabulary v USING (brand) LEFT JOIN seen e ON e.brand = s.brand AND e.tag = s.tag AND e.word = v.word),
+    base AS (SELECT brand, tag, sum(ln(1 - p)) AS none FROM odds GROUP BY ALL),
+    gained AS (SELECT a.brand, a.text, o.tag, sum(ln(o.p / (1 - o.p))) AS gain FROM (SELECT brand, text, unnest(ws) AS word FROM asked) a JOIN odds o USING (brand, word) GROUP BY ALL),
+    logits AS (SELECT a.brand, a.text, s.tag, ln(n / all_n) + coalesce(none, 0) + coalesce(gain, 0) AS l FROM asked a JOIN sizes s USING (brand) JOIN totals t USING (brand) LEFT JOIN base b ON b.brand = a.brand AND b.tag = s.tag LEFT JOIN gained g ON g.brand = a.brand AND g.text = a.text AND g.tag = s.tag),
+    scored AS (SELECT brand, text, tag, exp(l - max(l) OVER w) / sum(exp(l - m)) OVER w AS score FROM (SELECT *, max(l) OVER (PARTITION BY brand, text) AS m FROM logits) WINDOW w AS (PARTITION BY brand, text)),
+    found AS (SELECT * FROM scored WHERE score > 0.25)"""
 _STRICT = _REGMATCH + """,
     one AS (SELECT DISTINCT * FROM names), strict AS (SELECT * FROM best WHERE stage <= 1)"""
 
@@ -148,8 +170,9 @@ ORACLE_SQL = {
     "avg_vehicle_type": with_sql("sensors stats", f"SELECT sensor_type AS vehicle_type, fuel_type, phenomenon, {_means()}, any_value(k) AS numb_sensors FROM stats JOIN sensors USING (sensor_id) JOIN (SELECT fuel_type, count(*) AS k FROM sensors GROUP BY 1) USING (fuel_type) GROUP BY 1, 2, 3"),
     "avg_manufacturer": with_sql("sensors stats", f"SELECT lower(trim(manufacturer_raw)) AS manufacturer, sensor_type AS vehicle_type, fuel_type, phenomenon, {_means()}, count(DISTINCT sensor_id) AS numb_sensors FROM stats JOIN sensors USING (sensor_id) GROUP BY 1, 2, 3, 4 HAVING sum(w) >= 1500"),
     "avg_category_sensor": with_sql("sensors stats wiki", "SELECT category, fuel_type, phenomenon, round(mx, 4) AS max, round(av, 4) AS average, round(mn, 4) AS min, w::BIGINT AS measurements, n AS numb_sensors FROM cat", f"{_MATCH}, {_CAT}"),
-    "avg_category_register": with_sql("cars wiki", "SELECT category, year, fuel_type, phenomenon, round(value, 4) AS value, numb_cars FROM reg", _REG),
-    "register_measures_long": with_sql("cars", "SELECT phenomenon, fuel_type, count(*) AS n, round(avg(v), 4) AS mean FROM long WHERE v > 0 GROUP BY ALL", f"wide AS (SELECT hash_id, fuel_type, {_LONG} FROM cars), long AS (UNPIVOT wide ON {_LONG} INTO NAME phenomenon VALUE v)"),
+    "avg_category_register": with_sql("cars wiki", "SELECT category, year, fuel_type, phenomenon, round(value, 4) AS value, numb_cars FROM reg", _REG_ALL),
+    "category_units": with_sql("phenomena sensors stats wiki", "SELECT phenomenon, category, fuel_type, round(mx, 4) AS max, round(av, 4) AS average, round(mn, 4) AS min, w::BIGINT AS measurements, n AS numb_sensors, unit FROM cat JOIN phenomena ON name = phenomenon", f"{_MATCH}, {_CAT}"),
+    "register_measures_long": with_sql("cars", "SELECT phenomenon, fuel_type, count(*) AS n, round(avg(v), 4) AS mean FROM long WHERE v > 0 GROUP BY ALL", f"wide AS (SELECT hash_id, fuel_type, {_ALL_LONG} FROM cars), long AS (UNPIVOT wide ON {_ALL_LONG} INTO NAME phenomenon VALUE v)"),
     "measurement_statistics": "SELECT user_id AS sensor_id, CASE event_type WHEN 'view' THEN 'Speed' WHEN 'click' THEN 'Consumption' WHEN 'purchase' THEN 'CO2' WHEN 'signup' THEN 'Rpm' WHEN 'error' THEN 'Engine Load' END AS phenomenon, max(value) AS max, round(avg(value), 6) AS avg, min(value) AS min, count(*) AS numb_measurements, count(DISTINCT event_id % 997) AS numb_tracks, 1 AS numb_sensors FROM events GROUP BY 1, 2",
     "sensor_fuel_model": with_sql("sensors stats wiki", f"SELECT category, fuel_type, round({_curve('cons', '70.0')}, 4) AS liters_per_hour, round({_curve('co2', '70.0')}, 4) AS co2_kg_per_hour, round({_curve('cons', '70.0')} / 70, 4) AS liters_per_km FROM model", f"{_MATCH}, {_CAT}, {_MODEL}"),
     "register_fuel_model": with_sql("cars wiki", "SELECT category, fuel_type, " + ", ".join(f"round(avg(value) FILTER (WHERE phenomenon = '{m}'), 4) AS {m}, sum(numb_cars) FILTER (WHERE phenomenon = '{m}') AS n_{m}" for m in REGISTER_MEASURES) + " FROM reg WHERE year >= 1995 GROUP BY ALL", _REG),
@@ -231,3 +254,95 @@ ORACLE_SQL = {
         WHEN request_id % 13 = 5 THEN 4005 WHEN request_id % 7 = 1 THEN 4007 END AS error_code, CASE WHEN request_id % 29 <> 9 AND request_id % 23 <> 8 AND request_id % 13 <> 5 THEN 6 END AS points FROM points"""),
 }
 
+_CHOICES = "unnest(CASE WHEN len(w) = 1 THEN [w[1]] WHEN len(w) = 2 THEN [w[1], w[2], w[1] || ' ' || w[2]] ELSE [w[1], w[2], w[3], w[1] || ' ' || w[2], w[1] || ' ' || w[3], w[2] || ' ' || w[3], w[1] || ' ' || w[2] || ' ' || w[3]] END)"
+_CASES = "unnest([w, list_transform(w, lambda x: lower(x)), list_transform(w, lambda x: upper(x)), list_transform(w, lambda x: upper(x[1]) || lower(x[2:]))], recursive := false)"
+_CAR_FACTORS = f"""named AS (SELECT r.request_id, r.fuel_type, r.v, c.* EXCLUDE (fuel_type) FROM requests r JOIN (SELECT DISTINCT l_orderkey AS request_id, md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS hash_id FROM lineitem) i USING (request_id) JOIN cars c ON c.hash_id = i.hash_id AND c.fuel_type = r.fuel_type),
+    classes AS (SELECT DISTINCT n.request_id, n.hash_id, n.fuel_type, n.v, w.category FROM (SELECT *, unnest(wiki_hashes) AS page FROM named) n JOIN wiki w ON n.page = w.hash_id),
+    factors AS (SELECT request_id, hash_id, avg({_growth('cons', 'v')}) AS g_fuel, avg({_growth('co2', 'v')}) AS g_co2 FROM classes JOIN model USING (category, fuel_type) GROUP BY ALL),
+    counted AS (SELECT request_id, sum(n) AS ec_sensors FROM (SELECT request_id, category, max(sensors_n) AS n FROM classes JOIN model USING (category, fuel_type) GROUP BY ALL) GROUP BY 1),
+    rated AS (SELECT n.request_id, n.hash_id, n.fuel_type, 40 AS tank, metric_combined / 100 * (1 + g_fuel) AS rate, co2_g_per_km * (1 + g_co2) AS co2, {_CO} * (1 + g_fuel) AS co, {_NOX} * (1 + g_fuel) AS nox, {_THC} * (1 + g_fuel) AS thc FROM named n JOIN factors USING (request_id, hash_id) WHERE {_FULL} AND g_fuel IS NOT NULL)"""
+_CAR_OUT = "round(avg(km), 2) AS km, round(avg(litres), 2) AS liters, round(avg(ttc), 2) AS w_tax_euro, round(avg(ht), 2) AS wo_tax_euro, strftime(max(done.date), '%Y-%m-%dT%H:%M:%S') AS price_date, round(avg(rate) * 100, 1) AS liter_per_100km, round(avg(km) * avg(co2) / 1000, 6) AS co2_kg, round(avg(co2), 6) AS co2_gram_per_km, round(avg(co2) / avg(rate), 6) AS co2_gram_per_liter" + "".join(f", round(avg(km) * avg({k}) / 1000, 6) AS {k}_g, round(avg({k}), 6) AS {k}_mg_per_km, round(avg({k}) / avg(rate), 6) AS {k}_mg_per_liter" for k in ("co", "nox", "thc"))
+_LINE = "CASE WHEN v < 0 THEN cons_min + v * (cons_avg - cons_min) / sp_avg WHEN v > sp_max THEN cons_avg + (v - sp_avg) * (cons_max - cons_avg) / (sp_max - sp_avg) ELSE " + _curve("cons", "v") + " END"
+_EVENTS = "CASE event_type WHEN 'view' THEN 'Speed' WHEN 'click' THEN 'Consumption' WHEN 'purchase' THEN 'CO2' WHEN 'signup' THEN 'Rpm' WHEN 'error' THEN 'Engine Load' END"
+_LISTED = "listed AS (SELECT manufacturer AS brand, model, lower(model) AS folded, year, description, hash_id FROM cars WHERE fuel_type IN ('gasoline', 'diesel'))"
+
+ORACLE_SQL |= {
+    "route_cost_cars": with_sql(
+        _ALL,
+        f"SELECT r.request_id, 'individual' AS category, 'Individual' AS category_en, 'Individuell' AS category_de, r.fuel_type, false AS manual_consumption, count(*) AS cfd_cars, any_value(ec_sensors)::BIGINT AS ec_sensors, {_CAR_OUT} FROM rated r JOIN done USING (request_id, hash_id) JOIN counted USING (request_id) GROUP BY r.request_id, r.fuel_type",
+        f"{_MATCH}, {_CAT}, {_MODEL}, {_PRICED}, {_REQUESTS}, {_CAR_FACTORS}, {_todo('request_id, hash_id', 'rated')}, {_fold(False, 'request_id, hash_id')}",
+        recursive=True,
+    ),
+    "route_cost_overrides": with_sql(
+        _ALL,
+        "SELECT r.request_id, r.category, r.category = 'c' AS manual_consumption, round(litres, 3) AS liters, round(ttc, 2) AS w_tax_euro, round(ht, 2) AS wo_tax_euro, round(rate * 100, 1) AS liter_per_100km FROM rated r JOIN done USING (request_id, category)",
+        f"""{_MATCH}, {_CAT}, {_MODEL}, {_PRICED}, {_CATS}, {_REQUESTS},
+        rated AS (SELECT r.request_id, r.fuel_type, c.category, CASE c.category WHEN 'b' THEN 30 ELSE c.tank END AS tank, coalesce(CASE WHEN c.category = 'c' AND o.measurements IS NOT NULL THEN 7.5 / 100 END, {_curve('cons', '100.0')} / 100) AS rate FROM requests r JOIN cats c ON c.category IN ('b', 'c') LEFT JOIN model o ON o.category = c.category AND o.fuel_type = r.fuel_type),
+        {_todo('request_id, category', 'rated')}, {_fold(True, 'request_id, category')}""",
+        recursive=True,
+    ),
+    "route_answer_fields": "SELECT request_id, category, fuel_type, km, liters, w_tax_euro, wo_tax_euro, price_date, liter_per_100km, calculation_errors FROM (" + ORACLE_SQL["route_cost_sensor"] + ")",
+    "sensors_per_class": with_sql("sensors stats wiki", """SELECT category, count(DISTINCT sensor_id) AS cars, count(DISTINCT lower(trim(manufacturer_raw))) AS brands, count(DISTINCT hash_id) AS page_cars, count(DISTINCT sensor_id) FILTER (WHERE fuel_type = 'gasoline') AS gasoline_cars, count(DISTINCT sensor_id) FILTER (WHERE fuel_type = 'diesel') AS diesel_cars, any_value(coalesce(m, 0))::BIGINT AS measurements
+        FROM (SELECT *, unnest(wiki_hashes) AS hash_id FROM sensors) JOIN wiki USING (hash_id) LEFT JOIN (SELECT category, sum(most) AS m FROM (SELECT DISTINCT sensor_id, category FROM (SELECT sensor_id, unnest(wiki_hashes) AS hash_id FROM sensors) JOIN wiki USING (hash_id)) JOIN (SELECT sensor_id, max(w) AS most FROM stats GROUP BY 1) USING (sensor_id) GROUP BY 1) USING (category) GROUP BY category"""),
+    "car_id_counts": with_sql("cars", """SELECT brand, min(model) AS model, year, description, CASE g WHEN 0 THEN 'description' WHEN 1 THEN 'year' ELSE 'all' END AS level, count(*) AS n, min(hash_id) AS first_id, max(hash_id) AS last_id
+        FROM (SELECT brand, model, folded, year, description, hash_id, 0 AS g FROM listed UNION ALL SELECT brand, model, folded, year, NULL, hash_id, 1 FROM listed UNION ALL SELECT brand, model, folded, NULL, NULL, hash_id, 2 FROM listed) GROUP BY brand, folded, year, description, g""", _LISTED),
+    "car_id_rows": with_sql("cars", "SELECT brand, folded AS model, year, description, hash_id FROM listed", _LISTED),
+    "nested_ids": with_sql("cars", "SELECT brand, min(model) AS model, sum(n)::BIGINT AS n, string_agg(year || ':' || n, ',' ORDER BY year) AS by_year FROM (SELECT brand, folded, min(model) AS model, year, count(*) AS n FROM listed GROUP BY brand, folded, year) GROUP BY brand, folded", _LISTED),
+    "cars_grouped": with_sql("wiki", "SELECT brand_name, string_agg(car_name || '/' || category, ',' ORDER BY car_name, category) AS cars FROM (SELECT DISTINCT brand_name, car_name, category FROM wiki) GROUP BY 1"),
+    "classifier_scores": with_sql("wiki cars", "SELECT brand, text, tag, round(score, 4) AS score FROM found", f"{_NAMES}, asked AS (SELECT brand, name AS text, {_own_words('name', 'brand')} AS ws FROM names), {_BAYES}"),
+    "match_register_scored": with_sql(
+        "wiki cars",
+        "SELECT car_id, stage, count(*) AS pages FROM picked GROUP BY ALL",
+        f"""{_REGMATCH.split(", pages_by_name")[0].rstrip().rstrip(",")}, {_CURATED},
+        forms AS (SELECT car_id, brand, 1 AS stage, name AS form FROM names UNION ALL SELECT car_id, brand, 2, name || ' ' || year FROM names UNION ALL SELECT car_id, brand, 3, name || ' ' || description FROM names
+            UNION ALL SELECT car_id, brand, 4, name || ' ' || description || ' ' || year FROM names
+            UNION ALL SELECT car_id, brand, 4 + len(string_split(name, ' ')) - k, array_to_string(string_split(name, ' ')[1:k], ' ') FROM names, range(1, 8) AS r(k) WHERE k < len(string_split(name, ' '))),
+        asked AS (SELECT DISTINCT brand, form AS text, {_own_words('form', 'brand')} AS ws FROM forms), {_BAYES},
+        listed AS (SELECT DISTINCT n.car_id, w.hash_id FROM names n JOIN curated c ON n.brand = c.brand AND (lower(n.name) = lower(c.entry) OR lower(n.name) || n.year = lower(c.entry)) JOIN wiki w ON w.wiki_name = c.wiki_name),
+        hits AS (SELECT DISTINCT car_id, stage, hash_id FROM forms f JOIN found s ON s.brand = f.brand AND s.text = f.form AND s.score >= CASE WHEN stage > 4 THEN 0.99 ELSE 0.4 END JOIN wiki w ON w.wiki_name = s.tag WHERE car_id NOT IN (SELECT car_id FROM listed)),
+        picked AS (SELECT car_id, 0 AS stage, hash_id FROM listed UNION ALL SELECT car_id, min(stage) AS stage, hash_id FROM (SELECT * FROM hits QUALIFY stage = min(stage) OVER (PARTITION BY car_id)) GROUP BY car_id, hash_id)""",
+    ),
+    "accepted_by_score": with_sql(
+        "wiki cars",
+        "SELECT car_id, rule, count(*) AS pages FROM (SELECT car_id, hash_id, min(rule) AS rule FROM judged JOIN wiki ON wiki_name = tag WHERE rule <= 2 GROUP BY ALL) GROUP BY ALL",
+        f"""{_NAMES}, asked AS (SELECT car_id, brand, name, list_distinct(string_split(lower(name), ' ')) AS w FROM names), paged AS (SELECT DISTINCT brand_name AS brand, wiki_name AS tag, list_distinct(string_split(lower(car_name), ' ')) AS pw FROM wiki),
+        paired AS (SELECT car_id, a.brand, name, tag, 2 * len(list_intersect(w, pw)) / (len(w) + len(pw)) AS score FROM asked a JOIN paged p ON a.brand = p.brand AND list_has_any(w, pw)),
+        judged AS (SELECT car_id, tag, CASE WHEN score >= 0.8 THEN 1 WHEN score >= 0.8::DOUBLE - 0.06::DOUBLE AND list_has_all(regexp_split_to_array(lower(brand || ' ' || name), '[^a-z0-9_]+'), regexp_split_to_array(lower(tag), '[^a-z0-9_]+')) THEN 2 ELSE 9 END AS rule FROM paired)""",
+    ),
+    "candidate_texts": f"""WITH w AS (SELECT DISTINCT md5(p_brand || '|' || p_name) AS car_id, p_brand AS brand, string_split(p_name, ' ') AS w FROM part), c AS (SELECT car_id, brand, {_CASES} AS w FROM w),
+        parts AS (SELECT DISTINCT car_id, brand, {_CHOICES} AS part FROM c), texts AS (SELECT DISTINCT car_id, brand, unnest([brand, 'B' || substr(brand, 7)]) || ' ' || part AS text FROM parts)
+        SELECT car_id, brand, count(*) AS texts, min(text) AS first_text, max(text) AS last_text FROM texts GROUP BY ALL""",
+    "training_patterns": """WITH own AS (SELECT p_brand AS brand, p_brand || ' ' || p_name AS tag, unnest([p_brand || ' ' || p_name, p_name, lower(p_name), upper(p_name), array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' '), lower(p_type)]) AS pattern FROM part),
+        wrong AS (SELECT DISTINCT p_brand AS brand, p_brand || ' ' || p_name AS tag, upper(p_name) AS pattern FROM part WHERE p_partkey % 3 = 0)
+        SELECT brand, tag, count(*) AS n, min(pattern) AS first_pattern, max(pattern) AS last_pattern FROM (SELECT DISTINCT * FROM own EXCEPT SELECT * FROM wrong) GROUP BY ALL""",
+    "verdict_patterns": f"""WITH w AS (SELECT DISTINCT p_brand AS brand, p_brand || ' ' || p_name AS tag, length(p_name) % 2 = 0 AS ok, list_distinct(string_split(p_name, ' ')) AS w0, string_split(p_name, ' ') AS w FROM part), c AS (SELECT brand, tag, ok, {_CASES} AS w FROM (SELECT brand, tag, ok, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM w))
+        SELECT brand, tag, CASE WHEN ok THEN 'positive' ELSE 'negative' END AS polarity, count(*) AS n, min(t) AS first_pattern, max(t) AS last_pattern FROM (SELECT DISTINCT brand, tag, ok, {_CHOICES} AS t FROM c) GROUP BY ALL""",
+    "match_bridge": with_sql("cars", "SELECT car_id, count(*) AS n, min(md5(car_id || page)) AS first_key FROM (SELECT DISTINCT hash_id AS car_id, unnest(wiki_hashes) AS page FROM cars) GROUP BY 1"),
+    "loose_brand_names": """WITH m AS (SELECT DISTINCT p_brand AS brand, substr(p_brand, 7)::INT AS n, 'maker ' || substr(p_brand, 7) || ' works' AS alias FROM part), r AS (SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN ' maker ' || substr(p_brand, 7, 1) WHEN 1 THEN upper(p_brand) ELSE 'nobody' END AS raw FROM part)
+        SELECT p_partkey, raw, CASE p_partkey % 3 WHEN 0 THEN (SELECT arg_min(brand, n) FROM m WHERE contains(alias, trim(raw))) WHEN 1 THEN p_brand ELSE '' END AS brand FROM r""",
+    "rewritten_sensors": """SELECT c_custkey AS sensor_id, CASE WHEN lower(c_mktsegment) = 'building' THEN 'Builders' WHEN lower(c_mktsegment) = 'automobile' AND c_custkey % 50 = 7 THEN 'Auto' ELSE c_mktsegment END AS manufacturer,
+        CASE WHEN lower(c_mktsegment) = 'automobile' AND c_custkey % 50 = 7 THEN 'Seven' WHEN c_custkey % 50 = 9 THEN 'Nine' ELSE 'model ' || (c_custkey % 50) END AS model FROM customer""",
+    "unique_cars": with_sql("cars", "SELECT manufacturer AS brand, lower(model) || CASE WHEN year % 2 = 0 THEN year::VARCHAR ELSE description END AS unique_name, min(hash_id) AS car_id FROM cars GROUP BY 1, 2"),
+    "in_word_list": r"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents) SELECT DISTINCT doc_id FROM d JOIN w USING (word) WHERE word <> ''""",
+    "latest_orders": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3",
+    "point_prices": with_sql("countries prices points", f"""SELECT route, seq, coalesce(country, '-') AS country, round(m, 2) AS meters, round(coalesce(p.diesel_ttc, g.diesel_ttc), 4) AS price, round(m / 1000 * 0.07 * coalesce(p.diesel_ttc, g.diesel_ttc), 3) AS cost
+        FROM (SELECT request_id AS route, i AS seq, c.country, coalesce(2 * {geodesy.RADIUS} * asin(sqrt(sin(radians(y - lag(y) OVER w) / 2) ** 2 + cos(radians(lag(y) OVER w)) * cos(radians(y)) * sin(radians(x - lag(x) OVER w) / 2) ** 2)), 0) AS m FROM points LEFT JOIN countries c ON x > x0 AND x < x0 + 10 AND y > y0 AND y < y0 + 10 WINDOW w AS (PARTITION BY request_id ORDER BY i)) LEFT JOIN latest p USING (country), general g""", _LATEST),
+    "plain_names": r"""SELECT p_partkey, regexp_replace(raw, '[-()\\"#/@;:<>{}`+=~|.!?,]', ' ', 'g') AS no_marks, trim(replace(regexp_replace(raw, '[(\[].*?[)\]]', '', 'g'), '-', ' ')) AS no_brackets,
+        array_to_string(list_filter(string_split(lower(raw), ' '), lambda w, i: list_position(string_split(lower(raw), ' '), w) = i), ' ') AS no_repeats, upper(raw[1]) || lower(raw[2:]) AS capital, raw AS before_comma FROM (SELECT p_partkey, p_name || ' (' || p_type || ')-X/' || p_name AS raw FROM part)""",
+    "speed_curves": with_sql("sensors stats wiki", f"SELECT category, fuel_type, v, round({_curve('cons', 'v')}, 4) AS parabola, round({_LINE}, 4) AS linear, printf('%.1f', sign({_LINE}) * floor(abs(round({_LINE}, 6)) * 10) / 10) AS cut, round(least(abs({_LINE}) * 1000, CASE fuel_type WHEN 'gasoline' THEN 2392 WHEN 'diesel' THEN 2640 ELSE 1e300 END), 4) AS capped FROM model, (VALUES (-20.0::DOUBLE), (10.0::DOUBLE), (90.0::DOUBLE), (400.0::DOUBLE)) AS s(v)", f"{_MATCH}, {_CAT}, {_MODEL}"),
+    "older_prices": with_sql("countries prices", "SELECT country, date::VARCHAR AS date, 1.0::DOUBLE AS taux, 0.0::DOUBLE AS euro_price, euro_ttc AS euro_super_95, 0.0::DOUBLE AS diesel, 'liter' AS unit, 1000 AS quantity FROM prices JOIN countries USING (country) WHERE month(date) <> 2"),
+    "general_sheet": with_sql("prices", "SELECT date::VARCHAR AS date, round(euro_ttc, 4) AS euro_super_95, CASE WHEN month(date) > 6 THEN round(diesel_ttc, 4) ELSE 0 END AS diesel FROM mean", _LATEST),
+    "category_members": with_sql("wiki", "SELECT DISTINCT CASE WHEN length(category) = 1 THEN 'Category:' ELSE 'Kategorie:' END || category AS category, CASE WHEN length(category) = 1 THEN 'en' ELSE 'de' END AS page_language, wiki_name AS title FROM wiki"),
+    "missing_texts": "SELECT md5(doc_id::VARCHAR) AS hash_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0",
+    "register_scan": with_sql("cars", "SELECT manufacturer || ' é' AS manufacturer, fuel_type, count(*) AS cars, min(CASE WHEN year BETWEEN 1980 AND 2000 THEN year ELSE year END) AS first_year, " + ", ".join(f"round(avg({m}), 3) AS mean_{m}" for m in ALL_MEASURES) + " FROM cars GROUP BY 1, 2"),
+    "boundary_scan": with_sql("countries", "SELECT country, 4 AS edges, x0, y0 + 10 AS y1 FROM countries"),
+    "track_page_scan": f"SELECT {_EVENTS} AS phenomenon, count(*) AS n, count(DISTINCT event_id % 997) AS tracks, count(DISTINCT user_id) AS sensors, round(sum(value), 3) AS total, max(ts)::DATE::VARCHAR AS last_day, (SELECT count(*) FROM events) AS points FROM events GROUP BY 1",
+    "report_files": with_sql("prices", "SELECT unnest(['csv', 'json']) AS kind, country, date::VARCHAR AS date, euro_ttc FROM prices"),
+    "stored_upserts": with_sql("prices", "SELECT country, date::VARCHAR AS date, round(euro_ttc + CASE WHEN month(date) = 3 THEN 1 ELSE 0 END, 3) AS euro_ttc FROM prices"),
+    "streamed_statistics": f"SELECT user_id::VARCHAR AS sensor_id, {_EVENTS} AS phenomenon, round(max(value), 3) AS max, round(sum(value), 3) AS sum, round(min(value), 3) AS min, count(value) AS n FROM events GROUP BY 1, 2",
+    "loaded_statistics": with_sql("stats", "SELECT md5(sensor_id || phenomenon) AS hash_id, sensor_id, phenomenon, round(mx, 4) AS max, round(av, 4) AS avg, round(greatest(mn, 0), 4) AS min, w AS numb_measurements FROM stats"),
+    "loaded_tables": with_sql("tracks wiki cars prices", "SELECT 'track' AS kind, count(*) AS rows, count(DISTINCT track_id) AS keys FROM tracks UNION ALL SELECT 'wiki_car', count(*), count(DISTINCT wiki_name || category) FROM wiki UNION ALL SELECT 'register_car', count(*), count(DISTINCT manufacturer || model || description || coalesce(fuel_type, 'None') || year) FROM cars UNION ALL SELECT 'country_price', count(*), count(DISTINCT country || date) FROM prices"),
+    "inserted_prices": with_sql("prices", "SELECT country, date::VARCHAR AS date, euro_ttc FROM prices WHERE month(date) % 2 = 0"),
+    "updated_matches": with_sql("cars", "SELECT year, count(*) AS cars, sum(CASE WHEN hash_id IN (SELECT hash_id FROM cars WHERE year % 2 = 0) THEN 1 ELSE 2 END)::BIGINT AS pages FROM cars GROUP BY year"),
+    "near_points": with_sql("points", f"SELECT route, count(*) AS n FROM (SELECT request_id AS route, coalesce(2 * {geodesy.RADIUS} * asin(sqrt(sin(radians(y - lag(y) OVER w) / 2) ** 2 + cos(radians(lag(y) OVER w)) * cos(radians(y)) * sin(radians(x - lag(x) OVER w) / 2) ** 2)), 0) AS m FROM points WINDOW w AS (PARTITION BY request_id ORDER BY i)) WHERE m / 1000 BETWEEN 0 AND 180 GROUP BY route"),
+}

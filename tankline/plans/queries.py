@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, text
 from ..operators import brands as B
-from ..operators import listings, matching, prices, routes, sensors, spatial, statistics
+from ..operators import listings, matching, names, prices, routes, sensors, spatial, statistics
 from ..sources import adapters as A
 from ..sources import readers, sinks
 
@@ -37,7 +37,8 @@ def _category_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _register_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.register_averages(A.register_cars(spark, sf), A.wiki_cars(spark, sf))
+    """The means that costs need."""
+    return statistics.register_averages(A.register_cars(spark, sf), A.wiki_cars(spark, sf), statistics.REGISTER_MEASURES)
 
 
 def _sensor_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +50,11 @@ def avg_category_sensor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def avg_category_register(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_register_stats(spark, sf))
+    return rounded(statistics.register_averages(A.register_cars(spark, sf), A.wiki_cars(spark, sf)))
+
+
+def category_units(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(statistics.with_units(_category_stats(spark, sf), A.phenomena(spark, sf)))
 
 
 def register_measures_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,6 +209,22 @@ def speed_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return routes.speed_sweep(_requests(spark, sf), _parts(spark, sf), _register_stats(spark, sf), _sensor_models(spark, sf), *SWEEP)
 
 
+def route_cost_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests for some classes at a speed of their own, with a tank and a consumption given."""
+    tanks, litres = F.create_map(F.lit("b"), F.lit(30)), F.create_map(F.lit("c"), F.lit(7.5))
+    asked = _requests(spark, sf).withColumns({"vehicle_categories": F.array(F.lit("b"), F.lit("c")), "tank_sizes": tanks, "fuel_consumptions": litres, "driving_speed": F.lit(100)})
+    return routes.sensor_costs(asked, _parts(spark, sf), _sensor_models(spark, sf)).select("request_id", "category", "manual_consumption", "liters", "w_tax_euro", "wo_tax_euro", "liter_per_100km")
+
+
+def route_answer_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of route_answers read again: one row for each request and class."""
+    costs = route_cost_sensor(spark, sf)
+    fields = ", ".join(f"{c}:{t}" for c, t in costs.dtypes if c not in ("request_id", "category"))
+    read = routes.answers(costs).select("request_id", F.from_json("body", f"fuel_stats map<string,struct<{fields}>>").alias("d"))
+    rows = read.select("request_id", F.explode("d.fuel_stats").alias("category", "s"))
+    return rows.select("request_id", "category", "s.fuel_type", "s.km", "s.liters", "s.w_tax_euro", "s.wo_tax_euro", "s.price_date", "s.liter_per_100km", "s.calculation_errors")
+
+
 def route_answers(spark: SparkSession, sf: str) -> DataFrame:
     return routes.answers(route_cost_sensor(spark, sf))
 
@@ -256,6 +277,32 @@ def cars_per_class(spark: SparkSession, sf: str) -> DataFrame:
     return listings.per_class(A.register_cars(spark, sf).withColumnRenamed("hash_id", "car_id"), A.wiki_cars(spark, sf), "car_id", "manufacturer")
 
 
+def sensors_per_class(spark: SparkSession, sf: str) -> DataFrame:
+    return listings.per_class(statistics.with_fuel(A.sensors(spark, sf)), A.wiki_cars(spark, sf), "sensor_id", "manufacturer_raw", A.sensor_statistics(spark, sf))
+
+
+def car_id_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return listings.car_id_counts(A.register_cars(spark, sf))
+
+
+def car_id_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return listings.car_id_rows(A.register_cars(spark, sf))
+
+
+def nested_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """car_ids by brand and model, as the numbers of ids of all and of each year."""
+    ids = listings.nested_car_ids(listings.car_ids(A.register_cars(spark, sf)))
+    by_year = F.transform(F.array_sort(F.map_entries("by_year")), lambda e: F.concat_ws(":", e["key"], F.size(e["value"]).cast("string")))
+    return ids.select("brand", "model", F.size("all_ids").alias("n"), F.array_join(by_year, ",").alias("by_year"))
+
+
+def cars_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    """The page cars of each brand as a sorted list."""
+    pages = A.wiki_cars(spark, sf).select("brand_name", "car_name", "category").distinct()
+    out = listings.grouped(pages, "brand_name", sort=["car_name", "category"])
+    return out.select("brand_name", F.array_join(F.transform("rows", lambda r: F.concat_ws("/", r["car_name"], r["category"])), ",").alias("cars"))
+
+
 def cars_per_brand(spark: SparkSession, sf: str) -> DataFrame:
     out = listings.per_brand(A.register_cars(spark, sf).withColumnRenamed("hash_id", "car_id"), A.wiki_cars(spark, sf), "car_id", "manufacturer")
     return out.withColumn("categories", F.array_join("categories", ","))
@@ -409,3 +456,275 @@ def newest_measurement(spark: SparkSession, sf: str) -> DataFrame:
     """The first row in a stated order: each sensor's latest value."""
     rows = readers.newest_first(A.measurements(spark, sf), ["sensor_id"], [F.desc("date"), F.asc("track_measurement_id")])
     return rows.select("sensor_id", "track_measurement_id", "phenomenon", "phenomenon_value")
+
+
+# more of matching
+
+
+def _no_patterns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "brand string, tag string, polarity string, pattern string")
+
+
+def _model(spark: SparkSession, sf: str) -> matching.Classifier:
+    """The classifiers of all brands from their pages' names, as stored tables."""
+    model = matching.train(matching.training_patterns(A.wiki_cars(spark, sf), _no_patterns(spark)))
+    return matching.Classifier(sinks.kept(model.tags, "model-tags"), sinks.kept(model.gains, "model-gains"))
+
+
+def match_register_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Register cars by the classifier's pages of their names, with the back-off, without the rules on similarity."""
+    wiki, model = A.wiki_cars(spark, sf), _model(spark, sf)
+    found = matching.match_register_scored(_register_names(spark, sf), wiki, _curated(spark, sf), model, _part_aliases(spark, sf), required=0.4, complex_rules=False)
+    return found.groupBy("car_id", "stage").agg(F.count("*").alias("pages"))
+
+
+def match_sensor_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' cars, by the classifier of each brand and the whole cascade of rules."""
+    wiki, part = A.wiki_cars(spark, sf), A.table(spark, sf, "part")
+    names = part.select(F.col("p_partkey").alias("car_id"), F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), (F.lit(1990) + F.col("p_partkey") % 30).cast("int").alias("year"))
+    found = matching.match_sensors_scored(names, wiki, _curated(spark, sf), _model(spark, sf), _part_aliases(spark, sf), required=0.9)
+    return found.groupBy("car_id", "stage").agg(F.count("*").alias("pages"))
+
+
+def accepted_by_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules that don't compare strings, on pairs that share a word: the score itself, and the band below it."""
+    named = _distinct_names(spark, sf)
+    scored = matching.name_matches(named, A.wiki_cars(spark, sf)).join(named, "car_id")
+    found = matching.accepted(scored, A.wiki_cars(spark, sf), _part_aliases(spark, sf), required=0.8).filter("rule <= 2")
+    return found.groupBy("car_id", "rule").agg(F.count("*").alias("pages"))
+
+
+def candidate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is asked about each distinct page car: brand or alias with each choice of its words."""
+    cars = A.wiki_cars(spark, sf).select(F.md5(F.concat_ws("|", "brand_name", "car_name")).alias("car_id"), F.col("brand_name").alias("brand"), F.concat("car_name", F.lit(" 1999")).alias("name")).distinct()
+    return matching.candidate_texts(cars, _part_aliases(spark, sf)).groupBy("car_id", "brand").agg(F.count("*").alias("texts"), F.min("text").alias("first_text"), F.max("text").alias("last_text"))
+
+
+def training_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns of page cars, with labelled ones: their types, and one casing of some names that is wrong."""
+    part = A.table(spark, sf, "part")
+    right = part.select(F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_brand", "p_name").alias("tag"), F.lit("positive").alias("polarity"), F.lower("p_type").alias("pattern"))
+    wrong = part.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_brand", "p_name").alias("tag"), F.lit("negative").alias("polarity"), F.upper("p_name").alias("pattern"))
+    both = matching.merged_patterns(right.unionByName(wrong), wrong)
+    return matching.training_patterns(A.wiki_cars(spark, sf), both).groupBy("brand", "tag").agg(F.count("*").alias("n"), F.min("pattern").alias("first_pattern"), F.max("pattern").alias("last_pattern"))
+
+
+def verdict_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviewed page cars as labelled patterns."""
+    rows = A.wiki_cars(spark, sf).select(F.col("brand_name").alias("brand"), F.col("wiki_name").alias("name"), F.col("wiki_name").alias("tag"), (F.length("car_name") % 2 == 0).alias("right")).distinct()
+    return matching.verdict_patterns(rows).groupBy("brand", "tag", "polarity").agg(F.count("*").alias("n"), F.min("pattern").alias("first_pattern"), F.max("pattern").alias("last_pattern"))
+
+
+def match_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that link register cars to pages, as numbers and keys by car."""
+    rows = A.register_cars(spark, sf).select(F.col("hash_id").alias("car_id"), F.explode("wiki_hashes").alias("hash_id"))
+    return matching.bridge(rows).groupBy("car_id").agg(F.count("*").alias("n"), F.min("object_hash").alias("first_key"))
+
+
+# names, words and numbers
+
+
+def loose_brand_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of makers' names: an alias that contains what is asked counts."""
+    brands = _brand_list(spark, sf)
+    number = F.substring("brand", 7, 9).cast("int")
+    aliases = brands.select("brand", F.concat(F.lit("Maker "), number.cast("string"), F.lit(" Works")).alias("alias"), number.alias("priority"))
+    k = F.col("p_partkey") % 3
+    rows = A.table(spark, sf, "part").select("p_partkey", F.when(k == 0, F.concat(F.lit(" maker "), F.substring("p_brand", 7, 1))).when(k == 1, F.upper("p_brand")).otherwise("nobody").alias("raw"))
+    return B.normalized_loosely(rows, "raw", aliases, brands).select("p_partkey", "raw", "brand")
+
+
+def rewritten_sensors(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensors by a dictionary that has one maker, one maker with model, and one model."""
+    rows = A.sensors(spark, sf).select("sensor_id", text.stripped(F.col("manufacturer_raw")).alias("manufacturer"), F.col("car_model").alias("model"))
+    words = spark.createDataFrame([("BUILDING", "Builders", None), ("automobile MODEL 7", "Auto", "Seven"), ("model 9", None, "Nine")], "raw string, brand string, name string")
+    return sensors.rewritten(rows, words)
+
+
+def unique_cars(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.register_cars(spark, sf).select(F.col("hash_id").alias("car_id"), F.col("manufacturer").alias("brand"), F.col("model").alias("name"), F.when(F.col("year") % 2 == 0, F.col("year")).alias("year"), "description")
+    return names.unique_cars(rows).select("brand", "unique_name", "car_id")
+
+
+def in_word_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that have one of the words of the parts' names."""
+    words = A.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    docs = A.table(spark, sf, "documents").select("doc_id", "text")
+    return names.in_word_list(docs, "text", words).select("doc_id")
+
+
+def latest_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The three dearest orders of each customer."""
+    return names.top_per_group(A.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+def point_prices(spark: SparkSession, sf: str) -> DataFrame:
+    p = A.country_prices(spark, sf)
+    points = _requests(spark, sf).select(F.col("request_id").alias("route"), F.posexplode("coordinates").alias("seq", "c")).select("route", "seq", "c.x", "c.y")
+    out = names.point_prices(points, A.countries(spark, sf), p, prices.mean_over_countries(p), 0.07, "diesel")
+    return out.select("route", "seq", F.coalesce("country", F.lit("-")).alias("country"), F.round("meters", 2).alias("meters"), F.round("price", 4).alias("price"), F.round("cost", 3).alias("cost"))
+
+
+def plain_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Page cars' names without marks, brackets and repeated words, and capitalised."""
+    raw = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")-X/"), F.col("p_name"))
+    rows = A.table(spark, sf, "part").select("p_partkey", raw.alias("raw"))
+    r = F.col("raw")
+    return rows.select("p_partkey", text.punctuation_to_blank(r).alias("no_marks"), text.without_brackets(r).alias("no_brackets"), text.without_repeats(r).alias("no_repeats"), text.capitalized(F.upper(r)).alias("capital"), text.before_single_comma(F.concat(r, F.lit(", z"))).alias("before_comma"))
+
+
+def speed_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Consumption at speeds in and out of each sensor model's range: the parabola, straight lines outside, cut decimals."""
+    m = _sensor_models(spark, sf).withColumn("v", F.explode(F.array(*[F.lit(x) for x in (-20.0, 10.0, 90.0, 400.0)])))
+    args = (F.col("v"), F.lit(0.0), F.col("cons_min"), F.col("speed_average"), F.col("cons_average"), F.col("speed_max"), F.col("cons_max"))
+    line = maths.linear_outside(*args)
+    return m.select("category", "fuel_type", "v", F.round(maths.parabola(*args), 4).alias("parabola"), F.round(line, 4).alias("linear"), maths.truncated(F.round(line, 6), 1).alias("cut"), F.round(maths.capped_co2(F.abs(line) * 1000, F.col("fuel_type")), 4).alias("capped"))
+
+
+# scans and loads
+
+
+def older_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """The older history as a sheet of texts with serial dates, of known countries only."""
+    p = A.country_prices(spark, sf)
+    serial = F.datediff("date", F.lit("1899-12-30").cast("date")).cast("string")
+    sheet = p.select(F.col("country").alias("code"), F.when(F.month("date") != 2, serial).otherwise("note").alias("serial"), F.lit("1").alias("taux"), F.lit("").alias("euro_price"), F.col("euro_ttc").cast("string").alias("euro"), F.lit("x").alias("diesel"))
+    known = A.countries(spark, sf).select(F.col("country").alias("country_alpha_2"), F.lit(None).cast("string").alias("country_alpha_3"))
+    return rounded(readers.price_rows(sheet, known))
+
+
+def general_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    mean = prices.mean_over_countries(A.country_prices(spark, sf))
+    sheet = mean.select(F.datediff("date", F.lit("1904-01-01").cast("date")).cast("string").alias("serial"), F.col("euro_ttc").cast("string").alias("euro"), F.when(F.month("date") > 6, F.col("diesel_ttc").cast("string")).alias("diesel"))
+    return rounded(readers.general_prices(sheet, 1).select("date", "euro_super_95", "diesel"))
+
+
+def category_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings of a class's pages, in two languages."""
+    pages = A.wiki_cars(spark, sf)
+    head = F.concat(F.when(F.length("category") == 1, "Category:").otherwise("Kategorie:"), F.col("category"))
+    listing = pages.groupBy(head.alias("category")).agg(F.collect_list("wiki_name").alias("members"))
+    return readers.category_members(listing)
+
+
+def missing_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts of documents out of JSON answers, for those without a stored one."""
+    key = F.md5(F.col("doc_id").cast("string")).alias("hash_id")
+    docs = A.table(spark, sf, "documents").filter("doc_id is not null")
+    stored = docs.filter("doc_id % 3 = 0").select(key, F.col("text").alias("page_text"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.col("text").alias("extract")).alias("7")).alias("query")))
+    found = readers.missing_texts(docs.select(key), stored, docs.select(key, body.alias("body")))
+    return found.select("hash_id", F.md5("page_text").alias("text_md5"))
+
+
+def register_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The register written as its CSV, in Windows' encoding, and scanned: measures by their means."""
+    path = sinks.scratch(spark, "register")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    cars = A.register_cars(spark, sf)
+    named = {h: c for h, c in readers.REGISTER_COLUMNS.items() if c in cars.columns}
+    rows = cars.select(F.concat(F.col("manufacturer"), F.lit(" \u00e9")).alias("Manufacturer"), *[F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(h) for h, c in named.items() if c != "manufacturer"], F.concat(F.lit("3 March "), F.col("year").cast("string")).alias("Date of change"))
+    rows.write.csv(path, header=True, encoding="windows-1252")
+    read = readers.register(spark, path, 2000)
+    means = [F.avg(m).alias(f"mean_{m}") for m in statistics.measures_of(read)]
+    return rounded(read.groupBy("manufacturer", "fuel_type").agg(F.count("*").alias("cars"), F.min("year").alias("first_year"), *means), 3)
+
+
+def boundary_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Countries written as lines of GeoJSON, scanned, and met by code."""
+    path = sinks.scratch(spark, "boundaries")
+    c = A.countries(spark, sf)
+    line = F.transform("polygons", lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    shape = F.struct(F.struct(F.col("country").alias("iso_a2")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), line.alias("coordinates")).alias("geometry"))
+    c.select(F.to_json(shape).alias("value")).write.text(path)
+    codes = c.select(F.col("country").alias("country_alpha_2"), F.lit(None).cast("string").alias("country_alpha_3"), "name")
+    met = readers.with_boundaries(codes, readers.boundaries(spark, path)).withColumnRenamed("country_alpha_2", "country")
+    e = spatial.edges(met)
+    return e.groupBy("country").agg(F.count("*").alias("edges"), F.min("ax").alias("x0"), F.max("by").alias("y1"))
+
+
+def track_page_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurements written as pages of tracks and scanned: values by phenomenon."""
+    path = sinks.scratch(spark, "pages")
+    m = A.measurements(spark, sf)
+    value = F.struct(F.col("phenomenon_value").alias("value"), F.lit("u").alias("unit"))
+    feature = F.struct(F.struct(F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates")).alias("geometry"), F.struct(F.col("track_measurement_id").cast("string").alias("id"), F.col("date").alias("time"), F.create_map("phenomenon", value).alias("phenomenons")).alias("properties"))
+    page = m.groupBy("track_id", "sensor_id").agg(F.collect_list(feature).alias("features"))
+    props = F.struct(F.col("track_id").cast("string").alias("id"), F.struct(F.struct(F.col("sensor_id").cast("string").alias("id")).alias("properties")).alias("sensor"))
+    page.select(F.to_json(F.struct(props.alias("properties"), "features")).alias("value")).write.text(path)
+    points, values = readers.track_features(spark.read.schema(readers.FEATURES).json(path))
+    out = values.groupBy("phenomenon").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("sensor_id").alias("sensors"), F.sum("phenomenon_value").alias("total"), F.max("date").cast("date").alias("last_day"))
+    return rounded(out.join(F.broadcast(points.agg(F.count("*").alias("points"))), F.lit(True), "left"), 3)
+
+
+def report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A report written as CSV and as JSON documents, and both read again."""
+    path = sinks.scratch(spark, "report")
+    rows = A.country_prices(spark, sf).select("country", F.col("date").cast("string").alias("date"), "euro_ttc")
+    sinks.write_csv(rows, f"{path}-csv")
+    sinks.write_json_documents(rows, f"{path}-json")
+    schema = "country string, date string, euro_ttc double"
+    both = spark.read.csv(f"{path}-csv", header=True, schema=schema).select(F.lit("csv").alias("kind"), "*").unionByName(spark.read.schema(schema).json(f"{path}-json").select(F.lit("json").alias("kind"), "*"))
+    return rounded(both, 3)
+
+
+def stored_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices merged into a stored table twice, the second time with some that changed, and read again."""
+    path = sinks.scratch(spark, "prices")
+    p = A.country_prices(spark, sf).select("country", "date", "euro_ttc")
+    schema = "country string, date date, euro_ttc double"
+    sinks.upsert_table(spark, path, p, schema, "country", "date")
+    sinks.upsert_table(spark, path, p.filter("month(date) = 3").withColumn("euro_ttc", F.col("euro_ttc") + 1), schema, "country", "date")
+    return rounded(sinks.read_table(spark, path, schema), 3)
+
+
+def streamed_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurements that come as files, in two runs of the stream; the table that it keeps up."""
+    from ..streaming import ingest
+
+    path = sinks.scratch(spark, "stream")
+    rows = A.measurements(spark, sf).select(F.col("sensor_id").cast("string").alias("sensor_id"), "phenomenon", "phenomenon_value")
+    for part in range(2):
+        rows.filter(F.pmod(F.hash("sensor_id", "phenomenon_value"), F.lit(2)) == part).write.mode("append").parquet(f"{path}/in")
+        ingest.running_statistics(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/mark").awaitTermination()
+    return rounded(sinks.read_table(spark, f"{path}/out", ingest.STATE), 3)
+
+
+def loaded_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The load of sensor statistics: its columns, the clamp and the key."""
+    from ..sources.loads import load
+
+    rows = load("sensor_statistic", A.sensor_statistics(spark, sf))
+    return rounded(rows.select("hash_id", "sensor_id", "phenomenon", "max", "avg", "min", "numb_measurements"))
+
+
+def loaded_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and distinct keys of the loads of tracks, pages, register cars and prices."""
+    from ..sources.loads import load
+
+    tables = {"track": (A.tracks(spark, sf), "track_id"), "wiki_car": (A.wiki_cars(spark, sf).drop("hash_id"), "hash_id"), "register_car": (A.register_cars(spark, sf), "hash_id"), "country_price": (A.country_prices(spark, sf), "hash_id")}
+    out = None
+    for kind, (rows, key) in tables.items():
+        one = load(kind, rows).agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.countDistinct(key).alias("keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def inserted_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """What an insert of all prices, each twice, would add to those of odd months."""
+    p = A.country_prices(spark, sf).select("country", "date", "euro_ttc")
+    return rounded(sinks.inserted(p.filter("month(date) % 2 = 1"), p.unionByName(p), "country", "date"), 3)
+
+
+def updated_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Register cars of even years with other matches: their first page alone."""
+    cars = A.register_cars(spark, sf).select("hash_id", "year", "wiki_hashes")
+    new = cars.filter("year % 2 = 0").select("hash_id", F.slice("wiki_hashes", 1, 1).alias("wiki_hashes"))
+    return sinks.updated_matches(cars, new).groupBy("year").agg(F.count("*").alias("cars"), F.sum(F.size("wiki_hashes")).alias("pages"))
+
+
+def near_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of routes within 180 km of the one before."""
+    points = _requests(spark, sf).select(F.col("request_id").alias("route"), F.posexplode("coordinates").alias("seq", "c")).select("route", "seq", "c.x", "c.y")
+    far = spatial.point_distances(points)
+    return far.filter(spatial.within_limit(F.col("meters") / 1000, 180.0)).groupBy("route").agg(F.count("*").alias("n"))

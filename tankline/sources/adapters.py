@@ -70,6 +70,10 @@ def register_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 5).alias("metric_combined"), (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("co2_g_per_km"),
         (F.col("l_discount") * 1000).alias("emissions_co_mg_per_km"), (F.col("l_tax") * 1000).alias("emissions_nox_mg_per_km"),
         ((F.col("l_discount") + F.col("l_tax")) * 100).alias("thc_emissions_mg_per_km"),
+        (F.col("l_quantity") / 4).alias("metric_urban_cold"), (F.col("l_quantity") / 6).alias("metric_extra_urban"), (60 + F.col("l_linenumber")).cast("double").alias("noise_level_dB_a_"),
+        ((F.col("l_discount") + 2 * F.col("l_tax")) * 1000).alias("thc_plus_nox_emissions_mg_per_km"), (F.col("l_linenumber") / 10).alias("particulates_no_mg_per_km"),
+        (F.col("l_tax") * 500).alias("rde_nox_urban"), (F.col("l_discount") * 300).alias("rde_nox_combined"),
+        *[F.when(F.col("l_returnflag") == "R", F.col("l_quantity") * k).cast("double").alias(n) for n, k in (("e_consumption_miles_per_kWh", 2), ("e_consumption_wh_per_km", 3), ("maximum_range_km", 8), ("maximum_range_miles", 5))],
         F.array(_wiki_hash(F.col("l_partkey")), _wiki_hash((F.col("l_partkey") + 11) % n)).alias("wiki_hashes"),
     )
 
@@ -133,6 +137,9 @@ SQL = {
         CASE l_returnflag WHEN 'A' THEN 'gasoline' WHEN 'N' THEN 'diesel' WHEN 'R' THEN 'electric' END AS fuel_type, year(l_shipdate) AS year,
         l_quantity / 5 AS metric_combined, l_extendedprice / l_quantity / 10 AS co2_g_per_km, l_discount * 1000 AS emissions_co_mg_per_km,
         l_tax * 1000 AS emissions_nox_mg_per_km, (l_discount + l_tax) * 100 AS thc_emissions_mg_per_km,
+        l_quantity / 4 AS metric_urban_cold, l_quantity / 6 AS metric_extra_urban, (60 + l_linenumber)::DOUBLE AS noise_level_dB_a_, (l_discount + 2 * l_tax) * 1000 AS thc_plus_nox_emissions_mg_per_km,
+        l_linenumber / 10 AS particulates_no_mg_per_km, l_tax * 500 AS rde_nox_urban, l_discount * 300 AS rde_nox_combined, CASE l_returnflag WHEN 'R' THEN l_quantity * 2 END AS e_consumption_miles_per_kWh,
+        CASE l_returnflag WHEN 'R' THEN l_quantity * 3 END AS e_consumption_wh_per_km, CASE l_returnflag WHEN 'R' THEN l_quantity * 8 END AS maximum_range_km, CASE l_returnflag WHEN 'R' THEN l_quantity * 5 END AS maximum_range_miles,
         [md5('w' || l_partkey), md5('w' || ((l_partkey + 11) % n))] AS wiki_hashes FROM lineitem JOIN part ON l_partkey = p_partkey, np)""",
     "countries": """countries AS (SELECT 'N' || n_nationkey AS country, n_name AS name, (n_nationkey % 5 * 10)::DOUBLE AS x0, (n_nationkey // 5 * 10)::DOUBLE AS y0 FROM nation WHERE n_nationkey % 7 <> 3)""",
     "prices": """prices AS (SELECT 'N' || c_nationkey AS country, date_trunc('month', o_orderdate)::DATE AS date, round(avg(o_totalprice) / 150, 3) AS euro_ttc,

@@ -15,11 +15,14 @@ COUNTRY_COLUMNS = {
     "ISO4217-currency_alphabetic_code": "currency_code", "ISO4217-currency_name": "currency_name",
 }
 REGISTER_COLUMNS = {
-    "Manufacturer": "manufacturer", "Model": "model", "Description": "description", "Transmission": "transmission", "Transmission Type": "transmission_type", "Fuel Type": "fuel_type",
-    "Engine Capacity": "engine_capacity", "Euro Standard": "euro_standard", "Metric Urban (Cold)": "metric_urban_cold", "Metric Extra-Urban": "metric_extra_urban", "Metric Combined": "metric_combined",
+    "Manufacturer": "manufacturer", "Model": "model", "Description": "description", "Transmission": "transmission", "Transmission Type": "transmission_type", "Engine Capacity": "engine_capacity", "Fuel Type": "fuel_type",
+    "Electric energy consumption Miles/kWh": "e_consumption_miles_per_kWh", "wh/km": "e_consumption_wh_per_km", "Maximum range (Km)": "maximum_range_km", "Maximum range (Miles)": "maximum_range_miles",
+    "Metric Urban (Cold)": "metric_urban_cold", "Metric Extra-Urban": "metric_extra_urban", "Metric Combined": "metric_combined",
     "Imperial Urban (Cold)": "imperial_urban_cold", "Imperial Extra-Urban": "imperial_extra_urban", "Imperial Combined": "imperial_combined", "CO2 g/km": "co2_g_per_km",
-    "Noise Level dB(A)": "noise_level", "Emissions CO [mg/km]": "emissions_co_mg_per_km", "THC Emissions [mg/km]": "thc_emissions_mg_per_km", "Emissions NOx [mg/km]": "emissions_nox_mg_per_km",
-    "Date of change": "date_of_change",
+    "Fuel Cost 6000 Miles": "fuel_cost_6000_miles", "Fuel Cost 12000 Miles": "fuel_cost_12000_miles", "Electricity cost": "electricity_cost", "Total cost / 12000 miles": "total_cost_per_12000_miles",
+    "Euro Standard": "euro_standard", "Noise Level dB(A)": "noise_level_dB_a_", "Emissions CO [mg/km]": "emissions_co_mg_per_km", "THC Emissions [mg/km]": "thc_emissions_mg_per_km",
+    "Emissions NOx [mg/km]": "emissions_nox_mg_per_km", "THC + NOx Emissions [mg/km]": "thc_plus_nox_emissions_mg_per_km", "Particulates [No.] [mg/km]": "particulates_no_mg_per_km",
+    "RDE NOx Urban": "rde_nox_urban", "RDE NOx Combined": "rde_nox_combined", "Date of change": "date_of_change",
 }
 REGISTER_TEXT = ("manufacturer", "model", "description", "transmission", "transmission_type", "fuel_type", "euro_standard", "date_of_change")
 FUEL_COLUMNS = {"euro": "euro_super_95", "diesel": "diesel"}
@@ -152,9 +155,11 @@ def category_members(rows: DataFrame) -> DataFrame:
 
 
 def missing_texts(wiki: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame:
-    """(hash_id, page_text) of pages without a stored text: the extract found anywhere in the fetched JSON (hash_id, body)."""
-    found = F.regexp_extract("body", r'"extract"\s*:\s*("(?:[^"\\]|\\.)*")', 1)
-    text = F.from_json(F.concat(F.lit('{"t":'), found, F.lit("}")), "t string")["t"]
+    """(hash_id, page_text) of pages without a stored text: the first extract found anywhere in the fetched JSON (hash_id,
+    body). What follows the field's name is read as JSON again, however long it is; a quoted name inside a text is written
+    with escapes there, so it can't be taken for the field."""
+    rest = F.get(F.split("body", r'"extract"\s*:', 2), F.lit(1))
+    text = F.from_json(F.concat(F.lit('{"t":'), rest), "t string")["t"]
     wanted = wiki.select("hash_id").distinct().join(stored.filter("page_text is not null").select("hash_id"), "hash_id", "left_anti")
     return fetched.join(wanted, "hash_id", "left_semi").select("hash_id", text.alias("page_text")).filter("page_text is not null")
 

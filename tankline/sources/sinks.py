@@ -1,23 +1,37 @@
-"""Writes: upsert, insert if absent, source registry, guards, CSV and JSON, on folders of Parquet versions."""
+"""Writes: upsert, insert if absent, source registry, guards, CSV and JSON; stored tables are folders of Parquet."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Parts of a keyed table, by hash of the key; a merge rewrites the parts that it has new keys for.
+BUCKETS = 64
+BUCKET = "key_bucket"
+# The stored tables, those that refer to others after them, as they are emptied.
+CHILDREN_FIRST = (
+    "track_measurement", "track_statistic", "sensor_statistic", "track", "manufacturer_average", "category_average", "vehicle_type_average", "register_average",
+    "sensor", "register_car", "wiki_car", "country_price", "general_price", "country", "phenomenon",
+)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...]):
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
 def upserted(old: DataFrame, new: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
-    """The rows of both, of one key that of new, and of several in new the last by order. Columns that one side lacks are
-    null. A row of old is only met by its key, so a large table with few changes is one shuffle of each side."""
-    last = new
-    if order:
-        last = new.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_rank = 1").drop("_rank")
-    else:
-        last = new.dropDuplicates(list(keys))
-    return old.join(last.select(*keys), list(keys), "left_anti").unionByName(last, allowMissingColumns=True)
+    """The rows of both, of one key that of new, and of several in new the last by order (of equal ones, and without an order,
+    the greatest by its other columns, so that the result doesn't depend on how rows arrive). A null in a key is a value like
+    any other. Columns that one side lacks are null. A row of old is only met by its key, so a large table with few changes
+    is one shuffle of each side."""
+    rest = [F.desc(c) for c in new.columns if c not in keys]
+    last = new.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*([F.desc(order)] if order else []), *rest or [F.lit(1)]))).filter("_rank = 1").drop("_rank")
+    return old.join(last.select(*keys), _same(old, last, keys), "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def inserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -46,30 +60,79 @@ def blanks_as_zero(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in columns})
 
 
-class Versions:
-    """A table as a folder of whole Parquet versions and a log of which came when; a version is read only after its log line
-    is written, so a writer that is lost midway leaves the table as it was."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def read(self, schema: str) -> DataFrame:
-        try:
-            log = self.spark.read.parquet(f"{self.path}/log").orderBy(F.desc("at")).limit(1).collect()
-        except AnalysisException:
-            log = []
-        return self.spark.read.parquet(f"{self.path}/{log[0]['version']}") if log else self.spark.createDataFrame([], schema)
-
-    def write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.expr("unix_micros(current_timestamp())").alias("at")).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-
-    def upsert(self, new: DataFrame, schema: str, *keys: str, order: str | None = None) -> None:
-        self.write(upserted(self.read(schema), new, *keys, order=order))
-
-    def truncate(self, schema: str) -> None:
-        self.write(self.read(schema).limit(0))
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table; one that nothing was written to yet is empty. Only a folder that isn't there counts as that, any other
+    error is raised."""
+    fields = StructType.fromDDL(schema)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).select(*fields.names, BUCKET).drop(BUCKET)
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, schema: str, *keys: str, order: str | None = None, buckets: int = BUCKETS) -> None:
+    """new merged into the table at path by keys, see upserted. The table is partitioned by a hash of the key, and only the
+    parts that new has keys of are read, merged and replaced. They are first written beside the table, so that nothing is
+    replaced by what is still being read; a merge that is lost midway is mended by running it again."""
+    names = StructType.fromDDL(schema).names
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    fresh = new.select(*names).withColumn(BUCKET, place)
+    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most buckets
+    if not touched:
+        return
+    old = read_table(spark, path, schema).withColumn(BUCKET, place)
+    if len(touched) < buckets:
+        old = _parts_of(spark, path, schema, touched)
+    beside = f"{path.rstrip('/')}-merging-{uuid.uuid4().hex}"
+    upserted(old.select(*names, BUCKET), fresh, *keys, order=order).write.partitionBy(BUCKET).parquet(beside)
+    spark.read.schema(f"{schema}, {BUCKET} int").parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    _delete(spark, beside)
+
+
+def _parts_of(spark: SparkSession, path: str, schema: str, parts: list[int]) -> DataFrame:
+    """The parts of a table, read through its partitions."""
+    empty = read_table(spark, path, schema)
+    if not empty.inputFiles():
+        return empty.withColumn(BUCKET, F.lit(None).cast("int"))
+    return spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).filter(F.col(BUCKET).isin(parts))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; where that is unset and Spark runs in this process alone, below the local
+    temporary folder. On a cluster it must be set, as executors and driver share no other."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root or tempfile.gettempdir()}/spark-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, however often it is then used."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Empty the table at path, which stays a table."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def truncate_all(spark: SparkSession, root: str, tables: tuple[str, ...] = CHILDREN_FIRST) -> list[str]:
+    """Empty the tables below root, those that refer to others first; returns the names of those that were there."""
+    done = []
+    for name in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            truncate(spark, f"{root.rstrip('/')}/{name}")
+            done.append(name)
+    return done
 
 
 def write_csv(df: DataFrame, path: str) -> None:

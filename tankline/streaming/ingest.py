@@ -8,10 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.prices import not_yet_stored
 from ..sources.readers import FEATURES, track_features
-from ..sources.sinks import Versions, changed_sources
+from ..sources.sinks import changed_sources, upsert_table
 
-WATERMARK = "7 days"
-STATE = "sensor_id string, phenomenon string, max double, sum double, min double, n long, batch long"
+STATE = "sensor_id string, phenomenon string, max double, sum double, min double, n long"
+VALUES = "track_measurement_id string, track_id string, sensor_id string, phenomenon string, phenomenon_value double, date timestamp"
+#: The partition that values are stored in, their day; values without a date have one of their own.
+DAY = "day"
 SENSORS = "sensor_id string, sensor_type string, manufacturer_raw string, car_model string, fuel_raw string, construction_year int"
 
 
@@ -21,37 +23,45 @@ def measurement_pages(spark: SparkSession, folder: str) -> DataFrame:
     return track_features(pages)[1]
 
 
-def deduplicated(values: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Each (track_measurement_id, phenomenon) once, within the watermark on its date."""
-    return values.withWatermark("date", watermark).dropDuplicatesWithinWatermark(["track_measurement_id", "phenomenon"])
-
-
 def append(values: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """All there is now, appended to Parquet; run again for what has come since."""
-    return values.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def upsert_stream(rows: DataFrame, table: Versions, schema: str, keys: tuple[str, ...], checkpoint: str) -> StreamingQuery:
-    """Each batch merged into the table by keys; a batch that is run twice after a failure changes nothing."""
+    """Each (track_measurement_id, phenomenon) of all there is now that isn't stored yet, appended to Parquet by day; run again
+    for what has come since. A measurement has one date, so only the keys of the days that a batch has are read again, and old
+    tracks that are brought in late are met like new ones: no row is too late. A batch that is run twice adds nothing."""
+    keys = ["track_measurement_id", "phenomenon"]
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn(DAY, F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("none"))).dropDuplicates(keys)
+        days = new.select(DAY).distinct()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            stored = spark.read.schema(f"{VALUES}, {DAY} string").parquet(out).select(*keys, DAY)
+            stored = stored.join(F.broadcast(days), DAY, "left_semi")  # a name for each day, so partitions are pruned as the batch's days are known
+            new = new.join(stored, [*keys, DAY], "left_anti").select(new.columns)
+        new.write.mode("append").partitionBy(DAY).parquet(out)
+
+    return values.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_stream(rows: DataFrame, path: str, schema: str, keys: tuple[str, ...], checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Each batch merged into the table at path by keys; a batch that is run twice after a failure changes nothing, as the
+    same rows of it win. What wins inside a batch is stated by order."""
     def merge(batch: DataFrame, _: int) -> None:
-        table.upsert(batch, schema, *keys)
+        upsert_table(batch.sparkSession, path, batch, schema, *keys, order=order)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_statistics(values: DataFrame, table: Versions, checkpoint: str) -> StreamingQuery:
-    """Max, sum, min and count by sensor and phenomenon, kept up with what arrives. The number of the batch is stored with a
-    row, so a batch that is run again doesn't count twice."""
-    def merge(batch: DataFrame, number: int) -> None:
-        old = table.read(STATE)
-        if not old.filter(F.col("batch") >= number).isEmpty():
-            return
-        new = batch.groupBy("sensor_id", "phenomenon").agg(F.max("phenomenon_value").alias("max"), F.sum("phenomenon_value").alias("sum"), F.min("phenomenon_value").alias("min"), F.count("phenomenon_value").alias("n"))
-        both = old.drop("batch").unionByName(new)
-        out = both.groupBy("sensor_id", "phenomenon").agg(F.max("max").alias("max"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.sum("n").alias("n"))
-        table.write(out.withColumn("batch", F.lit(number).cast("long")))
+def running_statistics(values: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Max, sum, min and count by sensor and phenomenon, kept up with what arrives: Spark keeps the aggregates as its state,
+    and each batch merges those that changed into the table at path, so a batch that is run again doesn't count twice."""
+    v = F.col("phenomenon_value")
+    sums = values.groupBy("sensor_id", "phenomenon").agg(F.max(v).alias("max"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.count(v).alias("n"))
+
+    def merge(batch: DataFrame, _: int) -> None:
+        upsert_table(batch.sparkSession, path, batch, STATE, "sensor_id", "phenomenon")
 
-    return values.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return sums.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def changed_prices(spark: SparkSession, path: str, registry: DataFrame, prices: DataFrame, stored: DataFrame) -> DataFrame:

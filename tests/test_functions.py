@@ -42,7 +42,7 @@ def test_clean_model(spark, model, year, want):
 def test_powerset(spark):
     assert one(spark, text.powerset(F.array(F.lit("golf"), F.lit("iv")))) == sorted({"golf", "iv", "golf iv", "Golf", "Iv", "Golf Iv", "GOLF", "IV", "GOLF IV"})
     assert one(spark, text.powerset(F.array().cast("array<string>"))) == []
-    assert len(one(spark, text.subsets(F.array(*[F.lit(str(i)) for i in range(8)])))) == 255 and one(spark, text.subsets(F.array(*[F.lit(str(i)) for i in range(9)]))) is None
+    assert len(one(spark, text.subsets(F.array(*[F.lit(str(i)) for i in range(12)])))) == 4095 and one(spark, text.subsets(F.array(*[F.lit(str(i)) for i in range(13)]))) is None
 
 
 def test_relevant_words(spark):

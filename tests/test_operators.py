@@ -343,3 +343,24 @@ def test_request_errors(spark):
     rows = spark.createDataFrame([(i, b if isinstance(b, str) else json.dumps(b)) for i, (b, _) in enumerate(bad)], "request_id int, body string")
     got = routes.parsed(rows).orderBy("request_id").collect()
     assert [r["error_code"] for r in got] == [c for _, c in bad] and got[0]["tank_sizes"] == {"a": 30}
+
+
+def test_ratios_are_rounded_and_years_taken_out(spark):
+    a, b = "a" * 23 + " x" + "b" * 27, "a" * 23 + " x" + "c" * 5 + "b" * 22
+    assert 90 < matching.ratio(a, b) < 90.5  # 90.4 is 90, which is not over 90
+    rows = spark.createDataFrame([(a, b), ("VW Golf 2012 Variant", "VW Golf Variant"), ("VW Golf 1979 Variant", "VW Polo Variant")], "a string, b string")
+    assert [r[0] for r in rows.select(matching.similar(F.col("a"), F.col("b"))).collect()] == [False, True, False]
+
+
+def test_classifier_steps_of_register_and_sensors(spark):
+    wiki = spark.createDataFrame([("h1", "VW", "Golf", "VW Golf", "c"), ("h2", "VW", "Polo", "VW Polo", "b"), ("h3", "VW", "Golf Plus", "VW Golf Plus", "m")], "hash_id string, brand_name string, car_name string, wiki_name string, category string")
+    none = spark.createDataFrame([], "brand string, tag string, polarity string, pattern string")
+    model = matching.train(matching.training_patterns(wiki, none))
+    curated = spark.createDataFrame([("VW", "käfer", "VW Golf")], "brand string, entry string, wiki_name string")
+    aliases = spark.createDataFrame([("VW", "Volkswagen", 1)], "brand string, alias string, priority int")
+    cars = spark.createDataFrame([("a", "VW", "polo", 2001, "x"), ("b", "VW", "golf tsi", 2002, "plus"), ("c", "VW", "Käfer", 1970, "x"), ("d", "VW", "up", 2012, "x"), ("e", "VW", "polo zz qq", 2003, "y")], "car_id string, brand string, name string, year int, description string")
+    found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_register_scored(cars, wiki, curated, model, aliases, required=0.9).collect()}
+    assert ("a", 1, "h2") in found and ("c", 0, "h1") in found and ("e", 1, "h2") in found and not [f for f in found if f[0] == "d"]
+    assert ("b", 1, "h3") not in found
+    found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_sensors_scored(cars.drop("description"), wiki, curated, model, aliases, required=0.95).collect()}
+    assert ("a", 1, "h2") in found and ("c", 0, "h1") in found and not [f for f in found if f[0] == "d"]

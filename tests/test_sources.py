@@ -77,18 +77,26 @@ def test_registry_versions_and_reports(spark, tmp_path):
     known = spark.createDataFrame([(hashlib.sha1(b"1").hexdigest(),)], "object_hash string")
     changed = sinks.changed_sources(spark, str(tmp_path / "src"), known).collect()
     assert [r["object_name"].rsplit("/", 1)[1] for r in changed] == ["b.csv"]
-    table = sinks.Versions(spark, str(tmp_path / "table"))
-    assert table.read("k int, v string").count() == 0
+    path, schema = str(tmp_path / "table"), "k int, v string"
+    read = lambda: sinks.read_table(spark, path, schema)
+    assert read().count() == 0
     for _ in range(2):
-        table.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), "k int, v string", "k")
-    table.upsert(spark.createDataFrame([(2, "c")], "k int, v string"), "k int, v string", "k")
-    assert sorted(tuple(r) for r in table.read("k int, v string").collect()) == [(1, "a"), (2, "c")]
-    sinks.write_csv(table.read("k int, v string"), str(tmp_path / "csv"))
+        sinks.upsert_table(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], schema), schema, "k")
+    sinks.upsert_table(spark, path, spark.createDataFrame([(2, "c")], schema), schema, "k")
+    assert sorted(tuple(r) for r in read().collect()) == [(1, "a"), (2, "c")]
+    sinks.write_csv(read(), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
     sinks.write_json_documents(spark.createDataFrame([(1, 2)], "b int, a int"), str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).first()[0] == '{"a":2,"b":1}'
-    table.truncate("k int, v string")
-    assert table.read("k int, v string").count() == 0
+    sinks.truncate(spark, path)
+    assert read().count() == 0
+    sinks.upsert_table(spark, path, spark.createDataFrame([(None, "x"), (None, "y"), (3, "z")], schema), schema, "k", order="v")
+    sinks.upsert_table(spark, path, spark.createDataFrame([(None, "w")], schema), schema, "k")
+    assert sorted((tuple(r) for r in read().collect()), key=str) == [(3, "z"), (None, "w")]
+    for name in ("sensor", "track", "other"):
+        spark.createDataFrame([(1,)], "k int").write.parquet(str(tmp_path / "root" / name))
+    assert sinks.truncate_all(spark, str(tmp_path / "root")) == ["track", "sensor"]
+    assert [spark.read.parquet(str(tmp_path / "root" / n)).count() for n in ("sensor", "track", "other")] == [0, 0, 1]
     cars = spark.createDataFrame([("a", ["x"]), ("b", ["y"])], "hash_id string, wiki_hashes array<string>")
     new = spark.createDataFrame([("b", ["z"])], "hash_id string, wiki_hashes array<string>")
     assert sorted(tuple(r) for r in sinks.updated_matches(cars, new).collect()) == [("a", ["x"]), ("b", ["z"])]
@@ -103,9 +111,9 @@ def test_two_incremental_runs_equal_one_batch(spark, tmp_path):
     folder.mkdir()
     t = "2024-01-0{}T00:00:00Z"
     (folder / "1.json").write_text(json.dumps(page("t1", ("p1", t.format(1), 10.0), ("p2", t.format(2), 20.0))))
-    stats = sinks.Versions(spark, str(tmp_path / "stats"))
+    stats = str(tmp_path / "stats")
     for _ in range(2):
-        ingest.append(ingest.deduplicated(ingest.measurement_pages(spark, str(folder))), out, mark).awaitTermination()
+        ingest.append(ingest.measurement_pages(spark, str(folder)), out, mark).awaitTermination()
         ingest.running_statistics(ingest.measurement_pages(spark, str(folder)), stats, str(tmp_path / "mark2")).awaitTermination()
         (folder / "2.json").write_text(json.dumps(page("t2", ("p2", t.format(2), 20.0), ("p3", t.format(3), 60.0))))
     got = spark.read.parquet(out)
@@ -116,20 +124,33 @@ def test_two_incremental_runs_equal_one_batch(spark, tmp_path):
     batch = values.dropDuplicates(["track_measurement_id", "phenomenon"])
     keep = ["track_measurement_id", "phenomenon", "phenomenon_value"]
     assert sorted(map(tuple, got.select(*keep).collect())) == sorted(map(tuple, batch.select(*keep).collect()))
-    r = stats.read(ingest.STATE).filter("phenomenon = 'Speed'").first()
+    r = sinks.read_table(spark, stats, ingest.STATE).filter("phenomenon = 'Speed'").first()
     assert (r["max"], r["min"], r["sum"], r["n"]) == (60, 10, 110, 4)
 
 
 def test_streamed_upsert_and_changed_prices(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = "k int, v string"
-    table = sinks.Versions(spark, str(tmp_path / "t"))
+    table = str(tmp_path / "t")
     for v in ("a", "b"):
         lines(tmp_path / f"in/{v}.json", {"k": 1, "v": v})
         ingest.upsert_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), table, schema, ("k",), str(tmp_path / "m")).awaitTermination()
-    assert [tuple(r) for r in table.read(schema).collect()] == [(1, "b")]
+    assert [tuple(r) for r in sinks.read_table(spark, table, schema).collect()] == [(1, "b")]
     p = spark.createDataFrame([("A", 1), ("B", 1)], "country string, date int")
     none = spark.createDataFrame([], "object_hash string")
     assert [r["country"] for r in ingest.changed_prices(spark, str(tmp_path / "in"), none, p, p.filter("country = 'A'")).collect()] == ["B"]
     known = sinks.changed_sources(spark, str(tmp_path / "in"), none).select("object_hash")
     assert ingest.changed_prices(spark, str(tmp_path / "in"), known, p, p.limit(0)).count() == 0
+
+
+def test_old_tracks_and_repeated_batches_are_stored_once(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "1.json").write_text(json.dumps(page("t1", ("p1", "2024-05-01T00:00:00Z", 10.0), ("p1", "2024-05-01T00:00:00Z", 10.0))))
+    run = lambda mark: ingest.append(ingest.measurement_pages(spark, str(folder)), out, str(tmp_path / mark)).awaitTermination()
+    run("a")
+    (folder / "2.json").write_text(json.dumps(page("t2", ("p2", "2020-01-01T00:00:00Z", 20.0), ("p3", None, 5.0))))
+    run("a")  # years older than what is stored
+    assert spark.read.parquet(out).count() == 6
+    run("b")  # all pages once more, as after a lost checkpoint
+    assert spark.read.parquet(out).count() == 6
