@@ -17,6 +17,8 @@ from .common import give_back, own_columns, small_batches
 
 #: The bound of the labelled sample: rows for each language. Texts of up to so many characters are taken before longer ones.
 ROWS_PER_LANGUAGE, SHORT = 96, 4_000
+#: Parts that the hashes of one language are ranked in first.
+PARTS = 32
 #: Matches of three bytes count, as many syllables are that short.
 LEVEL, MIN_MATCH = 3, 3
 #: A text is compressed in blocks, all of them, so that in a long text a block is still told by the dictionary.
@@ -48,8 +50,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """
     useful = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).filter(F.col(text).rlike(r"\p{L}"))
     useful = useful.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), (F.length(text) > short).alias("long"), F.col(text).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "hash"))
-    picked = useful.groupBy("lang", "hash").agg(F.min("long").alias("long")).withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "hash", "rank")
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("long", "hash"))
+    each = useful.groupBy("lang", "hash").agg(F.min("long").alias("long")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    each = each.withColumn("rank", rank("lang", "part")).filter(F.col("rank") <= rows)  # so that no task gets a language's all hashes
+    picked = each.withColumn("rank", rank("lang")).filter(F.col("rank") <= rows).select("lang", "hash", "rank")
     texts = useful.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).orderBy("lang", "rank").collect()
     out: dict[str, bytes] = {}
     for r in texts:

@@ -94,13 +94,13 @@ def ordinary(names: list[str], draw: random.Random) -> list[str]:
 def unforeseeable(draw: random.Random) -> list[str]:
     """Random strings over the alphabets that keys are written in."""
     digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    alphabets = (digits + low + up, digits + low + up, digits + low + up + "+/", digits + low + up + "-_", digits + low, digits + up)
+    alphabets = (digits + low + up, digits + low + up, digits + low + up + "+/", digits + low + up + "-_", digits + low, digits + up, digits + "ABCDEF")
     return ["".join(draw.choices(a, k=draw.randrange(16, 64))) for a in alphabets]
 
 
-def labelled(text: str, seed: str) -> tuple[list[str], list[str]]:
+def labelled(text: str, seed: str, times: int = 1) -> tuple[list[str], list[str]]:
     """(ordinary, random) strings of one row: the words and other strings outside base spans, and what ordinary() makes of
-    them; the values of base spans and what unforeseeable() draws. Draws are by seed, the row's id."""
+    them; the values of base spans and what unforeseeable() draws. Draws are by seed, the row's id, and so many times."""
     spans = base_spans(text)
     values = [text[a:b].split("=")[-1].strip("\"' :") for a, b, _ in spans]
     cut, at = [], 0
@@ -108,15 +108,21 @@ def labelled(text: str, seed: str) -> tuple[list[str], list[str]]:
         cut.append(text[at:a])
         at = max(at, b)
     names = _word.findall(" ".join([*cut, text[at:]]))
-    draw = random.Random(seed)
-    return names + ordinary(names, draw), values + unforeseeable(draw)
+    plain, strange = list(names), list(values)
+    for i in range(times):
+        draw = random.Random(f"{seed}:{i}")
+        plain += ordinary(draw.sample(names, len(names)) if i else names, draw)
+        strange += unforeseeable(draw)
+    return plain, strange
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Markov:
-    """The models, from labelled strings of about rows rows. Tasks count transitions and Spark adds them up; what comes to
-    the driver is two tables of 128 x 128 counts, whatever the corpus holds. Without rows both models are flat."""
+    """The models, from labelled strings of about rows rows; a smaller table gives each of its rows more draws, so that the
+    models are as well trained. Tasks count transitions and Spark adds them up; what comes to the driver is two tables of 128 x
+    128 counts, whatever the corpus holds. Without rows both models are flat."""
     small_batches(docs.sparkSession)
-    share = min(1.0, rows / max(1, docs.count()))
+    total = max(1, docs.count())
+    share, times = min(1.0, rows / total), max(1, -(-rows // (4 * total)))
     place = (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30))
     sample = docs.filter(place < share) if share < 1 else docs
     sample = sample.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("seed"))
@@ -125,7 +131,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
         total = np.zeros((2, 128, 128), np.int64)
         for pdf in batches:
             for t, n in zip(pdf["text"], pdf["seed"]):
-                for label, strings in enumerate(labelled(t, n)):
+                for label, strings in enumerate(labelled(t, n, times)):
                     total[label] += transitions(strings)
         where = np.argwhere(total)
         yield pd.DataFrame({"label": where[:, 0], "a": where[:, 1], "b": where[:, 2], "n": total[tuple(where.T)]})
