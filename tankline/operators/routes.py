@@ -185,9 +185,10 @@ def _register_figures(km: Column) -> dict[str, Column]:
     return out
 
 
-def register_costs(requests: DataFrame, parts: DataFrame, register_stats: DataFrame, sensor_models: DataFrame) -> DataFrame:
+def register_costs(requests: DataFrame, parts: DataFrame, register_stats: DataFrame, sensor_models: DataFrame, speeds: Column | None = None) -> DataFrame:
     """The cost of each request in each class it asks for, by the register's means over years (from the request's year on),
-    moved from the base speed to the request's by the sensors' growth factors. A class needs both kinds of data."""
+    moved from the base speed to the request's by the sensors' growth factors. A class needs both kinds of data. With speeds,
+    an array, a row for each of them (column speed) instead of the request's own."""
     asked = with_defaults(requests)
     # a statistic counts for every year asked for up to its own, and for no year (-1): met by equality
     known = register_stats.withColumn("model_year", F.explode(F.concat(F.array(F.lit(-1)), F.sequence(F.lit(FIRST_YEAR), F.greatest("year", F.lit(FIRST_YEAR))))))
@@ -199,11 +200,13 @@ def register_costs(requests: DataFrame, parts: DataFrame, register_stats: DataFr
     chosen = _chosen(asked).drop("coordinates")
     chosen = chosen.withColumn("model_year", F.coalesce(F.greatest("year", F.lit(FIRST_YEAR)), F.lit(-1)))
     rows = chosen.join(models, ["category", "fuel_type", "model_year"], "left").join(parts, "request_id")
+    if speeds is not None:  # after the joins, which thus don't know of speeds
+        rows = rows.withColumn("speed", F.explode(speeds)).withColumn("v", F.col("speed").cast("double"))
     rows = growth_factors(rows, F.col("v")).withColumns(_register_rates(F.col("manual")))
     rows = rows.withColumn("c", carried_cost(F.col("parts"), F.col("litre_per_km"), F.col("tank"), F.col("fuel_type"), False))
     figures = {"manual_consumption": F.col("manual").isNotNull(), "cfd_cars": reported_cars([F.col(f"n_{m}") for m in REGISTER_MEASURES[1:]]), "ec_sensors": F.col("numb_sensors"), "ec_measurements": F.col("measurements")}
     figures |= _register_figures(F.col("km"))
-    return _finished(rows.withColumns(figures), [*_HEAD, *figures])
+    return _finished(rows.withColumns(figures), [*_HEAD, *(["speed"] if speeds is not None else []), *figures])
 
 
 def car_costs(requests: DataFrame, parts: DataFrame, cars: DataFrame, sensor_models: DataFrame, wiki: DataFrame) -> DataFrame:
@@ -228,12 +231,9 @@ def car_costs(requests: DataFrame, parts: DataFrame, cars: DataFrame, sensor_mod
 
 
 def speed_sweep(requests: DataFrame, parts: DataFrame, register_stats: DataFrame, sensor_models: DataFrame, start: int, end: int, step: int) -> DataFrame:
-    """register_costs at each speed from start to end, in one job: the requests are repeated, their parts are not."""
-    swept = with_defaults(requests).withColumn("driving_speed", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step)))).withColumn("_own", F.col("request_id"))
-    keyed = swept.withColumn("request_id", F.struct("_own", "driving_speed")).drop("v", "_own")
-    parts_swept = parts.withColumn("driving_speed", F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step)))).withColumn("request_id", F.struct(F.col("request_id").alias("_own"), "driving_speed")).drop("driving_speed")
-    out = register_costs(keyed, parts_swept, register_stats, sensor_models)
-    return out.select(F.col("request_id._own").alias("request_id"), F.col("request_id.driving_speed").alias("speed"), *[c for c in out.columns if c != "request_id"])
+    """register_costs at each speed from start to end, in one job: requests, models and parts are joined once, and rows are
+    repeated for the speeds after that."""
+    return register_costs(requests, parts, register_stats, sensor_models, F.sequence(F.lit(start), F.lit(end), F.lit(step)))
 
 
 def answers(costs: DataFrame) -> DataFrame:

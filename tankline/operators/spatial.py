@@ -9,6 +9,8 @@ from ..functions.geodesy import great_circle, utm_xy, utm_zone
 
 #: Side of a grid cell in degrees. Smaller cells give fewer pairs to test and more rows for large polygons.
 CELL = 1.0
+#: Where in a cell its reference point is; off the places that borders drawn on a grid have.
+REFERENCE = (0.5123, 0.4871)
 #: Breakpoints closer than this on a segment are one.
 SAME = 1e-12
 
@@ -49,36 +51,6 @@ def _with_cells(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumn("cy", F.explode(F.sequence("cy0", _cell(F.col("y1"), cell))))
 
 
-def _box_pairs(segs: DataFrame, edge_table: DataFrame, cell: float) -> DataFrame:
-    """(request_id, seg, px..qy, country) where the boxes of segment and country meet. Both sides are dealt to grid cells;
-    a pair that meets in many cells counts in the first of them, so nothing is made distinct afterwards."""
-    left = segs.withColumns({"x0": F.least("px", "qx"), "x1": F.greatest("px", "qx"), "y0": F.least("py", "qy"), "y1": F.greatest("py", "qy")})
-    boxes = edge_table.groupBy("country").agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"))
-    a, b = _with_cells(left, cell).alias("a"), _with_cells(boxes, cell).alias("b")
-    met = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")))
-    first = (F.col("a.cx") == F.greatest("a.cx0", "b.cx0")) & (F.col("a.cy") == F.greatest("a.cy0", "b.cy0"))
-    touch = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
-    return met.filter(first & touch).select("a.request_id", "a.seg", "a.px", "a.py", "a.qx", "a.qy", "b.country")
-
-
-def _near_edges(pairs: DataFrame, edge_table: DataFrame, cell: float) -> DataFrame:
-    """pairs with the edges of their country that the segment's range of y meets, as an array: those decide both where the
-    segment crosses the border and whether a point of it is inside. Edges are met by country and band of y."""
-    band = pairs.withColumns({"b0": _cell(F.least("py", "qy"), cell)}).withColumn("band", F.explode(F.sequence("b0", _cell(F.greatest("py", "qy"), cell))))
-    side = edge_table.select("country", "ax", "ay", "bx", "by", _cell(F.least("ay", "by"), cell).alias("e0"), _cell(F.greatest("ay", "by"), cell).alias("e1"))
-    side = side.withColumn("band", F.explode(F.sequence("e0", "e1")))
-    met = band.join(side, ["country", "band"]).filter(F.col("band") == F.greatest("b0", "e0"))
-    keys = ["request_id", "seg", "px", "py", "qx", "qy", "country"]
-    return met.groupBy(*keys).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
-
-
-def _inside(x: Column, y: Column, edge_array: Column) -> Column:
-    """Whether an odd number of edges crosses the ray to the right; edges are half open, so a vertex counts once."""
-    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"]))
-    hit = F.filter(edge_array, lambda e: (e["ay"] != e["by"]) & F.when(e["ay"] == e["by"], False).otherwise(crosses(e)))
-    return F.size(hit) % 2 == 1
-
-
 def _intervals(cuts: Column) -> Column:
     """Neighbouring breakpoints as (t0, t1); those of no length are left out."""
     sorted_cuts = F.array_sort(F.array_distinct(cuts))
@@ -86,29 +58,56 @@ def _intervals(cuts: Column) -> Column:
     return F.filter(pairs, lambda i: i["t1"] - i["t0"] > SAME)
 
 
+def _within_cell(cell: float) -> tuple[Column, Column]:
+    """The part (t0, t1) of a segment p + t (q - p) that lies in the cell (cx, cy); t0 >= t1 where none does."""
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
+    for p, q, c in (("px", "qx", "cx"), ("py", "qy", "cy")):
+        d = F.col(q) - F.col(p)
+        a, b = F.try_divide(F.col(c) * cell - F.col(p), d), F.try_divide((F.col(c) + 1) * cell - F.col(p), d)
+        low.append(F.coalesce(F.least(a, b), F.lit(0.0)))
+        high.append(F.coalesce(F.greatest(a, b), F.lit(1.0)))
+    return F.greatest(*low), F.least(*high)
+
+
+def _merged(intervals: Column) -> Column:
+    """Intervals (t0, t1) in order, those that touch made one."""
+    def add(out: Column, i: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["t0"].alias("t0"), F.greatest(last["t1"], i["t1"]).alias("t1"))))
+        return F.when((F.size(out) > 0) & (last["t1"] >= i["t0"] - 2 * SAME), longer).otherwise(F.concat(out, F.array(i)))
+
+    empty = F.array().cast("array<struct<t0:double,t1:double>>")
+    return F.aggregate(F.array_sort(intervals), empty, add)
+
+
 def overlay(routes: DataFrame, countries: DataFrame, cell: float = CELL) -> DataFrame:
     """(request_id, seg, country, x0, y0, x1, y1): each line cut at the borders, in country parts; what lies in no country
     has a null country. Each country's part is cut from the whole line, so countries that overlap count twice.
 
-    A segment p + t (q - p) meets an edge at a t by the cross products; between two such t it is in the country or not,
-    which the midpoint tells. Segments and countries meet by grid cells, never in a cross join.
+    Segments are dealt to the grid cells that they touch and meet the countries that have a part of the cell, never in a cross
+    join, and with no more edges than the cell has. A segment p + t (q - p) meets an edge at a t by the cross products; between
+    two such t it is in the country or not, which the midpoint tells. Parts of neighbouring cells are then put together.
     """
-    segs, edge_table = segments(routes), edges(countries)
-    near = _near_edges(_box_pairs(segs, edge_table, cell), edge_table, cell)
+    segs = segments(routes)
     dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    keys = ["request_id", "seg", "px", "py", "qx", "qy"]
+    boxed = segs.withColumns({"x0": F.least("px", "qx"), "x1": F.greatest("px", "qx"), "y0": F.least("py", "qy"), "y1": F.greatest("py", "qy")})
+    start, end = _within_cell(cell)
+    placed = _with_cells(boxed, cell).select(*keys, "cx", "cy", start.alias("start"), end.alias("end")).filter(F.col("end") > F.col("start"))
+    near = placed.join(country_cells(countries, cell), ["cx", "cy"])
 
     def cut(e: Column) -> Column:
         ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
         gx, gy = e["ax"] - F.col("px"), e["ay"] - F.col("py")
         det = dx * ey - dy * ex
         t, u = F.try_divide(gx * ey - gy * ex, det), F.try_divide(gx * dy - gy * dx, det)
-        return F.when((det != 0) & t.between(0, 1) & u.between(0, 1), t)
+        return F.when((det != 0) & t.between(F.col("start"), F.col("end")) & u.between(0, 1), t)
 
-    cuts = F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform("edges", cut), lambda t: t.isNotNull()))
+    cuts = F.concat(F.array("start", "end"), F.filter(F.transform("edges", cut), lambda t: t.isNotNull()))
     mid = lambda i: (F.col("px") + dx * (i["t0"] + i["t1"]) / 2, F.col("py") + dy * (i["t0"] + i["t1"]) / 2)
-    own = F.filter(_intervals(cuts), lambda i: _inside(*mid(i), F.col("edges")))
-    keys = ["request_id", "seg", "px", "py", "qx", "qy"]
-    inside = near.select(*keys, "country", F.inline(own))
+    own = F.filter(_intervals(cuts), lambda i: _on_side(*mid(i)))
+    pieces = near.select(*keys, "country", F.inline(own))
+    inside = pieces.groupBy(*keys, "country").agg(_merged(F.collect_list(F.struct("t0", "t1"))).alias("own")).select(*keys, "country", F.inline("own"))
 
     covered = inside.groupBy("request_id", "seg").agg(F.collect_list(F.struct("t0", "t1")).alias("own"))
     own_cuts = F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform("own", lambda i: i["t0"]), F.transform("own", lambda i: i["t1"]))
@@ -142,14 +141,43 @@ def route_lengths(routes: DataFrame) -> DataFrame:
     return metric_lengths(segments(routes).withColumnsRenamed({"px": "x0", "py": "y0", "qx": "x1", "qy": "y1"}), "request_id")
 
 
+def country_cells(countries: DataFrame, cell: float = CELL) -> DataFrame:
+    """(country, cx, cy, rx, ry, inside, edges): for each grid cell that a country has a part of, whether the cell's reference
+    point (rx, ry) is inside, and the edges that meet the cell. Cells wholly inside have no edges. The table grows with the
+    borders and areas of countries, not with what is looked up in it."""
+    e = edges(countries).withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")})
+    boxes = e.groupBy("country").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
+    grid = _with_cells(boxes, cell).select("country", "cx", "cy", ((F.col("cx") + F.lit(REFERENCE[0])) * cell).alias("rx"), ((F.col("cy") + F.lit(REFERENCE[1])) * cell).alias("ry"))
+    rows = e.withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), cell), _cell(F.col("y1"), cell))))
+    meets = grid.join(rows.select("country", "cy", "ax", "ay", "bx", "by", "x0", "x1"), ["country", "cy"])
+    right = F.count_if(_crosses(F.col("rx"), F.col("ry"), *[F.col(c) for c in ("ax", "ay", "bx", "by")])) % 2 == 1
+    here = (F.col("x0") <= (F.col("cx") + 1) * cell) & (F.col("x1") >= F.col("cx") * cell)
+    near = F.filter(F.collect_list(F.when(here, F.struct("ax", "ay", "bx", "by"))), lambda x: x.isNotNull())
+    out = meets.groupBy("country", "cx", "cy", "rx", "ry").agg(right.alias("inside"), near.alias("edges"))
+    return out.filter(F.col("inside") | (F.size("edges") > 0))
+
+
+def _crosses(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Whether the ray from (x, y) to the right meets an edge; edges are half open, so a vertex counts once."""
+    return F.coalesce(((ay > y) != (by > y)) & (x < ax + F.try_divide((y - ay) * (bx - ax), by - ay)), F.lit(False))
+
+
+def _on_side(x: Column, y: Column) -> Column:
+    """Whether a point of a cell (see country_cells) is in the country. From the point the way goes along y to below or above
+    the cell's reference point and then to it; each edge that it meets changes sides, and only edges of the cell can be met."""
+    rx, ry = F.col("rx"), F.col("ry")
+    ray = lambda at, e: _crosses(at, y, e["ax"], e["ay"], e["bx"], e["by"])
+    up = lambda at, e: _crosses(at, rx, e["ay"], e["ax"], e["by"], e["bx"])  # noqa: E731  with x and y changed over
+    across = lambda e: (ray(x, e) != ray(rx, e)).cast("int") + (up(y, e) != up(ry, e)).cast("int")
+    return F.col("inside") != (F.aggregate("edges", F.lit(0), lambda n, e: n + across(e)) % 2 == 1)
+
+
 def point_countries(points: DataFrame, countries: DataFrame, cell: float = CELL) -> DataFrame:
-    """points (point_id, x, y) with the country each is in, a row for each such country; none for points at sea."""
-    edge_table = edges(countries)
-    band = points.select("point_id", "x", "y", _cell(F.col("y"), cell).alias("band"))
-    side = edge_table.select("country", "ax", "ay", "bx", "by", F.explode(F.sequence(_cell(F.least("ay", "by"), cell), _cell(F.greatest("ay", "by"), cell))).alias("band"))
-    crossing = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < F.col("ax") + F.try_divide((F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("by") - F.col("ay")))
-    hits = band.join(side, "band").filter(crossing).groupBy("point_id", "x", "y", "country").agg(F.count("*").alias("n"))
-    return hits.filter("n % 2 = 1").select("point_id", "x", "y", "country")
+    """points (point_id, x, y) with the country each is in, a row for each such country; none for points at sea. A point
+    meets the countries that its grid cell has a part of."""
+    placed = points.select("point_id", "x", "y", _cell(F.col("x"), cell).alias("cx"), _cell(F.col("y"), cell).alias("cy"))
+    met = placed.join(country_cells(countries, cell), ["cx", "cy"])
+    return met.filter(_on_side(F.col("x"), F.col("y"))).select("point_id", "x", "y", "country")
 
 
 def point_distances(points: DataFrame) -> DataFrame:

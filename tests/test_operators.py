@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import random
 
 import pytest
@@ -124,6 +125,19 @@ def test_points_in_countries(spark):
     assert {(r["point_id"], r["country"]) for r in got} == {(1, "N0"), (2, "N1")}
 
 
+@pytest.mark.parametrize("cell", [0.7, 1.0, 3.0])
+def test_points_of_a_ragged_country_with_a_hole(spark, cell):
+    draw = random.Random(11)
+    star = [(5 + draw.uniform(2, 6) * math.cos(i * math.tau / 40), 5 + draw.uniform(2, 6) * math.sin(i * math.tau / 40)) for i in range(40)]
+    rings = [[*star, star[0]], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]]
+    land = spark.createDataFrame([("A", [rings]), ("B", [[[(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0), (0.0, 0.0)]]])], "country string, polygons array<array<array<struct<x:double,y:double>>>>")
+    points = [(i, draw.uniform(-2, 12), draw.uniform(-2, 12)) for i in range(1500)]
+    odd = lambda x, y: sum((ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay) for r in rings for (ax, ay), (bx, by) in zip(r, r[1:])) % 2
+    want = {(i, "A") for i, x, y in points if odd(x, y)} | {(i, "B") for i, x, y in points if 0 < x < 3 and 0 < y < 3}
+    got = spatial.point_countries(spark.createDataFrame(points, "point_id int, x double, y double"), land, cell).collect()
+    assert {(r.point_id, r.country) for r in got} == want and len(got) == len(want)
+
+
 def fold(spark, parts, tank, whole):
     rows = [(0, i, None, km, None, p, p / 2, p, p) for i, (km, p) in enumerate(parts)]
     df = spark.createDataFrame([(rows,)], "parts array<struct<last:int,newest:int,country:string,km:double,date:date,euro_ttc:double,euro_ht:double,diesel_ttc:double,diesel_ht:double>>")
