@@ -318,14 +318,15 @@ def similar_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
 
     near_dedup's three bits of 64 are texts that hardly differ. Here each text has a sketch of 8 x 64 bits, in which two
     texts differ in the share angle / pi, so the cosine is told to about 0.03; the budget of the trie is the bits that
-    similarity allows for. No three bits of blocks help with so many, so buckets are keys drawn from fingerprints of words
+    similarity allows for and one standard deviation, so that a pair at the threshold is rather linked than lost. No three bits of blocks help with so many, so buckets are keys drawn from fingerprints of words
     instead, see plan_tables: a pair at the threshold shares one with probability recall, a closer one more likely.
     Large buckets are cut in parts, each pair of which is met; equal sketches are merged first. Odd rows are as in near_dedup;
     a text without words is only linked to equal ones.
     """
     small_batches(docs.sparkSession)
     tables, bits = plan_tables(docs.count(), width, similarity, recall)
-    budget = math.floor(BITS * SKETCH_WORDS * math.acos(similarity) / math.pi)
+    differs, size = math.acos(similarity) / math.pi, BITS * SKETCH_WORDS
+    budget = math.floor(size * differs + math.sqrt(size * differs * (1 - differs)))
 
     @F.arrow_udf("struct<sketch:binary,keys:array<long>>")
     def of_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
