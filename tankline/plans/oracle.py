@@ -323,7 +323,7 @@ ORACLE_SQL |= {
     "rewritten_sensors": """SELECT c_custkey AS sensor_id, CASE WHEN lower(c_mktsegment) = 'building' THEN 'Builders' WHEN lower(c_mktsegment) = 'automobile' AND c_custkey % 50 = 7 THEN 'Auto' ELSE c_mktsegment END AS manufacturer,
         CASE WHEN lower(c_mktsegment) = 'automobile' AND c_custkey % 50 = 7 THEN 'Seven' WHEN c_custkey % 50 = 9 THEN 'Nine' ELSE 'model ' || (c_custkey % 50) END AS model FROM customer""",
     "unique_cars": with_sql("cars", "SELECT manufacturer AS brand, lower(model) || CASE WHEN year % 2 = 0 THEN year::VARCHAR ELSE description END AS unique_name, min(hash_id) AS car_id FROM cars GROUP BY 1, 2"),
-    "in_word_list": r"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents) SELECT DISTINCT doc_id FROM d JOIN w USING (word) WHERE word <> ''""",
+    "in_word_list": r"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM benchmark) WHERE length(word) >= 14), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents) SELECT DISTINCT doc_id FROM d JOIN w USING (word) WHERE word <> ''""",
     "latest_orders": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3",
     "point_prices": with_sql("countries prices points", f"""SELECT route, seq, coalesce(country, '-') AS country, round(m, 2) AS meters, round(coalesce(p.diesel_ttc, g.diesel_ttc), 4) AS price, round(m / 1000 * 0.07 * coalesce(p.diesel_ttc, g.diesel_ttc), 3) AS cost
         FROM (SELECT request_id AS route, i AS seq, c.country, coalesce(2 * {geodesy.RADIUS} * asin(sqrt(sin(radians(y - lag(y) OVER w) / 2) ** 2 + cos(radians(lag(y) OVER w)) * cos(radians(y)) * sin(radians(x - lag(x) OVER w) / 2) ** 2)), 0) AS m FROM points LEFT JOIN countries c ON x > x0 AND x < x0 + 10 AND y > y0 AND y < y0 + 10 WINDOW w AS (PARTITION BY request_id ORDER BY i)) LEFT JOIN latest p USING (country), general g""", _LATEST),
@@ -340,7 +340,7 @@ ORACLE_SQL |= {
     "report_files": with_sql("prices", "SELECT unnest(['csv', 'json']) AS kind, country, date::VARCHAR AS date, euro_ttc FROM prices"),
     "stored_upserts": with_sql("prices", "SELECT country, date::VARCHAR AS date, round(euro_ttc + CASE WHEN month(date) = 3 THEN 1 ELSE 0 END, 3) AS euro_ttc FROM prices"),
     "streamed_statistics": f"SELECT user_id::VARCHAR AS sensor_id, {_EVENTS} AS phenomenon, round(max(value), 3) AS max, round(sum(value), 3) AS sum, round(min(value), 3) AS min, count(value) AS n FROM events GROUP BY 1, 2",
-    "loaded_statistics": with_sql("stats", "SELECT md5(sensor_id || phenomenon) AS hash_id, sensor_id, phenomenon, round(mx, 4) AS max, round(av, 4) AS avg, round(greatest(mn, 0), 4) AS min, w AS numb_measurements FROM stats"),
+    "loaded_statistics": with_sql("stats", "SELECT md5(sensor_id || phenomenon) AS hash_id, sensor_id, phenomenon, round(mx, 8) AS max, round(av, 8) AS avg, round(greatest(mn, 0), 8) AS min, w AS numb_measurements FROM stats"),
     "loaded_tables": with_sql("tracks wiki cars prices", "SELECT 'track' AS kind, count(*) AS rows, count(DISTINCT track_id) AS keys FROM tracks UNION ALL SELECT 'wiki_car', count(*), count(DISTINCT wiki_name || category) FROM wiki UNION ALL SELECT 'register_car', count(*), count(DISTINCT manufacturer || model || description || coalesce(fuel_type, 'None') || year) FROM cars UNION ALL SELECT 'country_price', count(*), count(DISTINCT country || date) FROM prices"),
     "inserted_prices": with_sql("prices", "SELECT country, date::VARCHAR AS date, euro_ttc FROM prices WHERE month(date) % 2 = 0"),
     "updated_matches": with_sql("cars", "SELECT year, count(*) AS cars, sum(CASE WHEN hash_id IN (SELECT hash_id FROM cars WHERE year % 2 = 0) THEN 1 ELSE 2 END)::BIGINT AS pages FROM cars GROUP BY year"),

@@ -547,8 +547,8 @@ def unique_cars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def in_word_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that have one of the words of the parts' names."""
-    words = A.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    """Documents that have one of the long words of the benchmark's items."""
+    words = A.table(spark, sf, "benchmark").select(F.explode(text.words(F.col("text"))).alias("word")).filter("length(word) >= 14").distinct()
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
     return names.in_word_list(docs, "text", words).select("doc_id")
 
@@ -695,7 +695,7 @@ def loaded_statistics(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.loads import load
 
     rows = load("sensor_statistic", A.sensor_statistics(spark, sf))
-    return rounded(rows.select("hash_id", "sensor_id", "phenomenon", "max", "avg", "min", "numb_measurements"))
+    return rounded(rows.select("hash_id", "sensor_id", "phenomenon", "max", "avg", "min", "numb_measurements"), 8)
 
 
 def loaded_tables(spark: SparkSession, sf: str) -> DataFrame:
