@@ -26,6 +26,8 @@ SCOPES = frozenset("ul ol dl table article aside nav div section main header foo
 
 #: Pages of the labelled sample at most, passes over it, and the size of the hashed feature space.
 SAMPLE_PAGES, PASSES, SPACE = 200, 150, 1 << 13
+#: Pages of up to so many characters are taken for the sample before longer ones.
+SHORT_PAGE = 60_000
 #: How many of the elements above a block give it features, the nearest ones.
 NEAREST = 32
 #: Blocks, counted with padding, that forward-backward takes at once.
@@ -374,13 +376,17 @@ def labelled(texts: list[list[str]], each: int = 3) -> list[tuple[list[Block], l
     return pages
 
 
-def train(pages: DataFrame, column: str = "html", rows: int = SAMPLE_PAGES) -> Chain:
-    """A field from at most rows pages, the least by hash: the blocks of a page that say they are its article label that
-    page, and their text fills the labelled layouts. Hashes are picked first and only their pages fetched, so the driver
-    gets that many pages and no more, however many there are, and however often one is repeated. Without such pages, a few fixed sentences fill the layouts."""
-    whole = pages.filter(F.col(column).isNotNull() & F.col(column).contains("<article")).select(F.xxhash64(column).alias("h"), F.col(column).alias("page"))
-    least = whole.select("h").distinct().orderBy("h").limit(rows)
-    sample = whole.join(F.broadcast(least), "h").groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()
+def train(pages: DataFrame, column: str = "html", rows: int = SAMPLE_PAGES, short: int = SHORT_PAGE) -> Chain:
+    """A field from at most rows pages, whole and different ones: the blocks of a page that say they are its article label that
+    page, and their text fills the labelled layouts. The sample is of the least hashes among pages of up to short characters,
+    and of longer ones only where there is no shorter one, as the time for training follows the sample's length. Hashes are
+    picked first and only their pages fetched, so the driver gets that many pages and no more, however many there are, and
+    however often one is repeated. Without such pages, a few fixed sentences fill the layouts."""
+    whole = pages.filter(F.col(column).contains("<article")).select(F.xxhash64(column).alias("h"), (F.length(column) > short).alias("long"), F.col(column).alias("page"))
+    least = whole.select("long", "h").distinct().orderBy("long", "h").limit(rows).collect()
+    picked = [r["h"] for r in least if r["long"] == least[0]["long"]]
+    few = pages.sparkSession.createDataFrame([(h,) for h in picked], "h long")
+    sample = whole.join(F.broadcast(few), "h").groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()
     told, texts = [], []
     for r in sample:
         found = blocks(r["page"])
