@@ -22,11 +22,13 @@ BUDGET = 3
 #: is still larger then, fingerprints that nearly all agree, is cut in parts, and each pair of parts is met.
 PART, LEVELS = 2048, 3
 #: Rows buffered before a traversal, and node pairs that it expands at once.
-BUFFER, FRONTIER = 16_384, 1 << 19
+BUFFER, FRONTIER = 16_384, 1 << 18
 #: Similar texts: words of a shingle, least cosine of the shingle counts, and the share of such pairs that share a bucket.
 WIDE_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: 64-bit words of a sketch, and the rows that a bucket should have at most on average.
 SKETCH_WORDS, BUCKET_ROWS = 8, 64
+#: Words whose hashes a worker remembers.
+SEEN_WORDS = 100_000
 
 
 def _majority(hashes: np.ndarray) -> np.ndarray:
@@ -285,7 +287,7 @@ def sketch(text: str | None, seen: dict[str, int], width: int, tables: int, bits
     for w in words:
         h = seen.get(w)
         if h is None:
-            if len(seen) > 500_000:
+            if len(seen) > SEEN_WORDS:
                 seen.clear()
             h = seen[w] = xxhash.xxh64_intdigest(w.encode())
         codes.append(h)
