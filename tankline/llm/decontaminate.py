@@ -51,7 +51,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     named = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("words"))
     listed = shingles(named, width).select("item", F.xxhash64(*_shingle(width)).alias("h"), F.array(*_shingle(width)).alias("shingle"))
     listed = materialize(listed.distinct(), "item-shingles")
-    slices = max(1, -(-listed.count() // max(1, broadcast_rows)))
+    rows, distinct = listed.agg(F.count("*"), F.countDistinct("item")).first()
+    slices = max(1, min(distinct, -(-rows // max(1, broadcast_rows))))
     of_slice = lambda i: listed.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == i) if slices > 1 else listed
     pairs = [_pairs(docs, of_slice(i), text, key, width, containment, broadcast_rows) for i in range(slices)]
     best = reduce(DataFrame.unionByName, pairs).groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
