@@ -369,7 +369,7 @@ def test_ratios_are_rounded_and_years_taken_out(spark):
 def test_classifier_steps_of_register_and_sensors(spark):
     wiki = spark.createDataFrame([("h1", "VW", "Golf", "VW Golf", "c"), ("h2", "VW", "Polo", "VW Polo", "b"), ("h3", "VW", "Golf Plus", "VW Golf Plus", "m")], "hash_id string, brand_name string, car_name string, wiki_name string, category string")
     none = spark.createDataFrame([], "brand string, tag string, polarity string, pattern string")
-    model = matching.train(matching.training_patterns(wiki, none))
+    model = matching.Classifier(*(sinks.kept(t, "model") for t in matching.train(matching.training_patterns(wiki, none))))
     curated = spark.createDataFrame([("VW", "käfer", "VW Golf")], "brand string, entry string, wiki_name string")
     aliases = spark.createDataFrame([("VW", "Volkswagen", 1)], "brand string, alias string, priority int")
     cars = spark.createDataFrame([("a", "VW", "polo", 2001, "x"), ("b", "VW", "golf tsi", 2002, "plus"), ("c", "VW", "Käfer", 1970, "x"), ("d", "VW", "up", 2012, "x"), ("e", "VW", "polo zz qq", 2003, "y")], "car_id string, brand string, name string, year int, description string")
