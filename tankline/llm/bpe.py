@@ -16,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_memory_back, small_batches
 
 #: A block of the corpus whose words are merged together, in characters, and the bytes of words in one replay.
-BLOCK_CHARS = 8_000_000
-REPLAY_BYTES = 8_000_000
+BLOCK_CHARS = 4_000_000
+REPLAY_BYTES = 4_000_000
 #: Pieces of text that are remembered between blocks, none of more than so many characters.
-MEMORY_PIECES, MEMORY_CHARS = 400_000, 48
+MEMORY_PIECES, MEMORY_CHARS = 250_000, 48
 NONE = np.int32(1 << 30)
 #: Fixed value: the pattern that the shortcuts of Encoder rest on; with any other, whole texts go through the pattern.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -290,6 +290,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", id
                 part = rows[at : at + 256]
                 offsets = np.r_[0, np.cumsum([len(r) for r in part])].astype(np.int32)
                 yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part).astype(np.int32)))
+        del encoder
+        give_memory_back()
 
     return docs.withColumn(ids, of_text(F.col(text)))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
+def give_memory_back() -> None:
+    """Return what a Python worker has freed to the system, as it lives on beside the executor's JVM and others of its kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

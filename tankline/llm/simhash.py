@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hot_join, materialize, small_batches
+from .common import components, give_memory_back, hot_join, materialize, small_batches
 
 BITS = 64
 SHINGLE = 3
@@ -177,6 +177,8 @@ def _bucket_links(rows: DataFrame, budget: int) -> DataFrame:
                 held, size = rows.slice(cut).to_batches(), len(rows) - cut
         if size:
             yield links(pa.Table.from_batches(held))
+        held.clear()
+        give_memory_back()
 
     kind = rows.schema["fp"].dataType.simpleString().replace("bigint", "long")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(stream, f"u {kind}, v {kind}")
@@ -337,6 +339,8 @@ def similar_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
             made = [sketch(t, seen, width, tables, bits) for t in batch.to_pylist()]
             columns = pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))
             yield pa.StructArray.from_arrays(columns, names=["sketch", "keys"])
+        seen.clear()
+        give_memory_back()
 
     made = docs.select(F.col(key).alias("id"), of_text(F.col(text)).alias("made"))
     prints = materialize(made.select("id", "made.sketch", "made.keys"), "sketches")
