@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key that has at least this share of all rows is joined by broadcast; by arithmetic there are at most 1 / HOT_SHARE.
 HOT_SHARE = 1 / 2000
 COMPONENT_ROUNDS = 60
+#: Bytes of a text that are cut into words at once.
+WORD_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +50,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A table that materialize wrote, read anew, so that it can meet itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._written_to)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize wrote and that nothing reads any more."""
     context = df.sparkSession.sparkContext
@@ -72,6 +80,17 @@ def give_memory_back() -> None:
         trim(0)
 
 
+def byte_words(text: bytes, keep_breaks: bool = False) -> Iterator[list[bytes]]:
+    """The words of a text, runs without white space, a portion of it at a time. With keep_breaks only blanks part words, so that
+    a line break between blanks is one."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + WORD_BYTES)
+        end = len(text) if end < 0 else end
+        yield [w for w in text[at:end].split(b" ") if w] if keep_breaks else text[at:end].split()
+        at = end
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
@@ -89,7 +108,7 @@ def give_back(df: DataFrame, *columns) -> DataFrame:
     return df.select(*[F.col(f"own.`{n}`") for n in names if names != ["nothing"]], *columns)
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, groups: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with groups, which has each key once, and in weight how many of the total rows have it.
     Keys with a large share of all rows are few and meet their rows by broadcast, so that no task gets all of them; the rest
     are joined by shuffle. rows is read twice: a table, not a computation."""
