@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 # The base kinds, their patterns and least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,7 +20,7 @@ HEX = r"[0-9a-f]{24,}"  # a run of 24 or more is the same as a run of any length
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 
-#: About so many rows, those of least hash of id, give the labelled samples that the models are trained from.
+#: At most so many different texts, those of least hash, give the labelled samples that the models are trained from.
 SAMPLE_ROWS = 10_000
 #: What counts as a candidate for the models, and the mean log-likelihood ratio for each character it must reach.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
@@ -100,7 +100,7 @@ def unforeseeable(draw: random.Random) -> list[str]:
 
 def labelled(text: str, seed: str, times: int = 1) -> tuple[list[str], list[str]]:
     """(ordinary, random) strings of one row: the words and other strings outside base spans, and what ordinary() makes of
-    them; the values of base spans and what unforeseeable() draws. Draws are by seed, the row's id, and so many times."""
+    them; the values of base spans and what unforeseeable() draws. Draws are by seed, the text's hash, and so many times."""
     spans = base_spans(text)
     values = [text[a:b].split("=")[-1].strip("\"' :") for a, b, _ in spans]
     cut, at = [], 0
@@ -116,16 +116,16 @@ def labelled(text: str, seed: str, times: int = 1) -> tuple[list[str], list[str]
     return plain, strange
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Markov:
-    """The models, from labelled strings of about rows rows; a smaller table gives each of its rows more draws, so that the
-    models are as well trained. Tasks count transitions and Spark adds them up; what comes to the driver is two tables of 128 x
-    128 counts, whatever the corpus holds. Without rows both models are flat."""
+def train(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Markov:
+    """The models, from labelled strings of at most rows different texts, those of least hash; of fewer texts each gives more draws,
+    so that the models are as well trained. Ids play no part, so rows that share one, or have none, are texts like others, and
+    a text that is repeated counts once. Tasks count transitions and Spark adds them up; what comes to the driver is two tables
+    of 128 x 128 counts, whatever the corpus holds. Without rows both models are flat."""
     small_batches(docs.sparkSession)
-    total = max(1, docs.count())
-    share, times = min(1.0, rows / total), max(1, -(-rows // (4 * total)))
-    place = (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30))
-    sample = docs.filter(place < share) if share < 1 else docs
-    sample = sample.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("seed"))
+    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("seed", F.xxhash64("text"))
+    picked = materialize(texts.select("seed").distinct().orderBy("seed").limit(rows), "secret-sample")
+    times = max(1, -(-rows // (4 * max(1, picked.count()))))
+    sample = texts.join(F.broadcast(picked), "seed", "left_semi").groupBy("seed").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 128, 128), np.int64)
@@ -159,7 +159,8 @@ def scan(docs: DataFrame, model: Markov, text: str = "text", min_ratio: float =
     """docs with an array of (kind, start, end), in code points, end exclusive, by start and then kind as KINDS has them.
 
     Whole texts are scanned where they lie, in time that follows their length. Null and empty texts have no span. Base
-    spans of different kinds may overlap; spans that the models add never overlap a base one. Repeated rows get the same. A
+    spans of different kinds may overlap; spans that the models add never overlap a base one; a string whose ratio is just
+    min_ratio is one. Repeated rows get the same. A
     column of that name is replaced, others come back as they are. No rows give no rows.
     """
     spark = docs.sparkSession
