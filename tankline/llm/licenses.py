@@ -83,8 +83,9 @@ def shingle_hashes(words: np.ndarray, width: int = WORDS) -> np.ndarray:
     return out
 
 
-def _runs(words: list[str], width: int) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+def _runs(words: list[str], width: int) -> dict[tuple[str, ...], int]:
+    """The runs of width words, numbered in the order in which they first stand."""
+    return {run: i for i, run in enumerate(dict.fromkeys(tuple(words[i : i + width]) for i in range(len(words) - width + 1)))}
 
 
 class Templates:
@@ -97,7 +98,7 @@ class Templates:
 
     def __init__(self, texts: dict[str, str], containment: float = CONTAINMENT, collision: float = COLLISION, width: int = WORDS):
         self.containment = containment
-        self.names, self.sets, self.runs, self.widths, classes = [], [], [], [], {}
+        self.names, self.words, self.sets, self.runs, self.widths, classes = [], [], [], [], [], {}
         for name, text in sorted(texts.items()):
             words = word_hashes(text or "", {})
             own_width = min(width, len(words))
@@ -106,7 +107,8 @@ class Templates:
                 classes.setdefault((own_width, max(2, 1 << (len(found) - 1).bit_length())), []).append(len(self.names))
                 self.names.append(name)
                 self.sets.append(found)
-                self.runs.append(_runs(_WORD.findall(text.lower()), own_width))
+                self.words.append(_WORD.findall(text.lower()))
+                self.runs.append(_runs(self.words[-1], own_width))
                 self.widths.append(own_width)
         self.all = {w: np.unique(np.concatenate([self.sets[i] for key, members in classes.items() if key[0] == w for i in members])) for w, _ in classes}
         self.classes = []
@@ -128,8 +130,9 @@ class Templates:
 
     def find(self, text: str, seen: dict[str, int]) -> list[tuple[str, int, int, float]]:
         """(name, start, end, containment), in words, by start: the places of a text where a template is. Retrieved windows are
-        judged by the words themselves and cut to the shingles that are the template's. Where places overlap by over half
-        of one, the better fitting template stays: that with most shingles there, less those it lacks."""
+        judged by the words themselves and cut to one copy of the template each, see _copies. Where places overlap by over half
+        of one, a place by over half with all others, or those of one template at all, the better fitting template stays: that with most shingles there, less those it lacks, and of
+        equal ones that with most words in their places."""
         hashes, met = word_hashes(text, seen), set()
         for width, known in self.all.items():
             own = shingle_hashes(hashes, width)
@@ -139,23 +142,50 @@ class Templates:
                     if own_width == width:
                         met |= self._meet(own, ours, *rest)
         words = _WORD.findall(text.lower()) if met else []
-        found = []
+        found, reach = [], {}
         for i, a, b in sorted(met):
-            width, runs = self.widths[i], self.runs[i]
-            there = [k for k in range(a, min(b, len(words) - width + 1)) if tuple(words[k : k + width]) in runs]
-            shared = len({tuple(words[k : k + width]) for k in there})
-            if shared >= self.containment * len(runs) - 1e-9:
-                found.append((2 * shared - len(runs), self.names[i], there[0], there[-1] + width, shared / len(runs)))
+            if reach.get(i, [[0, -1]])[-1][1] >= a:
+                reach[i][-1][1] = max(reach[i][-1][1], b)
+            else:
+                reach.setdefault(i, []).append([a, b])
+        for i, parts in reach.items():
+            for a, b in parts:
+                for start, end, n in self._copies(i, words, a, b):
+                    in_place = sum(x == y for x, y in zip(words[start:end], self.words[i]))
+                    found.append((2 * n - len(self.runs[i]), in_place, self.names[i], start, end, n / len(self.runs[i])))
         kept: list[tuple[str, int, int, float]] = []
-        near: dict[int, list[tuple[int, int]]] = {}  # places that are kept, by each 64 words that they touch
-        for _, name, a, b, share in sorted(found, key=lambda f: (-f[0], f[3] - f[2], f[1], f[2])):
+        near: dict[int, list[tuple[str, int, int]]] = {}  # places that are kept, by each 64 words that they touch
+        for _, _, name, a, b, share in sorted(found, key=lambda f: (-f[0], -f[1], f[4] - f[3], f[2], f[3])):
             cells = range(a >> 6, (b - 1 >> 6) + 1)
-            if all(2 * (min(b, d) - max(a, c)) <= min(b - a, d - c) for cell in cells for c, d in near.get(cell, ())):
+            met_places = {place for cell in cells for place in near.get(cell, ())}
+            shared = [(n, both, d - c) for n, c, d in met_places if (both := min(b, d) - max(a, c)) > 0]
+            if all(n != name and 2 * both <= size for n, both, size in shared) and 2 * sum(both for _, both, _ in shared) <= b - a:
                 kept.append((name, a, b, share))
                 for cell in cells:
-                    near.setdefault(cell, []).append((a, b))
+                    near.setdefault(cell, []).append((name, a, b))
         return sorted(kept, key=lambda f: (f[1], f[0]))
 
+    def _copies(self, i: int, words: list[str], a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, distinct shingles) of the places from a to b that may be a copy of template i. A copy begins at a shingle of
+        the template that doesn't go on from the one before, and ends where its distinct shingles, counted twice, exceed its
+        length most, once they are enough; so a copy doesn't reach into the next one for the sake of a word that it lacks."""
+        width, runs, longest = self.widths[i], self.runs[i], 3 * len(self.runs[i])
+        there = [(k, code) for k in range(a, min(b, len(words) - width + 1)) if (code := runs.get(tuple(words[k : k + width]))) is not None]
+        need, before = self.containment * len(runs) - 1e-9, (-2, -2)
+        for first, (k, code) in enumerate(there):
+            if (k - 1, code - 1) != before:
+                seen, best = set(), None
+                for at in range(first, len(there)):
+                    if there[at][0] - k >= longest or len(seen) == len(runs):
+                        break
+                    if there[at][1] not in seen:
+                        seen.add(there[at][1])
+                        if len(seen) >= need:
+                            best = max(best or (-longest,), (2 * len(seen) - (there[at][0] - k + 1), there[at][0] + width, len(seen)), key=lambda x: x[0])
+                if best:
+                    yield k, best[1], best[2]
+            before = (k, code)
+
     def _meet(self, hashes: np.ndarray, ours: np.ndarray, m: int, window: int, seeds: np.ndarray, table: list[dict]) -> set[tuple[int, int, int]]:
         """(template, start, end) of the windows that share a band with a template."""
         step, met = max(1, m // 2), set()
