@@ -109,7 +109,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(name: str) -> int:
         """Where the content of an element ends that isn't read, or -1."""
-        found = None if name in never else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        found = None if name in never else re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I).search(page, at)
         if not found:
             never.add(name)
         return found.end() if found else -1
