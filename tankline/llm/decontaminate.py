@@ -30,7 +30,7 @@ def _shingle(width: int) -> list:
     return [F.get("words", F.col("at") + i) for i in range(width)]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", width: int = WORDS, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", width: int = WORDS, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS, least_words: int = 1) -> DataFrame:
     """(key, item_key, n_shared, n_shingles, containment): the items of which a document has at least that share of the
     distinct shingles, one row for each such pair of ids.
 
@@ -38,25 +38,30 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     shingle hashes, s = 2 floor((1 - containment) u) + 1, or all. A document with the containment lacks at most
     floor((1 - containment) n) of the item's n shingles, so it has at least s less that number of the sketch: looking
     the sketch up in the documents loses no pair, however long the document is. Candidates are then verified on the
-    words themselves. Null and empty texts, and those of fewer words than width, have no shingle: such items are found
-    nowhere and such documents hold nothing. Rows that repeat a key are judged by themselves; the best one's figures
+    words themselves. An item of fewer words than width has one shingle, all its words, and is found where these stand
+    together; such items are searched apart, once for each number of words that occurs. As so short a passage can turn up by
+    chance, least_words leaves out shorter items. Null and empty items are found nowhere, and such documents hold nothing. Rows that repeat a key are judged by themselves; the best one's figures
     are returned. Other columns are not read. Empty tables give no rows.
 
-    Very long texts are searched whole. An item of under width words is left out on purpose: so short a passage turns up
-    by chance in documents that have nothing to do with it.
-
-    Documents are never shuffled: the shingles of the items are broadcast, and only hits and candidates move. A benchmark
+    Very long texts are searched whole. Documents are never shuffled: the shingles of the items are broadcast, and only hits and candidates move. A benchmark
     of over broadcast_rows shingles is cut in slices of items, each of which is broadcast to its own pass over docs.
     """
-    named = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("words"))
+    named = items.select(F.col(item_key).alias("item"), words(F.col(item_text)).alias("words")).filter(F.size("words") >= max(1, least_words))
+    found = named.agg(F.collect_set(F.least(F.size("words"), F.lit(width)))).first()[0]  # at most width numbers
+    of_width = lambda w: named.filter(F.size("words") >= w if w == width else F.size("words") == w)
+    pairs = [p for w in found or [width] for p in _of_width(docs, of_width(w), text, key, w, containment, broadcast_rows)]
+    best = reduce(DataFrame.unionByName, pairs).groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
+    return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def _of_width(docs: DataFrame, named: DataFrame, text: str, key: str, width: int, containment: float, broadcast_rows: int) -> list[DataFrame]:
+    """_pairs of each slice of the items named, by shingles of width words."""
     listed = shingles(named, width).select("item", F.xxhash64(*_shingle(width)).alias("h"), F.array(*_shingle(width)).alias("shingle"))
     listed = materialize(listed.distinct(), "item-shingles")
     rows, distinct = listed.agg(F.count("*"), F.countDistinct("item")).first()
     slices = max(1, min(distinct, -(-rows // max(1, broadcast_rows))))
     of_slice = lambda i: listed.filter(F.pmod(F.xxhash64("item"), F.lit(slices)) == i) if slices > 1 else listed
-    pairs = [_pairs(docs, of_slice(i), text, key, width, containment, broadcast_rows) for i in range(slices)]
-    best = reduce(DataFrame.unionByName, pairs).groupBy(F.col("id").alias(key), F.col("item").alias(item_key)).agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    return [_pairs(docs, of_slice(i), text, key, width, containment, broadcast_rows) for i in range(slices)]
 
 
 def _pairs(docs: DataFrame, listed: DataFrame, text: str, key: str, width: int, containment: float, broadcast_rows: int) -> DataFrame:

@@ -129,8 +129,9 @@ ORACLE_SQL = {
     "op3_decontamination": rf"""
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM benchmark),
-        d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(words) - {WORDS} + 2), lambda i: words[i:i + {WORDS} - 1])) AS s FROM w),
-        q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(words) - {WORDS} + 2), lambda i: words[i:i + {WORDS} - 1])) AS s FROM b),
+        k AS (SELECT DISTINCT least({WORDS}, len(words)) AS k FROM b WHERE len(words) > 0),
+        d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) AS s FROM w, k),
+        q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) AS s FROM b JOIN k ON k.k = least({WORDS}, len(words))),
         n AS (SELECT item_id, count(*) AS n_shingles FROM q GROUP BY item_id)
         SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
         FROM d JOIN q USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {CONTAINMENT} * any_value(n_shingles) - 1e-9""",
