@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import inserted
+
 PRICES = ("euro_ttc", "euro_ht", "diesel_ttc", "diesel_ht")
 UNIT, QUANTITY = "liter", 1000
 
@@ -61,8 +63,9 @@ def first_year(prices: DataFrame) -> DataFrame:
 
 
 def not_yet_stored(new: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
-    """Rows of new whose keys aren't stored; repeated keys once."""
-    return new.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+    """Rows of new whose keys aren't stored; of a repeated key the greatest row by the other columns. A null in a key is a value
+    like any other."""
+    return inserted(stored, new, *keys)
 
 
 def excel_date(serial: Column, datemode: int = 0) -> Column:

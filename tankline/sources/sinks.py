@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-#: Parts of a keyed table, by hash of the key; a merge rewrites the parts that it has new keys for.
-BUCKETS = 64
-BUCKET = "key_bucket"
+from . import tables
+from .tables import newest, same
+
 # The stored tables, those that refer to others after them, as they are emptied.
 CHILDREN_FIRST = (
     "track_measurement", "track_statistic", "sensor_statistic", "track", "manufacturer_average", "category_average", "vehicle_type_average", "register_average",
@@ -20,23 +18,20 @@ CHILDREN_FIRST = (
 )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def upserted(old: DataFrame, new: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
     """The rows of both, of one key that of new, and of several in new the last by order (of equal ones, and without an order,
     the greatest by its other columns, so that the result doesn't depend on how rows arrive). A null in a key is a value like
     any other. Columns that one side lacks are null. A row of old is only met by its key, so a large table with few changes
     is one shuffle of each side."""
-    rest = [F.desc(c) for c in new.columns if c not in keys]
-    last = new.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*([F.desc(order)] if order else []), *rest or [F.lit(1)]))).filter("_rank = 1").drop("_rank")
-    return old.join(last.select(*keys), _same(old, last, keys), "left_anti").unionByName(last, allowMissingColumns=True)
+    last = newest(new, list(keys), *([F.desc(order)] if order else []))
+    return old.join(last.select(*keys), same(old, last, list(keys)), "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def inserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """The rows of new whose key isn't in old, each key once: what an insert would add."""
-    return new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
+    """The rows of new whose key isn't in old, each key once (its greatest row by the other columns): what an insert would add. A
+    null in a key is a value like any other, so inserting the same rows again adds nothing."""
+    first, known = newest(new, list(keys)), old.select(*keys).distinct()
+    return first.join(known, same(first, known, list(keys)), "left_anti")
 
 
 def updated_matches(cars: DataFrame, matches: DataFrame) -> DataFrame:
@@ -61,45 +56,14 @@ def blanks_as_zero(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table; one that nothing was written to yet is empty. Only a folder that isn't there counts as that, any other
-    error is raised."""
-    fields = StructType.fromDDL(schema)
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        return spark.createDataFrame([], fields)
-    return spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).select(*fields.names, BUCKET).drop(BUCKET)
-
-
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, schema: str, *keys: str, order: str | None = None, buckets: int = BUCKETS) -> None:
-    """new merged into the table at path by keys, see upserted. The table is partitioned by a hash of the key, and only the
-    parts that new has keys of are read, merged and replaced. They are first written beside the table, so that nothing is
-    replaced by what is still being read; a merge that is lost midway is mended by running it again."""
-    names = StructType.fromDDL(schema).names
-    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = new.select(*names).withColumn(BUCKET, place)
-    touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most buckets
-    if not touched:
-        return
-    old = read_table(spark, path, schema).withColumn(BUCKET, place)
-    if len(touched) < buckets:
-        old = _parts_of(spark, path, schema, touched)
-    beside = f"{path.rstrip('/')}-merging-{uuid.uuid4().hex}"
-    upserted(old.select(*names, BUCKET), fresh, *keys, order=order).write.partitionBy(BUCKET).parquet(beside)
-    spark.read.schema(f"{schema}, {BUCKET} int").parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    _delete(spark, beside)
-
-
-def _parts_of(spark: SparkSession, path: str, schema: str, parts: list[int]) -> DataFrame:
-    """The parts of a table, read through its partitions."""
-    empty = read_table(spark, path, schema)
-    if not empty.inputFiles():
-        return empty.withColumn(BUCKET, F.lit(None).cast("int"))
-    return spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).filter(F.col(BUCKET).isin(parts))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """A stored table, see tables.read; one that nothing was written to yet is empty."""
+    return tables.read(spark, path, schema)
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, schema: str, *keys: str, order: str | None = None, parts: int = tables.PARTS) -> None:
+    """new merged into the table at path by keys, of several rows of one key the last by order. What is written follows new, not
+    the table, and a merge that is lost midway leaves the table as it was: run it again. See tables."""
+    tables.upsert(spark, path, new, schema, *keys, order=order, parts=parts)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -120,8 +84,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 def truncate(spark: SparkSession, path: str) -> None:
     """Empty the table at path, which stays a table."""
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    if not tables.clear(spark, path):
+        schema = spark.read.parquet(path).schema
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def truncate_all(spark: SparkSession, root: str, tables: tuple[str, ...] = CHILDREN_FIRST) -> list[str]:
