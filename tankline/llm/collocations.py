@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import again, byte_words, give_memory_back, hot_join, materialize, small_batches
+from .common import again, byte_words, discard, give_memory_back, hot_join, materialize, small_batches
 
 MIN_COUNT, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: A phrase goes that a longer one with this share of its occurrences, in hundredths, has in it.
@@ -23,29 +23,35 @@ BLOCK_BYTES = 12 << 20
 NONE = -1
 # A-Z in lower case, the marks that end a piece as line breaks, tabs as blanks. Line breaks are made words of their own.
 _MARKS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-_BREAK, _EMPTY = b"\n", b""
-_TABLE = "block long, code int, lang string, word string, a long, b long, n long, relation binary"
-_NAMES = ["block", "code", "lang", "word", "a", "b", "n", "relation"]
+_BREAK = b"\n"
+#: Bits of a group's number that are its place in its block, and of a block's that are its place in its task.
+CODE_BITS, BLOCK_BITS = 31, 12
+_WORDS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("relation", pa.binary())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("uid", pa.int64()), ("n", pa.int64())])
+_RELATION = pa.schema([("block", pa.int64()), ("relation", pa.binary()), ("gids", pa.binary())])
+_DDL = {"int64": "long", "int32": "int", "string": "string", "binary": "binary"}
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    return len(codes).to_bytes(8, "little") + pa.compress(codes.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_DDL[str(f.type)]}" for f in schema)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), "<i4")
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes of one rank after those of another, which compress better."""
+    ranks = numbers.reshape(-1, 1).view(np.uint8).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(ranks).tobytes(), codec="zstd", asbytes=True)
 
 
-def _rows(block: int, n: np.ndarray, relation: bytes | None, **columns) -> Iterator[pa.RecordBatch]:
-    """A row for each group of a block, with its count, and then one with the block's relation."""
-    schema = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("relation", pa.binary())])
-    given = {"block": np.full(len(n), block), "code": np.arange(len(n), dtype=np.int32), "n": n} | columns
-    for first in range(0, len(n), 50_000):
-        size = min(50_000, len(n) - first)
-        yield pa.RecordBatch.from_arrays([pa.array(given[f.name][first : first + size], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema], schema=schema)
-    if relation is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([{"block": block, "relation": relation}.get(f.name)], f.type) for f in schema], schema=schema)
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    ranks = np.frombuffer(pa.decompress(data[8:], width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(ranks.T).view(kind).reshape(n)
+
+
+def _batches(schema: pa.Schema, size: int, **columns) -> Iterator[pa.RecordBatch]:
+    for first in range(0, size, 50_000):
+        rows = min(50_000, size - first)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][first : first + rows], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
 class _Block:
@@ -64,51 +70,71 @@ class _Block:
         self.size += len(text)
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """A row for each word, with its count, and then one with the block's relation."""
         codes = np.concatenate(self.parts)
-        langs, words = [], []
-        for lang, known in self.codes.items():
-            langs += [lang] * (len(known) - 1)
-        order = np.concatenate([np.fromiter((c for c in known.values() if c != NONE), np.int64) for known in self.codes.values()])
-        words = [w.decode() for known in self.codes.values() for w in known if w != _BREAK]
-        place = np.argsort(order)
-        n = np.bincount(codes[codes != NONE], minlength=len(order))
-        yield from _rows(block, n, _packed(codes), lang=[langs[i] for i in place], word=[words[i] for i in place])
+        named = sorted((c, lang, w) for lang, known in self.codes.items() for w, c in known.items() if c != NONE)
+        n = np.bincount(codes[codes != NONE], minlength=len(named))
+        yield from _batches(_WORDS, len(named), block=[block] * len(named), code=range(len(named)), lang=[x[1] for x in named], word=[x[2].decode() for x in named], n=n)
+        yield from _batches(_WORDS, 1, block=[block], relation=[_packed(codes)])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The relation of single words, block by block, and the words of each block with their counts."""
-    name, block, made = pyspark.TaskContext.get().partitionId() << 32, _Block(), 0
+    task, block, made = pyspark.TaskContext.get().partitionId(), _Block(), 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        if made >> BLOCK_BITS or task >> (63 - CODE_BITS - BLOCK_BITS):
+            raise ValueError("too many blocks in a task, or tasks: set spark.sql.files.maxPartitionBytes")
+        return block.rows(task << BLOCK_BITS | made)
+
     for batch in batches:
         for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text"))):
             block.add(lang, text)
             if block.size > BLOCK_BYTES:
-                yield from block.rows(name + made)
+                yield from rows()
                 block, made = _Block(), made + 1
     if block.parts:
-        yield from block.rows(name + made)
+        yield from rows()
+    give_memory_back()
+
+
+def _joined(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The merge join of a block's relation with itself at adjacent places: the places where a phrase begins at both, the pair of
+    codes there as one number, and what pairs are made by."""
+    begins, width = codes != NONE, int(codes.max(initial=0)) + 1
+    at = np.flatnonzero(begins[:-1] & begins[1:])
+    return at, codes[at].astype(np.int64) * width + codes[at + 1], width
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups one word longer of each block, with their counts: (a, b) are its first and its last words' phrases."""
+    for batch in batches:
+        for block, relation, gids in zip(*(batch.column(c).to_pylist() for c in ("block", "relation", "gids"))):
+            known = _unpacked(gids, np.int64)
+            _, joined, width = _joined(_unpacked(relation, np.int32))
+            pairs, n = np.unique(joined, return_counts=True)
+            yield from _batches(_PAIRS, len(pairs), a=known[pairs // width], b=known[pairs % width], uid=(block << CODE_BITS) + np.arange(len(pairs)), n=n)
     give_memory_back()
 
 
-def _extended(last: bool) -> Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]:
-    def extend(relation: pa.Table, frequent: pa.Table) -> pa.Table:
-        """The relation of phrases one word longer, from a block's relation and its frequent phrases (code, gid): a place joins the
-        next one where a frequent phrase begins at both."""
+def _semi_joined(first: bool):
+    def keep(relation: pa.Table, frequent: pa.Table) -> pa.Table:
+        """A block's relation of frequent phrases, from its relation of words, or of phrases one word shorter, and its frequent
+        groups (code, gid): what begins at each place, numbered anew, and these numbers' phrases."""
         if not relation.num_rows or not frequent.num_rows:
-            return pa.Table.from_batches([], next(iter(_rows(0, np.zeros(1, np.int64), None))).schema)
-        block, codes = relation.column("block")[0].as_py(), _unpacked(relation.column("relation")[0].as_py())
+            return _RELATION.empty_table()
+        codes = _unpacked(relation.column("relation")[0].as_py(), np.int32)
+        if not first:
+            at, joined, _ = _joined(codes)
+            inverse = np.unique(joined, return_inverse=True)[1]
+            codes = np.full(len(codes), NONE, np.int32)
+            codes[at] = inverse
         code, gid = (frequent.column(c).to_numpy() for c in ("code", "gid"))
-        width = max(int(codes.max(initial=0)), int(code.max())) + 1
-        gids = np.full(width + 1, NONE, np.int64)  # the last is for NONE
-        gids[code] = gid
-        begins = gids[codes] != NONE
-        at = np.flatnonzero(begins[:-1] & begins[1:])
-        pairs, inverse, n = np.unique(codes[at].astype(np.int64) * width + codes[at + 1], return_inverse=True, return_counts=True)
-        longer = np.full(len(codes), NONE, np.int32)
-        longer[at] = inverse
-        made = list(_rows(block, n, None if last else _packed(longer), a=gids[pairs // width], b=gids[pairs % width]))
-        return pa.Table.from_batches(made) if made else pa.Table.from_batches([], next(iter(_rows(0, np.zeros(1, np.int64), None))).schema)
+        anew = np.full(max(int(codes.max(initial=0)), int(code.max())) + 2, NONE, np.int32)  # the last is for NONE
+        anew[code] = np.arange(len(code), dtype=np.int32)
+        return pa.table({"block": [relation.column("block")[0].as_py()], "relation": [_packed(anew[codes])], "gids": [_packed(gid)]}, schema=_RELATION)
 
-    return extend
+    return keep
 
 
 def _described(phrases: DataFrame, shorter: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -127,25 +153,29 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None =
     and r, the occurrences of its parts, and floor(2000000 a / (l + r)); the least of these is its score (of equal ones the
     least k's). A phrase goes if a longer frequent one has it inside, and at least 80 % of its occurrences.
 
-    Set-oriented mining. The occurrence relation of a length, sorted by place, is persisted in blocks of texts: which phrase
-    begins at each place, pieces lying apart. The relation of the next length is its merge join with itself at adjacent
-    places of a piece, within a block as blocks are sorted. Groups are counted within blocks, then over all blocks; the frequent
-    ones come back to their blocks by an equi-join on the group and are semi-joined with the relation before it is extended. What
-    is shuffled is a row for each group of a block, however often it occurs there, and the packed blocks. A phrase is known by
-    its number and those of its first and last words' phrases, so counts of parts come by joins of frequent phrases alone.
+    Set-oriented mining. The occurrence relation of a length, which phrase begins at each place, is persisted in blocks of texts,
+    sorted by place; pieces lie apart. Groups of the next length come from its merge join with itself at adjacent places, within
+    a block as blocks are sorted. They are counted within blocks, and then over all blocks in one shuffle by group, in which those
+    that are not frequent end; the frequent ones return to their blocks, and the relation, semi-joined with them, is persisted
+    before it is extended. What is shuffled is a row for each group of a block, however often it occurs there, and the packed
+    blocks. A phrase is known by a number and by those of its first and last words' phrases, so counts of parts come by joins of
+    frequent phrases alone.
 
     Null texts read as '', null languages as 'und'. Each row counts, repeated or not. Other columns are left aside; an empty table,
     or one without frequent phrases, gives no rows. Products are decimals of 38 digits.
     """
     small_batches(docs.sparkSession)
     asked = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    found = materialize(asked.mapInArrow(_occurrences, _TABLE), "occurrences-1")
-    totals = found.filter("relation is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    keys, described, phrases = ["lang", "word"], None, []
+    found = materialize(asked.mapInArrow(_occurrences, _ddl(_WORDS)), "occurrences")
+    groups = found.filter("relation is null").select("lang", "word", F.expr(f"shiftleft(block, {CODE_BITS}) + code").alias("uid"), "n")
+    totals = materialize(groups.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
+    relation, keys, described, phrases = found.filter("relation is not null").select("block", "relation"), ["lang", "word"], None, []
     for k in range(1, longest + 1):
-        groups = found.filter("relation is null")
-        frequent = groups.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-        frequent = materialize(frequent.withColumn("gid", F.monotonically_increasing_id()), f"frequent-{k}")
+        group = Window.partitionBy(*keys)
+        counted = groups.withColumns({"f": F.sum("n").over(group), "gid": F.min("uid").over(group)}).filter(F.col("f") >= min_count)
+        told = [F.when(F.col("uid") == F.col("gid"), F.col(c)).alias(c) for c in ("f", *keys)]  # once for each group
+        counted = materialize(counted.select("uid", "gid", *told), f"frequent-{k}")
+        frequent = counted.filter("f is not null").drop("uid")
         if k == 1:
             described = frequent.select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends"))
         else:
@@ -155,10 +185,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None =
             described = materialize(described, f"phrases-{k}")
             phrases.append((k, described))
         if k < longest:
-            back = groups.select("block", "code", *keys).join(frequent.select(*keys, "gid"), keys).select("block", "code", "gid")
-            relation = again(found).filter("relation is not null").select("block", "relation")
-            found = materialize(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_extended(k + 1 == longest), _TABLE), f"occurrences-{k + 1}")
-            keys = ["a", "b"]
+            back = counted.select(F.expr(f"shiftright(uid, {CODE_BITS})").alias("block"), F.expr(f"cast(uid & {(1 << CODE_BITS) - 1} as int)").alias("code"), "gid")
+            kept = materialize(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_semi_joined(k == 1), _ddl(_RELATION)), f"occurrences-{k}")
+            discard(found)
+            found, relation, groups, keys = kept, kept, again(kept).mapInArrow(_longer, _ddl(_PAIRS)), ["a", "b"]
+    discard(found)
     out = None
     for i, (k, own) in enumerate(phrases):
         if i + 1 < len(phrases):
