@@ -2,82 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from ..functions.text import MOST_WORDS, before_single_comma, folded, key_of, powerset, relevant_words, without_brackets, words, year_in_name
+from ..functions.text import MOST_WORDS, before_single_comma, key_of, powerset, relevant_words, words
+from ..sources.sinks import kept
+from .similarity import AS_OF, judgement, with_similarity
 
 # Required scores, the band below them, and lower floors of some brands.
 MIN_PROBABILITY, BAND, DEFAULT_SCORE, REGISTER_SCORE, SENSOR_SCORE = 0.25, 0.06, 0.99, 0.96, 0.99998
 BRAND_FLOORS = {"Daihatsu": 0.4, "Audi": 0.85, "BMW": 0.97}
-RATIO, STRICT_RATIO = 90, 93
 #: Parts that the cars with one word are dealt over.
 SALTS = 8
 #: What is added to the counts of patterns with and without a word.
 SMOOTHING = 0.1
 
 
-def ratio(a: str, b: str) -> float:
-    """100 x 2 matches / total length, from the longest common subsequence of characters."""
-    if not a or not b:
-        return 0.0 if a or b else 100.0
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = row = (1 << len(a)) - 1  # a bit is cleared for each character of a that the common subsequence has gained
-    for y in b:
-        here = row & places.get(y, 0)
-        row = (row + here | row - here) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
-
-
-def _tokens(s: str) -> list[str]:
-    return re.sub(r"\W+", " ", s.lower()).split()
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(_tokens(a))), " ".join(sorted(_tokens(b))))
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """The best ratio among the common words, and the common words with either side's others."""
-    x, y = set(_tokens(a)), set(_tokens(b))
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    left, right = (f"{both} {' '.join(sorted(s - t))}".strip() for s, t in ((x, y), (y, x)))
-    return max(ratio(both, left), ratio(both, right), ratio(left, right)) if both else ratio(left, right)
-
-
-def _alike(a: str, b: str, clean_a: str, clean_b: str) -> bool:
-    if any(len(re.findall(r"\w+", s)) <= 1 for s in (a, b, clean_a, clean_b)):
-        return False
-    pairs = ((a, b), (clean_a, clean_b))
-    return round(ratio(a, b)) > RATIO or round(ratio(clean_a, clean_b)) > STRICT_RATIO or any(round(f(*p)) > STRICT_RATIO for f in (token_sort_ratio, token_set_ratio) for p in pairs)
-
-
-@F.pandas_udf(BooleanType())
-def _similar(a: pd.Series, b: pd.Series, clean_a: pd.Series, clean_b: pd.Series) -> pd.Series:
-    return pd.Series([_alike(*row) for row in zip(a, b, clean_a, clean_b)], dtype=bool)
-
-
-def similar(left: Column, right: Column, year: Column | None = None) -> Column:
-    """Whether two names are alike: equal but for a tenth of their characters, in any order of words, or one's words among
-    the other's, by ratios rounded to whole numbers. The latest year that is in the left name is taken out of it, and so is
-    year; both must have two words, with and without what is in brackets."""
-    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
-    if year is not None:
-        left = F.coalesce(F.replace(left, year.cast("string"), F.lit(" ")), left)
-    left = F.coalesce(F.replace(left, year_in_name(left, F.year(F.current_date())).cast("string"), F.lit(" ")), left)
-    plain = lambda c: folded(F.replace(c, F.lit("-"), F.lit(" ")))
-    return _similar(plain(left), plain(right), without_brackets(left), without_brackets(right))
-
-
 def curated_matches(cars: DataFrame, curated: DataFrame, wiki: DataFrame) -> DataFrame:
     """(car_id, hash_id): cars (car_id, brand, name, year) whose name, or name and year end to end, a curated list (brand,
     entry, wiki_name) has. A brand that isn't in the list has no match."""
@@ -178,41 +120,42 @@ def needs_training(patterns: DataFrame, known_tags: int) -> bool:
     return patterns.select("tag").distinct().count() != known_tags
 
 
-def accepted(scored: DataFrame, wiki: DataFrame, aliases: DataFrame, required: float = DEFAULT_SCORE, complex_rules: bool = True) -> DataFrame:
+def accepted(scored: DataFrame, wiki: DataFrame, aliases: DataFrame, required: float = DEFAULT_SCORE, complex_rules: bool = True, as_of: int = AS_OF) -> DataFrame:
     """(car_id, hash_id, rule): scored candidates (car_id, brand, name, year, tag, score) that a rule accepts; the first rule
     that holds is told. 1: the score is reached. Then, with complex rules, 2: the score is in the band below and all words
     of the page's name are in brand and name; outside the band 3: the names are alike in one of three forms, 4: the
     brand's own floor is reached; and in any case 5: they are alike with an alias in front.
 
-    Rules are judged on distinct names, not cars, and similarity, the one that runs Python, only for names that the
-    built-in rules leave open; cars and pages are joined at the end.
+    Rules are judged on distinct names, stored once, not on cars: those that built-in functions can tell first, then similarity
+    (see similarity.with_similarity), for names that are still open, with all forms of a rule in one comparison, and aliases only
+    for names that no rule before has accepted. Cars and pages are joined at the end.
     """
     pages = wiki.select(F.col("wiki_name").alias("tag"), "hash_id")
-    key = F.xxhash64("brand", "name", "tag", "score").alias("key")
-    names = scored.select("brand", "name", "tag", "score").distinct()
+    columns = ["brand", "name", "tag", "score"]
     first = F.when(F.col("score") >= required, 1)
+    in_band = F.col("score") >= required - BAND
+    full = F.concat_ws(" ", "brand", "name")
     if complex_rules:
-        in_band = F.col("score") >= required - BAND
-        full = F.concat_ws(" ", "brand", "name")
-        all_words = F.size(F.array_except(words(F.col("tag")), words(full))) == 0
-        first = first.when(in_band & all_words, 2)
-    judged = names.withColumn("rule", first)
-    found = judged.filter("rule is not null").select(key, "brand", "name", "tag", "score", "rule")
+        first = first.when(in_band & (F.size(F.array_except(words(F.col("tag")), words(full))) == 0), 2)
+    judged = kept(scored.select(*columns).distinct().select(F.xxhash64(*columns).alias("key"), *columns, first.alias("rule")), "names")
+    found = judged.filter("rule is not null")
     if complex_rules:
         left = judged.filter("rule is null").drop("rule")
         bare = F.replace(F.col("tag"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
         own_name = F.replace(F.col("name"), F.concat(F.col("brand"), F.lit(" ")), F.lit(""))
-        alike = similar(full, F.col("tag")) | similar(own_name, bare) | similar(F.concat_ws(" ", "brand", own_name), F.col("tag"))
+        forms = ((full, F.col("tag")), (own_name, bare), (F.concat_ws(" ", "brand", own_name), F.col("tag")))
         floor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in BRAND_FLOORS.items() for x in p]), F.col("brand")), F.lit(2.0))
-        below = left.filter(~in_band).withColumn("rule", F.when(alike, 3).when(F.col("score") >= floor, 4)).filter("rule is not null")
-        found = found.unionByName(below.select(key, "brand", "name", "tag", "score", "rule"))
-        aliased = left.join(aliases.select("brand", "alias"), "brand")
+        below = with_similarity(left.filter(~in_band), *[judgement(a, b, as_of=as_of) for a, b in forms])
+        below = below.withColumn("rule", F.when(F.col("alike"), 3).when(F.col("score") >= floor, 4)).drop("alike")
+        below = kept(left.filter(in_band).withColumn("rule", F.lit(None).cast("int")).unionByName(below), "judged-names")
+        aliased = below.filter("rule is null").drop("rule").join(aliases.select("brand", "alias"), "brand")
         without = lambda c: F.replace(c, F.col("alias"), F.lit(""))
-        named = similar(F.concat_ws(" ", "alias", "brand", "name"), F.col("tag")) | similar(F.concat_ws(" ", F.col("alias"), without(F.col("name"))), without(F.col("tag")))
-        found = found.unionByName(aliased.filter(named).select(key, "brand", "name", "tag", "score", F.lit(5).alias("rule")))
-    least = found.groupBy("key", "brand", "name", "tag", "score").agg(F.min("rule").alias("rule"))
-    asked = scored.select("car_id", "brand", "name", "tag", "score").withColumn("key", key)
-    hits = asked.join(least, ["key", "brand", "name", "tag", "score"]).groupBy("car_id", "tag").agg(F.min("rule").alias("rule"))
+        forms = ((F.concat_ws(" ", "alias", "brand", "name"), F.col("tag")), (F.concat_ws(" ", F.col("alias"), without(F.col("name"))), without(F.col("tag"))))
+        named = with_similarity(aliased, *[judgement(a, b, as_of=as_of) for a, b in forms]).filter("alike")
+        found = found.unionByName(below.filter("rule is not null")).unionByName(named.select("key", *columns, F.lit(5).alias("rule")))
+    least = found.groupBy("key", *columns).agg(F.min("rule").alias("rule"))
+    asked = scored.select("car_id", *columns).withColumn("key", F.xxhash64(*columns))
+    hits = asked.join(least, ["key", *columns]).groupBy("car_id", "tag").agg(F.min("rule").alias("rule"))
     return hits.join(pages, "tag").groupBy("car_id", "hash_id").agg(F.min("rule").alias("rule"))
 
 

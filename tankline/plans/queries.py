@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, text
 from ..operators import brands as B
-from ..operators import listings, matching, names, prices, routes, sensors, spatial, statistics
+from ..operators import listings, matching, names, prices, routes, sensors, similarity, spatial, statistics
 from ..sources import adapters as A
 from ..sources import readers, sinks
 
@@ -426,7 +426,8 @@ def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct register names and page names that share a word, and whether they are alike."""
     names = _distinct_names(spark, sf)
     pairs = matching.name_matches(names, A.wiki_cars(spark, sf)).select("car_id", "tag").join(names, "car_id")
-    return pairs.select("brand", "name", F.col("tag").alias("page"), matching.similar(F.concat_ws(" ", "brand", "name"), F.col("tag")).alias("alike"))
+    told = similarity.with_similarity(pairs, similarity.judgement(F.concat_ws(" ", "brand", "name"), F.col("tag")))
+    return told.select("brand", "name", F.col("tag").alias("page"), "alike")
 
 
 def classifier_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tankline.operators import brands, listings, matching, prices, routes, sensors, spatial, statistics
+from tankline.operators import brands, listings, matching, prices, routes, sensors, similarity, spatial, statistics
 from tankline.plans import queries
 from tankline.sources import adapters, readers, sinks
 from tankline.sources.loads import load
@@ -187,10 +187,10 @@ def test_tank_sizes_consumption_and_year_of_a_request(spark):
 
 
 def test_similarity_ratios(spark):
-    assert matching.ratio("abc", "abc") == 100 and matching.ratio("abcd", "abxd") == 75 and matching.ratio("", "") == 100 and matching.ratio("a", "") == 0
-    assert matching.token_sort_ratio("golf vw", "VW Golf") == 100 and matching.token_set_ratio("vw golf", "vw golf variant") == 100
+    assert similarity.ratio("abc", "abc") == 100 and similarity.ratio("abcd", "abxd") == 75 and similarity.ratio("", "") == 100 and similarity.ratio("a", "") == 0
+    assert similarity.token_sort_ratio("golf vw", "VW Golf") == 100 and similarity.token_set_ratio("vw golf", "vw golf variant") == 100
     rows = spark.createDataFrame([("VW Golf 2012", "Golf VW", 2012), ("Audi A4", "Audi A8", None), ("Golf", "Golf", None), ("VW Golf (IV)", "VW-Golf", None), (None, "VW Golf", None)], "a string, b string, y int")
-    assert [r[0] for r in rows.select(matching.similar(F.col("a"), F.col("b"), F.col("y"))).collect()] == [True, False, False, True, False]
+    assert [r[0] for r in similarity.with_similarity(rows.withColumn("i", F.monotonically_increasing_id()), similarity.judgement(F.col("a"), F.col("b"), F.col("y"))).orderBy("i").select("alike").collect()] == [True, False, False, True, False]
 
 
 def test_ratio_equals_the_plain_table():
@@ -201,7 +201,7 @@ def test_ratio_equals_the_plain_table():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
-        assert matching.ratio(a, b) == pytest.approx(200 * row[-1][-1] / (len(a) + len(b)))
+        assert similarity.ratio(a, b) == pytest.approx(200 * row[-1][-1] / (len(a) + len(b)))
 
 
 def test_matching_rules(spark):
@@ -361,9 +361,9 @@ def test_request_errors(spark):
 
 def test_ratios_are_rounded_and_years_taken_out(spark):
     a, b = "a" * 23 + " x" + "b" * 27, "a" * 23 + " x" + "c" * 5 + "b" * 22
-    assert 90 < matching.ratio(a, b) < 90.5  # 90.4 is 90, which is not over 90
+    assert 90 < similarity.ratio(a, b) < 90.5  # 90.4 is 90, which is not over 90
     rows = spark.createDataFrame([(a, b), ("VW Golf 2012 Variant", "VW Golf Variant"), ("VW Golf 1979 Variant", "VW Polo Variant")], "a string, b string")
-    assert [r[0] for r in rows.select(matching.similar(F.col("a"), F.col("b"))).collect()] == [False, True, False]
+    assert [r[0] for r in similarity.with_similarity(rows.withColumn("i", F.monotonically_increasing_id()), similarity.judgement(F.col("a"), F.col("b"))).orderBy("i").select("alike").collect()] == [False, True, False]
 
 
 def test_classifier_steps_of_register_and_sensors(spark):
