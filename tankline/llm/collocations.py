@@ -18,7 +18,7 @@ MIN_COUNT, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: A phrase goes that a longer one with this share of its occurrences, in hundredths, has in it.
 INSIDE = 80
 #: Bytes of text in a block of the occurrence relation.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 #: What stands in the relation where no phrase begins.
 NONE = -1
 # A-Z in lower case, the marks that end a piece as line breaks, tabs as blanks. Line breaks are made words of their own.
@@ -166,28 +166,32 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int | None =
     """
     small_batches(docs.sparkSession)
     asked = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    found = materialize(asked.mapInArrow(_occurrences, _ddl(_WORDS)), "occurrences")
-    groups = found.filter("relation is null").select("lang", "word", F.expr(f"shiftleft(block, {CODE_BITS}) + code").alias("uid"), "n")
+    found = asked.mapInArrow(_occurrences, _ddl(_WORDS)).withColumn("words", F.col("relation").isNull())
+    found = materialize(found, "occurrences", "words", release=True)
+    groups = found.filter("words").select("lang", "word", F.expr(f"shiftleft(block, {CODE_BITS}) + code").alias("uid"), "n")
     totals = materialize(groups.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
-    relation, keys, described, phrases = found.filter("relation is not null").select("block", "relation"), ["lang", "word"], None, []
+    relation, keys, described, phrases = found.filter("not words").select("block", "relation"), ["lang", "word"], None, []
     for k in range(1, longest + 1):
         group = Window.partitionBy(*keys)
         counted = groups.withColumns({"f": F.sum("n").over(group), "gid": F.min("uid").over(group)}).filter(F.col("f") >= min_count)
         told = [F.when(F.col("uid") == F.col("gid"), F.col(c)).alias(c) for c in ("f", *keys)]  # once for each group
-        counted = materialize(counted.select("uid", "gid", *told), f"frequent-{k}")
+        counted = materialize(counted.select("uid", "gid", *told), f"frequent-{k}", release=True)
         frequent = counted.filter("f is not null").drop("uid")
         if k == 1:
             described = frequent.select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends"))
+            described = materialize(described, "phrases-1", release=True)
+            discard(found, "words=true")
         else:
             pairs = _described(_described(frequent, described, "a", "lang", "phrase", "starts"), described, "b", "last", "ends")
             starts, ends = F.concat("a_starts", F.array("f")), F.concat("b_ends", F.array("f"))
             described = pairs.select("gid", "a", "b", F.col("a_lang").alias("lang"), F.concat_ws(" ", "a_phrase", "b_last").alias("phrase"), F.col("b_last").alias("last"), "f", starts.alias("starts"), ends.alias("ends"))
-            described = materialize(described, f"phrases-{k}")
+            described = materialize(described, f"phrases-{k}", release=True)
             phrases.append((k, described))
         if k < longest:
             back = counted.select(F.expr(f"shiftright(uid, {CODE_BITS})").alias("block"), F.expr(f"cast(uid & {(1 << CODE_BITS) - 1} as int)").alias("code"), "gid")
-            kept = materialize(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_semi_joined(k == 1), _ddl(_RELATION)), f"occurrences-{k}")
+            kept = materialize(relation.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_semi_joined(k == 1), _ddl(_RELATION)), f"occurrences-{k}", release=True)
             discard(found)
+            discard(counted)
             found, relation, groups, keys = kept, kept, again(kept).mapInArrow(_longer, _ddl(_PAIRS)), ["a", "b"]
     discard(found)
     out = None

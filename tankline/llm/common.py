@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key that has at least this share of all rows is joined by broadcast; by arithmetic there are at most 1 / HOT_SHARE.
 HOT_SHARE = 1 / 2000
 COMPONENT_ROUNDS = 60
+#: Spark's setting that shuffle files go with the execution that wrote them.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a text that are cut into words at once.
 WORD_BYTES = 1 << 22
 
@@ -40,11 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, *partitions: str, release: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again, which cuts its lineage. With release, what the write has
+    shuffled is deleted once it is done, as the table is read in its place."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.partitionBy(*partitions).parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if own is None else spark.conf.set(RELEASE, own)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -55,10 +65,10 @@ def again(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(df._written_to)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize wrote and that nothing reads any more."""
+def discard(df: DataFrame, partition: str = "") -> None:
+    """Delete a table that materialize wrote, or a partition of it, that nothing reads any more."""
     context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{df._written_to}/{partition}".rstrip("/"))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
