@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tankline.llm import langid
 from tankline.llm.common import materialize, table
-from tankline.llm.decontaminate import contaminated
+from tankline.llm.decontaminate import WORDS, contaminated
 from tankline.llm.line_dedup import dedup_lines
 from tankline.llm.queries import LINE_MIN_DOCS, coded
 from tankline.llm.simhash import similar_dedup
@@ -46,23 +46,24 @@ def _with_row(docs: DataFrame) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that of the least doc_id, or of the least digest where an id repeats. Groups are of texts
     whose five-word shingles have a cosine of 0.8 or more, by similar_dedup. Rows that repeat an id with other texts, and
-    rows without an id, are judged by their own texts. Of rows that are the same in id and text, the one with the least
-    other columns stays."""
+    rows without an id, are judged by their own texts. Of rows that are the same in id and text, the one whose columns have the
+    least hash stays, of whatever types they are."""
     rows = _with_row(docs)
     kept = similar_dedup(rows, key="row").filter(F.col("row") == F.col("component_id")).groupBy("row").agg(F.count("*").alias("n"))
     kept = materialize(kept, "kept-rows")
     once, often = (kept.filter(c).select("row") for c in ("n = 1", "n > 1"))
     out = rows.join(once, "row", "left_semi").select("own")
     if often.count():
-        again = rows.join(often, "row", "left_semi").groupBy("row").agg(F.min("own").alias("own"))
+        again = rows.join(often, "row", "left_semi").groupBy("row").agg(F.min_by("own", F.xxhash64(F.to_json("own"))).alias("own"))
         out = out.unionByName(again.select("own"))
     return _back(out, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go, with or without an id; other rows of the same id stay."""
+    """Rows that hold a benchmark item of five words or more go, with or without an id; other rows of the same id stay. Shorter items
+    turn up by chance, and clean documents are to stay."""
     rows = _with_row(docs)
-    found = contaminated(rows, table(spark, sf_dir, "benchmark"), key="row").select("row").distinct()
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), key="row", least_words=WORDS).select("row").distinct()
     return _back(rows.join(found, "row", "left_anti"), docs)
 
 
