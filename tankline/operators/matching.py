@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -223,11 +224,11 @@ def match_sensors(cars: DataFrame, wiki: DataFrame, curated: DataFrame) -> DataF
     return _by_form(cars.select("car_id", "brand", F.inline(forms)), cars, wiki, curated, first=False)
 
 
-def _asked(forms: DataFrame, model: Classifier, wiki: DataFrame, aliases: DataFrame, required: dict[int, tuple[float, bool]]) -> DataFrame:
+def _asked(forms: DataFrame, ask: Callable[[DataFrame], DataFrame], wiki: DataFrame, aliases: DataFrame, required: dict[int, tuple[float, bool]]) -> DataFrame:
     """(brand, group, form, hash_id): the pages that the classifier finds for each distinct form, and that the rules accept by
     what the form's group requires, (score, complex rules). Forms are scored once for all groups."""
     texts = forms.select("brand", F.col("form").alias("text")).distinct().withColumn("car_id", key_of(F.col("brand"), F.col("text")))
-    scored = scores(model, texts).withColumnRenamed("text", "name")
+    scored = kept(ask(texts).withColumnRenamed("text", "name"), "scored-forms")
     groups = forms.select("brand", "form", "group").distinct()
     out = None
     for group, (score, complex_rules) in required.items():
@@ -249,21 +250,22 @@ def _by_classifier(forms: DataFrame, cars: DataFrame, wiki: DataFrame, curated:
     return listed.select("car_id", F.lit(0).alias("stage"), "hash_id").unionByName(found.select("car_id", "stage", "hash_id"))
 
 
-def match_register_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, model: Classifier, aliases: DataFrame, required: float = REGISTER_SCORE, complex_rules: bool = True) -> DataFrame:
+def match_register_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, ask: Callable[[DataFrame], DataFrame], aliases: DataFrame, required: float = REGISTER_SCORE, complex_rules: bool = True) -> DataFrame:
     """(car_id, stage, hash_id): register cars (car_id, brand, name, year, description) by curated list (stage 0), else by the
     first of their forms (see register_forms) for which the classifier has a page that the rules accept: name, with year, with
     description and with both must reach required; names with their last words dropped DEFAULT_SCORE, without complex rules.
 
-    The classifier and the rules see each distinct form once, whatever the number of cars that have it. As a model knows
+    ask gives the classifier's (car_id, brand, text, tag, score) of texts (car_id, brand, text): scores of this module, or that of
+    network, with a model. It and the rules see each distinct form once, whatever the number of cars that have it. As a model knows
     words, whatever their case or order, and not the brand's, the combinations of brand and name in other cases that one
     might also ask about have the same scores.
     """
     forms = register_forms(cars).select("car_id", "brand", "stage", "form").withColumn("group", (F.col("stage") > 4).cast("int"))
-    hits = _asked(forms, model, wiki, aliases, {0: (required, complex_rules), 1: (DEFAULT_SCORE, False)})
+    hits = _asked(forms, ask, wiki, aliases, {0: (required, complex_rules), 1: (DEFAULT_SCORE, False)})
     return _by_classifier(forms, cars, wiki, curated, hits, first=True)
 
 
-def match_sensors_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, model: Classifier, aliases: DataFrame, required: float = SENSOR_SCORE, complex_rules: bool = True, less: float = 0.03) -> DataFrame:
+def match_sensors_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, ask: Callable[[DataFrame], DataFrame], aliases: DataFrame, required: float = SENSOR_SCORE, complex_rules: bool = True, less: float = 0.03) -> DataFrame:
     """(car_id, stage, hash_id): sensors (car_id, brand, name, year) by curated list (0), else all pages that the classifier
     has and the rules accept for the name (1), for name and year (2) or, with the brand in front, for name (3) or name and year
     (4), the latter three at less below required."""
@@ -271,7 +273,7 @@ def match_sensors_scored(cars: DataFrame, wiki: DataFrame, curated: DataFrame, m
     named = [F.col("name"), F.concat_ws(" ", "name", y), F.concat_ws(" ", "brand", "name"), F.concat_ws(" ", "brand", "name", y)]
     forms = F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(int(i > 1)).alias("group"), c.alias("form")) for i, c in enumerate(named, 1)])
     forms = cars.select("car_id", "brand", F.inline(forms))
-    hits = _asked(forms, model, wiki, aliases, {0: (required, complex_rules), 1: (required - less, complex_rules)})
+    hits = _asked(forms, ask, wiki, aliases, {0: (required, complex_rules), 1: (required - less, complex_rules)})
     return _by_classifier(forms, cars, wiki, curated, hits, first=False)
 
 

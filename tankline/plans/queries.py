@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, text
 from ..operators import brands as B
-from ..operators import listings, matching, names, prices, routes, sensors, similarity, spatial, statistics
+from ..operators import listings, matching, names, network, prices, routes, sensors, similarity, spatial, statistics
 from ..sources import adapters as A
 from ..sources import readers, sinks
 
@@ -472,18 +472,53 @@ def _model(spark: SparkSession, sf: str) -> matching.Classifier:
     return matching.Classifier(sinks.kept(model.tags, "model-tags"), sinks.kept(model.gains, "model-gains"))
 
 
+def _ask(spark: SparkSession, sf: str):
+    model = _model(spark, sf)
+    return lambda texts: matching.scores(model, texts)
+
+
+def _networks(spark: SparkSession, sf: str) -> DataFrame:
+    """The networks of all brands from their pages' names, as a stored table."""
+    return sinks.kept(network.train(matching.training_patterns(A.wiki_cars(spark, sf), _no_patterns(spark))), "brand-networks")
+
+
 def match_register_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Register cars by the classifier's pages of their names, with the back-off, without the rules on similarity."""
-    wiki, model = A.wiki_cars(spark, sf), _model(spark, sf)
-    found = matching.match_register_scored(_register_names(spark, sf), wiki, _curated(spark, sf), model, _part_aliases(spark, sf), required=0.4, complex_rules=False)
+    wiki, ask = A.wiki_cars(spark, sf), _ask(spark, sf)
+    found = matching.match_register_scored(_register_names(spark, sf), wiki, _curated(spark, sf), ask, _part_aliases(spark, sf), required=0.4, complex_rules=False)
     return found.groupBy("car_id", "stage").agg(F.count("*").alias("pages"))
 
 
 def match_sensor_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' cars, by the classifier of each brand and the whole cascade of rules."""
-    wiki, part = A.wiki_cars(spark, sf), A.table(spark, sf, "part")
-    names = part.select(F.col("p_partkey").alias("car_id"), F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), (F.lit(1990) + F.col("p_partkey") % 30).cast("int").alias("year"))
-    found = matching.match_sensors_scored(names, wiki, _curated(spark, sf), _model(spark, sf), _part_aliases(spark, sf), required=0.9)
+    wiki, names = A.wiki_cars(spark, sf), _sensor_cars(spark, sf)
+    found = matching.match_sensors_scored(names, wiki, _curated(spark, sf), _ask(spark, sf), _part_aliases(spark, sf), required=0.9)
+    return found.groupBy("car_id", "stage").agg(F.count("*").alias("pages"))
+
+
+def _sensor_cars(spark: SparkSession, sf: str) -> DataFrame:
+    named = F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")
+    return A.table(spark, sf, "part").select(F.col("p_partkey").alias("car_id"), F.col("p_brand").alias("brand"), named, (F.lit(1990) + F.col("p_partkey") % 30).cast("int").alias("year"))
+
+
+def network_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A network for each brand, asked about the names that it was trained on: the page that it puts first, and whether surely."""
+    wiki = A.wiki_cars(spark, sf).select(F.col("wiki_name").alias("car_id"), F.col("brand_name").alias("brand"), F.col("car_name").alias("text")).distinct()
+    found = network.scores(_networks(spark, sf), wiki, keep=1)
+    return found.select("car_id", "brand", "text", "tag", (F.col("score") >= matching.REGISTER_SCORE).alias("sure"))
+
+
+def match_register_network(spark: SparkSession, sf: str) -> DataFrame:
+    """Register cars by the network of their brand and all rules, at the score that the register requires."""
+    networks = _networks(spark, sf)
+    found = matching.match_register_scored(_register_names(spark, sf), A.wiki_cars(spark, sf), _curated(spark, sf), lambda texts: network.scores(networks, texts), _part_aliases(spark, sf))
+    return found.groupBy("car_id", "stage").agg(F.count("*").alias("pages"))
+
+
+def match_sensor_network(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' cars by the network of their brand and all rules, at the score that sensors require."""
+    networks = _networks(spark, sf)
+    found = matching.match_sensors_scored(_sensor_cars(spark, sf), A.wiki_cars(spark, sf), _curated(spark, sf), lambda texts: network.scores(networks, texts), _part_aliases(spark, sf))
     return found.groupBy("car_id", "stage").agg(F.count("*").alias("pages"))
 
 

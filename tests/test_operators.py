@@ -373,8 +373,8 @@ def test_classifier_steps_of_register_and_sensors(spark):
     curated = spark.createDataFrame([("VW", "käfer", "VW Golf")], "brand string, entry string, wiki_name string")
     aliases = spark.createDataFrame([("VW", "Volkswagen", 1)], "brand string, alias string, priority int")
     cars = spark.createDataFrame([("a", "VW", "polo", 2001, "x"), ("b", "VW", "golf tsi", 2002, "plus"), ("c", "VW", "Käfer", 1970, "x"), ("d", "VW", "up", 2012, "x"), ("e", "VW", "polo zz qq", 2003, "y")], "car_id string, brand string, name string, year int, description string")
-    found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_register_scored(cars, wiki, curated, model, aliases, required=0.9).collect()}
+    found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_register_scored(cars, wiki, curated, lambda t: matching.scores(model, t), aliases, required=0.9).collect()}
     assert ("a", 1, "h2") in found and ("c", 0, "h1") in found and ("e", 1, "h2") in found and not [f for f in found if f[0] == "d"]
     assert ("b", 1, "h3") not in found
-    found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_sensors_scored(cars.drop("description"), wiki, curated, model, aliases, required=0.95).collect()}
+    found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_sensors_scored(cars.drop("description"), wiki, curated, lambda t: matching.scores(model, t), aliases, required=0.95).collect()}
     assert ("a", 1, "h2") in found and ("c", 0, "h1") in found and not [f for f in found if f[0] == "d"]
