@@ -59,3 +59,16 @@ ORACLE_SQL = {
     ),
     "accepted_matches": with_sql("wiki cars", "SELECT car_id, rule, count(*) AS pages FROM first_told GROUP BY ALL", f"{_PAIRED}, {_RULES}"),
 }
+
+_EVENTS = "CASE event_type WHEN 'view' THEN 'Speed' WHEN 'click' THEN 'Consumption' WHEN 'purchase' THEN 'CO2' WHEN 'signup' THEN 'Rpm' WHEN 'error' THEN 'Engine Load' END"
+ORACLE_SQL |= {
+    "network_scores": "SELECT DISTINCT p_brand || ' ' || p_name AS car_id, p_brand AS brand, p_name AS text, p_brand || ' ' || p_name AS tag, true AS sure FROM part",
+    "stored_changes": with_sql("prices", """SELECT country, date::VARCHAR AS date, round(euro_ttc + CASE month(date) WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 0 END, 3) AS euro_ttc
+        FROM prices WHERE month(date) <> 2 OR year(date) > 1995"""),
+    "stored_once": f"""WITH e AS (SELECT event_id, {_EVENTS} AS phenomenon FROM events), nameless AS (SELECT DISTINCT phenomenon FROM e WHERE event_id % 500 = 1),
+        stored AS (SELECT event_id, phenomenon FROM e UNION ALL SELECT NULL, phenomenon FROM nameless)
+        SELECT phenomenon, count(*) AS n, count(event_id) AS named, count(DISTINCT event_id) AS ids, count(*) FILTER (WHERE event_id % 10 = 3) AS undated FROM stored GROUP BY 1""",
+    "corrected_measurements": f"""WITH e AS (SELECT CASE WHEN event_id % 7 = 0 AND event_id % 3 = 0 THEN '1' ELSE user_id::VARCHAR END AS sensor_id, {_EVENTS} AS phenomenon,
+            value + CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 10 ELSE 0 END AS v FROM events WHERE event_id % 11 <> 0)
+        SELECT sensor_id, phenomenon, round(max(v), 3) AS max, round(sum(v), 3) AS sum, round(min(v), 3) AS min, count(v) AS n FROM e WHERE v IS NOT NULL GROUP BY 1, 2""",
+}

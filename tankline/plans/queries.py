@@ -9,7 +9,7 @@ from ..functions import maths, text
 from ..operators import brands as B
 from ..operators import listings, matching, names, network, prices, routes, sensors, similarity, spatial, statistics
 from ..sources import adapters as A
-from ..sources import readers, sinks
+from ..sources import readers, sinks, tables
 
 PLACES = 4
 SWEEP = (50, 130, 40)
@@ -764,3 +764,55 @@ def near_points(spark: SparkSession, sf: str) -> DataFrame:
     points = _requests(spark, sf).select(F.col("request_id").alias("route"), F.posexplode("coordinates").alias("seq", "c")).select("route", "seq", "c.x", "c.y")
     far = spatial.point_distances(points)
     return far.filter(spatial.within_limit(F.col("meters") / 1000, 180.0)).groupBy("route").agg(F.count("*").alias("n"))
+
+
+# stored tables and streams
+
+
+def stored_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices as a table of appended batches: all of them, a month deleted and another one changed, a compaction, and more changes."""
+    path, schema, keys = sinks.scratch(spark, "changes"), "country string, date date, euro_ttc double", ["country", "date"]
+    p = A.country_prices(spark, sf).select("country", "date", "euro_ttc")
+    tables.append(spark, path, p, schema, keys)
+    tables.append(spark, path, p.filter("month(date) = 2"), schema, keys, gone=True)
+    tables.append(spark, path, p.filter("month(date) in (3, 5)").withColumn("euro_ttc", F.col("euro_ttc") + 1), schema, keys)
+    tables.compact(spark, path, schema)
+    tables.append(spark, path, p.filter("month(date) = 5 or (month(date) = 2 and year(date) > 1995)").withColumn("euro_ttc", F.col("euro_ttc") + 2), schema, keys)
+    tables.vacuum(spark, path)
+    return rounded(tables.read(spark, path, schema), 3)
+
+
+def _measurement_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from ..streaming import ingest
+
+    types = dict(f.split() for f in ingest.VALUES.split(", "))
+    return A.measurements(spark, sf).select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+
+
+def stored_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Measurements that come in three files which overlap, some without an id, by two checkpoints: each is stored once."""
+    from ..streaming import ingest
+
+    path, k = sinks.scratch(spark, "once"), F.col("track_measurement_id").cast("long")
+    rows = _measurement_rows(spark, sf).withColumn("date", F.when(k % 10 != 3, F.col("date")))
+    nameless = rows.filter(k % 500 == 1).withColumn("track_measurement_id", F.lit(None).cast("string"))
+    for part, mark in ((rows.filter(k % 3 < 2), "a"), (rows.filter(k % 3 > 0).unionByName(nameless), "a"), (nameless, "b")):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest.append(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/{mark}").awaitTermination()
+    stored = spark.read.schema(f"{ingest.VALUES}, {ingest.LOAD} string, {ingest.DAY} string").parquet(f"{path}/out")
+    return stored.groupBy("phenomenon").agg(F.count("*").alias("n"), F.count("track_measurement_id").alias("named"), F.countDistinct("track_measurement_id").alias("ids"), F.count_if(F.col("day") == "none").alias("undated"))
+
+
+def corrected_measurements(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of sensors after measurements were corrected, moved to another phenomenon's sensor, and deleted."""
+    from ..streaming import ingest
+
+    path, k = sinks.scratch(spark, "corrected"), F.col("track_measurement_id").cast("long")
+    rows = _measurement_rows(spark, sf).withColumns({"changed": F.lit(1), "deleted": F.lit(False)})
+    value = F.col("phenomenon_value")
+    moved = rows.filter(k % 7 == 0).withColumns({"phenomenon_value": F.when(k % 2 == 0, value + 10).otherwise(value), "sensor_id": F.when(k % 3 == 0, F.lit("1")).otherwise(F.col("sensor_id")), "changed": F.lit(2)})
+    gone = rows.filter(k % 11 == 0).withColumns({"deleted": F.lit(True), "changed": F.lit(3)})
+    for part in (rows, moved.unionByName(gone)):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest.corrected_statistics(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/values", f"{path}/counts", f"{path}/stats", f"{path}/mark").awaitTermination()
+    return rounded(tables.read(spark, f"{path}/stats", ingest.STATE), 3)
