@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import great_circle, utm_xy, utm_zone
+from ..functions.geodesy import ellipsoid_distance, utm_xy, utm_zone
 
 #: Side of a grid cell in degrees. Smaller cells give fewer pairs to test and more rows for large polygons.
 CELL = 1.0
@@ -181,9 +181,9 @@ def point_countries(points: DataFrame, countries: DataFrame, cell: float = CELL)
 
 
 def point_distances(points: DataFrame) -> DataFrame:
-    """points (route, seq, x, y) with the great-circle metres to the previous point of the route, zero for the first."""
+    """points (route, seq, x, y) with the metres on the ellipsoid to the previous point of the route, zero for the first."""
     before = Window.partitionBy("route").orderBy("seq")
-    far = great_circle(F.lag("x").over(before), F.lag("y").over(before), F.col("x"), F.col("y"))
+    far = ellipsoid_distance(F.lag("x").over(before), F.lag("y").over(before), F.col("x"), F.col("y"))
     return points.withColumn("meters", F.coalesce(far, F.lit(0.0)))
 
 

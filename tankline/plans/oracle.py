@@ -166,6 +166,23 @@ _BAYES = f"""forms_of AS (SELECT DISTINCT brand_name AS brand, wiki_name AS tag,
 _STRICT = _REGMATCH + """,
     one AS (SELECT DISTINCT * FROM names), strict AS (SELECT * FROM best WHERE stage <= 1)"""
 
+def _legs(steps: int = 8) -> str:
+    """legs: points with m, the metres on the ellipsoid from the point before, by so many steps of the inverse problem."""
+    f, a, b = repr(geodesy.FLATTENING), geodesy.A, repr(geodesy.A * (1 - geodesy.FLATTENING))
+    u = f"atan((1 - {f}) * tan(radians({{}})))"
+    out = [f"""leg0 AS (SELECT *, lam AS turned FROM (SELECT *, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, radians(x - px) AS lam FROM (SELECT *, {u.format('py')} AS u1, {u.format('y')} AS u2
+        FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM points WINDOW w AS (PARTITION BY request_id ORDER BY i)))))"""]
+    arc = """SELECT *, atan2(s, c) AS arc, c - 2 * su1 * su2 / q AS mid FROM (SELECT *, 1 - az * az AS q FROM (SELECT *, cu1 * cu2 * sin(turned) / s AS az
+        FROM (SELECT *, sqrt((cu2 * sin(turned)) ** 2 + (cu1 * su2 - su1 * cu2 * cos(turned)) ** 2) AS s, su1 * su2 + cu1 * cu2 * cos(turned) AS c FROM leg{})))"""
+    for n in range(steps):
+        out.append(f"""leg{n + 1} AS (SELECT * EXCLUDE (turned, s, c, az, q, arc, mid, k), lam + (1 - k) * {f} * az * (arc + k * s * (mid + k * c * (2 * mid * mid - 1))) AS turned
+        FROM (SELECT *, {f} / 16 * q * (4 + {f} * (4 - 3 * q)) AS k FROM ({arc.format(n)})))""")
+    out.append(f"""legs AS (SELECT *, coalesce({b} * hi * (arc - lo * s * (mid + lo / 4 * (c * (2 * mid * mid - 1) - lo / 6 * mid * (4 * s * s - 3) * (4 * mid * mid - 3)))), 0) AS m
+        FROM (SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS hi, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS lo
+        FROM (SELECT *, q * ({a}::DOUBLE ** 2 - {b} ** 2) / {b} ** 2 AS uu FROM ({arc.format(steps)}))))""")
+    return ", ".join(out)
+
+
 ORACLE_SQL = {
     "avg_vehicle_type": with_sql("sensors stats", f"SELECT sensor_type AS vehicle_type, fuel_type, phenomenon, {_means()}, any_value(k) AS numb_sensors FROM stats JOIN sensors USING (sensor_id) JOIN (SELECT fuel_type, count(*) AS k FROM sensors GROUP BY 1) USING (fuel_type) GROUP BY 1, 2, 3"),
     "avg_manufacturer": with_sql("sensors stats", f"SELECT lower(trim(manufacturer_raw)) AS manufacturer, sensor_type AS vehicle_type, fuel_type, phenomenon, {_means()}, count(DISTINCT sensor_id) AS numb_sensors FROM stats JOIN sensors USING (sensor_id) GROUP BY 1, 2, 3, 4 HAVING sum(w) >= 1500"),
@@ -194,7 +211,7 @@ ORACLE_SQL = {
     "route_length": with_sql("points", "SELECT request_id, round(degrees, 3) AS degrees, round(meters, 3) AS meters FROM whole", f"{_SEGS}, lines AS (SELECT request_id, px AS x0, py AS y0, qx AS x1, qy AS y1 FROM segs), {_lengths('lines', 'request_id', 'whole')}"),
     "route_parts": with_sql("countries points", "SELECT request_id, country, round(degrees, 3) AS degrees, round(meters, 3) AS meters FROM lengths", f"{_PIECES}, {_lengths('pieces', 'request_id, country', 'lengths')}"),
     "point_country": with_sql("countries prices points", "SELECT request_id * 10 + i AS point_id, c.country, date::VARCHAR AS date, round(euro_ttc, 6) AS euro_ttc FROM points JOIN countries c ON x > x0 AND x < x0 + 10 AND y > y0 AND y < y0 + 10 LEFT JOIN latest USING (country)", _LATEST),
-    "point_distances": with_sql("points", f"SELECT request_id AS route, i AS seq, round(coalesce(2 * {geodesy.RADIUS} * asin(sqrt(sin(radians(y - lag(y) OVER w) / 2) ** 2 + cos(radians(lag(y) OVER w)) * cos(radians(y)) * sin(radians(x - lag(x) OVER w) / 2) ** 2)), 0), 2) AS meters FROM points WINDOW w AS (PARTITION BY request_id ORDER BY i)"),
+    "point_distances": with_sql("points", "SELECT request_id AS route, i AS seq, round(m, 2) AS meters FROM legs", _legs()),
     "route_cost_sensor": with_sql(
         _ALL,
         f"""SELECT r.request_id, r.category, category_en, category_de, r.fuel_type, false AS manual_consumption, sensors_n AS ec_sensors, measurements AS ec_measurements, round(done.km, 6) AS km, round(litres, 3) AS liters,
@@ -326,7 +343,7 @@ ORACLE_SQL |= {
     "in_word_list": r"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM benchmark) WHERE length(word) >= 14), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents) SELECT DISTINCT doc_id FROM d JOIN w USING (word) WHERE word <> ''""",
     "latest_orders": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3",
     "point_prices": with_sql("countries prices points", f"""SELECT route, seq, coalesce(country, '-') AS country, round(m, 2) AS meters, round(coalesce(p.diesel_ttc, g.diesel_ttc), 4) AS price, round(m / 1000 * 0.07 * coalesce(p.diesel_ttc, g.diesel_ttc), 3) AS cost
-        FROM (SELECT request_id AS route, i AS seq, c.country, coalesce(2 * {geodesy.RADIUS} * asin(sqrt(sin(radians(y - lag(y) OVER w) / 2) ** 2 + cos(radians(lag(y) OVER w)) * cos(radians(y)) * sin(radians(x - lag(x) OVER w) / 2) ** 2)), 0) AS m FROM points LEFT JOIN countries c ON x > x0 AND x < x0 + 10 AND y > y0 AND y < y0 + 10 WINDOW w AS (PARTITION BY request_id ORDER BY i)) LEFT JOIN latest p USING (country), general g""", _LATEST),
+        FROM (SELECT request_id AS route, i AS seq, c.country, m FROM legs LEFT JOIN countries c ON x > x0 AND x < x0 + 10 AND y > y0 AND y < y0 + 10) LEFT JOIN latest p USING (country), general g""", f"{_LATEST}, {_legs()}"),
     "plain_names": r"""SELECT p_partkey, regexp_replace(raw, '[-()\\"#/@;:<>{}`+=~|.!?,]', ' ', 'g') AS no_marks, trim(replace(regexp_replace(raw, '[(\[].*?[)\]]', '', 'g'), '-', ' ')) AS no_brackets,
         array_to_string(list_filter(string_split(lower(raw), ' '), lambda w, i: list_position(string_split(lower(raw), ' '), w) = i), ' ') AS no_repeats, upper(raw[1]) || lower(raw[2:]) AS capital, raw AS before_comma FROM (SELECT p_partkey, p_name || ' (' || p_type || ')-X/' || p_name AS raw FROM part)""",
     "speed_curves": with_sql("sensors stats wiki", f"SELECT category, fuel_type, v, round({_curve('cons', 'v')}, 4) AS parabola, round({_LINE}, 4) AS linear, printf('%.1f', sign({_LINE}) * floor(abs(round({_LINE}, 6)) * 10) / 10) AS cut, round(least(abs({_LINE}) * 1000, CASE fuel_type WHEN 'gasoline' THEN 2392 WHEN 'diesel' THEN 2640 ELSE 1e300 END), 4) AS capped FROM model, (VALUES (-20.0::DOUBLE), (10.0::DOUBLE), (90.0::DOUBLE), (400.0::DOUBLE)) AS s(v)", f"{_MATCH}, {_CAT}, {_MODEL}"),
@@ -344,5 +361,5 @@ ORACLE_SQL |= {
     "loaded_tables": with_sql("tracks wiki cars prices", "SELECT 'track' AS kind, count(*) AS rows, count(DISTINCT track_id) AS keys FROM tracks UNION ALL SELECT 'wiki_car', count(*), count(DISTINCT wiki_name || category) FROM wiki UNION ALL SELECT 'register_car', count(*), count(DISTINCT manufacturer || model || description || coalesce(fuel_type, 'None') || year) FROM cars UNION ALL SELECT 'country_price', count(*), count(DISTINCT country || date) FROM prices"),
     "inserted_prices": with_sql("prices", "SELECT country, date::VARCHAR AS date, euro_ttc FROM prices WHERE month(date) % 2 = 0"),
     "updated_matches": with_sql("cars", "SELECT year, count(*) AS cars, sum(CASE WHEN hash_id IN (SELECT hash_id FROM cars WHERE year % 2 = 0) THEN 1 ELSE 2 END)::BIGINT AS pages FROM cars GROUP BY year"),
-    "near_points": with_sql("points", f"SELECT route, count(*) AS n FROM (SELECT request_id AS route, coalesce(2 * {geodesy.RADIUS} * asin(sqrt(sin(radians(y - lag(y) OVER w) / 2) ** 2 + cos(radians(lag(y) OVER w)) * cos(radians(y)) * sin(radians(x - lag(x) OVER w) / 2) ** 2)), 0) AS m FROM points WINDOW w AS (PARTITION BY request_id ORDER BY i)) WHERE m / 1000 BETWEEN 0 AND 180 GROUP BY route"),
+    "near_points": with_sql("points", "SELECT request_id AS route, count(*) AS n FROM legs WHERE m / 1000 BETWEEN 0 AND 180 GROUP BY route", _legs()),
 }

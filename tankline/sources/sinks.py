@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import tables
 from .tables import newest, same
 
+#: Bytes of a file that a row of one task may hold.
+WHOLE_FILE = 256 << 20
 # The stored tables, those that refer to others after them, as they are emptied.
 CHILDREN_FIRST = (
     "track_measurement", "track_statistic", "sensor_statistic", "track", "manufacturer_average", "category_average", "vehicle_type_average", "register_average",
@@ -40,9 +42,26 @@ def updated_matches(cars: DataFrame, matches: DataFrame) -> DataFrame:
     return cars.join(new, "hash_id", "left").withColumn("wiki_hashes", F.coalesce("_new", "wiki_hashes")).select(*cars.columns)
 
 
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """(object_hash, object_name, bytes): the SHA-1 of each file at path. Files of up to whole bytes are read and hashed by tasks, a
+    file a row. Larger ones, which a row can't hold, are few: their names are listed, and each is streamed from its store a block at
+    a time, so that no more than a block of it is in memory. Spark lists no empty files, so these have no row."""
+    listed = spark.read.format("binaryFile").load(path)
+    small = listed.filter(F.col("length") <= whole).select(F.sha1("content").alias("object_hash"), F.col("path").alias("object_name"), F.col("length").alias("bytes"))
+    jvm, conf, rows = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for r in listed.filter(F.col("length") > whole).select("path", "length").collect():
+        at = jvm.org.apache.hadoop.fs.Path(r["path"])
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            rows.append((jvm.org.apache.commons.codec.digest.DigestUtils.sha1Hex(stream), r["path"], r["length"]))
+        finally:
+            stream.close()
+    return small.unionByName(spark.createDataFrame(rows, "object_hash string, object_name string, bytes long"))
+
+
 def changed_sources(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
-    """(object_hash, object_name) of the files at path whose content the registry (object_hash) doesn't know."""
-    files = spark.read.format("binaryFile").load(path).select(F.sha1("content").alias("object_hash"), F.col("path").alias("object_name"))
+    """(object_hash, object_name) of the files at path whose content the registry (object_hash) doesn't know, of any size."""
+    files = file_hashes(spark, path).select("object_hash", "object_name")
     return files.join(registry.select("object_hash"), "object_hash", "left_anti")
 
 

@@ -78,3 +78,16 @@ def test_projection(spark):
     e, n = (one(spark, c) for c in geodesy.utm_xy(lon, lat, F.lit(17)))
     assert e == pytest.approx(630084.30, abs=0.01) and n == pytest.approx(4833438.47, abs=0.01)
     assert one(spark, geodesy.great_circle(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))) == pytest.approx(111195, abs=1)
+
+
+@pytest.mark.parametrize("lon1,lat1,lon2,lat2,metres", [
+    (-73.8, 40.6, -0.5, 51.6, 5551759.400),  # published: New York to London
+    (0.0, 0.0, 1.0, 0.0, 111319.4908), (0.0, 0.0, 0.0, 90.0, 10001965.7293), (179.5, 0.0, -179.5, 0.0, 111319.4908), (5.0, 5.0, 5.0, 5.0, 0.0), (10.0, -90.0, 50.0, 90.0, 20003931.4586),
+])
+def test_ellipsoid_distance(spark, lon1, lat1, lon2, lat2, metres):
+    assert one(spark, geodesy.ellipsoid_distance(*map(F.lit, (lon1, lat1, lon2, lat2)))) == pytest.approx(metres, abs=0.001)
+
+
+def test_nearly_opposite_places_and_nulls_have_a_distance(spark):
+    far = one(spark, geodesy.ellipsoid_distance(*map(F.lit, (0.0, 0.1, 179.9, 0.0))))
+    assert 19.9e6 < far < 20.1e6 and one(spark, geodesy.ellipsoid_distance(F.lit(None).cast("double"), *map(F.lit, (0.1, 179.9, 0.0)))) is None

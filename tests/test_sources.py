@@ -154,3 +154,19 @@ def test_old_tracks_and_repeated_batches_are_stored_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 6
     run("b")  # all pages once more, as after a lost checkpoint
     assert spark.read.parquet(out).count() == 6
+
+
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 70_000)
+    (tmp_path / "b").write_bytes(b"")
+    with open(tmp_path / "large", "wb") as f:  # 3 GB that take no room
+        f.truncate(3 << 30)
+    told = {r.object_name.rsplit("/", 1)[1]: (r.object_hash, r.bytes) for r in sinks.file_hashes(spark, str(tmp_path)).collect()}
+    zeros = hashlib.sha1()
+    for _ in range(3 << 6):
+        zeros.update(bytes(1 << 24))
+    assert told == {"a": (hashlib.sha1(b"x" * 70_000).hexdigest(), 70_000), "large": (zeros.hexdigest(), 3 << 30)}
+    again = {r.object_name.rsplit("/", 1)[1]: (r.object_hash, r.bytes) for r in sinks.file_hashes(spark, str(tmp_path), whole=1000).collect()}
+    assert again == told
+    known = sinks.file_hashes(spark, str(tmp_path)).filter("bytes < 100000").select("object_hash")
+    assert [r.object_name.rsplit("/", 1)[1] for r in sinks.changed_sources(spark, str(tmp_path), known).collect()] == ["large"]
