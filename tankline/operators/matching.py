@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MOST_WORDS, before_single_comma, key_of, powerset, relevant_words, words
 from ..sources.sinks import kept
+from .containment import contained, name_words
 from .similarity import AS_OF, judgement, with_similarity
 
 # Required scores, the band below them, and lower floors of some brands.
@@ -31,7 +32,7 @@ def curated_matches(cars: DataFrame, curated: DataFrame, wiki: DataFrame) -> Dat
 
 def candidate_texts(cars: DataFrame, aliases: DataFrame) -> DataFrame:
     """(car_id, brand, text): the brand or an alias before each choice of the name's words (its first MOST_WORDS), in each case;
-    years are taken out."""
+    years are taken out. What these find by name contained_pages finds for names of any length."""
     named = F.regexp_replace(F.col("name"), r"\b(19[89]\d|20\d\d)\b", " ")
     pieces = F.slice(F.array_remove(F.split(named, r"\s+"), ""), 1, MOST_WORDS)
     rows = cars.select("car_id", "brand", F.explode(powerset(pieces)).alias("part"))
@@ -39,6 +40,26 @@ def candidate_texts(cars: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.join(names, "brand").select("car_id", "brand", F.concat_ws(" ", "alias", "part").alias("text")).distinct()
 
 
+def contained_pages(cars: DataFrame, wiki: DataFrame) -> DataFrame:
+    """(car_id, brand, tag): the pages of a car's brand whose car's name is a choice of the words of the car's name, in order and in any
+    case, years taken out: what asking about each of candidate_texts would find by name, for names of any length."""
+    named = F.regexp_replace(F.col("name"), r"\b(19[89]\d|20\d\d)\b", " ")
+    wholes = cars.select(F.col("brand").alias("group"), F.col("car_id").alias("whole"), name_words(named).alias("words"))
+    parts = wiki.select(F.col("brand_name").alias("group"), F.col("wiki_name").alias("part"), name_words(F.col("car_name")).alias("words")).distinct()
+    return contained(parts, wholes).select(F.col("whole").alias("car_id"), F.col("group").alias("brand"), F.col("part").alias("tag")).distinct()
+
+
+def judged_patterns(patterns: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(brand, tag, pattern, polarity): the patterns (brand, tag, pattern) that are choices of the words of a reviewed name (brand,
+    name, tag, right) of the same tag, the brand's words left out: the rows of verdict_patterns that such a pattern meets, in any
+    case and for names of any length."""
+    bare = F.array_except(name_words(F.col("name")), name_words(F.col("brand")))
+    key = F.to_json(F.struct("brand", "tag"))
+    wholes = verdicts.select(key.alias("group"), F.when(F.col("right"), "positive").otherwise("negative").alias("whole"), bare.alias("words")).distinct()
+    parts = patterns.select(key.alias("group"), F.struct("brand", "tag", "pattern").alias("part"), name_words(F.col("pattern")).alias("words")).distinct()
+    return contained(parts, wholes).select("part.*", F.col("whole").alias("polarity")).distinct()
+
+
 def training_patterns(wiki: DataFrame, labelled: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(brand, tag, pattern): for each page its name, its car's name and casings, the labelled positive patterns, and the
     relevant sentences of its text (brand, tag, page_text), without labelled negatives."""
@@ -289,7 +310,8 @@ def review_queue(cars: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def verdict_patterns(verdicts: DataFrame) -> DataFrame:
-    """Reviewed (brand, name, tag, right) as labelled patterns: each choice of the name's words, without the brand's."""
+    """Reviewed (brand, name, tag, right) as labelled patterns: each choice of the name's first MOST_WORDS words, without the
+    brand's. judged_patterns tells which of given patterns are choices of names of any length."""
     own = F.slice(F.array_except(F.array_remove(F.split(F.col("name"), r"\s+"), ""), F.split(F.col("brand"), r"\s+")), 1, MOST_WORDS)
     return verdicts.select("brand", "tag", F.when(F.col("right"), "positive").otherwise("negative").alias("polarity"), F.explode(powerset(own)).alias("pattern"))
 

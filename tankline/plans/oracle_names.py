@@ -71,4 +71,10 @@ ORACLE_SQL |= {
     "corrected_measurements": f"""WITH e AS (SELECT CASE WHEN event_id % 7 = 0 AND event_id % 3 = 0 THEN '1' ELSE user_id::VARCHAR END AS sensor_id, {_EVENTS} AS phenomenon,
             value + CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN 10 ELSE 0 END AS v FROM events WHERE event_id % 11 <> 0)
         SELECT sensor_id, phenomenon, round(max(v), 3) AS max, round(sum(v), 3) AS sum, round(min(v), 3) AS min, count(v) AS n FROM e WHERE v IS NOT NULL GROUP BY 1, 2""",
+    "contained_pages": with_sql(
+        "wiki cars",
+        "SELECT car_id, brand, count(*) AS pages, min(tag) AS first_page, max(tag) AS last_page FROM met GROUP BY ALL",
+        f"""{_NAMES}, long_names AS (SELECT car_id, brand, lower(name || ' ' || string_split(name, ' ')[-1] || ' ' || name) AS n FROM names),
+        met AS (SELECT DISTINCT car_id, n.brand, wiki_name AS tag FROM long_names n JOIN wiki w ON w.brand_name = n.brand AND regexp_matches(n, '(^| )' || array_to_string(string_split(lower(car_name), ' '), '( .*)? ') || '( |$)'))""",
+    ),
 }

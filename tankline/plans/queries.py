@@ -536,6 +536,14 @@ def candidate_texts(spark: SparkSession, sf: str) -> DataFrame:
     return matching.candidate_texts(cars, _part_aliases(spark, sf)).groupBy("car_id", "brand").agg(F.count("*").alias("texts"), F.min("text").alias("first_text"), F.max("text").alias("last_text"))
 
 
+def contained_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose names are choices of the words of register names, written with a year, the type twice and their words apart."""
+    k = F.length("name") % 2 == 0
+    name = F.concat_ws(" ", F.when(k, F.upper("name")).otherwise(F.col("name")), F.lit("2003"), F.reverse(F.split("name", " "))[0], "name")
+    found = matching.contained_pages(_distinct_names(spark, sf).withColumn("name", name), A.wiki_cars(spark, sf))
+    return found.groupBy("car_id", "brand").agg(F.count("*").alias("pages"), F.min("tag").alias("first_page"), F.max("tag").alias("last_page"))
+
+
 def training_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns of page cars, with labelled ones: their types, and one casing of some names that is wrong."""
     part = A.table(spark, sf, "part")

@@ -378,3 +378,30 @@ def test_classifier_steps_of_register_and_sensors(spark):
     assert ("b", 1, "h3") not in found
     found = {(r.car_id, r.stage, r.hash_id) for r in matching.match_sensors_scored(cars.drop("description"), wiki, curated, lambda t: matching.scores(model, t), aliases, required=0.95).collect()}
     assert ("a", 1, "h2") in found and ("c", 0, "h1") in found and not [f for f in found if f[0] == "d"]
+
+
+def test_contained_names_are_the_choices_of_a_name(spark):
+    draw = random.Random(11)
+    words = ["golf", "Plus", "TDI", "gti", "golf", "x", "4", "É", "sport"]
+    name = lambda n: " ".join(draw.choices(words, k=n))
+    cars = [(i, draw.choice("AB"), name(draw.randrange(0, 8))) for i in range(60)] + [(90, "A", "golf 2011 plus 1999"), (91, "A", None), (92, None, "golf")]
+    pages = list({(f"{b} {n}", b, n) for b, n in ((draw.choice("AB"), name(draw.randrange(1, 5))) for _ in range(80))})
+    cars_df, wiki = spark.createDataFrame(cars, "car_id int, brand string, name string"), spark.createDataFrame(pages, "wiki_name string, brand_name string, car_name string").withColumn("hash_id", F.lit("h"))
+    got = {(r.car_id, r.tag) for r in matching.contained_pages(cars_df, wiki).collect()}
+    asked = matching.candidate_texts(cars_df.filter("brand is not null"), brands.alias_table(spark).limit(0))
+    listed = {(r.car_id, r.text.lower()) for r in asked.collect()}
+    by_list = {(c, f"{b} {n}") for c, brand, _ in cars for _, b, n in pages if brand == b and (c, f"{b} {n}".lower()) in listed}
+    assert got == by_list and len(got) > 100
+    long_name = " ".join(f"w{i}" for i in range(30))
+    many = spark.createDataFrame([(1, "A", long_name)], "car_id int, brand string, name string")
+    ends = spark.createDataFrame([("p1", "A", "w0 w29"), ("p2", "A", "W29 w0"), ("p3", "A", long_name), ("p4", "A", f"{long_name} w30"), ("p5", "A", "w3 w7 w7"), ("p6", "B", "w0")], "wiki_name string, brand_name string, car_name string")
+    assert sorted(r.tag for r in matching.contained_pages(many, ends).collect()) == ["p1", "p3"]
+
+
+def test_judged_patterns_are_those_that_verdicts_list(spark):
+    verdicts = spark.createDataFrame([("VW", "VW Golf Plus TDI", "VW Golf", True), ("VW", "Polo Cross", "VW Polo", False)], "brand string, name string, tag string, right boolean")
+    patterns = [("VW", "VW Golf", p) for p in ("golf", "plus tdi", "TDI Plus", "vw golf", "Golf TDI", "x")] + [("VW", "VW Polo", p) for p in ("polo", "golf", "cross")]
+    df = spark.createDataFrame(patterns, "brand string, tag string, pattern string")
+    listed = {(r.tag, r.polarity, r.pattern.lower()) for r in matching.verdict_patterns(verdicts).collect()}
+    got = {(r.tag, r.polarity, r.pattern.lower()) for r in matching.judged_patterns(df, verdicts).collect()}
+    assert got == {x for x in listed if x[2] in {p.lower() for _, _, p in patterns}} and len(got) == 5
