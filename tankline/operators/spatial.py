@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import ellipsoid_distance, utm_xy, utm_zone
+from ..sources.sinks import kept
 
 #: Side of a grid cell in degrees. Smaller cells give fewer pairs to test and more rows for large polygons.
 CELL = 1.0
+#: Edges of a cell beyond which it is split, how often at most, and rows of a cell beyond which it is dealt over several tasks.
+CELL_EDGES, MOST_SPLITS, CELL_ROWS = 64, 5, 50_000
 #: Where in a cell its reference point is; off the places that borders drawn on a grid have.
 REFERENCE = (0.5123, 0.4871)
 #: Breakpoints closer than this on a segment are one.
@@ -58,7 +61,7 @@ def _intervals(cuts: Column) -> Column:
     return F.filter(pairs, lambda i: i["t1"] - i["t0"] > SAME)
 
 
-def _within_cell(cell: float) -> tuple[Column, Column]:
+def _within_cell(cell: float | Column) -> tuple[Column, Column]:
     """The part (t0, t1) of a segment p + t (q - p) that lies in the cell (cx, cy); t0 >= t1 where none does."""
     low, high = [F.lit(0.0)], [F.lit(1.0)]
     for p, q, c in (("px", "qx", "cx"), ("py", "qy", "cy")):
@@ -85,7 +88,8 @@ def overlay(routes: DataFrame, countries: DataFrame, cell: float = CELL) -> Data
     has a null country. Each country's part is cut from the whole line, so countries that overlap count twice.
 
     Segments are dealt to the grid cells that they touch and meet the countries that have a part of the cell, never in a cross
-    join, and with no more edges than the cell has. A segment p + t (q - p) meets an edge at a t by the cross products; between
+    join, and with no more edges than the cell has; cells with many edges are split, and those with many segments dealt over
+    several tasks, see adapted. A segment p + t (q - p) meets an edge at a t by the cross products; between
     two such t it is in the country or not, which the midpoint tells. Parts of neighbouring cells are then put together.
     """
     segs = segments(routes)
@@ -93,8 +97,26 @@ def overlay(routes: DataFrame, countries: DataFrame, cell: float = CELL) -> Data
     keys = ["request_id", "seg", "px", "py", "qx", "qy"]
     boxed = segs.withColumns({"x0": F.least("px", "qx"), "x1": F.greatest("px", "qx"), "y0": F.least("py", "qy"), "y1": F.greatest("py", "qy")})
     start, end = _within_cell(cell)
-    placed = _with_cells(boxed, cell).select(*keys, "cx", "cy", start.alias("start"), end.alias("end")).filter(F.col("end") > F.col("start"))
-    near = placed.join(country_cells(countries, cell), ["cx", "cy"])
+    placed = _with_cells(boxed, cell).filter(end > start).select(*keys, "cx", "cy")
+    cells, busy = adapted(country_cells(countries, cell), placed, cell)
+
+    def finer(level: Column) -> Column:
+        """The cells of a level that the segment's part of its cell may touch."""
+        side, spans = F.lit(cell) / F.pow(2.0, level), []
+        for p, d, c in (("px", dx, "cx"), ("py", dy, "cy")):
+            ends = [F.floor((F.col(p) + d * t) / side).cast("int") for t in (start, end)]
+            low, high = (F.col(c) * F.pow(2.0, level)).cast("int"), ((F.col(c) + 1) * F.pow(2.0, level)).cast("int") - 1
+            at = lambda e: F.greatest(low, F.least(high, e))  # noqa: B023, E731
+            spans.append(F.sequence(at(F.least(*ends)), at(F.greatest(*ends))))
+        return F.flatten(F.transform(spans[0], lambda x: F.transform(spans[1], lambda y: F.struct(x.alias("fx"), y.alias("fy")))))
+
+    salt = F.pmod(F.xxhash64("request_id", "seg"), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = placed.join(F.broadcast(busy), ["cx", "cy"], "left").withColumns({"level": F.coalesce("level", F.lit(0)), "salt": salt})
+    own = F.array(F.struct(F.col("cx").alias("fx"), F.col("cy").alias("fy")))
+    dealt = dealt.withColumn("f", F.explode(F.when(F.col("level") > 0, finer(F.col("level"))).otherwise(own)))
+    dealt = dealt.select(*keys, "level", "salt", F.col("f.fx").alias("cx"), F.col("f.fy").alias("cy"))
+    start, end = _within_cell(F.lit(cell) / F.pow(2.0, F.col("level")))
+    near = dealt.select("*", start.alias("start"), end.alias("end")).filter(F.col("end") > F.col("start")).join(cells, ["level", "cx", "cy", "salt"])
 
     def cut(e: Column) -> Column:
         ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
@@ -157,6 +179,37 @@ def country_cells(countries: DataFrame, cell: float = CELL) -> DataFrame:
     return out.filter(F.col("inside") | (F.size("edges") > 0))
 
 
+def adapted(cells: DataFrame, placed: DataFrame, cell: float = CELL) -> tuple[DataFrame, DataFrame]:
+    """(cells, busy): country_cells with level and salt, adapted to what is looked up in them, and the cells (cx, cy) of the grid that
+    differ from the others, with their level and number of salts.
+
+    A cell with more than CELL_EDGES edges of countries is split in four, and these again, up to MOST_SPLITS times, as often as it
+    takes if its edges are spread evenly; in its parts the way from the cell's reference point tells which side of the borders
+    they are on. The parts of a cell that more than CELL_ROWS rows of placed (cx, cy) are in are given once for each salt, so that rows
+    are dealt over that many tasks, however close together they are. Only cells with so many edges or rows are in busy: no
+    more than all edges and rows divided by these numbers.
+    """
+    edges_of = cells.groupBy("cx", "cy").agg(F.sum(F.size("edges")).alias("edges"))
+    rows_of = placed.groupBy("cx", "cy").agg(F.count("*").alias("rows"))
+    splits = F.least(F.lit(MOST_SPLITS), F.ceil(F.log2(F.col("edges") / CELL_EDGES) / 2)).cast("int")
+    busy = edges_of.join(rows_of, ["cx", "cy"]).filter((F.col("edges") > CELL_EDGES) | (F.col("rows") > CELL_ROWS))
+    busy = busy.select("cx", "cy", F.when(F.col("edges") > CELL_EDGES, splits).otherwise(0).alias("level"), F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("salts"))
+    busy = kept(busy, "busy-cells")
+    marked = cells.join(F.broadcast(busy), ["cx", "cy"], "left").withColumns({"level": F.coalesce("level", F.lit(0)), "salts": F.coalesce("salts", F.lit(1))})
+    plain = marked.filter("level = 0").select("country", "level", "cx", "cy", "rx", "ry", "inside", "edges", "salts")
+    n = F.pow(2.0, F.col("level")).cast("int")
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct((F.col("cx") * n + i).alias("fx"), (F.col("cy") * n + j).alias("fy")))))
+    side = F.lit(cell) / n
+    split = marked.filter("level > 0").select("*", F.explode(parts).alias("f"))
+    split = split.withColumns({"sx": (F.col("f.fx") + REFERENCE[0]) * side, "sy": (F.col("f.fy") + REFERENCE[1]) * side})
+    low = lambda a, b: F.least(a, b)
+    touches = lambda e: (low(e["ax"], e["bx"]) <= (F.col("f.fx") + 1) * side) & (F.greatest(e["ax"], e["bx"]) >= F.col("f.fx") * side) & (low(e["ay"], e["by"]) <= (F.col("f.fy") + 1) * side) & (F.greatest(e["ay"], e["by"]) >= F.col("f.fy") * side)
+    split = split.withColumns({"within": _on_side(F.col("sx"), F.col("sy")), "own_edges": F.filter("edges", touches)}).filter(F.col("within") | (F.size("own_edges") > 0))
+    split = split.select("country", "level", F.col("f.fx").alias("cx"), F.col("f.fy").alias("cy"), F.col("sx").alias("rx"), F.col("sy").alias("ry"), F.col("within").alias("inside"), F.col("own_edges").alias("edges"), "salts")
+    both = plain.unionByName(split)
+    return both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), busy
+
+
 def _crosses(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Whether the ray from (x, y) to the right meets an edge; edges are half open, so a vertex counts once."""
     return F.coalesce(((ay > y) != (by > y)) & (x < ax + F.try_divide((y - ay) * (bx - ax), by - ay)), F.lit(False))
@@ -174,9 +227,14 @@ def _on_side(x: Column, y: Column) -> Column:
 
 def point_countries(points: DataFrame, countries: DataFrame, cell: float = CELL) -> DataFrame:
     """points (point_id, x, y) with the country each is in, a row for each such country; none for points at sea. A point
-    meets the countries that its grid cell has a part of."""
+    meets the countries that its grid cell has a part of; busy cells are dealt over several tasks, see adapted."""
     placed = points.select("point_id", "x", "y", _cell(F.col("x"), cell).alias("cx"), _cell(F.col("y"), cell).alias("cy"))
-    met = placed.join(country_cells(countries, cell), ["cx", "cy"])
+    cells, busy = adapted(country_cells(countries, cell), placed, cell)
+    salt = F.pmod(F.xxhash64("point_id", "x", "y"), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = placed.join(F.broadcast(busy), ["cx", "cy"], "left").withColumns({"level": F.coalesce("level", F.lit(0)), "salt": salt})
+    side = F.lit(cell) / F.pow(2.0, F.col("level"))
+    dealt = dealt.select("point_id", "x", "y", "level", "salt", F.floor(F.col("x") / side).cast("int").alias("cx"), F.floor(F.col("y") / side).cast("int").alias("cy"))
+    met = dealt.join(cells, ["level", "cx", "cy", "salt"])
     return met.filter(_on_side(F.col("x"), F.col("y"))).select("point_id", "x", "y", "country")
 
 

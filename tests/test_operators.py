@@ -405,3 +405,42 @@ def test_judged_patterns_are_those_that_verdicts_list(spark):
     listed = {(r.tag, r.polarity, r.pattern.lower()) for r in matching.verdict_patterns(verdicts).collect()}
     got = {(r.tag, r.polarity, r.pattern.lower()) for r in matching.judged_patterns(df, verdicts).collect()}
     assert got == {x for x in listed if x[2] in {p.lower() for _, _, p in patterns}} and len(got) == 5
+
+
+def ragged(n, x, y, r, draw):
+    """A closed ring of n edges around a place."""
+    ring = [(x + r * (0.6 + 0.4 * draw.random()) * math.cos(2 * math.pi * i / n), y + r * (0.6 + 0.4 * draw.random()) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    return [*ring, ring[0]]
+
+
+@pytest.mark.parametrize("edges,rows", [(8, 40), (64, 1), (2, 1000)])
+def test_split_and_salted_cells_give_the_same_parts(spark, monkeypatch, edges, rows):
+    draw = random.Random(6)
+    polygons = [("A", [[ragged(300, 0.2, 0.1, 1.7, draw), ragged(60, 0.3, 0.2, 0.4, draw)]]), ("B", [[ragged(40, 2.0, -0.5, 1.2, draw)]]), ("C", [[[(-3.0, -3.0), (4.0, -3.0), (4.0, 4.0), (-3.0, 4.0), (-3.0, -3.0)]]])]
+    countries = spark.createDataFrame(polygons, "country string, polygons array<array<array<struct<x:double,y:double>>>>")
+    lines = [(i, [(draw.uniform(0.0, 0.9), draw.uniform(0.0, 0.9)) for _ in range(3)]) for i in range(200)] + [(500 + i, [(draw.uniform(-4, 5), draw.uniform(-4, 5)) for _ in range(3)]) for i in range(60)]
+    routes = spark.createDataFrame(lines, "request_id int, coordinates array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(i, draw.uniform(-4, 5), draw.uniform(-4, 5)) for i in range(400)] + [(900, 1.0, 1.0), (901, -1.0, 0.0)], "point_id int, x double, y double")
+
+    def told():
+        parts = {}
+        for r in spatial.overlay(routes, countries).collect():
+            key = (r.request_id, r.seg, r.country)
+            parts[key] = parts.get(key, 0) + math.hypot(r.x1 - r.x0, r.y1 - r.y0)
+        return parts, sorted((r.point_id, r.country) for r in spatial.point_countries(points, countries).collect())
+
+    whole = told()
+    monkeypatch.setattr(spatial, "CELL_EDGES", edges)
+    monkeypatch.setattr(spatial, "CELL_ROWS", rows)
+    cells, busy = spatial.adapted(spatial.country_cells(countries), points.select(F.floor("x").cast("int").alias("cx"), F.floor("y").cast("int").alias("cy")))
+    assert busy.count() and (edges > 8 or cells.agg(F.max("level")).first()[0] > 1) and (rows > 1 or cells.agg(F.max("salt")).first()[0] > 1)
+    parts, places = told()
+    assert places == whole[1] and parts.keys() == whole[0].keys() and all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in whole[0].items())
+
+
+def test_half_of_all_segments_in_one_cell_are_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CELL_ROWS", 100)
+    square = spark.createDataFrame([("A", [[[(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0), (0.0, 0.0)]]])], "country string, polygons array<array<array<struct<x:double,y:double>>>>")
+    points = spark.range(4000).select(F.col("id").alias("point_id"), F.when(F.col("id") % 2 == 0, 1.5).otherwise(F.col("id") % 7 + 0.5).alias("x"), F.lit(1.5).alias("y"))
+    cells, busy = spatial.adapted(spatial.country_cells(square), points.select(F.floor("x").cast("int").alias("cx"), F.floor("y").cast("int").alias("cy")))
+    assert cells.filter("cx = 1 and cy = 1").count() >= 20 and spatial.point_countries(points, square).count() == points.filter("x < 5").count()
