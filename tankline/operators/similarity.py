@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,11 @@ def _need(total: Column, least: int) -> Column:
     return (F.floor(exact) + 1 if least % 2 == 0 else F.ceil(exact)).cast("int")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _grams(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
 
@@ -83,43 +89,73 @@ def possible(c: Column) -> Column:
     is left out takes at most two of x's pairs of neighbours with it, one of y that is put in parts at most one; so of the
     different pairs of x at most so many can lack in y, and the other way round. No comparison that succeeds is ruled out."""
     out_x, out_y = F.length(c["x"]) - c["need"], F.length(c["y"]) - c["need"]
-    lacking = lambda a, b: F.size(F.array_except(_grams(c[a]), _grams(c[b])))
-    fits = (out_x >= 0) & (out_y >= 0)
-    return fits & F.when(fits, (lacking("x", "y") <= 2 * out_x + out_y) & (lacking("y", "x") <= 2 * out_y + out_x)).otherwise(False)
+    lacking = lambda g, a, b: F.size(F.array_except(g[a], g[b]))
+    both = F.struct(_grams(c["x"]).alias("x"), _grams(c["y"]).alias("y"), out_x.alias("out_x"), out_y.alias("out_y"))
+    few = _let(both, lambda g: (lacking(g, "x", "y") <= 2 * g["out_x"] + g["out_y"]) & (lacking(g, "y", "x") <= 2 * g["out_y"] + g["out_x"]))
+    return F.when((out_x >= 0) & (out_y >= 0), few).otherwise(False)
 
 
-def _forms(left: Column, right: Column, year: Column | None, as_of: int | Column) -> tuple[Column, Column, Column, Column]:
-    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
+def _undated(left: Column, year: Column | None, as_of: int | Column) -> Column:
     if year is not None:
         left = F.coalesce(F.replace(left, year.cast("string"), F.lit(" ")), left)
-    left = F.coalesce(F.replace(left, year_in_name(left, as_of).cast("string"), F.lit(" ")), left)
-    plain = lambda c: folded(F.replace(c, F.lit("-"), F.lit(" ")))
-    return plain(left), plain(right), without_brackets(left), without_brackets(right)
+    return _let(left, lambda n: F.coalesce(F.replace(n, year_in_name(n, as_of).cast("string"), F.lit(" ")), n))
 
 
 def judgement(left: Column, right: Column, year: Column | None = None, as_of: int | Column = AS_OF) -> Column:
-    """(certain, open): whether built-in functions alone tell that two names are alike, and else the comparisons (x, y, need) of
-    which one must succeed; no open ones means that they aren't alike.
+    """(certain, asked): whether two names are surely alike, and else the comparisons (x, y, need) of which one must succeed, but
+    for those that lengths rule out; none means that they aren't alike.
 
     Names are alike that are equal but for a tenth of their characters, in any order of words, or one's words among the other's,
     by ratios rounded to whole numbers. The latest year up to as_of that is in the left name is taken out of it, and so is year; both
-    must have two words, with and without what is in brackets.
+    must have two words, with and without what is in brackets. Each step's names are worked out once.
     """
-    a, b, clean_a, clean_b = _forms(left, right, year, as_of)
-    told = F.forall(F.array(a, b, clean_a, clean_b), lambda s: F.size(words(s)) > 1)
-    sorted_words = lambda c: F.array_join(F.array_sort(words(c)), " ")
-    certain, asked = F.lit(False), [_comparison(a, b, RATIO), _comparison(clean_a, clean_b, STRICT_RATIO)]
-    for x, y in ((a, b), (clean_a, clean_b)):
-        asked.append(_comparison(sorted_words(x), sorted_words(y), STRICT_RATIO))
-        own, other = F.array_distinct(words(x)), F.array_distinct(words(y))
-        both = F.array_join(F.array_sort(F.array_intersect(own, other)), " ")
-        sides = [F.trim(F.concat_ws(" ", both, F.array_join(F.array_sort(F.array_except(s, t)), " "))) for s, t in ((own, other), (other, own))]
-        for side in sides:  # the common words begin either side, so what they have in common with it is themselves
-            certain = certain | ((F.length(both) > 0) & (400 * F.length(both) >= (2 * STRICT_RATIO + 1) * (F.length(both) + F.length(side))))
-        asked.append(_comparison(*sides, STRICT_RATIO))
-    equal = F.exists(F.array(*asked), lambda c: c["x"] == c["y"])
-    certain = told & (certain | equal)
-    return F.struct(certain.alias("certain"), F.when(told & ~certain, F.array_distinct(F.filter(F.array(*asked), possible))).otherwise(F.array().cast("array<struct<x:string,y:string,need:int>>")).alias("open"))
+    plain = lambda c: folded(F.replace(c, F.lit("-"), F.lit(" ")))
+    joined = lambda w: F.array_join(F.array_sort(w), " ")
+    nothing = F.array().cast("array<struct<x:string,y:string,need:int>>")
+
+    def names(n: Column) -> Column:
+        return F.struct(plain(n["l"]).alias("a"), plain(n["r"]).alias("b"), without_brackets(n["l"]).alias("ca"), without_brackets(n["r"]).alias("cb"))
+
+    def with_words(n: Column) -> Column:
+        return F.struct(*[n[c].alias(c) for c in ("a", "b", "ca", "cb")], *[words(n[c]).alias(f"w{c}") for c in ("a", "b", "ca", "cb")])
+
+    def sides(n: Column, x: str, y: str) -> Column:
+        own, other = F.array_distinct(n[x]), F.array_distinct(n[y])
+        both = joined(F.array_intersect(own, other))
+        return _let(F.struct(both.alias("both"), joined(F.array_except(own, other)).alias("s"), joined(F.array_except(other, own)).alias("t")), lambda v: F.struct(
+            v["both"].alias("both"), F.trim(F.concat_ws(" ", v["both"], v["s"])).alias("x"), F.trim(F.concat_ws(" ", v["both"], v["t"])).alias("y")))
+
+    def with_sides(n: Column) -> Column:
+        return F.struct(n.alias("n"), F.array(sides(n, "wa", "wb"), sides(n, "wca", "wcb")).alias("sets"))
+
+    def asked(v: Column) -> Column:
+        n = v["n"]
+        each = [_comparison(n["a"], n["b"], RATIO), _comparison(n["ca"], n["cb"], STRICT_RATIO), _comparison(joined(n["wa"]), joined(n["wb"]), STRICT_RATIO), _comparison(joined(n["wca"]), joined(n["wcb"]), STRICT_RATIO)]
+        each += [_comparison(v["sets"][i]["x"], v["sets"][i]["y"], STRICT_RATIO) for i in range(2)]
+        # the common words begin either side, so what they have in common with it is themselves
+        reached = lambda t, side: 400 * F.length(t["both"]) >= (2 * STRICT_RATIO + 1) * (F.length(t["both"]) + F.length(t[side]))
+        within = F.exists(v["sets"], lambda t: (F.length(t["both"]) > 0) & (reached(t, "x") | reached(t, "y")))
+        return F.struct(within.alias("within"), F.array(*each).alias("each"))
+
+    def told(v: Column) -> Column:
+        certain = v["within"] | F.exists(v["each"], lambda c: c["x"] == c["y"])
+        open_ = F.filter(v["each"], lambda c: F.least(F.length(c["x"]), F.length(c["y"])) >= c["need"])
+        return F.struct(certain.alias("certain"), F.when(certain, nothing).otherwise(open_).alias("asked"))
+
+    given = F.struct(_undated(F.coalesce(left, F.lit("")), year, as_of).alias("l"), F.coalesce(right, F.lit("")).alias("r"))
+
+    def judged(n: Column) -> Column:
+        enough = F.forall(F.array(*[F.size(n[f"w{c}"]) for c in ("a", "b", "ca", "cb")]), lambda k: k > 1)
+        return F.when(enough, _let(_let(with_sides(n), asked), told)).otherwise(F.struct(F.lit(False).alias("certain"), nothing.alias("asked")))
+
+    return _let(_let(_let(given, names), with_words), judged)
+
+
+def open_comparisons(*judgements: Column) -> Column:
+    """(certain, open) of several judgements: whether one is certain, and else their different comparisons that can succeed."""
+    together = F.struct(F.exists(F.array(*[j["certain"] for j in judgements]), lambda c: c).alias("certain"), F.array_distinct(F.flatten(F.array(*[j["asked"] for j in judgements]))).alias("asked"))
+    nothing = F.array().cast("array<struct<x:string,y:string,need:int>>")
+    return _let(together, lambda t: F.struct(t["certain"].alias("certain"), F.when(t["certain"], nothing).otherwise(F.filter(t["asked"], possible)).alias("open")))
 
 
 @F.arrow_udf(BooleanType())
@@ -140,12 +176,8 @@ def with_similarity(pairs: DataFrame, *judgements: Column, column: str = "alike"
     Pairs are judged by built-in functions, once, and stored; only those with open comparisons go to Python, all their
     comparisons in one call, and no others pass through it.
     """
-    certain = judgements[0]["certain"]
-    for j in judgements[1:]:
-        certain = certain | j["certain"]
-    left = F.array_distinct(F.flatten(F.array(*[j["open"] for j in judgements])))
-    told = pairs.withColumn("judged", F.struct(certain.alias("certain"), left.alias("open")))
-    told = kept(told.withColumn("judged", F.struct(F.col("judged.certain").alias("certain"), F.when(~F.col("judged.certain"), F.col("judged.open")).alias("open"))), "judged-pairs")
+    each = F.array(*judgements)  # worked out once
+    told = kept(pairs.withColumn("judged", _let(each, lambda e: open_comparisons(*[e[i] for i in range(len(judgements))]))), "judged-pairs")
     known = F.col("judged.certain") | (F.size("judged.open") == 0)
     closed = told.filter(known).withColumn(column, F.col("judged.certain"))
     asked = told.filter(~known).withColumn(column, one_succeeds(F.col("judged.open")))
