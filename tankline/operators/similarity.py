@@ -177,7 +177,9 @@ def with_similarity(pairs: DataFrame, *judgements: Column, column: str = "alike"
     comparisons in one call, and no others pass through it.
     """
     each = F.array(*judgements)  # worked out once
-    told = kept(pairs.withColumn("judged", _let(each, lambda e: open_comparisons(*[e[i] for i in range(len(judgements))]))), "judged-pairs")
+    spark = pairs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a pair is few bytes and much work
+    told = kept(pairs.repartition(tasks).withColumn("judged", _let(each, lambda e: open_comparisons(*[e[i] for i in range(len(judgements))]))), "judged-pairs")
     known = F.col("judged.certain") | (F.size("judged.open") == 0)
     closed = told.filter(known).withColumn(column, F.col("judged.certain"))
     asked = told.filter(~known).withColumn(column, one_succeeds(F.col("judged.open")))
