@@ -18,7 +18,7 @@ MIN_COUNT, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: A phrase goes that a longer one with this share of its occurrences, in hundredths, has in it.
 INSIDE = 80
 #: Bytes of text in a block of the occurrence relation.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 18 << 20
 #: What stands in the relation where no phrase begins.
 NONE = -1
 # A-Z in lower case, the marks that end a piece as line breaks, tabs as blanks. Line breaks are made words of their own.
@@ -72,10 +72,17 @@ class _Block:
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         """A row for each word, with its count, and then one with the block's relation."""
         codes = np.concatenate(self.parts)
-        named = sorted((c, lang, w) for lang, known in self.codes.items() for w, c in known.items() if c != NONE)
-        n = np.bincount(codes[codes != NONE], minlength=len(named))
-        yield from _batches(_WORDS, len(named), block=[block] * len(named), code=range(len(named)), lang=[x[1] for x in named], word=[x[2].decode() for x in named], n=n)
+        self.parts.clear()
+        size = next(self.next)
+        n, langs, words = np.bincount(codes[codes != NONE], minlength=size), [""] * size, [""] * size
         yield from _batches(_WORDS, 1, block=[block], relation=[_packed(codes)])
+        del codes
+        for lang, known in self.codes.items():
+            for w, c in known.items():
+                if c != NONE:
+                    langs[c], words[c] = lang, w.decode()
+            known.clear()
+        yield from _batches(_WORDS, size, block=np.full(size, block), code=np.arange(size), lang=langs, word=words, n=n)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +113,20 @@ def _joined(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return at, codes[at].astype(np.int64) * width + codes[at + 1], width
 
 
+def _counted(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of an array, sorted, and how often each is there; the array is used up."""
+    joined.sort()
+    first = np.flatnonzero(np.r_[True, joined[1:] != joined[:-1]]) if len(joined) else np.zeros(0, np.int64)
+    return joined[first], np.diff(np.r_[first, len(joined)])
+
+
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The groups one word longer of each block, with their counts: (a, b) are its first and its last words' phrases."""
     for batch in batches:
         for block, relation, gids in zip(*(batch.column(c).to_pylist() for c in ("block", "relation", "gids"))):
             known = _unpacked(gids, np.int64)
             _, joined, width = _joined(_unpacked(relation, np.int32))
-            pairs, n = np.unique(joined, return_counts=True)
+            pairs, n = _counted(joined)
             yield from _batches(_PAIRS, len(pairs), a=known[pairs // width], b=known[pairs % width], uid=(block << CODE_BITS) + np.arange(len(pairs)), n=n)
     give_memory_back()
 
@@ -124,15 +138,20 @@ def _semi_joined(first: bool):
         if not relation.num_rows or not frequent.num_rows:
             return _RELATION.empty_table()
         codes = _unpacked(relation.column("relation")[0].as_py(), np.int32)
-        if not first:
+        code, gid = (frequent.column(c).to_numpy() for c in ("code", "gid"))
+        order = np.argsort(code)
+        code, gid = code[order], gid[order]
+        if first:
+            anew = np.full(max(int(codes.max(initial=0)), int(code[-1])) + 2, NONE, np.int32)  # the last is for NONE
+            anew[code] = np.arange(len(code), dtype=np.int32)
+            codes = anew[codes]
+        else:
             at, joined, _ = _joined(codes)
-            inverse = np.unique(joined, return_inverse=True)[1]
+            often = _counted(joined.copy())[0][code]  # the pairs of the frequent groups, sorted as their codes are
             codes = np.full(len(codes), NONE, np.int32)
-            codes[at] = inverse
-        code, gid = (frequent.column(c).to_numpy() for c in ("code", "gid"))
-        anew = np.full(max(int(codes.max(initial=0)), int(code.max())) + 2, NONE, np.int32)  # the last is for NONE
-        anew[code] = np.arange(len(code), dtype=np.int32)
-        return pa.table({"block": [relation.column("block")[0].as_py()], "relation": [_packed(anew[codes])], "gids": [_packed(gid)]}, schema=_RELATION)
+            place = np.minimum(np.searchsorted(often, joined), len(often) - 1).astype(np.int32)
+            codes[at] = np.where(often[place] == joined, place, NONE)
+        return pa.table({"block": [relation.column("block")[0].as_py()], "relation": [_packed(codes)], "gids": [_packed(gid)]}, schema=_RELATION)
 
     return keep
 
