@@ -8,10 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MOST_WORDS, before_single_comma, key_of, powerset, relevant_words, words
+from ..functions.text import MOST_WORDS, before_single_comma, key_of, powerset, words
 from ..sources.sinks import kept
 from .containment import contained, name_words
 from .similarity import AS_OF, judgement, with_similarity
+from .tagger import dictionary, relevant_sentences
 
 # Required scores, the band below them, and lower floors of some brands.
 MIN_PROBABILITY, BAND, DEFAULT_SCORE, REGISTER_SCORE, SENSOR_SCORE = 0.25, 0.06, 0.99, 0.96, 0.99998
@@ -60,18 +61,17 @@ def judged_patterns(patterns: DataFrame, verdicts: DataFrame) -> DataFrame:
     return contained(parts, wholes).select("part.*", F.col("whole").alias("polarity")).distinct()
 
 
-def training_patterns(wiki: DataFrame, labelled: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """(brand, tag, pattern): for each page its name, its car's name and casings, the labelled positive patterns, and the
-    relevant sentences of its text (brand, tag, page_text), without labelled negatives."""
+def training_patterns(wiki: DataFrame, labelled: DataFrame, pages: DataFrame | None = None, brands: DataFrame | None = None) -> DataFrame:
+    """(brand, tag, pattern): for each page its name, its car's name and casings, the labelled positive patterns, and what the
+    relevant sentences of its text (brand, tag, page_text) have beside names of brands (of wiki, and brands (brand, alias) if given)
+    and of other cars (see tagger.relevant_sentences), without labelled negatives."""
     forms = F.array_distinct(F.array("wiki_name", "car_name", F.lower("car_name"), F.upper("car_name"), F.initcap("car_name")))
     own = wiki.select(F.col("brand_name").alias("brand"), F.col("wiki_name").alias("tag"), F.explode(forms).alias("pattern"))
     out = own.unionByName(labelled.filter("polarity = 'positive'").select("brand", "tag", "pattern"))
     if pages is not None:
-        sentences = pages.select("brand", "tag", F.explode(F.sentences("page_text")).alias("s"))
-        folded_words = F.transform("s", F.lower)
-        model = F.array_except(words(F.col("tag")), words(F.col("brand")))
-        kept = relevant_words(folded_words, model, words(F.col("brand")))
-        out = out.unionByName(sentences.select("brand", "tag", kept.alias("pattern")).filter("pattern is not null and pattern <> ''"))
+        told = relevant_sentences(pages.select("brand", "tag", "page_text"), dictionary(wiki, brands))
+        sentences = told.select("brand", "tag", F.inline("sentences")).filter("relevant and left <> ''")
+        out = out.unionByName(sentences.select("brand", "tag", F.col("left").alias("pattern")))
     negative = labelled.filter("polarity = 'negative'").select("brand", "tag", "pattern")
     return out.distinct().join(negative, ["brand", "tag", "pattern"], "left_anti")
 

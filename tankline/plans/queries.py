@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, text
 from ..operators import brands as B
-from ..operators import listings, matching, names, network, prices, routes, sensors, similarity, spatial, statistics
+from ..operators import listings, matching, names, network, prices, routes, sensors, similarity, spatial, statistics, tagger
 from ..sources import adapters as A
 from ..sources import readers, sinks, tables
 
@@ -372,12 +372,27 @@ def powerset(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("car_name", F.array_join(text.powerset(F.split("car_name", " ")), "|").alias("choices"))
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return tagger.dictionary(A.wiki_cars(spark, sf), _part_aliases(spark, sf))
+
+
 def page_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Relevant sentences of whole page texts, counted by language: those with a telling word, a model's word or a digit."""
-    pages = A.table(spark, sf, "documents").select("doc_id", "lang", F.explode(F.sentences("text")).alias("s"))
-    model = F.array(F.lit("the"), F.lit("des"))
-    kept = text.relevant_words(F.transform("s", F.lower), model, F.array(F.lit("of"), F.lit("les")))
-    return pages.withColumn("kept", kept).groupBy("lang").agg(F.count("*").alias("sentences"), F.count("kept").alias("relevant"))
+    """The sentences of whole page texts, those that are about the page's car, and what is left of these without other names."""
+    told = tagger.relevant_sentences(A.page_texts(spark, sf), _names(spark, sf))
+    about = F.transform(F.filter("sentences", lambda s: s["relevant"]), lambda s: s["left"])
+    return told.select("doc_id", "lang", F.size("sentences").alias("sentences"), F.size(about).alias("relevant"), F.md5(F.array_join(about, "|")).alias("left_md5"))
+
+
+def page_names(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words of each page text lie in names of brands and of other cars of its brand."""
+    found = tagger.tagged(A.page_texts(spark, sf), _names(spark, sf))
+    return found.filter(F.size("covered") > 0).select("doc_id", "brand", F.size("covered").alias("named_words"), F.md5(F.array_join("covered", ",")).alias("places_md5"))
+
+
+def page_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns of page cars with those from their texts."""
+    found = matching.training_patterns(A.wiki_cars(spark, sf), _no_patterns(spark), A.page_texts(spark, sf), _part_aliases(spark, sf))
+    return found.groupBy("brand", "tag").agg(F.count("*").alias("n"), F.min("pattern").alias("first_pattern"), F.max("pattern").alias("last_pattern"))
 
 
 def _register_names(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,11 +6,11 @@ import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, oracle_names, queries
+from . import oracle, oracle_names, oracle_pages, queries
 
 QUERIES = {n: f for n, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not n.startswith("_") and n != "rounded"}
 
-ORACLE_SQL = oracle.ORACLE_SQL | oracle_names.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | oracle_names.ORACLE_SQL | oracle_pages.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 

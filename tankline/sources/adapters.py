@@ -56,6 +56,18 @@ def wiki_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, brand, tag, page_text): whole documents as texts of page cars, with the name of a car of the brand before commas
+    and, at line ends, the page's own car or brand."""
+    part = table(spark, sf_dir, "part")
+    last = part.groupBy("p_brand").agg(F.max("p_name").alias("last_name"))
+    own = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_name")).otherwise(F.col("p_brand"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.pmod("doc_id", F.lit(_parts(spark, sf_dir))).alias("p_partkey"))
+    named = F.replace(F.col("text"), F.lit(", "), F.concat(F.lit(" "), F.upper("last_name"), F.lit(", ")))
+    woven = F.replace(named, F.lit(".\n"), F.concat(F.lit(" "), own, F.lit(".\n")))
+    return docs.join(part.join(last, "p_brand"), "p_partkey").select("doc_id", "lang", F.col("p_brand").alias("brand"), F.concat_ws(" ", "p_brand", "p_name").alias("tag"), woven.alias("page_text"))
+
+
 def car_hash() -> Column:
     return F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]))
 
@@ -133,6 +145,9 @@ SQL = {
         max(value) AS mx, avg(value) AS av, min(value) - 2 AS mn, count(*) * (1 + user_id % 30) AS w FROM events GROUP BY user_id, event_type)""",
     "wiki": """wiki AS (SELECT md5('w' || p_partkey) AS hash_id, p_brand AS brand_name, p_name AS car_name, p_brand || ' ' || p_name AS wiki_name,
         ['a','b','c','d','e','f','s','m','j','pu','lcv'][p_partkey % 11 + 1] AS category FROM part)""",
+    "page_texts": """page_texts AS (SELECT doc_id, lang, p_brand AS brand, p_brand || ' ' || p_name AS tag,
+        replace(replace(text, ', ', ' ' || upper(last_name) || ', '), '.' || chr(10), ' ' || CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) ELSE p_brand END || '.' || chr(10)) AS page_text
+        FROM documents JOIN (SELECT *, max(p_name) OVER (PARTITION BY p_brand) AS last_name FROM part) ON doc_id % (SELECT count(*) FROM part) = p_partkey)""",
     "cars": """cars AS (SELECT md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS hash_id, p_brand AS manufacturer, p_name AS model, p_type AS description,
         CASE l_returnflag WHEN 'A' THEN 'gasoline' WHEN 'N' THEN 'diesel' WHEN 'R' THEN 'electric' END AS fuel_type, year(l_shipdate) AS year,
         l_quantity / 5 AS metric_combined, l_extendedprice / l_quantity / 10 AS co2_g_per_km, l_discount * 1000 AS emissions_co_mg_per_km,
