@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import inspect
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, oracle_names, oracle_pages, queries
+from . import oracle, oracle_names, oracle_pages, queries, scans
 
-QUERIES = {n: f for n, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not n.startswith("_") and n != "rounded"}
 
-ORACLE_SQL = oracle.ORACLE_SQL | oracle_names.ORACLE_SQL | oracle_pages.ORACLE_SQL
+def _of(module: ModuleType) -> dict:
+    return {n: f for n, f in vars(module).items() if inspect.isfunction(f) and f.__module__ == module.__name__ and not n.startswith("_") and n != "rounded"}
+
+
+QUERIES = _of(queries) | _of(scans)
+
+ORACLE_SQL = oracle.ORACLE_SQL | oracle_names.ORACLE_SQL | oracle_pages.ORACLE_SQL | scans.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
