@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
@@ -19,11 +20,8 @@ from .common import give_back, give_memory_back, materialize, own_columns, small
 CAPACITY, END_ID = 1024, 2
 #: Runs of text between blanks whose tokens a task remembers, and the longest that it does.
 REMEMBERED, LONGEST = 250_000, 64
-#: Documents and gaps that one task sweeps.
+#: Rows that are ranked together at most.
 ROWS = 200_000
-#: Kinds of rows of a sweep: a placed document, one that found no gap, a gap that is left, and a gap that is too small by now
-#: for what its task has swept.
-PLACED, WAITING, GAP, LATE = range(4)
 # The pattern that splits text for byte-level vocabularies of this kind, and the printable bytes that stand for
 # themselves in them; the other bytes follow from code point 256 on.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -118,131 +116,85 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     return give_back(rows.mapInArrow(cut, schema), "piece", "start", "length", "tokens")
 
 
-def _swept(capacity: int):
-    """One task's part of a sweep: rows (kind 1 for a document, 0 for a gap, id, size) from large to small, gaps first."""
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pyspark.TaskContext.get().partitionId()
-        placed, waiting = [], []
-        free: list[tuple[int, int]] = []  # the gaps met, the smallest last: the successor of the next document
-        later: list[tuple[int, int]] = []  # what is left of gaps, as a heap, the largest first: free once the sweep is down to it
-        for batch in batches:
-            for document, key, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size"))):
-                while later and -later[0][0] >= size:
-                    gap, bin_ = heapq.heappop(later)
-                    free.append((-gap, bin_))
-                if not document:
-                    free.append((size, key))
-                elif free:
-                    gap, bin_ = free.pop()
-                    placed.append((key, size, bin_, capacity - gap))
-                    if gap - size >= size:
-                        free.append((gap - size, bin_))
-                    elif gap > size:
-                        heapq.heappush(later, (size - gap, bin_))
-                else:
-                    waiting.append((key, size))
-        rows = [(PLACED, part, 0, *x) for x in placed] + [(WAITING, part, i, *x, None, None) for i, x in enumerate(waiting)]
-        rows += [(GAP, part, i, bin_, gap, None, None) for i, (gap, bin_) in enumerate(reversed(free))] + [(LATE, part, 0, bin_, -gap, None, None) for gap, bin_ in later]
-        names, types = ("kind", "part", "place", "id", "size", "bin", "offset"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        for first in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[first : first + 50_000]), types)], names)
-
-    return sweep
-
-
-def _matches(told: list) -> list[tuple[int, int, int, int, int, int]]:
-    """Which of the documents that are left over meet which gaps that are left over, as (kind, part, first place, place after the
-    last, first match, documents a match), from (part, kind, n, least, most) of each task. Documents come by rank, the largest
-    first; each takes the smallest gap of the nearest task before its own, and as many of them share it as surely fit."""
-    parts: dict[int, dict[int, tuple[int, int, int]]] = {}
-    for part, kind, n, least, most in told:
-        parts.setdefault(part, {})[kind] = (n, least, most)
-    spans, free, match = [], [], 0
-    for part, kinds in sorted(parts.items()):
-        n, _, most = kinds.get(WAITING, (0, 0, 1))
-        done = 0
-        while done < n and free:
-            other, used, left, least = free[-1]
-            each = least // most
-            gaps = min(left, -(-(n - done) // each))
-            docs = min(n - done, gaps * each)
-            spans += [(WAITING, part, done, done + docs, match, each), (GAP, other, used, used + gaps, match, 1)]
-            match, done = match + gaps, done + docs
-            free[-1] = (other, used + gaps, left - gaps, least)
-            if left == gaps:
-                free.pop()
-        if GAP in kinds:
-            free.append((part, 0, *kinds[GAP][:2]))
-    return spans
-
-
-def _round(spark: SparkSession, waiting: DataFrame, gaps: DataFrame, rows: int, capacity: int, rows_per_task: int) -> DataFrame:
-    """One step of all tasks: (kind, id, size, bin, offset) of the documents placed, those still waiting and the gaps left."""
-    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    both = waiting.select(F.lit(1).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(0).alias("kind"), "id", "size"))
-    dealt = both.repartitionByRange(max(1, -(-rows // rows_per_task)), *order).sortWithinPartitions(*order)
-    swept = materialize(dealt.mapInArrow(_swept(capacity), "kind int, part int, place long, id long, size long, bin long, offset long"), "swept")
-    told = swept.filter(F.col("kind").isin(WAITING, GAP)).groupBy("part", "kind").agg(F.count("*"), F.min("size"), F.max("size")).collect()  # two rows a task
-    spans = spark.createDataFrame(_matches(told), "kind int, part int, first long, after long, match long, each long")
-    columns = ["kind", "id", "size", "bin", "offset"]
-    done = swept.filter(F.col("kind").isin(PLACED, LATE)).select(columns)
-    met = swept.filter(F.col("kind").isin(WAITING, GAP)).join(F.broadcast(spans), ["kind", "part"], "left")
-    inside = F.col("place").between(F.col("first"), F.col("after") - 1)
-    met = met.groupBy("kind", "id", "size", "place", "part").agg(F.max(F.when(inside, F.col("match") + F.floor((F.col("place") - F.col("first")) / F.col("each")))).alias("match"))
-    # a gap and the few documents that share it: those are placed by rank, end to end, and the rest of the gap stays
-    one = met.filter("match is not null").groupBy("match").agg(
-        F.max(F.when(F.col("kind") == GAP, F.struct("id", "size"))).alias("gap"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == WAITING, F.struct("place", "id", "size")))).alias("docs"),
-    )
-    before = lambda i: F.aggregate(F.slice("docs", F.lit(1), i), F.lit(0).cast("long"), lambda n, d: n + d["size"])
-    as_placed = F.transform("docs", lambda d, i: F.struct(F.lit(PLACED).alias("kind"), d["id"].alias("id"), d["size"].alias("size"), F.col("gap.id").alias("bin"), (capacity - F.col("gap.size") + before(i)).alias("offset")))
-    left = F.struct(F.lit(LATE).alias("kind"), F.col("gap.id").alias("id"), (F.col("gap.size") - before(F.size("docs"))).alias("size"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("offset"))
-    joined = one.select(F.inline(F.concat(as_placed, F.array(left))))
-    alone = met.filter("match is null").select("kind", "id", "size", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("offset"))
-    return materialize(done.unionByName(joined.select(columns)).unionByName(alone).filter("size > 0"), "packed")
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """Best fit of counts[size] documents of each size, from large to small, as (first, each, place, size): documents by rank, the
+    largest first, stand from rank first on, each of them to a sequence, in neighbouring sequences that are filled alike. place is
+    that of the first of them, with all sequences laid end to end.
+
+    A document takes the smallest gap that holds it, and then what is left of that gap is the smallest for the next one of its
+    size. So a step fills any number of equal gaps at once, and there are as many steps as sizes and the gaps that they meet, however
+    many documents there are: a size splits one group of equal gaps in three, and less than sqrt(2 * capacity) sizes fit in one gap.
+    """
+    found, gaps, alike = [], [], {}  # sizes of gaps, ascending, and for each (first sequence, sequences) of those that have it
+    rank = opened = 0
+
+    def free(gap: int, bin_: int, n: int) -> None:
+        if gap and n:
+            if gap not in alike:
+                bisect.insort(gaps, gap)
+            alike.setdefault(gap, []).append((bin_, n))
+
+    for size, left in sorted(counts.items(), reverse=True):
+        while left:
+            i = bisect.bisect_left(gaps, size)
+            if i == len(gaps):
+                gap, bin_, n = capacity, opened, -(-left // (capacity // size))
+                opened += n
+            else:
+                gap = gaps[i]
+                bin_, n = alike[gap].pop()
+                if not alike[gap]:
+                    del gaps[i], alike[gap]
+            each = gap // size
+            docs = min(left, n * each)
+            full, more = divmod(docs, each)
+            found.append((rank, each, bin_ * capacity + capacity - gap, size))
+            free(gap - each * size, bin_, full)
+            if more:
+                free(gap - more * size, bin_ + full, 1)
+            used = full + (more > 0)
+            free(gap, bin_ + used, n - used)
+            rank, left = rank + docs, left - docs
+    return found
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", rows_per_task: int = ROWS) -> DataFrame:
     """pieces with sequence_id and offset: each row of length 1 to capacity has a place in a sequence of at most capacity, and
     the places of a sequence follow each other without gaps from 0.
 
-    Bulk-synchronous best fit. Rows of over half the capacity open a sequence each, as no two of them go together. In each round
-    the rows that wait and the gaps of sequences are sorted by size into ranges, and each task sweeps its range from large to
-    small: a row takes the smallest gap that holds it, its successor, and what is left of the gap is met again further down. Rows
-    and gaps that a task has left over are matched between tasks by rank: the driver gets two counts of each task, and rows and
-    gaps meet by the number of their match. Gaps are updated, and the rounds go on until no row waits. New sequences are opened at
-    the start of a round when the gaps that are large enough for any waiting row hold less than all of them, and no more than
-    that takes. Equal sizes are dealt by id, so that a common size is not one task's. State of a round is a table in the shared
-    folder. Rows that repeat are packed each. A length outside 1 to capacity, or a null one, is an error.
+    Best fit from large to small, with as many sequences as one pass over all rows in that order makes. Which places there are
+    follows from the number of rows of each length alone (see best_fit): the driver gets these, capacity numbers at most. Which
+    row has which place follows from its rank: rows are ranked within their length, in runs of up to rows_per_task rows of a
+    partition, and the counts of earlier runs are added, so that a common length is not one task's. There are no rounds: the
+    number of jobs depends neither on the rows nor on the tasks. Rows that repeat are packed each. A length outside 1 to
+    capacity, or a null one, is an error.
     """
     spark = pieces.sparkSession
     small_batches(spark)
+    # an id has the number of its partition in the upper bits, so that a run is of one partition but at the borders of these
     table = materialize(pieces.select(own_columns(pieces), F.col(f"`{length}`").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")), "pieces")
-    if table.filter(f"size is null or size < 1 or size > {capacity}").limit(1).count():
+    right = F.when(F.col("size").between(1, capacity), F.col("size"))
+    counts = {r["size"]: r["n"] for r in table.groupBy(right.alias("size")).agg(F.count("*").alias("n")).collect()}
+    if None in counts:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    alone = table.filter(f"2 * size > {capacity}").select("id", "size")
-    places = [alone.select("id", F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset"))]
-    waiting = table.filter(f"2 * size <= {capacity}").select("id", "size")
-    gaps = alone.filter(f"size < {capacity}").select("id", (capacity - F.col("size")).alias("size"))
-    opened = 0
-    while True:
-        n, total, least = waiting.agg(F.count("*"), F.sum("size"), F.min("size")).first()
-        if not n:
-            break
-        gaps = gaps.filter(F.col("size") >= least)
-        m, room = gaps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        new = max(0, -(-(total - room) // capacity))
-        if new:
-            gaps = gaps.unionByName(spark.range(opened, opened + new).select((-1 - F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size")))
-            opened += new
-        state = _round(spark, waiting, gaps, n + m + new, capacity, rows_per_task)
-        places.append(state.filter(F.col("kind") == PLACED).select("id", "bin", "offset"))
-        waiting = state.filter(F.col("kind") == WAITING).select("id", "size")
-        gaps = state.filter(F.col("kind").isin(GAP, LATE)).select("id", "size")
-    found = places[0]
-    for more in places[1:]:
-        found = found.unionByName(more)
-    return give_back(table.join(found, "id"), F.col("bin").alias("sequence_id"), F.col("offset"))
+    first, each, place, of_size = np.array(best_fit(counts, capacity), np.int64).reshape(-1, 4).T
+
+    @F.arrow_udf("long")
+    def placed(ranks: pa.Array) -> pa.Array:
+        rank = ranks.to_numpy(zero_copy_only=False)
+        i = np.searchsorted(first, rank, "right") - 1
+        bins, nth = np.divmod(rank - first[i], each[i])
+        return pa.array(place[i] + bins * capacity + nth * of_size[i])
+
+    sizes = sorted(counts, reverse=True)
+    larger = spark.createDataFrame(list(zip(sizes, accumulate((counts[s] for s in sizes), initial=0))), "size long, larger long")
+    rows = table.withColumn("run", F.expr(f"id div {rows_per_task}"))
+    earlier = F.sum("n").over(Window.partitionBy("size").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.groupBy("run", "size").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(F.broadcast(larger), "size")
+    within = F.row_number().over(Window.partitionBy("run", "size").orderBy("id")) - 1
+    ranked = rows.withColumn("within", within).join(runs, ["run", "size"])
+    found = ranked.select("own", placed(F.col("larger") + F.col("earlier") + F.col("within")).alias("place"))
+    return give_back(found, F.expr(f"place div {capacity}").alias("sequence_id"), (F.col("place") % capacity).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

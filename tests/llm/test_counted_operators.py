@@ -149,6 +149,36 @@ def test_packing_is_as_full_as_sequential_best_fit(spark, kind):
     assert kind != "thirds" or check_packed(rows, 100) == n // 2
 
 
+def test_places_from_counts_are_those_of_sequential_best_fit():
+    draw = random.Random(5)
+    for _ in range(300):
+        capacity, n = draw.randint(1, 60), draw.randint(0, 200)
+        sizes = draw.sample(range(1, capacity + 1), draw.randint(1, capacity))
+        lengths = sorted((draw.choice(sizes) for _ in range(n)), reverse=True)
+        plan, places = packing.best_fit(Counter(lengths), capacity), []
+        for (first, each, place, size), end in zip(plan, [*(x[0] for x in plan[1:]), n]):
+            assert lengths[first:end] == [size] * (end - first) != []
+            places += [place + i // each * capacity + i % each * size for i in range(end - first)]
+        at = {}
+        for place, size in sorted(zip(places, lengths, strict=True)):
+            assert place % capacity == at.get(place // capacity, 0)
+            at[place // capacity] = place % capacity + size
+        assert all(used <= capacity for used in at.values()) and len(at) == best_fit(lengths, capacity)
+
+
+def test_packing_takes_no_more_jobs_with_more_tasks(spark):
+    draw = random.Random(6)
+    lengths = [draw.choice([1, 2, 3, 5, 8, 13, 21, 34, 40, 45, 55, 70]) for _ in range(2000)]
+    df, jobs = spark.createDataFrame([(x,) for x in lengths], "length long").repartition(8), []
+    for per_task in (200_000, 20):
+        spark.sparkContext.setJobGroup(f"pack {per_task}", "")
+        rows = packing.pack(df, 100, rows_per_task=per_task).collect()
+        spark.sparkContext.setJobGroup("", "")
+        assert check_packed(rows, 100) == best_fit(lengths, 100)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pack {per_task}")))
+    assert 0 < jobs[1] <= jobs[0] + 2  # rounds, of several jobs each, grew with the tasks
+
+
 def test_packing_of_documents(spark):
     texts = ["a b c", None, "", "long words here " * 400, "x", "x", "y" * 3000, "Zweiter Text, für alle.\n" * 90]
     docs = [(None if i == 4 else i // 2, t, {"k": i}) for i, t in enumerate(texts)] * 2
