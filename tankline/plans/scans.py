@@ -106,8 +106,8 @@ def curated_list(spark: SparkSession, sf: str) -> DataFrame:
     entries = cars.filter("year % 3 <> 0").select(F.col("manufacturer").alias("brand"), entry.alias("entry"), F.concat_ws(" ", "manufacturer", "model").alias("wiki_name")).distinct()
     sinks.write_json_documents(entries, path)
     asked = cars.select(F.col("hash_id").alias("car_id"), F.col("manufacturer").alias("brand"), name.alias("name"), "year")
-    found = matching.curated_matches(asked, readers.lookup(spark, path, _CURATED), A.wiki_cars(spark, sf))
-    return found.groupBy("car_id").agg(F.count("*").alias("pages"), F.min("hash_id").alias("first_page"))
+    found = matching.curated_names(asked, readers.lookup(spark, path, _CURATED), A.wiki_cars(spark, sf))
+    return found.per_car(F.count("*").alias("pages"), F.min("hash_id").alias("first_page")).drop("stage")
 
 
 def import_profiles(spark: SparkSession, sf: str) -> DataFrame:
