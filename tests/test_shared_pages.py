@@ -36,7 +36,7 @@ def most_rows(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["match_register", "curated_list", "match_register_scored", "match_register_network", "review_queue", "matched_ratio", "match_sensor", "match_sensor_scored"])
+@pytest.mark.parametrize("name", ["match_register", "curated_list", "match_register_scored", "match_register_network", "match_sensor", "review_queue", "matched_ratio", "match_sensor_scored", "match_sensor_network"])
 def test_pages_of_one_name_are_not_repeated_for_each_car(spark, one_name, name):
     found = registry.QUERIES[name](spark, one_name)
     rows = found.collect()
