@@ -33,8 +33,8 @@ def append(values: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     again for what has come since. The keys that were met are Spark's state, a store on disk that is kept in the checkpoint, so a
     batch reads no stored rows, and old tracks that are brought in late are met like new ones: no row is too late. A null in a key
     is a value like any other. A batch that is run again after a failure replaces what it had written, as its load has its
-    number. Rows of another run, after a lost checkpoint, say, are not in the state: only where there are such loads their keys, of
-    the batch's days, are read again. A measurement has one value of a phenomenon; of rows that differ in it the first to arrive
+    number. Rows of another run, after a lost checkpoint, say, are not in the state: only where there are such loads their keys are
+    read again, of all days. A measurement has one value of a phenomenon; of rows that differ in it the first to arrive
     counts."""
     keys, run = ["track_measurement_id", "phenomenon"], hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     met = values.withColumn(DAY, F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("none"))).dropDuplicates(keys)
@@ -46,9 +46,8 @@ def append(values: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         loads = [x.getPath().getName().partition("=")[2] for x in fs.listStatus(at)] if fs.exists(at) else []
         others = [x for x in loads if x and not x.startswith(f"{run}-")]
         if others:
-            stored = spark.read.schema(f"{VALUES}, {LOAD} string, {DAY} string").parquet(out).filter(F.col(LOAD).isin(*others)).select(*keys, DAY)
-            stored = stored.join(F.broadcast(new.select(DAY).distinct()), DAY, "left_semi")  # a name for each day
-            new = new.join(stored, same(new, stored, [*keys, DAY]), "left_anti")
+            stored = spark.read.schema(f"{VALUES}, {LOAD} string, {DAY} string").parquet(out).filter(F.col(LOAD).isin(*others)).select(*keys)
+            new = new.join(stored, same(new, stored, keys), "left_anti")  # of any day, as rows of one key may have several
         new.withColumn(LOAD, F.lit(f"{run}-{number}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(LOAD, DAY).parquet(out)
 
     writer = met.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)

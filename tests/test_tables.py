@@ -144,6 +144,16 @@ def test_measurements_are_stored_once_without_reading_what_is_stored(spark, tmp_
     assert stored() == once
 
 
+def test_a_measurement_of_another_day_is_stored_once_after_a_lost_checkpoint(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [("p1", "t", "s", "Speed", 1.0, "2024-01-01"), (None, "t", "s", "Speed", 2.0, "2024-01-01"), ("p2", "t", "s", "Speed", 3.0, "2024-01-01")]
+    later = [("p1", "t", "s", "Speed", 1.0, "2024-01-05"), (None, "t", "s", "Speed", 2.0, None), ("p3", "t", "s", "Speed", 3.0, "2024-01-05")]
+    for mark, part in (("a", rows), ("b", later)):
+        spark.createDataFrame(part, VALUES.replace("date timestamp", "day string")).selectExpr("* except (day)", "to_timestamp(day) as date").write.parquet(str(tmp_path / f"in-{mark}"))
+        ingest.append(spark.readStream.schema(VALUES).parquet(str(tmp_path / f"in-{mark}")), out, str(tmp_path / mark)).awaitTermination()
+    assert sorted((r.track_measurement_id or "", str(r.day)) for r in spark.read.parquet(out).collect()) == [("", "2024-01-01"), ("p1", "2024-01-01"), ("p2", "2024-01-01"), ("p3", "2024-01-05")]
+
+
 def test_statistics_follow_corrections_and_deletions(spark, tmp_path):
     draw, known = random.Random(5), {}
     path = {n: str(tmp_path / n) for n in ("in", "values", "counts", "stats", "mark")}
