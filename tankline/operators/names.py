@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unique_name, words
 from .prices import PRICES, latest
-from .spatial import point_countries, point_distances
+from .spatial import point_countries, point_distances, unsized
 
 
 def unique_cars(cars: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def point_prices(points: DataFrame, countries: DataFrame, prices: DataFrame, gen
     far = point_distances(points).withColumn("point_id", F.struct("route", "seq"))
     where = point_countries(far.select("point_id", "x", "y"), countries).groupBy("point_id").agg(F.min("country").alias("country"))
     everywhere = latest(general).select(*[F.col(c).alias(f"g_{c}") for c in PRICES])
-    out = far.join(where, "point_id", "left").join(latest(prices, "country").drop("date"), "country", "left").join(F.broadcast(everywhere), F.lit(True), "left")  # one row
+    out = far.join(unsized(where), "point_id", "left").join(latest(prices, "country").drop("date"), "country", "left").join(F.broadcast(everywhere), F.lit(True), "left")  # one row
     side = "euro" if fuel == "gasoline" else "diesel"
     price = F.coalesce(F.col(f"{side}_ttc"), F.col(f"g_{side}_ttc"))
     return out.select("route", "seq", "country", "meters", price.alias("price"), (F.col("meters") / 1000 * litres_per_km * price).alias("cost"))

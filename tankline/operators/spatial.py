@@ -18,6 +18,12 @@ REFERENCE = (0.5123, 0.4871)
 SAME = 1e-12
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """df to be joined by a shuffle of both sides. A small file of routes becomes many rows by its explodes, which Spark's estimates leave
+    out, so it would send millions of rows through the driver as a table to broadcast."""
+    return df.hint("merge")
+
+
 def coordinates(points: Column) -> Column:
     """[[x, y(, z)], ...] as an array of (x, y)."""
     return F.transform(points, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
@@ -116,7 +122,7 @@ def overlay(routes: DataFrame, countries: DataFrame, cell: float = CELL) -> Data
     dealt = dealt.withColumn("f", F.explode(F.when(F.col("level") > 0, finer(F.col("level"))).otherwise(own)))
     dealt = dealt.select(*keys, "level", "salt", F.col("f.fx").alias("cx"), F.col("f.fy").alias("cy"))
     start, end = _within_cell(F.lit(cell) / F.pow(2.0, F.col("level")))
-    near = dealt.select("*", start.alias("start"), end.alias("end")).filter(F.col("end") > F.col("start")).join(cells, ["level", "cx", "cy", "salt"])
+    near = dealt.select("*", start.alias("start"), end.alias("end")).filter(F.col("end") > F.col("start")).join(unsized(cells), ["level", "cx", "cy", "salt"])
 
     def cut(e: Column) -> Column:
         ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
@@ -135,7 +141,7 @@ def overlay(routes: DataFrame, countries: DataFrame, cell: float = CELL) -> Data
     own_cuts = F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform("own", lambda i: i["t0"]), F.transform("own", lambda i: i["t1"]))
     outside = F.filter(_intervals(own_cuts), lambda i: ~F.exists("own", lambda o: (o["t0"] < (i["t0"] + i["t1"]) / 2) & ((i["t0"] + i["t1"]) / 2 < o["t1"])))
     whole = F.array(F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1")))
-    rest = segs.join(covered, ["request_id", "seg"], "left").select(*keys, F.lit(None).cast("string").alias("country"), F.inline(F.when(F.col("own").isNull(), whole).otherwise(outside)))
+    rest = segs.join(unsized(covered), ["request_id", "seg"], "left").select(*keys, F.lit(None).cast("string").alias("country"), F.inline(F.when(F.col("own").isNull(), whole).otherwise(outside)))
 
     at = lambda p, d, t: (F.col(p) + d * F.col(t))
     return inside.unionByName(rest).select(
@@ -234,7 +240,7 @@ def point_countries(points: DataFrame, countries: DataFrame, cell: float = CELL)
     dealt = placed.join(F.broadcast(busy), ["cx", "cy"], "left").withColumns({"level": F.coalesce("level", F.lit(0)), "salt": salt})
     side = F.lit(cell) / F.pow(2.0, F.col("level"))
     dealt = dealt.select("point_id", "x", "y", "level", "salt", F.floor(F.col("x") / side).cast("int").alias("cx"), F.floor(F.col("y") / side).cast("int").alias("cy"))
-    met = dealt.join(cells, ["level", "cx", "cy", "salt"])
+    met = dealt.join(unsized(cells), ["level", "cx", "cy", "salt"])
     return met.filter(_on_side(F.col("x"), F.col("y"))).select("point_id", "x", "y", "country")
 
 
