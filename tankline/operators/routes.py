@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.maths import BASE_SPEED, capped_co2, co2_growth, fuel_growth, parabola
 from ..functions.text import FIRST_YEAR
 from .prices import latest
-from .spatial import metric_lengths, overlay
+from .spatial import metric_lengths, overlay, unsized
 from .statistics import REGISTER_MEASURES, reported_cars
 
 # Vehicle classes (code, English name, German name, tank in litres), speeds of driving styles, error codes.
@@ -147,7 +147,7 @@ _HEAD = ["request_id", "category", "category_en", "category_de", "fuel_type"]
 def sensor_costs(requests: DataFrame, parts: DataFrame, sensor_models: DataFrame) -> DataFrame:
     """The cost of each request in each class it asks for, by sensors' models. parts as parts_of_requests has them."""
     chosen = _chosen(with_defaults(requests)).drop("coordinates")
-    rows = chosen.join(sensor_models, ["category", "fuel_type"], "left").join(parts, "request_id")
+    rows = chosen.join(sensor_models, ["category", "fuel_type"], "left").join(unsized(parts), "request_id")
     v = F.col("v")
     rows = rows.withColumns({
         "litre_per_km": F.coalesce(F.when(F.col("measurements").isNotNull(), F.col("manual") / 100), F.try_divide(_curve(v, "cons"), v)),
@@ -199,7 +199,7 @@ def register_costs(requests: DataFrame, parts: DataFrame, register_stats: DataFr
     models = known.groupBy("category", "fuel_type", "model_year").agg(*means).join(sensor_models, ["category", "fuel_type"])
     chosen = _chosen(asked).drop("coordinates")
     chosen = chosen.withColumn("model_year", F.coalesce(F.greatest("year", F.lit(FIRST_YEAR)), F.lit(-1)))
-    rows = chosen.join(models, ["category", "fuel_type", "model_year"], "left").join(parts, "request_id")
+    rows = chosen.join(models, ["category", "fuel_type", "model_year"], "left").join(unsized(parts), "request_id")
     if speeds is not None:  # after the joins, which thus don't know of speeds
         rows = rows.withColumn("speed", F.explode(speeds)).withColumn("v", F.col("speed").cast("double"))
     rows = growth_factors(rows, F.col("v")).withColumns(_register_rates(F.col("manual")))
@@ -214,19 +214,19 @@ def car_costs(requests: DataFrame, parts: DataFrame, cars: DataFrame, sensor_mod
     car's growth factors are the means over the sensor models of its classes; cars without one are left out."""
     asked = with_defaults(requests).filter(F.size("cfd_ids") > 0).withColumn("hash_id", F.explode(F.array_distinct("cfd_ids")))
     named = asked.select("request_id", "hash_id", "fuel_type", "v", F.try_element_at("tank_sizes", F.lit("individual")).alias("own_tank"), F.try_element_at("fuel_consumptions", F.lit("individual")).alias("manual"))
-    rows = named.join(cars.dropDuplicates(["hash_id"]), ["hash_id", "fuel_type"])
+    rows = named.join(unsized(cars.dropDuplicates(["hash_id"])), ["hash_id", "fuel_type"])
     classes = rows.select("request_id", "hash_id", "fuel_type", "v", F.explode("wiki_hashes").alias("page")).join(wiki.select(F.col("hash_id").alias("page"), "category"), "page")
     classes = classes.select("request_id", "hash_id", "fuel_type", "v", "category").distinct().join(sensor_models, ["category", "fuel_type"])
     factors = growth_factors(classes, F.col("v")).groupBy("request_id", "hash_id").agg(F.avg("g_fuel").alias("g_fuel"), F.avg("g_co2").alias("g_co2"))
     sensors = classes.groupBy("request_id", "category").agg(F.max("numb_sensors").alias("n")).groupBy("request_id").agg(F.sum("n").alias("ec_sensors"))
     code, english, german, tank = next(c for c in CATEGORIES if c[0] == "individual")
-    rows = rows.join(factors, ["request_id", "hash_id"]).withColumns(_register_rates(F.col("manual"))).filter("litre_per_km is not null")
-    rows = rows.join(parts, "request_id").withColumn("c", carried_cost(F.col("parts"), F.col("litre_per_km"), F.coalesce("own_tank", F.lit(tank)).cast("double"), F.col("fuel_type"), False))
+    rows = rows.join(unsized(factors), ["request_id", "hash_id"]).withColumns(_register_rates(F.col("manual"))).filter("litre_per_km is not null")
+    rows = rows.join(unsized(parts), "request_id").withColumn("c", carried_cost(F.col("parts"), F.col("litre_per_km"), F.coalesce("own_tank", F.lit(tank)).cast("double"), F.col("fuel_type"), False))
     rates = [F.avg(c).alias(c) for c in ("litre_per_km", "co2_per_km", *[f"{k}_per_km" for k in _POLLUTANTS])]
     state = F.struct(F.avg("c.litres").alias("litres"), F.avg("c.ttc").alias("ttc"), F.avg("c.ht").alias("ht"), F.max("c.date").alias("date")).alias("c")
     mean = rows.groupBy("request_id", "fuel_type").agg(*rates, state, F.first("km").alias("km_raw"), F.count("*").alias("cfd_cars"), F.max(F.col("manual").isNotNull()).alias("manual_consumption"))
     names = {"category": F.lit(code), "category_en": F.lit(english), "category_de": F.lit(german)}
-    out = mean.join(sensors, "request_id", "left").withColumns(names).withColumns(_register_figures(F.col("km_raw")) | {"km": F.bround("km_raw", 2)})
+    out = mean.join(unsized(sensors), "request_id", "left").withColumns(names).withColumns(_register_figures(F.col("km_raw")) | {"km": F.bround("km_raw", 2)})
     return out.select(*_HEAD, "manual_consumption", "cfd_cars", "ec_sensors", *[c for c in _register_figures(F.col("km_raw"))])
 
 
