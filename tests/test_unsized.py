@@ -9,7 +9,7 @@ from tankline.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["point_prices", "route_parts", "route_cost_cars", "route_answers", "route_answer_fields", "route_cost_overrides", "route_cost_register", "speed_sweep"])
+@pytest.mark.parametrize("name", ["point_prices", "route_parts", "route_cost_cars", "route_answers", "route_answer_fields", "route_cost_overrides", "route_cost_register", "route_cost_sensor", "speed_sweep"])
 def test_tables_of_routes_are_not_broadcast(spark, name):
     own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 60))  # as if all estimates were small
